@@ -52,6 +52,14 @@ def small(staged: DataFrame, limit_bytes: int = BROADCAST_BYTES, limit_rows: int
     return F.broadcast(staged) if size <= limit_bytes and staged.count() <= limit_rows else staged
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

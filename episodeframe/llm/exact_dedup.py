@@ -65,4 +65,5 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text a row with a larger id repeats; columns unchanged."""
     gone = stage(exact_copies(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct(), "dedup-gone")
-    return docs.join(small(gone), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    gone = small(gone)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small, stage, word_count
+from .common import fresh, partitions, small, stage, word_count
 
 SEED = 17
 
@@ -93,5 +93,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
         share.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), times.cast("int").alias("_times")).where("_times > 0").distinct(),
         "mix-times",
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (word_count(F.col("text")) == F.col("_size"))
-    return docs.join(small(times), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    times = small(times)
+    same = docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_source"]) & (word_count(docs["text"]) == times["_size"])
+    copy = F.explode(F.sequence(F.lit(1), times["_times"])).alias(fresh(docs, "copy"))
+    return docs.join(times, same).select(*[docs[c] for c in docs.columns], copy).select(*docs.columns)

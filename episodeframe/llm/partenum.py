@@ -258,4 +258,5 @@ def drop_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, the smallest id; documents without words all stay."""
     found = similarity_components(docs, k, percent)
     gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    return docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = small(gone)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

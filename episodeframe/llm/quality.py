@@ -155,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     graded = labels.dropna(subset=["doc_id", "quality", "toxic"]).groupBy("doc_id").agg(F.min(F.col("quality") + 1 - F.col("toxic")).cast("int").alias("_grade"))
     chosen = stage(graded.orderBy(F.xxhash64("doc_id")).limit(fit_rows).withColumnRenamed("doc_id", "_labelled"), "quality-labels")
     # fit_rows bounds this broadcast
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled")).select(F.struct(F.col(id_col).cast("long").alias("id"), "_grade").alias("key"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("id") == F.col("_labelled")).select(F.struct("id", "_grade").alias("key"), "text")
     table = stage(featured(rows, keep="key struct<id: long, _grade: int>").select("key.*", "features"), "quality-features")
     # the test of fit() on counts, here to send only the features that pass it; SPACE bounds their number
     sizes = dict(table.groupBy("_grade").count().collect())
