@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, mixing, partenum, quality, sentencepieces, token_counts, token_store
+from . import exact_dedup, fingerprints, interpolation, mixing, partenum, quality, sentencepieces, token_counts, token_store
 from .common import documents
 
 
@@ -31,6 +31,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(documents(spark, sf_dir), digest=True)
 
 
+def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log-probabilities of every text."""
+    return interpolation.lm_scores(documents(spark, sf_dir))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and CRC of every document's ids, read back from a store in the shared folder."""
     return token_store.store_digests(documents(spark, sf_dir))
@@ -57,7 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprints, op3_quality_classifier, op4_exact_dedup, op6_token_store, op7_sentencepiece, op9_token_counts, op10_jaccard_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprints, op3_quality_classifier, op4_exact_dedup, op5_deleted_interpolation, op6_token_store, op7_sentencepiece, op9_token_counts, op10_jaccard_join, pipeline)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
