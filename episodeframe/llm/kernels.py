@@ -53,10 +53,10 @@ def span_hash(cs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column; null counts as empty. offsets[0] is 0."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    """(bytes, offsets) of a string or binary column; null counts as empty. offsets[0] is 0."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and n else np.zeros(0, np.uint8)

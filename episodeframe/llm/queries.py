@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, interpolation, mixing, partenum, quality, sentencepieces, token_counts, token_store
+from . import exact_dedup, fingerprints, interpolation, mixing, partenum, quality, sentencepieces, suffixes, token_counts, token_store
 from .common import documents
 
 
@@ -46,6 +46,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that an earlier 100-byte string repeats, and the digest of the rest."""
+    return suffixes.drop_repeats(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram piece count and best score of every text."""
     return token_counts.token_counts(documents(spark, sf_dir))
@@ -62,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprints, op3_quality_classifier, op4_exact_dedup, op5_deleted_interpolation, op6_token_store, op7_sentencepiece, op9_token_counts, op10_jaccard_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprints, op3_quality_classifier, op4_exact_dedup, op5_deleted_interpolation, op6_token_store, op7_sentencepiece, op8_suffix_dedup, op9_token_counts, op10_jaccard_join, pipeline)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
