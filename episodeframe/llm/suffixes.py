@@ -140,16 +140,32 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     return plcp[sa]
 
 
-def stretches(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, number) of the runs of consecutive integers in an ascending array."""
+def stretches(flags: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of the runs of flagged places; a run also ends before a place where cuts is set."""
+    at = np.flatnonzero(flags)
     if not len(at):
         return at, at
-    start = np.concatenate(([0], np.flatnonzero(np.diff(at) != 1) + 1))
+    start = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | cuts[at[1:]])))
     return at[start], np.diff(start, append=len(at))
 
 
-SPANS = "doc long, tie long, start long, number long"
-FIRSTS = "key long, shard long, doc long, tie long, start long, text binary"
+def sliced(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """A binary column of slices of data."""
+    offsets = np.concatenate(([0], np.cumsum(length)))
+    flat = data[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+
+
+#: Runs of first windows (key and text set), and stretches of removed windows (number set).
+FOUND = "key long, shard long, doc long, tie long, start long, text binary, number long"
+NAMES = [c.split()[0] for c in FOUND.split(", ")]
+
+
+def found_rows(key, shard, doc, tie, start, text, number) -> pa.RecordBatch:
+    n = len(start)
+    none = lambda kind: pa.nulls(n, kind)
+    columns = [none(pa.int64()) if key is None else pa.array(key, pa.int64()), pa.array(shard, pa.int64()), doc, tie, pa.array(start, pa.int64()), none(pa.binary()) if text is None else text, none(pa.int64()) if number is None else pa.array(number, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=NAMES)
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
@@ -172,16 +188,28 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, tie long, keys array<long>, spans array<long>, again array<long>")
 
 
-def sharded(suspects: DataFrame, width: int) -> DataFrame:
-    """Of texts (doc, tie, text) with their suspect spans: removed windows (key null) and the first of each window in its shard."""
-    names = [c.split()[0] for c in FIRSTS.split(", ")] + ["number"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+def segments(spans: DataFrame) -> DataFrame:
+    """(doc, tie, starts, numbers): a document's suspect windows as few, long stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            starts, numbers = [], []
+            for row in b.column(2):
+                span = np.unique(np.asarray(row.values))
+                start, until = span >> 20, (span >> 20) + (span & 0xFFFFF)
+                fresh = np.flatnonzero(np.concatenate(([True], start[1:] > until[:-1])))
+                starts.append(start[fresh])
+                numbers.append(until[np.append(fresh[1:] - 1, len(span) - 1)] - start[fresh])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), list_array(starts, pa.int64()), list_array(numbers, pa.int64())], names=["doc", "tie", "starts", "numbers"])
 
-    def rows(columns: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+    return spans.mapInArrow(run, "doc long, tie long, starts array<long>, numbers array<long>")
+
+
+def sharded(suspects: DataFrame, width: int) -> DataFrame:
+    """Of texts (doc, tie, text) with their suspect stretches: removed windows (key null) and the first of each window in its shard."""
 
     def shard(number: int, parts: list[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        parts.sort(key=lambda p: p[:3])
+        parts.sort(key=lambda p: (p[0] is not None, *p[:3]))
         size = np.array([len(p[3]) for p in parts])
         text, base = np.concatenate([p[3] for p in parts]), np.cumsum(size) - size
         owner = np.repeat(np.arange(len(parts)), size)
@@ -191,43 +219,23 @@ def sharded(suspects: DataFrame, width: int) -> DataFrame:
         apart = common_prefixes(text, sa) < width
         sa, apart = sa[valid[sa]], np.cumsum(apart)[valid[sa]]
         # equal windows lie together, by position; rows that repeat a document count as the same place
-        lead = np.concatenate(([True], apart[1:] != apart[:-1])) if len(sa) else np.zeros(0, bool)
-        first = sa[np.maximum.accumulate(np.where(lead, np.arange(len(sa)), 0))] if len(sa) else sa
-        names_ = [p[:2] for p in parts]
-        ids = np.cumsum([0] + [a != b for a, b in zip(names_[1:], names_[:-1], strict=True)])
-        begin = np.array([p[2] for p in parts])
-        place = begin[owner] + inner
+        lead = np.concatenate(([True], apart[1:] != apart[:-1]))
+        first = sa[np.maximum.accumulate(np.where(lead, np.arange(len(sa)), 0))]
+        ids = np.cumsum([0] + [a[:2] != b[:2] for a, b in zip(parts[1:], parts[:-1], strict=True)])
+        place = np.array([p[2] for p in parts])[owner] + inner
         later = (ids[owner[sa]] != ids[owner[first]]) | (place[sa] != place[first])
         gone, kept = np.zeros(len(text), bool), np.zeros(len(text), bool)
         gone[sa[later]] = True
         kept[sa[lead]] = True
-        out: list[list] = [[] for _ in kinds]
-        for at, n in zip(*(x.tolist() for x in stretches(np.flatnonzero(gone))), strict=True):
-            while n:  # a stretch may cross into the next part
-                o = owner[at]
-                m = min(n, int(base[o] + size[o]) - at)
-                for c, x in zip(out, (None, number, *parts[o][:2], int(place[at]), None, m), strict=True):
-                    c.append(x)
-                at, n = at + m, n - m
-        yield rows(out)
-        out = [[] for _ in kinds]
-        for o, (doc, tie, start, own) in enumerate(parts):
-            firsts = kept[base[o] : base[o] + size[o]]
-            if not firsts.any():
-                continue
-            key, at, n, _ = runs(own, width)
-            blob = own.tobytes()
-            edge = np.flatnonzero(np.diff(firsts)) + 1
-            cut = np.unique(np.concatenate((at, edge[edge < len(own) - width + 1])))
-            until = np.append(cut[1:], len(own) - width + 1)
-            which = np.searchsorted(at, cut, "right") - 1
-            for k, x, y in zip(key[which].view(np.int64)[firsts[cut]].tolist(), cut[firsts[cut]].tolist(), until[firsts[cut]].tolist(), strict=True):
-                for c, z in zip(out, (k, number, doc, tie, start + x, blob[x : y + width - 1], None), strict=True):
-                    c.append(z)
-            if len(out[0]) > 5000:
-                yield rows(out)
-                out = [[] for _ in kinds]
-        yield rows(out)
+        doc, tie = (pa.array([p[k] for p in parts], pa.int64()) for k in (0, 1))
+        cuts = inner == 0
+        at, n = stretches(gone, cuts)
+        yield found_rows(None, np.full(len(at), number), doc.take(pa.array(owner[at])), tie.take(pa.array(owner[at])), place[at], None, n)
+        grams = np.arange(len(text) - GRAM + 1)
+        key = sliding(span_hash(prefix_hash(text), grams, grams + GRAM), width - GRAM + 1, np.minimum)
+        cuts[1 : len(key)] |= key[1:] != key[:-1]
+        at, n = stretches(kept, cuts)
+        yield found_rows(key[at].view(np.int64), np.full(len(at), number), doc.take(pa.array(owner[at])), tie.take(pa.array(owner[at])), place[at], sliced(text, at, n + width - 1), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -236,24 +244,21 @@ def sharded(suspects: DataFrame, width: int) -> DataFrame:
         most = (1 << SHARD_BITS) - 2
         for b in batches:
             data, offsets = strings(b.column(2))
-            for i, (doc, tie, spans) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True)):
-                span = np.unique(np.asarray(spans.values))
-                start, until = span >> 20, (span >> 20) + (span & 0xFFFFF)
-                fresh = np.concatenate(([True], start[1:] > until[:-1]))
-                for x, y in zip(start[fresh].tolist(), until[np.append(np.flatnonzero(fresh)[1:] - 1, len(span) - 1)].tolist(), strict=True):
-                    while x < y:  # windows x..y of the document
-                        take = min(y - x, max(most - held - width + 1, 0))
-                        if take < min(y - x, 1000):
+            for i, (doc, tie, starts, numbers) in enumerate(zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True)):
+                for x, windows in zip(starts, numbers, strict=True):
+                    while windows:
+                        take = min(windows, max(most - held - width + 1, 0))
+                        if take < min(windows, 1000):
                             yield from shard(number, parts)
                             number, parts, held = number + 1, [], 0
                             continue
                         parts.append((doc, tie, x, data[offsets[i] + x : offsets[i] + x + take + width - 1].copy()))
                         held += take + width - 1
-                        x += take
+                        x, windows = x + take, windows - take
         if parts:
             yield from shard(number, parts)
 
-    return suspects.mapInArrow(run, f"{FIRSTS}, number long")
+    return suspects.mapInArrow(run, FOUND)
 
 
 def absorbed(text: np.ndarray, a: tuple, b: tuple, width: int) -> tuple[tuple, np.ndarray]:
@@ -265,7 +270,8 @@ def absorbed(text: np.ndarray, a: tuple, b: tuple, width: int) -> tuple[tuple, n
     # confirmed byte by byte: windows that go on from the pair before need only their last byte compared
     chain = np.concatenate(([False], (np.diff(x) == 1) & (np.diff(y) == 1))) if len(x) else np.zeros(0, bool)
     same = text[x + width - 1] == text[y + width - 1]
-    same[~chain] = [bytes(text[p : p + width]) == bytes(text[q : q + width]) for p, q in zip(x[~chain], y[~chain], strict=True)]
+    windows = np.lib.stride_tricks.sliding_window_view(text, width)
+    same[~chain] = (windows[x[~chain]] == windows[y[~chain]]).all(axis=1)
     if not same.all():
         raise ValueError("two passages have the same 64-bit hash")
     new = ~hit
@@ -280,52 +286,40 @@ def merged(firsts: DataFrame, width: int, by: list[str], keep: bool) -> DataFram
 
     def chunk(t: pa.Table) -> Iterator[pa.RecordBatch]:
         data, offsets = strings(t.column("text").cast(pa.large_binary()).combine_chunks())
-        cols = {c: t.column(c).to_pylist() for c in ("key", "shard", "doc", "tie", "start")}
-        group = list(zip(*(t.column(c).to_pylist() for c in by), strict=True))
+        change = np.ones(len(t), bool)
+        change[1:] = False
+        for c in by:
+            change[1:] |= np.diff(t.column(c).to_numpy()) != 0
         n = np.diff(offsets) - width + 1
-        window = np.repeat(offsets[:-1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        sums = prefix_hash(data)
-        hashes = span_hash(sums, window, window + width)
-        # lists by place in their group: a tournament in which the earlier list takes in the later
-        place = np.zeros(len(n), np.int64)
-        for i in range(1, len(n)):
-            place[i] = place[i - 1] + 1 if group[i] == group[i - 1] else 0
-        of = np.repeat(place, n)
+        row = np.repeat(np.arange(len(t)), n)
+        opens = np.zeros(len(row), bool)
+        opens[np.cumsum(n) - n] = True
+        window = offsets[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+        hashes = span_hash(prefix_hash(data), window, window + width)
+        # one list for each place in a group: a tournament in which the earlier list takes in the later
+        place = np.arange(len(t)) - np.maximum.accumulate(np.where(change, np.arange(len(t)), 0))
+        turn = np.argsort(place[row], kind="stable")
         lists = []
-        for p in range(int(place.max()) + 1 if len(place) else 0):
-            own = np.flatnonzero(of == p) if p < 8 else None
-            if own is None:
-                break
+        for own in np.split(turn, np.flatnonzero(np.diff(place[row][turn])) + 1):
             own = own[np.argsort(hashes[own])]
             lists.append((hashes[own], window[own]))
-        rest = np.flatnonzero(of >= 8)  # longer groups: the lists are few elements each
-        if len(rest):
-            rest = rest[np.argsort(of[rest], kind="stable")]
-            for own in np.split(rest, np.flatnonzero(np.diff(of[rest])) + 1):
-                own = own[np.argsort(hashes[own])]
-                lists.append((hashes[own], window[own]))
-        gone = [np.zeros(0, np.int64)]
+        lost = np.zeros(len(data) + 1, bool)
         while len(lists) > 1:
             made = [absorbed(data, a, b, width) for a, b in zip(lists[::2], lists[1::2])]
-            gone += [x for _, x in made]
+            for _, x in made:
+                lost[x] = True
             lists = [x for x, _ in made] + lists[len(made) * 2 :]
-        lost = np.zeros(len(data) + 1, bool)
-        lost[np.concatenate(gone)] = True
-        out: list[list] = [[] for _ in kinds]
-        for i in range(len(n)):
-            at = lost[offsets[i] : offsets[i] + n[i]]
-            if at.any():
-                for x, m in zip(*(v.tolist() for v in stretches(np.flatnonzero(at))), strict=True):
-                    for c, z in zip(out, (None, cols["shard"][i], cols["doc"][i], cols["tie"][i], cols["start"][i] + x, None, m), strict=True):
-                        c.append(z)
-            if keep:
-                for x, m in zip(*(v.tolist() for v in stretches(np.flatnonzero(~at))), strict=True):
-                    for c, z in zip(out, (cols["key"][i], cols["shard"][i], cols["doc"][i], cols["tie"][i], cols["start"][i] + x, data[offsets[i] + x : offsets[i] + x + m + width - 1].tobytes(), None), strict=True):
-                        c.append(z)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-
-    names = [c.split()[0] for c in FIRSTS.split(", ")] + ["number"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        cols = {c: t.column(c).combine_chunks() for c in ("key", "shard", "doc", "tie")}
+        start = t.column("start").to_numpy()[row] + window - offsets[row]
+
+        def rows(flags: np.ndarray, text: bool) -> pa.RecordBatch:
+            at, m = stretches(flags, opens)
+            key, shard, doc, tie = (cols[c].take(pa.array(row[at])) for c in cols)
+            return found_rows(key if text else None, shard, doc, tie, start[at], sliced(data, window[at], m + width - 1) if text else None, None if text else m)
+
+        yield rows(lost[window], False)
+        if keep:
+            yield rows(~lost[window], True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -343,7 +337,7 @@ def merged(firsts: DataFrame, width: int, by: list[str], keep: bool) -> DataFram
         if held:
             yield from chunk(pa.Table.from_batches(held))
 
-    return dealt.mapInArrow(run, f"{FIRSTS}, number long")
+    return dealt.mapInArrow(run, FOUND)
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -359,10 +353,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = table.select(F.explode(F.concat("keys", "again")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     common = stage(counts.where("n > 1"), "suffix-keys")
     each = table.select("doc", "tie", F.explode(F.arrays_zip("keys", "spans")).alias("r")).select("doc", "tie", F.col("r.keys").alias("key"), F.col("r.spans").alias("span"))
-    spans = stage(each.join(common.select("key"), "key", "left_semi").groupBy("doc", "tie").agg(F.collect_list("span").alias("spans")), "suffix-spans")
+    spans = each.join(common.select("key"), "key", "left_semi").groupBy("doc", "tie").agg(F.collect_list("span").alias("spans"))
+    spans = stage(segments(spans), "suffix-spans")
     unstage(table)
     spans = small(spans).withColumnsRenamed({"doc": "_doc", "tie": "_tie"})
-    suspects = rows.join(spans, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie"))).select("doc", "tie", "text", "spans")
+    suspects = rows.join(spans, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie"))).select("doc", "tie", "text", "starts", "numbers")
     local = stage(sharded(suspects, width), "suffix-shards")
     firsts = local.where("key IS NOT NULL").drop("number")
     # keys with more runs than a task should get: first merged in groups of shards, as many as the root of their number
