@@ -1 +1 @@
-"""Part of the episodeframe engine."""
+"""Column functions."""

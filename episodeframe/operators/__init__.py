@@ -1 +1 @@
-"""Part of the episodeframe engine."""
+"""Operators over episodes, steps and outcomes."""

@@ -1 +1 @@
-"""Part of the episodeframe engine."""
+"""Readers and the bindings of the test tables to the episode model."""
