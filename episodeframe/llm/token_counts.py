@@ -112,8 +112,9 @@ class Counter:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        for p in set(parts) - memo.keys():
-            memo[p] = self.solve(SPACE + p)
+        for p in set(parts):
+            if p not in memo:
+                memo[p] = self.solve(SPACE + p)
         pieces, score = 0, 0.0
         for p in parts:
             c, s = memo[p]
