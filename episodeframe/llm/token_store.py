@@ -78,7 +78,7 @@ class WordEncoder:
 
     def _learn(self, parts: list[str]) -> dict[str, bytes]:
         cut = [self._words(p) for p in parts]
-        new = list({w for c in cut for w in c} - self.words.keys())
+        new = list({w for c in cut for w in c}.difference(self.words))
         self.words.update(zip(new, self._library(new), strict=True))
         return {p: b"".join([self.words[w] for w in c]) for p, c in zip(parts, cut, strict=True)}
 
@@ -91,12 +91,12 @@ class WordEncoder:
         split = []
         for t in texts:
             s = t.split(" ")
-            new = set(s) - self.parts.keys()
+            new = set(s).difference(self.parts)
             if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
                 s = BREAK.split(t)
             split.append(s)
         known = self.parts
-        fresh = self._learn([" " + p for p in {p for s in split for p in s[1:]} - known.keys()])
+        fresh = self._learn([" " + p for p in {p for s in split for p in s[1:]}.difference(known)])
         long = {p[1:]: x for p, x in fresh.items() if len(p) > 40}
         known.update((p[1:], x) for p, x in fresh.items() if len(p) <= 40)
         heads = self._learn([s[0] for s in split])
