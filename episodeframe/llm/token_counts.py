@@ -16,7 +16,7 @@ from .sentencepieces import SPACE, default_model, fields
 #: A character that no piece covers costs the worst score and this much more (the libraries' constant).
 UNKNOWN_PENALTY = 10.0
 #: Words whose results a worker keeps; the table is emptied when full.
-MEMO = 500_000
+MEMO = 1_000_000
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -53,6 +53,7 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = worst - UNKNOWN_PENALTY
         names = {p for p, _ in pieces}
+        self.singles = {p for p in names if len(p) == 1}
         self.bytes = all(f"<0x{i:02X}>" in names for i in range(256))
         cuts = re.compile(f"[^{SPACE}]{SPACE}")
         self.by_word = all(float(s).is_integer() and not cuts.search(p) for p, s in pieces)
@@ -60,19 +61,24 @@ class Counter:
 
     def solve(self, text: str) -> tuple[int, float]:
         """(pieces, score) of a normalised text."""
-        n, singles = len(text), 0
-        top, taken = [-inf] * (n + 1), [0] * (n + 1)
+        if not self.singles.issuperset(text):
+            return self.solve_unknown(text)
+        n = len(text)
+        top, back = [-inf] * (n + 1), [0] * (n + 1)
         top[0] = 0.0
         # matches come by ascending end, and longest first at each end
-        for end, (length, s) in self.automaton.iter(text):
-            end += 1
-            total = s + top[end - length]
-            if total > top[end]:
-                top[end] = total
-                taken[end] = taken[end - length] + 1
-            if length == 1:
-                singles += 1
-        return (taken[n], top[n]) if singles == n else self.solve_unknown(text)
+        for last, (length, s) in self.automaton.iter(text):
+            end = last + 1
+            start = end - length
+            s += top[start]
+            if s > top[end]:
+                top[end] = s
+                back[end] = start
+        count, at = 0, n
+        while at:
+            at = back[at]
+            count += 1
+        return count, top[n]
 
     def solve_unknown(self, text: str) -> tuple[int, float]:
         """solve() where some character has no piece of its own."""
