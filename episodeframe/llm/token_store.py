@@ -97,22 +97,13 @@ class WordEncoder:
             split.append(s)
         known = self.parts
         fresh = self._learn([" " + p for p in {p for s in split for p in s[1:]}.difference(known)])
-        long = {p[1:]: x for p, x in fresh.items() if len(p) > 40}
-        known.update((p[1:], x) for p, x in fresh.items() if len(p) <= 40)
+        known.update((p[1:], x) for p, x in fresh.items())
         heads = self._learn([s[0] for s in split])
-        if long:
-            known = _Either(known, long)
-        return [heads[s[0]] + b"".join([known[p] for p in s[1:]]) for s in split]
-
-
-class _Either:
-    """Two tables looked up as one."""
-
-    def __init__(self, a: dict, b: dict):
-        self.a, self.b = a, b
-
-    def __getitem__(self, key):
-        return self.a[key] if key in self.a else self.b[key]
+        out = [heads[s[0]] + b"".join([known[p] for p in s[1:]]) for s in split]
+        for p in fresh:  # long parts hardly come again
+            if len(p) > 40:
+                del known[p[1:]]
+        return out
 
 
 @lru_cache(maxsize=2)
