@@ -28,6 +28,8 @@ GRAM = 32
 SHARD_BITS = 21
 #: Bytes of a text that are hashed at a time.
 PIECE = 1 << 20
+#: Bits of a run's number of windows in its span: a run may fill a piece, so PIECE < 1 << SPAN_BITS.
+SPAN_BITS = 24
 #: A key with more runs than this is merged in groups first.
 HOT = 4096
 #: Bytes of runs that are merged at a time, of whole keys.
@@ -169,7 +171,7 @@ def found_rows(key, shard, doc, tie, start, text, number) -> pa.RecordBatch:
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """One row a document: its runs' keys, and their spans, start << 20 | number; `again`: keys that repeat inside a run."""
+    """One row a document: its runs' keys, and their spans, start << SPAN_BITS | number; `again`: keys that repeat inside a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +181,7 @@ def described(docs: DataFrame, width: int) -> DataFrame:
                 found: list[list[np.ndarray]] = [[], [], []]
                 for at in range(int(offsets[i]), int(offsets[i + 1]), PIECE):
                     k, start, number, more = runs(data[at : min(at + PIECE + width - 1, offsets[i + 1])], width)
-                    for into, x in zip(found, (k, (start + at - offsets[i] << 20) | number, more), strict=True):
+                    for into, x in zip(found, (k, (start + at - offsets[i] << SPAN_BITS) | number, more), strict=True):
                         into.append(x)
                 for into, x, kind in zip((keys, spans, again), found, (U, np.int64, U), strict=True):
                     into.append(np.concatenate(x) if x else np.zeros(0, kind))
@@ -196,7 +198,8 @@ def segments(spans: DataFrame) -> DataFrame:
             starts, numbers = [], []
             for row in b.column(2):
                 span = np.unique(np.asarray(row.values))
-                start, until = span >> 20, (span >> 20) + (span & 0xFFFFF)
+                start = span >> SPAN_BITS
+                until = start + (span & ((1 << SPAN_BITS) - 1))
                 fresh = np.flatnonzero(np.concatenate(([True], start[1:] > until[:-1])))
                 starts.append(start[fresh])
                 numbers.append(until[np.append(fresh[1:] - 1, len(span) - 1)] - start[fresh])

@@ -69,6 +69,13 @@ def test_planted_passages(spark, monkeypatch):
     assert bytes(kept[64]) == b"" and len(kept[62]) == 99
 
 
+def test_runs_that_fill_a_piece(spark):
+    """A periodic text longer than a piece is one run of PIECE windows and a rest."""
+    rows = [(1, "a" * (sx.PIECE + 300)), (2, "b" * 50 + "a" * 150 + "c" * 50), (3, "word " * (sx.PIECE // 5 + 100)), (4, "a" * (sx.PIECE + 99))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, sx.drop_repeats(docs).collect())) == brute(rows)
+
+
 def test_null_ids_and_ties(spark):
     long = "x1y2z3 " * 40
     docs = spark.createDataFrame([(None, long), (1, long), (1, long), (2, None), (2, "other " + long)], "doc_id long, text string")
