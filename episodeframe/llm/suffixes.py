@@ -264,8 +264,8 @@ def sharded(suspects: DataFrame, width: int) -> DataFrame:
     return suspects.mapInArrow(run, FOUND)
 
 
-def absorbed(text: np.ndarray, a: tuple, b: tuple, width: int) -> tuple[tuple, np.ndarray]:
-    """Two ascending lists (hash, place in text) of distinct windows made one: windows of b that a has are found by binary search and left out, and returned."""
+def absorbed(text: np.ndarray, a: tuple, b: tuple, width: int) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """Two ascending lists (hash, place in text) of distinct windows made one: windows of b that a has are found by binary search and left out, and returned with those they equal."""
     at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
     hit = a[0][at] == b[0]
     here = np.argsort(b[1][hit])
@@ -279,7 +279,7 @@ def absorbed(text: np.ndarray, a: tuple, b: tuple, width: int) -> tuple[tuple, n
         raise ValueError("two passages have the same 64-bit hash")
     new = ~hit
     into = np.searchsorted(a[0], b[0][new])
-    return (np.insert(a[0], into, b[0][new]), np.insert(a[1], into, b[1][new])), x
+    return (np.insert(a[0], into, b[0][new]), np.insert(a[1], into, b[1][new])), x, y
 
 
 def merged(firsts: DataFrame, width: int, by: list[str], keep: bool) -> DataFrame:
@@ -298,7 +298,8 @@ def merged(firsts: DataFrame, width: int, by: list[str], keep: bool) -> DataFram
         opens = np.zeros(len(row), bool)
         opens[np.cumsum(n) - n] = True
         window = offsets[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-        hashes = span_hash(prefix_hash(data), window, window + width)
+        # groups of one key hold equal windows too; the lists below hold all groups, so a group is part of the hash
+        hashes = span_hash(prefix_hash(data), window, window + width) ^ mix(np.cumsum(change).astype(U))[row]
         # one list for each place in a group: a tournament in which the earlier list takes in the later
         place = np.arange(len(t)) - np.maximum.accumulate(np.where(change, np.arange(len(t)), 0))
         turn = np.argsort(place[row], kind="stable")
@@ -307,13 +308,21 @@ def merged(firsts: DataFrame, width: int, by: list[str], keep: bool) -> DataFram
             own = own[np.argsort(hashes[own])]
             lists.append((hashes[own], window[own]))
         lost = np.zeros(len(data) + 1, bool)
+        # rows that repeat a document may lie in several shards: the same window of it is no repeat
+        begin, ids = t.column("start").to_numpy(), [t.column(c).combine_chunks() for c in ("doc", "tie")]
+        other = np.zeros(len(t), bool)
+        for c in (ids[0].is_null(), ids[0].fill_null(0), ids[1]):
+            other[1:] |= np.diff(c.to_numpy(zero_copy_only=False)) != 0
+        document = np.cumsum(other | change)
         while len(lists) > 1:
             made = [absorbed(data, a, b, width) for a, b in zip(lists[::2], lists[1::2])]
-            for _, x in made:
-                lost[x] = True
-            lists = [x for x, _ in made] + lists[len(made) * 2 :]
+            for _, x, y in made:
+                r, q = (np.searchsorted(offsets, p, "right") - 1 for p in (x, y))
+                same = (document[r] == document[q]) & (begin[r] + x - offsets[r] == begin[q] + y - offsets[q])
+                lost[x[~same]] = True
+            lists = [m[0] for m in made] + lists[len(made) * 2 :]
         cols = {c: t.column(c).combine_chunks() for c in ("key", "shard", "doc", "tie")}
-        start = t.column("start").to_numpy()[row] + window - offsets[row]
+        start = begin[row] + window - offsets[row]
 
         def rows(flags: np.ndarray, text: bool) -> pa.RecordBatch:
             at, m = stretches(flags, opens)

@@ -84,5 +84,24 @@ def test_null_ids_and_ties(spark):
     assert first == len(long) - 7 and [n for d, n in found if d == "1"] == [len(long)] * 2
 
 
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeated_rows_in_several_shards(spark, monkeypatch, hot):
+    """Rows of one document in other partitions leave its only copy alone, and still lose what an earlier one has."""
+    monkeypatch.setattr(sx, "HOT", hot)
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    own, shared = [text(700) for _ in range(4)], text(300)
+    rows = [(None, own[0]), (1, own[1] + shared), (2, own[2] + shared + own[2]), (3, own[3])]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows * 3, 3), "doc_id long, text string")
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is not None, r))
+    assert docs.rdd.getNumPartitions() == 3
+    assert order(map(tuple, sx.drop_repeats(docs).collect())) == order([r for r in brute_all(rows) for _ in range(3)])
+
+
+def brute_all(rows):
+    """brute() for a null id ahead of the others."""
+    return [(None if r[0] == -1 else r[0], *r[1:]) for r in brute([(-1 if d is None else d, t) for d, t in rows])]
+
+
 def test_empty(nothing):
     assert sx.drop_repeats(nothing).count() == 0
