@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
 from collections import deque
 
 import pandas as pd
@@ -40,21 +42,27 @@ def distances(cells: DataFrame) -> DataFrame:
     return cells.groupBy("map_id").applyInPandas(board, "map_id long, r long, c long, r2 long, c2 long, distance long, first string")
 
 
-def frontier_distances(edges: DataFrame, sources: DataFrame, limit: int = 64) -> DataFrame:
+def frontier_distances(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
     """(map_id, node, distance) from the sources over edges (map_id, src, dst), one frontier join a step.
 
-    For graphs of any size: each step joins the frontier alone. Each step is checkpointed in the shared
-    folder, where one is named, so plans stay short and a lost executor costs one step.
+    For graphs of any size: each step joins the frontier alone, until it is empty; only a caller's `limit`
+    stops the search after so many steps. Each step is checkpointed in the shared folder, so plans stay short
+    and a lost executor costs one step. Only a local session may do without one named.
     """
-    cut = (lambda df: df.checkpoint()) if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda df: df)
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="episodeframe-"))
     seen = frontier = sources.select("map_id", "node").distinct().withColumn("distance", F.lit(0).cast("long"))
-    for d in range(1, limit + 1):
+    for d in itertools.count(1) if limit is None else range(1, limit + 1):
         reached = frontier.withColumnRenamed("node", "src").join(edges, ["map_id", "src"]).select("map_id", F.col("dst").alias("node")).distinct()
         frontier = reached.join(seen.select("map_id", "node"), ["map_id", "node"], "left_anti").withColumn("distance", F.lit(d).cast("long"))
-        frontier = cut(frontier)
+        frontier = frontier.checkpoint()
         if frontier.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier).coalesce(8))
+        seen = seen.unionByName(frontier).coalesce(8).checkpoint()
     return seen
 
 

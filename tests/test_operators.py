@@ -67,6 +67,13 @@ def test_boards(spark):
     assert form[1] == form[2] == form[3] != form[4]
 
 
+def test_frontier_reaches_the_end_of_a_long_path(spark):
+    edges = spark.range(70).select(F.lit(1).cast("long").alias("map_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).coalesce(1)
+    source = spark.createDataFrame([(1, 0)], "map_id long, node long")
+    assert sorted(map(tuple, grids.frontier_distances(edges, source).collect())) == [(1, n, n) for n in range(71)]
+    assert grids.frontier_distances(edges, source, limit=3).count() == 4
+
+
 def test_seeds_and_files(spark, tmp_path):
     df = spark.createDataFrame([("0,1,14-16",)], "e string")
     assert [r.seed for r in readers.seeds(df, "e").collect()] == [0, 1, 14, 15, 16]
