@@ -24,6 +24,12 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     surviving (length, prefix) keys is broadcast only within a checked size; beyond it every text
     is hashed, which costs time but changes no result.
     """
+    out = _copies(docs, id_col, text_col, digest)
+    return out if digest else out.drop("text_sha256")
+
+
+def _copies(docs: DataFrame, id_col: str, text_col: str, digest: bool) -> DataFrame:
+    """exact_copies() with text_sha256, which is null for texts settled without it unless digest=True."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(
         F.col(id_col).alias("_id"),
@@ -52,18 +58,19 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "dedup-groups",
     )
     unstage(lengths, pairs)
-    out = rows.join(small(groups), ["_len", "_sha"], "left").select(
+    return rows.join(small(groups), ["_len", "_sha"], "left").select(
         F.col("_id").alias(id_col),
         F.coalesce("_keep", "_id").alias("keep_id"),
         F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("_keep").isNull() | F.col("_keep").eqNullSafe(F.col("_id"))).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
-    return out if digest else out.drop("text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text a row with a larger id repeats; columns unchanged."""
-    gone = stage(exact_copies(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct(), "dedup-gone")
-    gone = small(gone)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+    # ids may repeat with other texts: a row is known by its id and text
+    gone = _copies(docs, id_col, text_col, False).where("NOT kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
+    gone = small(stage(gone.distinct(), "dedup-gone"))
+    sha = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]) & (sha == gone["_gone_sha"]), "left_anti")

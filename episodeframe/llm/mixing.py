@@ -89,11 +89,24 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap
     """
     share = mix(docs, weights, cap, seed)
     times = F.col("copies") + F.when(2 * (F.col("taken") - F.col("copies") * F.col("size")) >= F.col("size"), 1).otherwise(0)
-    times = stage(
-        share.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), times.cast("int").alias("_times")).where("_times > 0").distinct(),
-        "mix-times",
-    )
-    times = small(times)
-    same = docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_source"]) & (word_count(docs["text"]) == times["_size"])
-    copy = F.explode(F.sequence(F.lit(1), times["_times"])).alias(fresh(docs, "copy"))
-    return docs.join(times, same).select(*[docs[c] for c in docs.columns], copy).select(*docs.columns)
+    keys = share.where("size > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
+    # repeated rows share what the mix takes of them: _each, and one more for the first _more of them
+    times = keys.agg(F.sum(times).alias("_sum"), F.count(F.lit(1)).alias("_n")).where("_sum > 0")
+    times = stage(times.select("_id", "_source", "_size", F.expr("_sum div _n").cast("int").alias("_each"), F.expr("_sum % _n").alias("_more")), "mix-times")
+    split = stage(times.where("_more > 0"), "mix-split")
+    copy = fresh(docs, "copy")
+    own = [docs[c] for c in docs.columns]
+    key = lambda t: docs["doc_id"].eqNullSafe(t["_id"]) & docs["source"].eqNullSafe(t["_source"])
+    taken = lambda n: F.explode(F.sequence(F.lit(1), n)).alias(copy)
+    # where rows share unevenly, they are numbered apart: at most one key a source, the one its budget ends in
+    uneven = not split.isEmpty()
+    even = small(stage(times.where("_more = 0"), "mix-even") if uneven else times)
+    out = docs.join(even, key(even) & (word_count(docs["text"]) == even["_size"])).select(*own, taken(even["_each"]))
+    if uneven:
+        hot = small(split)
+        order = Window.partitionBy(hot["_id"], hot["_source"], hot["_size"]).orderBy(F.xxhash64(docs["text"]))
+        number = fresh(docs, "number")
+        rest = docs.join(hot, key(hot)).where(word_count(docs["text"]) == hot["_size"])
+        rest = rest.select(*own, (hot["_each"] + (F.row_number().over(order) <= hot["_more"]).cast("int")).alias(number)).where(F.col(number) > 0)
+        out = out.unionByName(rest.select(*docs.columns, taken(F.col(number))))
+    return out.select(*docs.columns)

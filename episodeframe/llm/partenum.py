@@ -100,7 +100,7 @@ def node_of(values: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the whole set), sigs, sketch of every document; one pass over the texts."""
+    """doc_id, tie (hash of the text), n_shingles, node (hash of the whole set), sigs, sketch of every document; one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,12 +109,12 @@ def described(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 n = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(n), pa.array([node_of(s) for s in sets], pa.int64()), list_array([signatures(s, percent) for s in sets], pa.int64()), pa.array([sketch(s, percent) for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "sigs", "sketch"],
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n), pa.array([node_of(s) for s in sets], pa.int64()), list_array([signatures(s, percent) for s in sets], pa.int64()), pa.array([sketch(s, percent) for s in sets], pa.binary())],
+                    names=["doc_id", "tie", "n_shingles", "node", "sigs", "sketch"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, sigs array<long>, sketch binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    return rows.mapInArrow(run, "doc_id long, tie long, n_shingles long, node long, sigs array<long>, sketch binary")
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -225,6 +225,14 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col
     each bucket's plausible pairs, round two all plausible pairs that still lie in different
     components: a link is left unverified only inside a component that is already connected.
     """
+    with_root = rooted(docs, k, percent, id_col, text_col, block)
+    least = stage(with_root.where("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "join-least")
+    out = with_root.join(small(least), "_root", "left")
+    return out.select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.coalesce("_least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def rooted(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, tie, n_shingles, node, _root (the least node of the component) of every document."""
     table = stage(described(docs, k, percent, id_col, text_col), "join-docs")
     opened = table.where("n_shingles > 0").select(F.explode("sigs").alias("sig"), "node")
     # one row a signature, combined map-side; equal member sets have equal (lo, hi, members)
@@ -247,16 +255,20 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col
     more = stage(verified(stage(candidates(second, percent, False, block), "join-pairs2"), sets, percent), "join-links2")
     comps = stage(components(links.union(more)), "join-comps2")
     unstage(members, sets)
-    with_root = table.select("doc_id", "n_shingles", "node").join(small(comps), "node", "left").withColumn("_root", F.coalesce("root", "node"))
-    with_root = stage(with_root.select("doc_id", "n_shingles", "node", "_root"), "join-roots")
-    least = stage(with_root.where("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "join-least")
-    out = with_root.join(small(least), "_root", "left")
-    return out.select("doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.coalesce("_least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    with_root = table.select("doc_id", "tie", "n_shingles", "node").join(small(comps), "node", "left").withColumn("_root", F.coalesce("root", "node"))
+    return stage(with_root.select("doc_id", "tie", "n_shingles", "node", "_root"), "join-roots")
 
 
 def drop_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the smallest id; documents without words all stay."""
-    found = similarity_components(docs, k, percent)
-    gone = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    gone = small(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """docs with one document of each component, the smallest id; documents without words all stay.
+
+    A document is an id and a text: rows that repeat both stay or go together, different texts of one
+    id are ordered by a hash of the text, and null ids come last.
+    """
+    found = rooted(docs, k, percent).where("n_shingles > 0").withColumn("_none", F.col("doc_id").isNull())
+    least = found.groupBy("_root").agg(F.min(F.struct("_none", "doc_id", "tie")).alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    least = small(stage(least.select("_root", F.col("_least.doc_id").alias("_id"), F.col("_least.tie").alias("_tie")), "join-least"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    gone = found.join(least, "_root").where(other).select(F.col("doc_id").alias("_gone"), F.col("tie").alias("_gone_tie"))
+    gone = small(stage(gone.distinct(), "join-gone"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs["text"]) == gone["_gone_tie"]), "left_anti")

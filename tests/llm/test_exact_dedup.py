@@ -33,6 +33,11 @@ def test_null_ids(spark):
     assert found == sorted([(None, 1, 3, False), (None, 1, 3, False), (1, 1, 3, True), (None, None, 1, True)], key=str)
 
 
+def test_drop_copies_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(5, "A"), (5, "B"), (9, "A"), (None, "A"), (None, "C")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.drop_copies(docs).collect()), key=str) == [(5, "B"), (9, "A"), (None, "C")]
+
+
 def test_empty(nothing):
     assert exact_dedup.exact_copies(nothing, digest=True).count() == 0
     assert exact_dedup.drop_copies(nothing).count() == 0

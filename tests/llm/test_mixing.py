@@ -65,6 +65,17 @@ def test_mixed_documents_keep_columns(odd, tiny):
     assert abs(total - sum(target.values())) < 0.05 * total
 
 
+def test_mixed_documents_of_repeated_rows(spark):
+    """Repeated rows come out as often as the mix takes them together, though the budget ends among them."""
+    rows = [(1, "one two three four", s) for s in "ab" for _ in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    share = mixing.mix(docs).collect()
+    want = {s: sum(r.copies + (2 * (r.taken - r.copies * r.size) >= r.size) for r in share if r.source == s) for s in "ab"}
+    assert any(n % 10 for n in want.values())
+    out = mixing.mixed_documents(docs).collect()
+    assert {s: sum(r.source == s for r in out) for s in "ab"} == want
+
+
 def test_empty(nothing):
     assert mixing.mix(nothing).count() == 0
     assert mixing.mixed_documents(nothing).count() == 0

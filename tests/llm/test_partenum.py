@@ -76,6 +76,14 @@ def test_drop_similar(odd):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 5, 6, 7, 8, 9, 10, 10]
 
 
+def test_drop_similar_of_repeated_ids(spark):
+    """One (id, text) of each component: an id's other text stays, and near copies go whose id is null or the component's own."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(3, one), (5, one + " end"), (5, two), (None, two + " end"), (7, three), (7, three + " end"), (7, "alone and by itself for ever")]
+    kept = partenum.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text[0]) for r in kept) == [(3, "x"), (5, "y"), (7, "a"), (7, "z")]
+
+
 def test_empty(nothing):
     assert partenum.similarity_components(nothing).count() == 0
     assert partenum.drop_similar(nothing).count() == 0
