@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stage, unstage
-from .kernels import BASE, U, mix, strings, word_hashes
+from .kernels import BASE, U, expand, expand_sorted, mix, squeeze, squeeze_sorted, strings, word_hashes
 
 #: Bytes of text that a batch has at most, unless one document is longer.
 BATCH_BYTES = 8 << 20
@@ -34,29 +34,6 @@ GRAIN = 4
 ROUNDS = 60
 
 
-def squeeze(values: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes, compressed; ascending ones are best sent as differences."""
-    planes = np.ascontiguousarray(values.astype(U).view(np.uint8).reshape(-1, 8).T)
-    width = int(planes.any(axis=1).sum() and np.flatnonzero(planes.any(axis=1)).max() + 1)
-    return bytes([width]) + len(values).to_bytes(4, "little") + (pa.compress(planes[:width].tobytes(), "zstd", asbytes=True) if width else b"")
-
-
-def expand(blob: bytes) -> np.ndarray:
-    width, n = blob[0], int.from_bytes(blob[1:5], "little")
-    planes = np.zeros((8, n), np.uint8)
-    if width:
-        planes[:width] = np.frombuffer(pa.decompress(blob[5:], width * n, "zstd"), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(U).reshape(n)
-
-
-def squeeze_sorted(values: np.ndarray) -> bytes:
-    return squeeze(np.diff(values.astype(U), prepend=U(0)))
-
-
-def expand_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(expand(blob), dtype=U)
-
-
 BATCH = "batch long, part int, ids array<long>, train binary, lengths binary, words binary, tokens binary, keys binary"
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import ceil, comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,26 @@ from pyspark.sql import functions as F
 
 from .common import partitions, small, stage, unstage
 from .components import components
-from .kernels import U, chunks, list_array, mix, shingle_sets, strings
+from .kernels import U, chunks, expand, expand_sorted, mix, shingle_sets, squeeze, squeeze_sorted, strings
 
-#: Second-level partitions in each first-level one.
-SECOND = 2
 #: Members of a bucket that one task compares at a time; larger buckets are compared block by block.
-BLOCK = 2048
+BLOCK = 4096
+#: Shingles that a block has at most, on average: a block's sets lie in one task's memory.
+BLOCK_ELEMENTS = 4 << 20
+#: Signatures that a part of the signature space gets, about.
+PART_KEYS = 1 << 21
+#: Signatures that a task gathers before it sends them.
+SEND_KEYS = 1 << 20
+#: A signature that so many sets of one sending share goes out with all of them and one witness to its part.
+HOT_IN_BATCH = 8
+#: What a set's membership in a bucket of strangers costs, in signatures sent.
+STRANGER_COST = 50.0
+#: Share of a set's elements that a stranger is taken to have too (common passages).
+COMMON_SHARE = 0.3
+#: Bits of a signature: two that meet only by chance cost a comparison, no more.
+SIG_SHIFT = U(16)
+#: Shingles are compared by the top 56 bits of their hashes.
+ELEMENT_SHIFT = U(8)
 
 
 @lru_cache(maxsize=8)
@@ -35,16 +50,54 @@ def distance(percent: int, total: int | np.ndarray):
     return (100 - percent) * total // (100 + percent)
 
 
-@lru_cache(maxsize=4096)
-def layout(k: int, second: int = SECOND) -> tuple[int, tuple[tuple[int, ...], ...]]:
-    """(first-level partitions n1, subsets of the second-level ones) so that sets that differ in at most k elements agree on a subset.
+def _at_least(mean: float, n: int) -> float:
+    """P(X >= n) of a Poisson variable."""
+    term, below = exp(-mean), 0.0
+    for i in range(n):
+        below += term
+        term *= mean / (i + 1)
+    return max(0.0, 1.0 - below)
+
 
-    k differences leave some first-level partition with at most k2 = ceil((k + 1) / n1) - 1 of them, so
-    in that partition some second - k2 of the second-level ones agree. n1 is the least with k2 < second.
+@lru_cache(maxsize=4096)
+def layout(k: int, size: int) -> tuple[int, int, int, tuple[tuple[int, ...], ...]]:
+    """(n1, n2, spare, subsets) for sets of about `size` elements that differ in at most k.
+
+    The hash domain is cut into n1 first-level partitions of n2 second-level ones. k differences
+    leave at least 1 + spare first-level partitions with at most k2 of them, n1 = k // (k2 + 1) + 1
+    + spare, and in each of these some n2 - k2 of the second-level ones agree: `subsets` lists the
+    choices of n2 - k2 out of n2. Of all layouts with small k2 and spare the cheapest is taken:
+    signatures sent, plus the strangers a signature meets (its subset holds nothing, or only
+    elements that many sets have).
     """
-    n1 = -(-(k + 1) // second)
-    k2 = -(-(k + 1) // n1) - 1
-    return n1, tuple(combinations(range(second), second - k2))
+    best = None
+    for k2 in range(min(k, 3) + 1):
+        for n2 in range(k2 + 1, k2 + 4):
+            each = comb(n2, k2)
+            for spare in (0, 1, 2, 3, 4, 6, 8):
+                n1 = k // (k2 + 1) + 1 + spare
+                held = size * (n2 - k2) / (n1 * n2)
+                void = exp(-held)
+                left = void * _at_least(n1 * (1.0 - (1.0 - void) ** each), spare)
+                cost = n1 * each * (1.0 + STRANGER_COST * (left + exp(-held * (1.0 - COMMON_SHARE)) - void))
+                if best is None or cost < best[0]:
+                    best = cost, n1, n2, spare, k2
+    _, n1, n2, spare, k2 = best
+    return n1, n2, spare, tuple(combinations(range(n2), n2 - k2))
+
+
+def instances(n: int, percent: int) -> list[tuple[int, tuple]]:
+    """(band, layout) of the two instances that a set of n elements takes part in: its own band's and the next one's."""
+    tops = bands(percent, 1 << max(4, n.bit_length()))
+    own = int(np.searchsorted(tops, n))
+    after = int(tops[own + 1]) if own + 1 < len(tops) else int(tops[own] + 1) * 100 // percent
+    return [(band, layout(int(distance(percent, 2 * top)), top)) for band, top in ((own, int(tops[own])), (own + 1, after))]
+
+
+@lru_cache(maxsize=1 << 16)
+def signature_count(n: int, percent: int) -> int:
+    """Signatures that a set of n elements sends, about."""
+    return sum(n1 * len(subsets) for _, (n1, _, _, subsets) in instances(n, percent)) if n else 0
 
 
 def cuts(values: np.ndarray, parts: int) -> np.ndarray:
@@ -54,31 +107,30 @@ def cuts(values: np.ndarray, parts: int) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, percent: int) -> np.ndarray:
-    """PartEnum signatures of a set of ascending hashes, for its own band's instance and the next one's."""
-    n = len(values)
-    if not n:
+    """PartEnum signatures of a set of ascending hashes, for its own band's instance and the next one's.
+
+    Signatures of subsets without elements are left out where no more than `spare` first-level
+    partitions have one: of the 1 + spare partitions in which two similar sets agree, at
+    least one then has a signature that both send.
+    """
+    if not len(values):
         return np.zeros(0, U)
-    tops = bands(percent, 1 << max(4, n.bit_length()))
-    own = int(np.searchsorted(tops, n))
-    sums = np.zeros(n + 1, U)
+    sums = np.zeros(len(values) + 1, U)
     np.cumsum(mix(values ^ U(0xA5A5A5A5)), out=sums[1:])
     out = []
-    for band in (own, own + 1):
-        top = int(tops[band]) if band < len(tops) else int(tops[-1] + 1) * 100 // percent
-        n1, subsets = layout(int(distance(percent, 2 * top)))
-        at = cuts(values, n1 * SECOND)
-        part = (sums[at[1:]] - sums[at[:-1]]).reshape(n1, SECOND)
-        where = np.arange(n1, dtype=U) * U(1 << 20)
-        for j, chosen in enumerate(subsets):
-            both = np.zeros(n1, U)
-            for c in chosen:
-                both = both + mix(part[:, c] + U(c + 1))
-            out.append(mix(both + mix(where + U((band << 40) + j + 1))))
-    return np.concatenate(out)
+    for band, (n1, n2, spare, subsets) in instances(len(values), percent):
+        at = cuts(values, n1 * n2)
+        held = np.diff(at).reshape(n1, n2)
+        part = mix((sums[at[1:]] - sums[at[:-1]]).reshape(n1, n2) + np.arange(1, n2 + 1, dtype=U))
+        where = mix(np.arange(n1, dtype=U) * U(1 << 20) + U(band << 40))
+        sig = np.stack([mix(part[:, list(s)].sum(axis=1, dtype=U) + where + U(j)) for j, s in enumerate(subsets)])
+        void = np.stack([held[:, list(s)].sum(axis=1) == 0 for s in subsets])
+        out.append(sig[~void] if void.any(axis=0).sum() <= spare else sig.ravel())
+    return np.concatenate(out) >> SIG_SHIFT
 
 
 def sketch(values: np.ndarray, percent: int) -> bytes:
-    """A byte for each of about twice as many hash ranges as differences allowed: differing bytes never outnumber differing elements."""
+    """A byte for each of at least twice as many hash ranges as differences allowed: differing bytes never outnumber differing elements."""
     n = len(values)
     parts = 16
     while parts < 2 * distance(percent, 2 * n) + 2 and parts < 4096:
@@ -100,117 +152,312 @@ def node_of(values: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tie (hash of the text), n_shingles, node (hash of the whole set), sigs, sketch of every document; one pass over the texts."""
+    """doc_id, tie (hash of the text), n_shingles, node (hash of the whole set), n_sigs of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = strings(b.column(1))
             for i, j in chunks(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                n = np.array([len(s) for s in sets], np.int64)
+                n = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n), pa.array([node_of(s) for s in sets], pa.int64()), list_array([signatures(s, percent) for s in sets], pa.int64()), pa.array([sketch(s, percent) for s in sets], pa.binary())],
-                    names=["doc_id", "tie", "n_shingles", "node", "sigs", "sketch"],
+                    [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([signature_count(x, percent) for x in n], pa.int64())],
+                    names=["doc_id", "tie", "n_shingles", "node", "n_sigs"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
-    return rows.mapInArrow(run, "doc_id long, tie long, n_shingles long, node long, sigs array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, tie long, n_shingles long, node long, n_sigs long")
 
 
-def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """(node, elements) of each text of a table (text)."""
+def sets_of(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, n, sketch, elements) of each text of a table (text); elements are the packed ascending hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = strings(b.column(0))
             for i, j in chunks(offsets):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), list_array(sets, pa.int64())], names=["node", "elements"])
-
-    return docs.mapInArrow(run, "node long, elements array<long>")
-
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent) for s in sets], pa.binary()), pa.array([squeeze_sorted(s >> ELEMENT_SHIFT) for s in sets], pa.binary())],
+                    names=["node", "n", "sketch", "elements"],
+                )
 
-def _pairs(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return texts.mapInArrow(run, "node long, n long, sketch binary, elements binary")
 
 
-def candidates(members: DataFrame, percent: int, forest: bool, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) worth verifying among the members (sig, node, n, sketch, comp) of each bucket.
+def members_of(texts: DataFrame, k: int, percent: int, total: int) -> DataFrame:
+    """(sig, node), distinct, of the signatures that at least two different sets of a table (text) have.
 
-    A pair needs to pass the size bound, lie in different components (comp), and differ in no
-    more sketch bytes than elements may. forest=True gives, of each bucket, only pairs that span
-    it: every pair that passes is joined by a path of pairs given. A bucket of more than `block`
-    members is split by node, and each pair of its blocks goes to a task of its own.
+    Every task sends its signatures to the part of the signature space that owns them, as packed
+    ascending differences with a dictionary of the sets that have them, about seven bytes each.
+    Of a signature that many sets of one sending have, the sets go to the result at once
+    and one of them, as a witness, to the part; so a part stays bounded however hot a signature is.
+    `total` is about the number of signatures.
     """
-    counts = members.groupBy("sig").agg(F.count(F.lit(1)).alias("_c"))
-    sized = members.join(small(stage(counts.where(F.col("_c") > block), "join-large")), "sig", "left")
-    many = F.coalesce(F.ceil(F.col("_c") / F.lit(block)), F.lit(1)).cast("int")
+    parts = max(1, ceil(total / PART_KEYS))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sigs: list[np.ndarray] = []
+        nodes: list[int] = []
+        held = 0
+
+        def packed(part: int, sig: np.ndarray, node: np.ndarray, hot: np.ndarray) -> tuple:
+            names, place = np.unique(node, return_inverse=True)
+            return part, squeeze_sorted(sig), names.tobytes(), squeeze(place), squeeze_sorted(hot)
+
+        def rows() -> pa.RecordBatch:
+            sig, node = np.concatenate(sigs), np.repeat(np.array(nodes, np.int64), [len(s) for s in sigs])
+            order = np.lexsort((node, sig))
+            sig, node = sig[order], node[order]
+            fresh = np.ones(len(sig), bool)
+            fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+            sig, node = sig[fresh], node[fresh]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            many = np.diff(first, append=len(sig))
+            lead = np.zeros(len(sig), bool)
+            lead[first] = True
+            hot = np.repeat(many >= HOT_IN_BATCH, many)
+            out = []
+            if hot.any():
+                out.append(packed(parts + int(sig[0]) % parts, sig[hot], node[hot], np.zeros(0, U)))
+            plain = ~hot | lead
+            sig, node, hot = sig[plain], node[plain], hot[plain]
+            own = ((sig >> U(16)) * U(parts) >> U(32)).astype(np.int64)  # the top 32 of 48 bits
+            at = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)]))
+            for x, y in zip(at[:-1], at[1:], strict=True):
+                out.append(packed(int(own[x]), sig[x:y], node[x:y], sig[x:y][hot[x:y]]))
+            types = (pa.int32(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["part", "sigs", "names", "places", "hot"])
+
+        for b in batches:
+            data, offsets = strings(b.column(0))
+            for i, j in chunks(offsets):
+                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k):
+                    if len(s):
+                        sigs.append(signatures(s, percent))
+                        nodes.append(node_of(s))
+                        held += len(sigs[-1])
+                        if held >= SEND_KEYS:
+                            yield rows()
+                            sigs, nodes, held = [], [], 0
+        if nodes:
+            yield rows()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(blobs: list[tuple], part: int) -> Iterator[pa.RecordBatch]:
+            sig = np.concatenate([expand_sorted(b[0]) for b in blobs])
+            node = np.concatenate([np.frombuffer(b[1], np.int64)[expand(b[2]).astype(np.int64)] for b in blobs])
+            if part < parts:
+                order = np.lexsort((node, sig))
+                sig, node = sig[order], node[order]
+                fresh = np.ones(len(sig), bool)
+                fresh[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+                sig, node = sig[fresh], node[fresh]
+                first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+                many = np.diff(first, append=len(sig))
+                # of buckets with the same sets one is enough, unless sets have gone past this part
+                key = mix(node.view(U))
+                facts = np.stack([np.add.reduceat(key, first), np.add.reduceat(mix(key ^ U(0x3C3C3C3C)), first), many.astype(U)], axis=1)
+                facts[np.isin(sig[first], np.concatenate([expand_sorted(b[3]) for b in blobs])), 2] |= U(1 << 40)
+                hot = facts[:, 2] >> U(40) > 0
+                facts[hot, 0] = sig[first][hot]
+                one = np.zeros(len(first), bool)
+                one[np.unique(facts, axis=0, return_index=True)[1]] = True
+                keep = np.repeat(one & (many > 1), many)
+                sig, node = sig[keep], node[keep]
+            for x in range(0, len(sig), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(sig[x : x + (1 << 16)].view(np.int64)), pa.array(node[x : x + (1 << 16)])], names=["sig", "node"])
+
+        part, blobs = None, []
+        for b in batches:
+            for own, *blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if blobs and (own != part or own >= parts):
+                    yield from told(blobs, part)
+                    blobs = []
+                part = own
+                blobs.append(blob)
+        if blobs:
+            yield from told(blobs, part)
+
+    sent = texts.mapInArrow(send, "part int, sigs binary, names binary, places binary, hot binary")
+    dealt = sent.repartition(partitions(texts.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "sig long, node long")
+
+
+def blocked(members: DataFrame, across: bool, block: int) -> DataFrame:
+    """Members (sig, node, n, ...) dealt to blocks (_i, _j, _side): a bucket beyond `block` members or BLOCK_ELEMENTS is split by
+    a hash of the node; across=True makes a block of each pair of parts, otherwise each part is a block."""
+    counts = members.groupBy("sig").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("n") / F.lit(BLOCK_ELEMENTS))).cast("int").alias("_many"))
+    large = stage(counts.where("_many > 1"), "join-large")
+    if large.isEmpty():
+        return members.withColumns({"_i": F.lit(0), "_j": F.lit(0), "_side": F.lit(0)})
+    sized = members.join(small(large), "sig", "left")
+    many = F.coalesce(F.col("_many"), F.lit(1))
     own = F.pmod(F.xxhash64("node"), many).cast("int")
-    tasks = sized.withColumns({"_own": own, "_many": many}).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
-    tasks = tasks.select("sig", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") > F.col("_other")).cast("int").alias("_side"), "node", "n", "comp", "sketch")
-    dealt = tasks.repartition(partitions(members.sparkSession), "sig", "_i", "_j").sortWithinPartitions("sig", "_i", "_j", "node")
+    if not across:
+        return sized.withColumns({"_i": own, "_j": own, "_side": F.lit(0)}).drop("_many")
+    tasks = sized.withColumns({"_own": own, "_of": many}).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    return tasks.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other"), "_side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_own", "_other", "_of", "_many")
+
+
+def by_block(rows: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
+    """work(key, columns as lists) for each block (sig, _i, _j) of rows sorted by node; it yields record batches."""
+    dealt = rows.select("sig", "_i", "_j", "node", *columns).repartition(partitions(rows.sparkSession), "sig", "_i", "_j").sortWithinPartitions("sig", "_i", "_j", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, key = [], None
-        a, b = [], []
+        key, held = None, [[] for _ in range(len(columns) + 1)]
+        out, waiting = [], 0
         for batch in batches:
-            for sig, i, j, side, node, n, comp, sk in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for sig, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (sig, i, j) != key:
-                    spanned(group, a, b)
-                    group, key = [], (sig, i, j)
-                group.append((node, n, comp, sk))
-            if len(a) > 50_000:
-                yield _pairs(a, b)
-                a, b = [], []
-        spanned(group, a, b)
-        yield _pairs(a, b)
-
-    def spanned(group: list, a: list, b: list) -> None:
-        if len(group) < 2:
-            return
-        node = [g[0] for g in group]
-        n = np.array([g[1] for g in group], np.int64)
-        comp = np.array([g[2] for g in group], np.int64)
+                    if len(held[0]) > 1:
+                        found = work(key, held)
+                        if found is not None:
+                            out.append(found)
+                            waiting += found.num_rows
+                            if waiting > 50_000:
+                                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                                out, waiting = [], 0
+                    key, held = (sig, i, j), [[] for _ in range(len(columns) + 1)]
+                for c, x in zip(held, row, strict=True):
+                    c.append(x)
+        if len(held[0]) > 1:
+            found = work(key, held)
+            if found is not None:
+                out.append(found)
+        if out:
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _links(node: list, pairs: list[tuple[int, int]]) -> pa.RecordBatch | None:
+    if not pairs:
+        return None
+    return pa.RecordBatch.from_arrays([pa.array([node[x] for x, _ in pairs], pa.int64()), pa.array([node[y] for _, y in pairs], pa.int64())], names=["a", "b"])
+
+
+def forest(comp: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """At most len(comp) - 1 pairs that join what near(x, others) joins; members of one comp count as joined already."""
+    left, pairs = np.ones(len(comp), bool), []
+    for seed in range(len(comp)):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        queue = [seed]
+        while queue:
+            x = queue.pop()
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                return pairs
+            own = comp[rest] == comp[x]
+            hit = near(x, rest) & ~own
+            pairs += [(x, y) for y in rest[hit].tolist()]
+            on = rest[hit | own]
+            left[on] = False
+            queue.extend(on.tolist())
+    return pairs
+
+
+def plausible(n: np.ndarray, sketches: list[bytes], percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """near(x, others): the sizes allow a link and no more sketch bytes differ than elements may. No link fails this."""
+    width = min(map(len, sketches))
+    marks = np.concatenate([fold(np.frombuffer(s, np.uint8)[None], width) for s in sketches])
+
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        fits = 100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])
+        return fits & ((marks[rest] != marks[x]).sum(axis=1) <= distance(percent, n[rest] + n[x]))
+
+    return near
+
+
+def spanning(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Plausible pairs (a, b), at most one less than members a block, that join each bucket's plausible members within its blocks."""
+
+    def work(key: tuple, held: list) -> pa.RecordBatch | None:
+        node, n, marks = held
+        return _links(node, forest(np.arange(len(node)), plausible(np.array(n, np.int64), marks, percent)))
+
+    return by_block(blocked(members, False, block), ["n", "sketch"], work, "a long, b long").distinct()
+
+
+def doubtful(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(sig, _i, _j, _side, node): of the members (sig, node, n, sketch, comp) of each block those with a plausible partner in another comp."""
+
+    def work(key: tuple, held: list) -> pa.RecordBatch | None:
+        node, n, marks, comp, side = held
+        comp = np.array(comp, np.int64)
+        if (comp == comp[0]).all():
+            return None
+        near, open_ = plausible(np.array(n, np.int64), marks, percent), np.zeros(len(node), bool)
+        every = np.arange(len(node))
+        for x in range(len(node) - 1):
+            rest = every[x + 1 :]
+            rest = rest[comp[rest] != comp[x]]
+            hit = rest[near(x, rest)] if len(rest) else rest
+            if len(hit):
+                open_[x] = True
+                open_[hit] = True
+        at = np.flatnonzero(open_)
+        if not len(at):
+            return None
+        lists = [[key[0]] * len(at), [key[1]] * len(at), [key[2]] * len(at), [side[x] for x in at], [node[x] for x in at], comp[at]]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(lists, types, strict=True)], names=["sig", "_i", "_j", "_side", "node", "comp"])
+
+    return by_block(blocked(members, True, block), ["n", "sketch", "comp", "_side"], work, "sig long, _i int, _j int, _side int, node long, comp long")
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of membership matrices over ranges of the elements that more than one set has."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, place, many = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = many[place] > 1
+    place, owner = (np.cumsum(many > 1) - 1)[place[keep]], owner[keep]
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(1, (1 << 24) // len(sets))
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, z = np.searchsorted(place, (low, low + width))
+        mark = np.zeros((len(sets), min(width, int(place[z - 1]) + 1 - low)), np.float32)
+        mark[owner[a:z], place[a:z] - low] = 1
+        out += mark @ mark.T
+    return np.rint(out).astype(np.int64)
+
+
+def exact_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of Jaccard >= percent / 100 that join the blocks' members (comp, elements), at most one less than members a block."""
+
+    def work(key: tuple, held: list) -> pa.RecordBatch | None:
+        node, comp, elements = held
+        comp = np.array(comp, np.int64)
         if (comp == comp[0]).all():
-            return
-        width = min(len(g[3]) for g in group)
-        marks = np.concatenate([fold(np.frombuffer(g[3], np.uint8)[None], width) for g in group])
-        left = np.ones(len(group), bool)
-        queue: list[int] = []
-        for seed in range(len(group)):
-            if forest:
-                if not left[seed]:
-                    continue
-                left[seed] = False
-                queue.append(seed)
-            else:
-                left[seed] = False
-                queue.append(seed)
-            while queue:
-                x = queue.pop()
-                rest = np.flatnonzero(left)
-                total = n[rest] + n[x]
-                near = (marks[rest] != marks[x]).sum(axis=1) <= distance(percent, total)
-                near &= 100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])
-                if not forest:
-                    near &= comp[rest] != comp[x]
-                hit = rest[near]
-                for y in hit[comp[hit] != comp[x]]:
-                    a.append(min(node[x], node[y]))
-                    b.append(max(node[x], node[y]))
-                if forest:
-                    left[hit] = False
-                    queue.extend(hit.tolist())
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            return None
+        sets = [expand_sorted(e) for e in elements]
+        n = np.array([len(s) for s in sets], np.int64)
+        both = shared_counts(sets)
+        return _links(node, forest(comp, lambda x, rest: 100 * both[x, rest] >= percent * (n[rest] + n[x] - both[x, rest])))
+
+    return by_block(rows, ["comp", "elements"], work, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets (node, elements) have Jaccard >= percent / 100, by exact intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = expand_sorted(x), expand_sorted(y)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     one = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("_x")), "a")
     two = one.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("_y")), "b")
-    common = F.size(F.array_intersect("_x", "_y"))
-    return two.where(100 * common >= percent * (F.size("_x") + F.size("_y") - common)).select("a", "b")
+    return two.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
 def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -220,10 +467,12 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col
     component of their own. Null text is empty; repeated rows each give a row; null ids are
     rows like others but never a component's smallest unless alone. An empty table gives no rows.
 
-    Equal sets are one node (the 64-bit hash of the set). Nodes that share a PartEnum signature
-    are a bucket; buckets with the same members are kept once. Round one verifies a spanning set of
-    each bucket's plausible pairs, round two all plausible pairs that still lie in different
-    components: a link is left unverified only inside a component that is already connected.
+    Equal sets are one node (the 64-bit hash of the set), and only one document of each sends
+    signatures. Nodes that share a PartEnum signature are a bucket; buckets with the same members
+    are kept once. Round one verifies a spanning set of each bucket's plausible pairs. Round two
+    takes the buckets that still hold several components to their members' whole sets and joins
+    what is linked there by exact counts: a link is left unlooked at only inside a component that is
+    already connected, and no step gives more pairs than a block has members.
     """
     with_root = rooted(docs, k, percent, id_col, text_col, block)
     least = stage(with_root.where("n_shingles > 0").groupBy("_root").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), "join-least")
@@ -234,29 +483,40 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col
 def rooted(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, tie, n_shingles, node, _root (the least node of the component) of every document."""
     table = stage(described(docs, k, percent, id_col, text_col), "join-docs")
-    opened = table.where("n_shingles > 0").select(F.explode("sigs").alias("sig"), "node")
-    # one row a signature, combined map-side; equal member sets have equal (lo, hi, members)
-    buckets = opened.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64("node"), F.lit(1 << 30))).alias("s"))
-    buckets = stage(buckets.where("lo <> hi").groupBy("lo", "hi", "x", "s").agg(F.min("sig").alias("sig")).select("sig"), "join-buckets")
-    members = stage(opened.join(small(buckets), "sig").distinct(), "join-members")
-    used = stage(members.select("node").distinct(), "join-nodes")
-    picked = table.join(small(used), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    nodes = stage(picked, "join-picked")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = stage(nodes.select(F.col("doc_id").alias("_id")), "join-ids")
-    texts = rows.join(small(ids), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    sets = stage(sets_of(texts, k).dropDuplicates(["node"]), "join-sets")
-    first = members.join(nodes.select("node", "n", "sketch"), "node").withColumn("comp", F.col("node"))
-    links = stage(verified(stage(candidates(first, percent, True, block), "join-pairs1"), sets, percent), "join-links1")
-    comps = stage(components(links), "join-comps1")
-    second = members.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    mixed = second.groupBy("sig").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("sig")
-    second = second.join(small(stage(mixed, "join-open")), "sig", "left_semi").join(nodes.select("node", "n", "sketch"), "node")
-    more = stage(verified(stage(candidates(second, percent, False, block), "join-pairs2"), sets, percent), "join-links2")
-    comps = stage(components(links.union(more)), "join-comps2")
-    unstage(members, sets)
+    one = table.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("_of"), F.first("n_sigs").alias("n_sigs"))
+    nodes = stage(one.select("node", F.col("_of.doc_id").alias("_id"), F.col("_of.tie").alias("_tie"), "n_sigs"), "join-nodes")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    text_of = lambda keys: rows.join(small(keys), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")), "left_semi").select("text")
+
+    total = nodes.agg(F.sum("n_sigs")).first()[0] or 0
+    keys = stage(nodes.select("_id", "_tie"), "join-keys")
+    found = stage(members_of(text_of(keys), k, percent, total), "join-found")
+    # buckets with the same members, whatever part they met in, have the same facts
+    each = found.distinct()
+    facts = each.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c"), *(F.sum(F.pmod(F.xxhash64("node", F.lit(x)), F.lit(1 << 32))).alias(f"h{x}") for x in (1, 2)))
+    buckets = stage(facts.groupBy("lo", "hi", "c", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig"), "join-buckets")
+    members = stage(each.join(small(buckets), "sig", "left_semi"), "join-members")
+    used = stage(members.select("node").distinct(), "join-used")
+    ids = stage(nodes.join(small(used), "node", "left_semi").select("_id", "_tie"), "join-ids")
+    sets = stage(sets_of(text_of(ids), k, percent).dropDuplicates(["node"]), "join-sets")
+    unstage(nodes, keys, found, buckets, used, ids)
+
+    light = sets.select("node", "n", "sketch")
+    pairs = stage(spanning(members.join(light, "node"), percent, block), "join-pairs")
+    links = stage(verified(pairs, sets, percent), "join-links")
+    comps = stage(components(links), "join-comps")
+    second = members.join(small(comps), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    mixed = stage(second.groupBy("sig").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("sig"), "join-open")
+    open_ = second.join(small(mixed), "sig", "left_semi").join(light, "node")
+    doubts = stage(doubtful(open_, percent, block), "join-doubts")
+    more = stage(exact_links(doubts.join(sets.select("node", "elements"), "node"), percent), "join-more")
+    unstage(members, pairs, comps, mixed)
+    comps = stage(components(links.union(more)), "join-comps")
+    unstage(sets, links, doubts, more)
     with_root = table.select("doc_id", "tie", "n_shingles", "node").join(small(comps), "node", "left").withColumn("_root", F.coalesce("root", "node"))
-    return stage(with_root.select("doc_id", "tie", "n_shingles", "node", "_root"), "join-roots")
+    out = stage(with_root.select("doc_id", "tie", "n_shingles", "node", "_root"), "join-roots")
+    unstage(table, comps)
+    return out
 
 
 def drop_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
