@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Scores at which a life is awarded (fixed values).
 LIFE_AWARDS = (25_000, 50_000, 100_000, 150_000)
 ANSI = "\x1b\\[[0-9;]*m"
-LETTER = "([UDLRS])(?:[^A-Z0-9]|$)"
+#: Moves as words, in their tie order, and settings whose values are not shown (fixed values).
+WORDS = ("up", "down", "left", "right", "stay")
+SECRET = "(?i)api.?key|wandb.key|password|secret|access.?token|authorization"
+HIDDEN = "[REDACTED]"
 REPEATED = " \\[repeated \\d+x across cluster\\]$"
 
 
@@ -25,12 +31,22 @@ def seed64_little(text: Column) -> Column:
 
 
 def distance_bucket(x: Column) -> Column:
-    """near, middle or far; null counts as far."""
+    """Bands of a distance; null counts as far."""
     return F.when(x <= 2, "0-2").when(x <= 5, "3-5").otherwise("6+")
 
 
-def tier_label(rate: Column) -> Column:
-    return F.when(rate <= 0.1, "blocked").when(rate < 0.9, "mixed").otherwise("very_easy")
+def pellet_bucket(x: Column) -> Column:
+    return F.when(x <= 10, "0-10").when(x <= 40, "11-40").otherwise("41+")
+
+
+def bucket_key(row: Column, col: Column, distance: Column, pellets: Column) -> Column:
+    """The 4 x 4 block of the board, the band of the distance and the band of what is left, joined by bars."""
+    return F.concat_ws("|", F.floor(row / 4).cast("string"), F.floor(col / 4).cast("string"), distance_bucket(distance), pellet_bucket(pellets))
+
+
+def tier_label(wins: Column, episodes: Column) -> Column:
+    """blocked without a win, very_easy if all are won, else mixed."""
+    return F.when(wins == 0, "blocked").when(wins == episodes, "very_easy").otherwise("mixed")
 
 
 def safe_name(text: Column) -> Column:
@@ -42,11 +58,44 @@ def clean_line(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, ANSI, ""), REPEATED, "")
 
 
-def parsed_action(text: Column) -> Column:
-    """UDLRS from an answer: the whole text, then `action: X`, then `final answer: X`, then any single letter word, else S."""
-    upper = F.upper(F.trim(text))
-    pick = lambda pattern: F.nullif(F.regexp_extract(upper, pattern, 1), F.lit(""))
-    return F.coalesce(pick("^([UDLRS])$"), pick(f"ACTION:\\s*{LETTER}"), pick(f"FINAL ANSWER:\\s*{LETTER}"), pick(f"(?:^|[^A-Z0-9]){LETTER}"), F.lit("S"))
+def _object_action(text: Column, allowed: tuple[str, ...]) -> Column:
+    """The first allowed `action` of a JSON object that starts anywhere in the text, lower-cased; null if there is none."""
+
+    @F.pandas_udf("string")
+    def scan(texts: pd.Series) -> pd.Series:
+        decoder = json.JSONDecoder()
+
+        def first(text: str | None) -> str | None:
+            at = text.find("{") if text else -1
+            while at >= 0:
+                try:
+                    found, _ = decoder.raw_decode(text[at:])
+                except ValueError:
+                    found = None
+                if isinstance(found, dict) and str(found.get("action", "")).strip().lower() in allowed:
+                    return str(found["action"]).strip().lower()
+                at = text.find("{", at + 1)
+            return None
+
+        return texts.map(first)
+
+    return scan(F.when(text.contains("{"), text))  # other rows carry no text to Python
+
+
+def parsed_action(text: Column, allowed: tuple[str, ...] = WORDS, by_word: bool = True, fallback: str | None = None) -> Column:
+    """A move from an answer: the whole text, a JSON object's `action`, an `action:` line, a `final answer:` line, any word.
+
+    A stage's find counts only if it is allowed. Without any, it is `fallback`; by default `stay` or
+    else the first allowed word.
+    """
+    lower = F.lower(F.regexp_replace(text, "^\\s+|\\s+$", ""))
+    word = "(" + "|".join(WORDS) + ")"
+    ok = lambda c: F.when(c.isin(*allowed), c)
+    line = F.regexp_extract(lower, f"(?:^|\\n)\\s*(?:final\\s+)?action\\s*[:=]\\s*{word}\\b", 1)
+    final = F.regexp_extract(lower, f"(?:^|\\n)\\s*final\\s+answer\\s*[:=]\\s*{word}\\b", 1)
+    words = F.filter(F.regexp_extract_all(lower, F.lit(f"\\b{word}\\b"), F.lit(1)), lambda w: w.isin(*allowed))
+    last = fallback or ("stay" if "stay" in allowed else next((w for w in WORDS if w in allowed), "stay"))
+    return F.coalesce(ok(lower), _object_action(text, allowed), ok(line), ok(final), *([F.get(words, F.lit(0))] if by_word else []), F.lit(last))
 
 
 def lives_after(lives: Column, before: Column, after: Column, died: Column) -> Column:
@@ -69,9 +118,22 @@ def warmup_cosine(step: Column, warmup: int, total: int, peak: float) -> Column:
     return F.when(step < warmup, rise).otherwise(fall)
 
 
-def redacted(settings: Column, pattern: str = "(?i)key|token|secret|password") -> Column:
+def redacted(settings: Column, pattern: str = SECRET) -> Column:
     """A map whose secret values are hidden."""
-    return F.transform_values(settings, lambda k, v: F.when(k.rlike(pattern), F.lit("***")).otherwise(v))
+    return F.transform_values(settings, lambda k, v: F.when(k.rlike(pattern), F.lit(HIDDEN)).otherwise(v))
+
+
+def redacted_arguments(argv: Column, pattern: str = SECRET) -> Column:
+    """Command-line arguments: `--name=value` with a secret name keeps the name, and what follows a secret `--name` is hidden."""
+    secret = lambda v: v.startswith("--") & F.split_part(v, F.lit("="), F.lit(1)).rlike(pattern)
+
+    def shown(state: Column, v: Column) -> Column:
+        hide, out = state["hide"], state["out"]
+        new = F.when(hide, F.lit(HIDDEN)).when(secret(v) & v.contains("="), F.concat(F.split_part(v, F.lit("="), F.lit(1)), F.lit("=" + HIDDEN))).otherwise(v)
+        return F.struct((~hide & secret(v) & ~v.contains("=")).alias("hide"), F.concat(out, F.array(new)).alias("out"))
+
+    start = F.struct(F.lit(False).alias("hide"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(argv, start, shown, lambda s: s["out"])
 
 
 def metrics_only(values: Column) -> Column:

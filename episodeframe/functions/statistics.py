@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +54,27 @@ def advantage_variance(rewards: DataFrame) -> DataFrame:
     return rewards.groupBy("group_id").agg((v / F.pow(F.sqrt(v) + 1e-5, 2)).alias("advantage_variance"))
 
 
+def binomial_tail(k: int, n: int) -> float:
+    """P(X <= k) of n fair coins, k <= n / 2: terms fall from k on, so only the first few are summed."""
+    term = total = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2.0))
+    while k > 0 and term > 1e-18 * total:
+        term *= k / (n - k + 1)
+        total += term
+        k -= 1
+    return total
+
+
 def mcnemar(pairs: DataFrame, a: Column, b: Column) -> DataFrame:
-    """Exact two-sided test of paired outcomes: twice the lesser binomial tail, at most 1.
+    """Exact two-sided test of paired outcomes: twice the lesser binomial tail, at most 1; 1 without a discordant pair.
 
-    Binomials are summed as exp of log-gamma differences, so large counts don't overflow.
+    Python sees the two counts alone.
     """
-    counts = pairs.agg(F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b"))
-    n, k = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
-    log_factorials = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.array(F.lit(0.0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(i.cast("double")))))
-    both = counts.withColumn("_lf", log_factorials)
-    at = lambda i: F.element_at("_lf", (i + 1).cast("int"))
-    tail = F.aggregate(F.sequence(F.lit(0), k.cast("int")), F.lit(0.0), lambda s, i: s + F.exp(at(n) - at(i) - at(n - i) - n * F.log(F.lit(2.0))))
-    return both.select("only_a", "only_b", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)).alias("p_value"))
 
+    @F.pandas_udf("double")
+    def p_value(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series([min(1.0, 2 * binomial_tail(min(x, y), x + y)) if x + y else 1.0 for x, y in zip(one, two, strict=True)])
 
-def nearest_rank(values: Column, f: float) -> Column:
-    """The element at round-half-even of (n - 1) f of a sorted array."""
-    return F.element_at(values, (F.bround((F.size(values) - 1) * F.lit(f)) + 1).cast("int"))
+    return pairs.agg(F.count_if(a & ~b).alias("only_a"), F.count_if(b & ~a).alias("only_b")).withColumn("p_value", p_value("only_a", "only_b"))
 
 
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
@@ -88,32 +97,149 @@ def clipped_term(ratio: Column, advantage: Column, low: float = 0.2, high: float
     return F.least(ratio * advantage, F.greatest(F.least(ratio, F.lit(1 + high)), F.lit(1 - low)) * advantage)
 
 
-def covariances(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    """Each row's product of deviations from the means of its key."""
-    w = Window.partitionBy(*by)
-    return rows.withColumn("cov", (F.col(a) - F.avg(a).over(w)) * (F.col(b) - F.avg(b).over(w)))
+def _covariance(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """rows with n and cov, the product of deviations from the key's means: means are aggregated, then joined back."""
+    means = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("_a"), F.avg(b).alias("_b"))
+    return rows.join(means, key).withColumn("cov", (F.col(a) - F.col("_a")) * (F.col(b) - F.col("_b"))).drop("_a", "_b")
 
 
-def bootstrap_rates(outcomes: DataFrame, key: str, rounds: int = 10_000, seed: int = 20261001) -> DataFrame:
-    """(low, high) of the pass rate by resampling within each key: binomial draws on a row of counts, seeded by key.
+def _quota(ratio: float, n: Column, eligible: Column) -> Column:
+    return F.least(F.greatest(F.floor(F.lit(ratio) * n), F.lit(1)), eligible)
 
-    The counts are sufficient, so no outcome is shipped; a key is one row.
-    """
-    import pandas as pd
 
-    counts = outcomes.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if("won").alias("wins"))
+def clip_selection(rows: DataFrame, key: str, id_: str, advantage: str, logp: str, *, ratio: float, low: float, high: float, seed: str) -> DataFrame:
+    """The rows whose covariance of advantage and log-probability is in (low, high) and that a draw by hash picks:
+    floor(ratio n) of a key's n rows, one at least, as far as there are eligible ones. Only eligible rows are ordered."""
+    band = _covariance(rows, key, advantage, logp).where((F.col("cov") > low) & (F.col("cov") < high))
+    w = Window.partitionBy(key)
+    drawn = F.sha2(F.concat_ws("|", F.lit(seed), F.col(id_).cast("string")), 256)
+    placed = band.withColumns({"_place": F.row_number().over(w.orderBy(drawn, F.col(id_))), "_eligible": F.count(F.lit(1)).over(w)})
+    return placed.where(F.col("_place") <= _quota(ratio, F.col("n"), F.col("_eligible"))).drop("_place", "_eligible", "n")
+
+
+def clip_summary(rows: DataFrame, key: str, advantage: str, logp: str, *, ratio: float, low: float, high: float) -> DataFrame:
+    """(key, decisions, eligible, selected) of clip_selection()."""
+    cov = _covariance(rows, key, advantage, logp)
+    counts = cov.groupBy(key).agg(F.count(F.lit(1)).alias("decisions"), F.count_if((F.col("cov") > low) & (F.col("cov") < high)).alias("eligible"))
+    return counts.withColumn("selected", _quota(ratio, F.col("decisions"), F.col("eligible")))
+
+
+def truncated_weight(ratio: Column, cap: float = 2.0) -> Column:
+    """The importance weight of a term, cut at `cap`."""
+    return F.least(ratio, F.lit(cap))
+
+
+def _draw_sums(counts: DataFrame, names: list[str], rounds: int, seed: int) -> DataFrame:
+    """(round, names...): for each round the sum over all rows (key, <name>_n, <name>_wins) of a binomial draw of n at wins / n.
+
+    Counts are sufficient, so no outcome is shipped; a task adds up its own rows before anything is shuffled.
+    """
 
     def run(batches):
-        import zlib
+        totals = np.zeros((rounds, len(names)), np.int64)
+        for b in batches:
+            for row in b.itertuples(index=False):
+                rng = np.random.default_rng([seed, zlib.crc32(str(row[0]).encode())])
+                for j in range(len(names)):
+                    n, wins = int(row[1 + 2 * j]), int(row[2 + 2 * j])
+                    if n:
+                        totals[:, j] += rng.binomial(n, wins / n, rounds)
+        if totals.any():
+            yield pd.DataFrame({"round": np.arange(rounds), **{name: totals[:, j] for j, name in enumerate(names)}})
+
+    parts = counts.mapInPandas(run, "round long, " + ", ".join(f"{n} long" for n in names))
+    return parts.groupBy("round").agg(*(F.sum(n).alias(n) for n in names))
+
+
+def _interval(values: DataFrame, column: str) -> DataFrame:
+    """(low, high): the 2.5 and 97.5 % quantiles of a column of `rounds` rows, a bounded number."""
+    return values.agg(F.percentile(column, 0.025).alias("low"), F.percentile(column, 0.975).alias("high"))
+
 
-        import numpy as np
+def bootstrap_rate(outcomes: DataFrame, key: str, rounds: int = 10_000, seed: int = 20261001) -> DataFrame:
+    """One row (n, wins, pass_rate, low, high): outcomes are resampled within each key and pooled, as the pass rate is."""
+    counts = outcomes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.count_if("won").alias("_wins"))
+    whole = counts.agg(F.sum("_n").alias("n"), F.sum("_wins").alias("wins"))
+    draws = _draw_sums(counts, ["hits"], rounds, seed).crossJoin(F.broadcast(whole)).withColumn("_rate", F.col("hits") / F.col("n"))
+    return whole.withColumn("pass_rate", F.col("wins") / F.col("n")).crossJoin(_interval(draws, "_rate"))  # one row each
 
+
+def paired_counts(base: DataFrame, final: DataFrame, key: str) -> DataFrame:
+    """(key, base_n, base_wins, final_n, final_wins); a key that only one side has is an error."""
+    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(f"{name}_n"), F.count_if("won").alias(f"{name}_wins"))
+    both = count(base, "base").join(count(final, "final"), key, "full")
+    missing = F.col("base_n").isNull() | F.col("final_n").isNull()
+    return both.withColumn("base_n", F.when(missing, F.raise_error(F.lit("baseline and final cover different keys"))).otherwise(F.col("base_n")))
+
+
+def clear_improvement(base: DataFrame, final: DataFrame, key: str, least: float = 0.1, rounds: int = 10_000, seed: int = 20261001) -> DataFrame:
+    """One row: baseline, final, difference, low, high, clear_improvement (at least `least`, and the interval above 0), regressed keys.
+
+    Both sides are resampled within each key and pooled; a key's two rates come from one stream of draws, final first.
+    """
+    counts = paired_counts(base, final, key)
+    flat = counts.select(key, "final_n", "final_wins", "base_n", "base_wins")
+    total = counts.agg(*(F.sum(c).alias(c) for c in ("base_n", "base_wins", "final_n", "final_wins")), F.count_if(F.col("final_wins") / F.col("final_n") < F.col("base_wins") / F.col("base_n")).alias("regressed"))
+    rate = lambda side, hits=None: F.col(hits or f"{side}_wins") / F.col(f"{side}_n")
+    draws = _draw_sums(flat, ["_final", "_base"], rounds, seed).crossJoin(F.broadcast(total)).withColumn("_d", rate("final", "_final") - rate("base", "_base"))
+    both = total.crossJoin(_interval(draws, "_d")).withColumns({"baseline": rate("base"), "final": rate("final"), "difference": rate("final") - rate("base")})
+    return both.select("baseline", "final", "difference", "low", "high", ((F.col("difference") >= least) & (F.col("low") > 0)).alias("clear_improvement"), "regressed")
+
+
+def cluster_interval(base: DataFrame, final: DataFrame, key: str, rounds: int = 10_000, seed: int = 20261002) -> DataFrame:
+    """(low, high) of the difference of pooled rates when keys are drawn with replacement, and outcomes within each drawn key.
+
+    How often a round draws a key is Poisson distributed (the usual stand-in for drawing exactly as many
+    keys again), so every key is drawn for by itself and no list of keys is held anywhere.
+    """
+    counts = paired_counts(base, final, key).select(key, "base_n", "base_wins", "final_n", "final_wins")
+
+    def run(batches):
+        totals = np.zeros((rounds, 4), np.int64)
+        for b in batches:
+            for name, bn, bw, fn, fw in b.itertuples(index=False):
+                rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
+                times = rng.poisson(1.0, rounds)
+                for j, (n, wins) in enumerate(((bn, bw), (fn, fw))):
+                    totals[:, 2 * j] += times * int(n)
+                    totals[:, 2 * j + 1] += rng.binomial(times * int(n), wins / n)
+        if totals.any():
+            yield pd.DataFrame({"round": np.arange(rounds), **{c: totals[:, j] for j, c in enumerate(("bn", "bw", "fn", "fw"))}})
+
+    sums = counts.mapInPandas(run, "round long, bn long, bw long, fn long, fw long").groupBy("round").agg(*(F.sum(c).alias(c) for c in ("bn", "bw", "fn", "fw")))
+    drawn = sums.where("bn > 0 AND fn > 0").withColumn("_d", F.col("fw") / F.col("fn") - F.col("bw") / F.col("bn"))
+    return _interval(drawn, "_d")
+
+
+def mean_interval(rows: DataFrame, value: str, rounds: int = 10_000, seed: int = 1, *, less: str | None = None) -> DataFrame:
+    """(n, mean, low, high) of a mean by bootstrap; with `less`, of the mean difference value - less of paired rows.
+
+    A value that c rows have is drawn a Poisson(c) number of times a round, so equal values cost one row
+    and a round's mean is a ratio of two sums that every task adds up for itself; a value's draws
+    follow from the value, not from where its rows lie.
+    """
+    v = F.col(value) - F.col(less) if less else F.col(value)
+    kept = rows.select(v.cast("double").alias("v")).where("v IS NOT NULL")
+
+    def run(batches):
+        sums, seen = np.zeros((rounds, 2)), False
         for b in batches:
-            out = []
-            for k, n, wins in b.itertuples(index=False):
-                draws = np.random.default_rng([seed, zlib.crc32(str(k).encode())]).binomial(n, wins / n, rounds) / n
-                out.append((k, n, wins, *np.quantile(draws, [0.025, 0.975])))
-            yield pd.DataFrame(out, columns=[key, "n", "wins", "low", "high"])
-
-    kind = counts.schema[key].dataType.simpleString()
-    return counts.mapInPandas(run, f"{key} {kind}, n long, wins long, low double, high double")
+            for x, c in b.itertuples(index=False):
+                times = np.random.default_rng([seed, zlib.crc32(float(x).hex().encode())]).poisson(c, rounds)
+                sums[:, 0] += times * x
+                sums[:, 1] += times
+                seen = True
+        if seen:
+            yield pd.DataFrame({"round": np.arange(rounds), "s": sums[:, 0], "c": sums[:, 1]})
+
+    values = kept.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    drawn = values.mapInPandas(run, "round long, s double, c double").groupBy("round").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("c > 0")
+    whole = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    return whole.crossJoin(_interval(drawn.withColumn("_m", F.col("s") / F.col("c")), "_m"))
+
+
+def wilson_unclamped(wins: Column, n: Column) -> tuple[Column, Column]:
+    """The score interval without the clamp to [0, 1]; no trials are an error under ANSI division."""
+    p, z2 = wins / n, Z * Z
+    middle, spread = (p + z2 / (2 * n)) / (1 + z2 / n), Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
+    return middle - spread, middle + spread

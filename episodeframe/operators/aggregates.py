@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orderstats import linear_quantiles
+
 ACTIONS = ("U", "D", "L", "R", "S")
 
 
@@ -54,11 +56,19 @@ def informative(rewards: DataFrame) -> DataFrame:
     return rewards.join(spread, "group_id", "left_semi")
 
 
-def rollout_metrics(rewards: DataFrame) -> DataFrame:
-    """Win rate (reward of 1 or more), share of groups without spread, median steps of wins."""
-    spread = group_spread(rewards).agg(F.count(F.lit(1)).alias("groups"), F.count_if(~F.col("unequal")).alias("flat_groups"))
-    whole = rewards.agg(F.count(F.lit(1)).alias("episodes"), F.count_if(F.col("reward") >= 1).alias("wins"), F.median(F.when(F.col("reward") >= 1, F.col("n_steps"))).alias("median_winning_steps"))
-    return whole.crossJoin(spread)  # one row each
+def rollout_metrics(samples: DataFrame) -> DataFrame:
+    """Episodes, win rate (reward of 1 or more), mean reward, share of groups whose rewards are all equal, median steps of won episodes.
+
+    samples (group_id, episode_id, reward, won, n_steps) may hold an episode several times, once a decision: it counts once.
+    """
+    episodes = samples.groupBy("group_id", "episode_id").agg(F.max("reward").alias("reward"), F.max(F.when(F.col("won"), F.col("n_steps"))).alias("won_steps"))
+    groups = episodes.groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("reward") >= 1).alias("wins"), F.sum("reward").alias("total"), (F.min("reward") == F.max("reward")).alias("flat")
+    )
+    n = F.sum("n")
+    whole = groups.agg(n.alias("episodes"), share(F.sum("wins"), n).alias("win_rate"), share(F.sum("total"), n).alias("mean_reward"), share(F.count_if("flat"), F.count(F.lit(1))).alias("zero_variance_groups"))
+    middle = linear_quantiles(episodes, [], "won_steps", {"success_steps_median": 0.5})
+    return whole.join(F.broadcast(middle), how="left", on=F.lit(True))  # one row each
 
 
 def probe_summary(rewards: DataFrame, *by: str) -> DataFrame:

@@ -34,10 +34,21 @@ def quarantined(rows: DataFrame, rules: list[Rule], *key: str) -> DataFrame:
     return rows.join(violations(rows, rules, *key).select(*key).distinct(), list(key), "left_anti")
 
 
-def ledger_mismatches(headers: DataFrame, steps: DataFrame) -> DataFrame:
-    """Episodes whose header disagrees with its steps: number of steps, contiguity, final balance."""
+#: What a header (steps, score) must share with the sums of its episode's steps.
+LEDGER_RULES = [
+    Rule("steps", F.coalesce(F.col("seen") != F.col("steps"), F.lit(True))),
+    Rule("contiguous", F.coalesce(F.col("jumps") > 0, F.lit(True))),
+    Rule("balance", F.coalesce(F.col("balance") != F.col("score"), F.lit(True))),
+]
+
+
+def ledger_sums(steps: DataFrame) -> DataFrame:
+    """seen, balance and jumps (steps that do not follow the one before by one) of every episode."""
     w = Window.partitionBy("episode_id").orderBy("step")
     own = steps.withColumn("_jump", F.col("step") != F.coalesce(F.lag("step").over(w), F.lit(0)) + 1)
-    sums = own.groupBy("episode_id").agg(F.count(F.lit(1)).alias("seen"), F.sum("delta").alias("balance"), F.count_if("_jump").alias("jumps"))
-    both = headers.join(sums, "episode_id", "left")
-    return violations(both, [Rule("steps", F.col("seen") != F.col("steps")), Rule("contiguous", F.col("jumps") > 0), Rule("balance", F.col("balance") != F.col("score"))], "episode_id")
+    return own.groupBy("episode_id").agg(F.count(F.lit(1)).alias("seen"), F.sum("delta").alias("balance"), F.count_if("_jump").alias("jumps"))
+
+
+def ledger_mismatches(headers: DataFrame, steps: DataFrame) -> DataFrame:
+    """Episodes whose header disagrees with its steps: number of steps, contiguity, final balance."""
+    return violations(headers.join(ledger_sums(steps), "episode_id", "left"), LEDGER_RULES, "episode_id")

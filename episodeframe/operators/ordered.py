@@ -23,9 +23,8 @@ def running_balance(steps: DataFrame) -> DataFrame:
 def longest_dry_streak(steps: DataFrame) -> DataFrame:
     """Longest run of steps without a gain in each episode: steps between gains share the number of gains so far."""
     island = F.count_if(F.col("delta") > 0).over(by_step().rowsBetween(Window.unboundedPreceding, 0))
-    runs = steps.withColumn("island", island).where("delta <= 0").groupBy("episode_id", "island").agg(F.count(F.lit(1)).alias("n"))
-    found = runs.groupBy("episode_id").agg(F.max("n").alias("longest"))
-    return steps.select("episode_id").distinct().join(found, "episode_id", "left").select("episode_id", F.coalesce("longest", F.lit(0)).alias("longest"))
+    runs = steps.withColumn("island", island).groupBy("episode_id", "island").agg(F.count_if(F.col("delta") <= 0).alias("n"))
+    return runs.groupBy("episode_id").agg(F.max("n").alias("longest"))
 
 
 def oscillations(steps: DataFrame) -> DataFrame:
@@ -57,7 +56,7 @@ def before_end(rows: DataFrame, key: str, order: list[str], distances: tuple[int
     return rows.withColumn("distance", back.cast("long")).where(F.col("distance").isin(*distances))
 
 
-def lookbacks(rows: DataFrame, key: str, order: list[str], death: Column, choices: tuple[int, ...] = (4, 8, 16, 32)) -> DataFrame:
+def lookbacks(rows: DataFrame, key: str, order: list[str], death: Column, choices: tuple[int, ...] = tuple(range(4, 33))) -> DataFrame:
     """For every death, the places `back` before it that lie after the death before."""
     w = Window.partitionBy(key).orderBy(*order)
     numbered = rows.withColumn("at", F.row_number().over(w).cast("long")).where(death)

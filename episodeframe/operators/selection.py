@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .orderstats import middle_row
+
 
 def first_of(rows: DataFrame, key: list[str], *order: Column, k: int = 1) -> DataFrame:
     """The first k rows of each key."""
@@ -18,15 +20,26 @@ def best(rows: DataFrame, *order: Column) -> DataFrame:
 
 
 def natural_key(label: Column) -> Column:
-    """A label whose digit runs are padded, so that update2 sorts before update12."""
+    """A label whose digit runs sort as numbers: update2 before update12, whatever their length."""
     parts = F.regexp_extract_all(label, F.lit("(\\d+|\\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d+$"), F.lpad(p, 15, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d+$"), _counted(p)).otherwise(p)), "")
+
+
+def _counted(digits: Column) -> Column:
+    """A run of digits behind its own length, so that runs of any length sort as numbers."""
+    plain = F.regexp_replace(digits, "^0+(?=\\d)", "")
+    return F.concat(F.lpad(F.length(plain).cast("string"), 10, "0"), plain)
 
 
-def median_episode(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """Row n // 2 of each key's sorted rows."""
-    w = Window.partitionBy(key)
-    return rows.withColumns({"_at": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(w)}).where(F.expr("_at = _n div 2")).drop("_at", "_n")
+def typical_best_worst(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+    """(key, role, tie, value): the row at place n // 2 of each key's rows by (value, tie), the last and the first; nulls in value are passed over."""
+    kept = rows.where(F.col(value).isNotNull()).select(key, value, tie)
+    middle = middle_row(kept, [key], value, F.col(tie)).select(key, F.lit("typical").alias("role"), tie, value)
+    ends = kept.groupBy(key).agg(F.max(F.struct(value, tie)).alias("best"), F.min(F.struct(value, tie)).alias("worst"))
+    ends = ends.select(key, F.explode(F.create_map(F.lit("best"), "best", F.lit("worst"), "worst")).alias("role", "r")).select(key, "role", f"r.{tie}", f"r.{value}")
+    every = middle.unionByName(ends).groupBy(key, tie, value).agg(F.collect_set("role").alias("_roles"))
+    # one row may play several parts in a small key
+    return every.select(key, F.concat(*(F.when(F.array_contains("_roles", r), r).otherwise("") for r in ("typical", "best", "worst"))).alias("role"), tie, value)
 
 
 def round_robin(rows: DataFrame, tier: str, bin_: str, order: list[Column], cap: int) -> DataFrame:

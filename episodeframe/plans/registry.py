@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar, statistics
-from ..operators import aggregates, audit, grids, ordered, selection
+from ..operators import aggregates, audit, grids, ordered, orderstats, selection
 from ..sources import sinks
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
 from ..streaming import controller
+from . import flows  # noqa: F401  (registers its queries)
+from .core import FLAGSHIP, ORACLE_SQL, QUERIES, REWARDS, TIE, query, r6, rewards
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "nm8_group_centering"
-
-REWARDS = f"""{EPISODES}, rewards AS (SELECT *, CASE WHEN terminal = 'cleared'
-  THEN 1.0::DOUBLE + 0.1::DOUBLE * (1 - deaths / 4) + 0.05::DOUBLE * (1 - n_steps / 500) ELSE 0.0::DOUBLE END AS reward FROM episodes)"""
-TIE = ["ts", "event_id"]
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE_SQL[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = episodes(spark, sf_dir)
-    return e.withColumn("reward", statistics.success_reward(F.col("terminal") == "cleared", F.col("deaths"), F.col("n_steps")))
-
-
-def r6(*names: str) -> list:
-    return [F.round(n, 6).alias(n) for n in names]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
 
 # aggregates
@@ -83,10 +57,13 @@ def flt3_informative_groups(spark, d):
     return aggregates.informative(rewards(spark, d)).select("episode_id", "group_id", *r6("reward"))
 
 
-@query(f"""WITH {REWARDS}, g AS (SELECT count(*) AS groups, count(*) FILTER (f) AS flat_groups FROM (SELECT min(reward)=max(reward) AS f FROM rewards GROUP BY group_id))
-  SELECT count(*) AS episodes, count(*) FILTER (reward >= 1) AS wins, median(n_steps) FILTER (reward >= 1)::DOUBLE AS median_winning_steps, any_value(groups) AS groups, any_value(flat_groups) AS flat_groups FROM rewards, g""")
+@query(f"""WITH {REWARDS}, g AS (SELECT count(*) AS groups, count(*) FILTER (f) AS flat FROM (SELECT min(reward)=max(reward) AS f FROM rewards GROUP BY group_id))
+  SELECT count(*) AS episodes, round(count(*) FILTER (reward >= 1) / count(*), 6) AS win_rate, round(avg(reward), 6) AS mean_reward, any_value(round(flat / groups, 6)) AS zero_variance_groups,
+  median(n_steps) FILTER (terminal = 'cleared')::DOUBLE AS success_steps_median FROM rewards, g""")
 def ag7_rollout_metrics(spark, d):
-    return aggregates.rollout_metrics(rewards(spark, d))
+    # each decision carries its episode's reward: an episode counts once
+    samples = rewards(spark, d).withColumn("won", F.col("terminal") == "cleared").withColumn("decision", F.explode(F.array(F.lit(0), F.lit(1))))
+    return aggregates.rollout_metrics(samples).withColumns({c: F.round(c, 6) for c in ("win_rate", "mean_reward", "zero_variance_groups")})
 
 
 @query(f"""WITH {REWARDS}, g AS (SELECT seed, group_id, count(*) AS n, avg(reward) AS m, var_samp(reward) AS v FROM rewards GROUP BY 1, 2)
@@ -214,7 +191,7 @@ def seq9_ring(spark, d):
 
 @query("""WITH n AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
   x AS (SELECT user_id, pos, coalesce(lag(pos) OVER (PARTITION BY user_id ORDER BY pos), 0) AS last FROM n WHERE event_type = 'error'),
-  b AS (SELECT *, unnest([4, 8, 16, 32])::BIGINT AS back FROM x) SELECT user_id, pos AS place, back, pos + 1 - back AS start FROM b WHERE pos + 1 - back > last""")
+  b AS (SELECT *, unnest(range(4, 33)) AS back FROM x) SELECT user_id, pos AS place, back, pos + 1 - back AS start FROM b WHERE pos + 1 - back > last""")
 def seq11_lookbacks(spark, d):
     return ordered.lookbacks(table(spark, d, "events"), "user_id", TIE, F.col("event_type") == "error").withColumnRenamed("at", "place")
 
@@ -281,18 +258,33 @@ def nm7_mcnemar(spark, d):
 
 @query("SELECT user_id % 7 AS bin, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def nm13_ag29_quantiles(spark, d):
-    return table(spark, d, "events").groupBy((F.col("user_id") % 7).alias("bin")).agg(*(F.round(F.percentile("value", p), 6).alias(f"p{100 * p:02.0f}") for p in (0.05, 0.5, 0.95)))
+    rows = table(spark, d, "events").select((F.col("user_id") % 7).alias("bin"), "value")
+    found = orderstats.linear_quantiles(rows, ["bin"], "value", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return found.select("bin", *r6("p05", "p50", "p95"))
 
 
 @query("""WITH v AS (SELECT user_id % 7 AS bin, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT bin, v[(round_even((len(v) - 1) * 0.5, 0) + 1)::INT] AS p50, v[(round_even((len(v) - 1) * 0.95, 0) + 1)::INT] AS p95 FROM v""")
-def nm14_ag12_nearest_rank(spark, d):
-    v = table(spark, d, "events").where("value IS NOT NULL").groupBy((F.col("user_id") % 7).alias("bin")).agg(F.sort_array(F.collect_list("value")).alias("v"))
-    return v.select("bin", statistics.nearest_rank(F.col("v"), 0.5).alias("p50"), statistics.nearest_rank(F.col("v"), 0.95).alias("p95"))
+def nm14_nearest_rank(spark, d):
+    rows = table(spark, d, "events").select((F.col("user_id") % 7).alias("bin"), "value")
+    return orderstats.nearest_ranks(rows, ["bin"], "value", {"p50": 0.5, "p95": 0.95})
+
 
+CLIP = """c AS (SELECT user_id, event_id, (value - avg(value) OVER w) * (event_id % 97 / -10.0::DOUBLE - avg(event_id % 97 / -10.0::DOUBLE) OVER w) AS cov, count(*) OVER w AS n
+    FROM events WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id)),
+  e AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS eligible, row_number() OVER (PARTITION BY user_id ORDER BY sha256('7|' || event_id), event_id) AS place FROM c WHERE cov > 1 AND cov < 50)"""
 
-@query("SELECT event_id, round((value - avg(value) OVER w) * (user_id - avg(user_id) OVER w), 4) AS cov FROM events WINDOW w AS (PARTITION BY event_type)")
-def nm11_clip_covariance(spark, d):
-    return statistics.covariances(table(spark, d, "events"), "value", "user_id", "event_type").select("event_id", F.round("cov", 4).alias("cov"))
+
+@query(f"""WITH {CLIP} SELECT user_id, event_id, round(cov, 4) AS cov FROM e WHERE place <= least(greatest((0.02::DOUBLE * n)::DECIMAL(18, 6)::BIGINT - CASE WHEN (0.02::DOUBLE * n)::DECIMAL(18, 6)::BIGINT > 0.02::DOUBLE * n THEN 1 ELSE 0 END, 1), eligible)""")
+def nm11_clip_selection(spark, d):
+    rows = table(spark, d, "events").where("value IS NOT NULL").select("user_id", "event_id", "value", (F.col("event_id") % 97 / -10.0).alias("logp"))
+    return statistics.clip_selection(rows, "user_id", "event_id", "value", "logp", ratio=0.02, low=1.0, high=50.0, seed="7").select("user_id", "event_id", F.round("cov", 4).alias("cov"))
+
+
+@query(f"""WITH {CLIP}, s AS (SELECT user_id, count(*) AS decisions, count(*) FILTER (cov > 1 AND cov < 50) AS eligible FROM c GROUP BY 1)
+  SELECT *, least(greatest(floor(0.02::DOUBLE * decisions)::BIGINT, 1), eligible) AS selected FROM s""")
+def nm11_val20_clip_summary(spark, d):
+    rows = table(spark, d, "events").where("value IS NOT NULL").select("user_id", "event_id", "value", (F.col("event_id") % 97 / -10.0).alias("logp"))
+    return statistics.clip_summary(rows, "user_id", "value", "logp", ratio=0.02, low=1.0, high=50.0)
 
 
 @query("""WITH l AS (SELECT p_partkey, [p_size / 10, p_retailprice / 1000, (p_partkey % 7) / 3] AS x FROM part),
@@ -312,8 +304,8 @@ def nm17_clipped_term(spark, d):
 
 
 @query()
-def nm2_bootstrap_rates(spark, d):
-    return statistics.bootstrap_rates(episodes(spark, d).withColumn("won", F.col("terminal") == "cleared"), "seed")
+def nm2_bootstrap_rate(spark, d):
+    return statistics.bootstrap_rate(episodes(spark, d).withColumn("won", F.col("terminal") == "cleared"), "seed")
 
 
 # selection and sets
@@ -330,9 +322,11 @@ def sel1_sel2_best_checkpoint(spark, d):
     return selection.best(r, F.col("pass_rate").desc(), selection.natural_key(F.col("label"))).drop("pass_rate")
 
 
-@query("""WITH n AS (SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT o_orderpriority, o_orderkey, o_totalprice FROM n WHERE pos = n // 2""")
-def sel4_median_episode(spark, d):
-    return selection.median_episode(table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), "o_orderpriority", F.col("o_totalprice"), F.col("o_orderkey"))
+@query("""WITH n AS (SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
+  SELECT o_orderpriority, CASE WHEN pos = n // 2 THEN 'typical' ELSE '' END || CASE WHEN pos = n - 1 THEN 'best' ELSE '' END || CASE WHEN pos = 0 THEN 'worst' ELSE '' END AS role, o_orderkey, o_totalprice FROM n WHERE pos = n // 2 OR pos = 0 OR pos = n - 1""")
+def sel4_typical_best_worst(spark, d):
+    rows = table(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return selection.typical_best_worst(rows, "o_orderpriority", "o_totalprice", "o_orderkey")
 
 
 @query("""WITH a AS (SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS round FROM events),
@@ -388,10 +382,12 @@ def set4_latest_union(spark, d):
     return selection.latest_union(o, o.where("id % 3 = 0").withColumn("v", -F.col("v")), "id")
 
 
-@query("""SELECT k AS custkey, CASE WHEN a IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT coalesce(c_custkey, o_custkey) AS k, c_custkey AS a, o_custkey AS b
-  FROM (SELECT DISTINCT c_custkey FROM customer) FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey) WHERE a IS NULL OR b IS NULL""")
+@query("""SELECT coalesce(a.label, b.label) AS label, CASE WHEN a.label IS NULL THEN 'right' ELSE 'left' END AS side
+  FROM (SELECT DISTINCT o_custkey AS label FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 = 0) a FULL JOIN (SELECT DISTINCT o_custkey AS label FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 1) b USING (label) WHERE a.label IS NULL OR b.label IS NULL""")
 def set5_jn2_missing_sides(spark, d):
-    return selection.missing_sides(table(spark, d, "customer").select(F.col("c_custkey").alias("custkey")), table(spark, d, "orders").select(F.col("o_custkey").alias("custkey")), "custkey")
+    o = table(spark, d, "orders")
+    side = lambda status, n: o.where((F.col("o_orderstatus") == status) & (F.col("o_orderkey") % 3 == n)).select(F.col("o_custkey").alias("label"))
+    return selection.missing_sides(side("F", 0), side("O", 1), "label")
 
 
 @query(f"WITH {EPISODES}, n AS (SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY episode_id) - 1 AS i FROM episodes WHERE NOT fault) SELECT group_id, count(*) AS have FROM n GROUP BY 1 HAVING list_sort(list(i)) <> range(0, 12)")
@@ -415,10 +411,10 @@ def val1_rule_table(spark, d):
   h AS (SELECT *, seen + (episode_id % 5 = 0)::INT AS steps, balance + (episode_id % 7 = 0)::INT AS score FROM s),
   v AS (SELECT episode_id, unnest([CASE WHEN seen <> steps THEN 'steps' END, CASE WHEN balance <> score THEN 'balance' END]) AS rule FROM h) SELECT * FROM v WHERE rule IS NOT NULL""")
 def val2_ledger(spark, d):
-    s = steps(spark, d)
+    sums = audit.ledger_sums(steps(spark, d))
     off = lambda n: (F.col("episode_id") % n == 0).cast("long")
-    headers = aggregates.episode_headers(s).select("episode_id", (F.col("steps") + off(5)).alias("steps"), (F.col("score") + off(7)).alias("score"))
-    return audit.ledger_mismatches(headers, s)
+    headers = sums.withColumns({"steps": F.col("seen") + off(5), "score": F.col("balance") + off(7)})
+    return audit.violations(headers, audit.LEDGER_RULES, "episode_id")
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest, ('0x' || substr(sha256(coalesce(text, '')), 1, 8))::BIGINT AS seed FROM documents")
@@ -427,11 +423,17 @@ def fn1_fn2_hash_seeds(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("digest"), scalar.seed32(text).alias("seed"))
 
 
-@query("""SELECT event_id, CASE WHEN d <= 2 THEN '0-2' WHEN d <= 5 THEN '3-5' ELSE '6+' END AS bucket, CASE WHEN r <= 0.1 THEN 'blocked' WHEN r < 0.9 THEN 'mixed' ELSE 'very_easy' END AS tier
-  FROM (SELECT event_id, CASE WHEN user_id % 11 = 0 THEN NULL ELSE user_id % 9 END AS d, (user_id % 101) / 100 AS r FROM events)""")
-def fn6_fn7_buckets(spark, d):
-    u = F.col("user_id")
-    return table(spark, d, "events").select("event_id", scalar.distance_bucket(F.when(u % 11 != 0, u % 9)).alias("bucket"), scalar.tier_label((u % 101) / 100).alias("tier"))
+@query("""SELECT event_id, (r // 4) || '|' || (c // 4) || '|' || CASE WHEN d IS NULL OR d >= 6 THEN '6+' WHEN d <= 2 THEN '0-2' ELSE '3-5' END || '|' || CASE WHEN p <= 10 THEN '0-10' WHEN p <= 40 THEN '11-40' ELSE '41+' END AS bucket
+  FROM (SELECT event_id, event_id % 25 AS r, user_id % 21 AS c, CASE WHEN user_id % 11 = 0 THEN NULL ELSE user_id % 9 END AS d, event_id % 61 AS p FROM events)""")
+def fn6_bucket_keys(spark, d):
+    u, e = F.col("user_id"), F.col("event_id")
+    return table(spark, d, "events").select("event_id", scalar.bucket_key(e % 25, u % 21, F.when(u % 11 != 0, u % 9), e % 61).alias("bucket"))
+
+
+@query(f"""WITH {EPISODES} SELECT group_id, CASE WHEN count(*) FILTER (terminal = 'cleared') = 0 THEN 'blocked' WHEN count(*) FILTER (terminal = 'cleared') = count(*) THEN 'very_easy' ELSE 'mixed' END AS tier FROM episodes GROUP BY 1""")
+def fn7_tier_labels(spark, d):
+    rates = aggregates.pass_rates(episodes(spark, d), "group_id")
+    return rates.select("group_id", scalar.tier_label(F.col("wins"), F.col("games")).alias("tier"))
 
 
 @query(r"SELECT page_id, regexp_replace(url, '[^\p{L}\p{N}_-]', '_', 'g') AS name FROM pages")
@@ -451,9 +453,22 @@ def fn26_schedule(spark, d):
     return table(spark, d, "events").select("event_id", F.round(scalar.warmup_cosine(F.col("event_id") % 1000, 100, 1000, 0.001), 9).alias("rate"))
 
 
-@query(r"""WITH u AS (SELECT conv_id, turn, upper(trim(text, ' ')) AS t FROM conversations) SELECT conv_id, turn, coalesce(nullif(regexp_extract(t, '^([UDLRS])$', 1), ''), nullif(regexp_extract(t, 'ACTION:\s*([UDLRS])(?:[^A-Z0-9]|$)', 1), ''), nullif(regexp_extract(t, 'FINAL ANSWER:\s*([UDLRS])(?:[^A-Z0-9]|$)', 1), ''), nullif(regexp_extract(t, '(?:^|[^A-Z0-9])([UDLRS])(?:[^A-Z0-9]|$)', 1), ''), 'S') AS action FROM u""")
+ANSWERS = """a AS (SELECT conv_id, turn, CASE (conv_id * 7 + turn) % 9 WHEN 0 THEN ' UP ' WHEN 1 THEN 'I think {"reason": "down?", "action": "Left"} and right' WHEN 2 THEN 'Let me see.' || chr(10) || ' Final action = down, or up'
+  WHEN 3 THEN 'reason: left' || chr(10) || 'final answer: right.' WHEN 4 THEN 'bad {"action": "jump"} then stay or up' WHEN 5 THEN 'update the leftmost' WHEN 6 THEN 'action: left' WHEN 7 THEN '{broken "action": "up"} right' ELSE text END AS answer FROM conversations)"""
+CHOICE = "(up|down|left|right|stay)"
+
+
+@query(rf"""WITH {ANSWERS}, l AS (SELECT conv_id, turn, answer, lower(trim(answer, ' ' || chr(9) || chr(10) || chr(13))) AS t FROM a),
+  p AS (SELECT *, CASE WHEN t IN ('up', 'down', 'left', 'stay') THEN t END AS exact,
+    CASE WHEN lower(regexp_extract(answer, '\{{"[^{{}}]*"action": "([A-Za-z]*)"\}}', 1)) IN ('up', 'down', 'left', 'stay') THEN lower(regexp_extract(answer, '\{{"[^{{}}]*"action": "([A-Za-z]*)"\}}', 1)) END AS object,
+    regexp_extract(t, '(?:^|\n)\s*(?:final\s+)?action\s*[:=]\s*{CHOICE}\b', 1) AS line, regexp_extract(t, '(?:^|\n)\s*final\s+answer\s*[:=]\s*{CHOICE}\b', 1) AS final,
+    list_filter(regexp_extract_all(t, '\b{CHOICE}\b', 1), lambda x: x <> 'right')[1] AS word FROM l)
+  SELECT conv_id, turn, coalesce(exact, object, CASE WHEN line NOT IN ('', 'right') THEN line END, CASE WHEN final NOT IN ('', 'right') THEN final END, word, 'stay') AS action FROM p""")
 def fn12_parsed_actions(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", scalar.parsed_action(F.col("text")).alias("action"))
+    said = {0: " UP ", 1: 'I think {"reason": "down?", "action": "Left"} and right', 2: "Let me see.\n Final action = down, or up", 3: "reason: left\nfinal answer: right.", 4: 'bad {"action": "jump"} then stay or up', 5: "update the leftmost", 6: "action: left", 7: '{broken "action": "up"} right'}
+    at = (F.col("conv_id") * 7 + F.col("turn")) % 9
+    answer = F.coalesce(*(F.when(at == k, F.lit(v)) for k, v in said.items()), F.when(at == 8, F.col("text")))
+    return table(spark, d, "conversations").select("conv_id", "turn", scalar.parsed_action(answer, allowed=("up", "down", "left", "stay")).alias("action"))
 
 
 @query("SELECT c.c_custkey, s.s AS seed FROM customer c, range(0, 4) s(s)")
@@ -500,11 +515,8 @@ def gr2_gr8_board_routes(spark, d):
     return grids.distances(boards(spark))
 
 
-@query()
-def st1_seq18_promotion(spark, d):
-    return controller.fold(batches(spark, d).select("run", "update", "games", "wins"))
-
-
-@query("""SELECT 'orders' AS name, count(*) AS rows, count(DISTINCT o_orderkey) AS keys FROM orders""")
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '1-URGENT') AS p FROM orders)
+  SELECT 'orders' AS name, count(*) AS rows, count(DISTINCT o_orderkey) AS keys, sha256(sum(('0x' || substr(sha256('v' || o_orderkey || chr(31) || coalesce('v' || o_orderstatus, 'n') || chr(31) || coalesce('v' || p, 'n')), 1, 15))::BIGINT)::VARCHAR) AS digest FROM o""")
 def snk6_manifest(spark, d):
-    return sinks.manifest(table(spark, d, "orders"), "orders", "o_orderkey").drop("digest")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.nullif(F.col("o_orderpriority"), F.lit("1-URGENT")).alias("p"))
+    return sinks.manifest(o, "orders", "o_orderkey")

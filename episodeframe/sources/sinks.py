@@ -23,7 +23,17 @@ def write_once(df: DataFrame, path: str) -> bool:
     return True
 
 
+def row_digest(df: DataFrame) -> DataFrame:
+    """One row (rows, digest) that does not depend on the order of rows: SHA-256 of the sum of 60 bits of each row's SHA-256.
+
+    A value is marked by `v` and a null is `n`, so (null, 1) and (1, null) differ, and repeats count.
+    """
+    row = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in df.columns))
+    part = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.coalesce(F.sum(part), F.lit(0)).cast("string"), 256).alias("digest"))
+
+
 def manifest(df: DataFrame, name: str, key: str) -> DataFrame:
-    """One row: name, row count, distinct keys, and a digest that does not depend on the order of rows."""
-    row = F.xxhash64(*[F.col(c) for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"), F.sha2(F.coalesce(F.sum(row), F.lit(0)).cast("string"), 256).alias("digest"))
+    """One row: name, row count, distinct keys, and the digest of row_digest()."""
+    facts = row_digest(df).select(F.lit(name).alias("name"), "rows", "digest")
+    return facts.crossJoin(df.agg(F.count_distinct(key).alias("keys"))).select("name", "rows", "keys", "digest")  # one row each
