@@ -238,6 +238,29 @@ def mean_interval(rows: DataFrame, value: str, rounds: int = 10_000, seed: int =
     return whole.crossJoin(_interval(drawn.withColumn("_m", F.col("s") / F.col("c")), "_m"))
 
 
+def delta_interval(before: DataFrame, after: DataFrame, value: str, rounds: int = 10_000, seed: int = 1) -> DataFrame:
+    """(delta, low, high) of the difference of two means of independent rows, each side resampled as in mean_interval()."""
+    sides = [before.select(F.lit(0).alias("side"), F.col(value).cast("double").alias("v")), after.select(F.lit(1).alias("side"), F.col(value).cast("double").alias("v"))]
+    kept = sides[0].unionByName(sides[1]).where("v IS NOT NULL")
+
+    def run(batches):
+        sums, seen = np.zeros((rounds, 4)), False
+        for b in batches:
+            for side, x, c in b.itertuples(index=False):
+                times = np.random.default_rng([seed, int(side), zlib.crc32(float(x).hex().encode())]).poisson(c, rounds)
+                sums[:, 2 * int(side)] += times * x
+                sums[:, 2 * int(side) + 1] += times
+                seen = True
+        if seen:
+            yield pd.DataFrame({"round": np.arange(rounds), **{n: sums[:, j] for j, n in enumerate(("s0", "c0", "s1", "c1"))}})
+
+    values = kept.groupBy("side", "v").agg(F.count(F.lit(1)).alias("c"))
+    drawn = values.mapInPandas(run, "round long, s0 double, c0 double, s1 double, c1 double").groupBy("round").agg(*(F.sum(c).alias(c) for c in ("s0", "c0", "s1", "c1")))
+    drawn = drawn.where("c0 > 0 AND c1 > 0").withColumn("_d", F.col("s1") / F.col("c1") - F.col("s0") / F.col("c0"))
+    means = kept.agg((F.avg(F.when(F.col("side") == 1, F.col("v"))) - F.avg(F.when(F.col("side") == 0, F.col("v")))).alias("delta"))
+    return means.crossJoin(_interval(drawn, "_d"))  # one row each
+
+
 def wilson_unclamped(wins: Column, n: Column) -> tuple[Column, Column]:
     """The score interval without the clamp to [0, 1]; no trials are an error under ANSI division."""
     p, z2 = wins / n, Z * Z

@@ -120,6 +120,17 @@ def batch_plan(episodes: DataFrame) -> DataFrame:
     return groups.withColumns({"eligible": F.when(F.col("masked"), 0).otherwise(F.col("attempts")), "n_faults": F.size("faults").cast("long")})
 
 
+def batch_plan_summary(episodes: DataFrame) -> DataFrame:
+    """One row: the loss denominator (all attempts), valid outcomes, eligible, excluded and informative groups, and why the loss is skipped, if it is.
+
+    A fault excludes its whole group; a group is informative if its rewards spread.
+    """
+    groups = episodes.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("fault").alias("f"), (F.stddev_pop("reward") >= 1e-12).alias("s"))
+    eligible, informative = F.count_if(F.col("f") == 0), F.count_if((F.col("f") == 0) & F.col("s"))
+    why = F.when(eligible == 0, "no_complete_valid_groups").when(informative == 0, "no_within_complete_group_advantage")
+    return groups.agg(F.sum("n").alias("loss_denominator"), (F.sum("n") - F.sum("f")).alias("valid_outcomes"), eligible.alias("eligible"), F.count_if(F.col("f") > 0).alias("excluded"), informative.alias("informative"), why.alias("skip_reason"))
+
+
 def weighted_mean(rows: DataFrame, value: str, weight: str, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(share(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("mean"), F.sum(weight).alias("weight"))
 

@@ -52,3 +52,9 @@ def ledger_sums(steps: DataFrame) -> DataFrame:
 def ledger_mismatches(headers: DataFrame, steps: DataFrame) -> DataFrame:
     """Episodes whose header disagrees with its steps: number of steps, contiguity, final balance."""
     return violations(headers.join(ledger_sums(steps), "episode_id", "left"), LEDGER_RULES, "episode_id")
+
+
+def homogeneous(rows: DataFrame, by: str, contract: str) -> DataFrame:
+    """(key, contracts, homogeneous): whether all rows of a key share one contract."""
+    n = F.count_distinct(contract)
+    return rows.groupBy(by).agg(n.alias("contracts"), (n == 1).alias("homogeneous"))

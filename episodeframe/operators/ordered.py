@@ -95,3 +95,65 @@ def rotated(rows: DataFrame, key: str, order: str, update: int, take: int) -> Da
     w = Window.partitionBy(key)
     at, n = F.row_number().over(w.orderBy(order)) - 1, F.count(F.lit(1)).over(w)
     return rows.withColumns({"_at": at, "_n": n}).withColumn("turn", F.expr(f"pmod(_at - {update * take}, _n)").cast("long")).where(F.col("turn") < take).drop("_at", "_n")
+
+
+def chunked(rows: DataFrame, key: str, order: list[str], size: int, out: str) -> DataFrame:
+    """rows with the number of their chunk of `size` rows in the order of their key."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return rows.withColumn("_at", at).withColumn(out, F.expr(f"_at div {size}")).drop("_at")
+
+
+def broken_options(steps: DataFrame, identity: list[str]) -> DataFrame:
+    """Steps that break the continuity of options (option_step, ends): a first step follows an end, any other goes on with the same identity and the next number."""
+    w = by_step()
+    over = F.coalesce(F.lag("ends").over(w), F.lit(True))
+    same = F.lag(F.struct(*identity)).over(w).eqNullSafe(F.struct(*identity))
+    goes_on = ~over & same & (F.col("option_step") == F.lag("option_step").over(w) + 1)
+    fine = F.when(F.col("option_step") == 1, over).otherwise(F.coalesce(goes_on, F.lit(False)))
+    return steps.withColumn("_fine", fine).where("NOT _fine").drop("_fine")
+
+
+def idle_counter(steps: DataFrame, watched: list[str]) -> DataFrame:
+    """steps with `idle`: how many steps in a row none of the watched columns changed (0 where one did; before the first step they are 0)."""
+    w = by_step()
+    changed = F.greatest(*((F.col(c) != F.coalesce(F.lag(c).over(w), F.lit(0))).cast("int") for c in watched))
+    if len(watched) == 1:
+        changed = (F.col(watched[0]) != F.coalesce(F.lag(watched[0]).over(w), F.lit(0))).cast("int")
+    islands = steps.withColumn("_gain", changed).withColumn("_island", F.sum("_gain").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    inner = Window.partitionBy("episode_id", "_island").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return islands.withColumn("idle", F.count_if(F.col("_gain") == 0).over(inner)).drop("_gain", "_island")
+
+
+def route_captures(rows: DataFrame, key: str, at: str, state: str, died: Column, distances: tuple[int, ...] = (4, 8, 16)) -> DataFrame:
+    """(key, state, sources) of the states to start from: those a sixth and a third into a route (never the first), and at `distances` before the end
+    of one that ended in death; places with one state are one candidate, its sources in order."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    counted = rows.withColumns({"_n": n, "_died": died})
+    back = F.col("_n") - 1 - F.col(at)
+    early = [F.when((F.col(at) > 0) & (F.col(at) == F.floor(F.col("_n") / part)), f"early_1/{part}") for part in (6, 3)]
+    late = [F.when(F.col("_died") & (back == x), f"death_before_{x}") for x in distances]
+    origins = F.filter(F.array(*early, *late), lambda o: o.isNotNull())
+    marked = counted.withColumn("_o", origins).where(F.size("_o") > 0)
+    source = F.struct(F.col(at).alias("i"), back.alias("distance"), F.col("_o").alias("origins"))
+    return marked.groupBy(key, state).agg(F.array_sort(F.collect_list(source)).alias("sources"))
+
+
+def switches(steps: DataFrame, objective: list[str]) -> DataFrame:
+    """(episode_id, calls, switches): how often the objective differs from that of the call before."""
+    w = by_step()
+    differs = ~F.lag(F.struct(*objective)).over(w).eqNullSafe(F.struct(*objective)) & F.lag("step").over(w).isNotNull()
+    return steps.withColumn("_s", differs).groupBy("episode_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if("_s").alias("switches"))
+
+
+def zipped(a: DataFrame, b: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows of two ordered streams in turn, with their `place`; what one stream has beyond the other's end is left out."""
+    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    sides = [df.withColumns({"_n": number, "_side": F.lit(i)}) for i, df in enumerate((a, b))]
+    both = [x.join(y.select(key, "_n"), [key, "_n"], "left_semi") for x, y in (sides, sides[::-1])]
+    return both[0].unionByName(both[1]).withColumn("place", (2 * (F.col("_n") - 1) + F.col("_side")).cast("long")).drop("_n", "_side")
+
+
+def every_third(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """rows with `split`: the third, sixth, ... of each key are for validation."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return rows.withColumn("split", F.when(at % 3 == 2, "validation").otherwise("train"))

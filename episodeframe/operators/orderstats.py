@@ -10,10 +10,10 @@ ACCURACY = 10_000
 
 
 def located(rows: DataFrame, key: list[str], value: str, ranks: dict[str, tuple[float, Column]]) -> DataFrame:
-    """(key, name, n, rank, low, below, high): of each key's n values that are not null, the one at `rank` (from 0) in
+    """(key, _stat, n, rank, low, below, high): of each key's n values that are not null, the one at `rank` (from 0) in
     ascending order, how many are less, and the next one.
 
-    `ranks` gives, by name, about where in [0, 1] a rank lies and the exact rank as a column over `n`. A quantile
+    `ranks` gives, by name (`_stat`), about where in [0, 1] a rank lies and the exact rank as a column over `n`. A quantile
     sketch of bounded size brackets each rank; a second pass counts what lies below the bracket and
     sums up the values inside it, about 8 / ACCURACY of the rows, so ties of any number cost one row.
     """
@@ -22,7 +22,7 @@ def located(rows: DataFrame, key: list[str], value: str, ranks: dict[str, tuple[
     points = [max(0.0, ranks[n][0] - 4 / ACCURACY) for n in names] + [min(1.0, ranks[n][0] + 4 / ACCURACY) for n in names]
     stats = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", points, ACCURACY).alias("_b"))
     few = F.col("n") <= ACCURACY
-    each = F.array(*(F.struct(F.lit(name).alias("name"), ranks[name][1].cast("long").alias("rank"), F.when(~few, F.col("_b")[i]).alias("from"), F.when(~few, F.col("_b")[i + len(names)]).alias("to")) for i, name in enumerate(names)))
+    each = F.array(*(F.struct(F.lit(name).alias("_stat"), ranks[name][1].cast("long").alias("rank"), F.when(~few, F.col("_b")[i]).alias("from"), F.when(~few, F.col("_b")[i + len(names)]).alias("to")) for i, name in enumerate(names)))
     brackets = stats.select(*key, "n", F.explode(each).alias("r")).select(*key, "n", "r.*")
     if key:
         marked = kept.join(brackets, key)
@@ -30,22 +30,22 @@ def located(rows: DataFrame, key: list[str], value: str, ranks: dict[str, tuple[
         marked = kept.crossJoin(F.broadcast(brackets))  # one row a name
     inside = F.coalesce(F.col("_v") >= F.col("from"), F.lit(True))
     marked = marked.where(F.coalesce(F.col("_v") <= F.col("to"), F.lit(True)))
-    counts = marked.groupBy(*key, "name", "n", "rank", F.when(inside, F.col("_v")).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*key, "name").orderBy(F.col("_x").asc_nulls_first())
+    counts = marked.groupBy(*key, "_stat", "n", "rank", F.when(inside, F.col("_v")).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*key, "_stat").orderBy(F.col("_x").asc_nulls_first())
     placed = counts.withColumns({"_end": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.lead("_x").over(w)})
     hit = placed.where((F.col("_end") - F.col("_c") <= F.col("rank")) & (F.col("rank") < F.col("_end")))
     high = F.when(F.col("rank") + 1 < F.col("_end"), F.col("_x")).otherwise(F.coalesce("_next", "_x"))
-    return hit.select(*key, "name", "n", "rank", F.col("_x").alias("low"), (F.col("_end") - F.col("_c")).alias("below"), high.alias("high"))
+    return hit.select(*key, "_stat", "n", "rank", F.col("_x").alias("low"), (F.col("_end") - F.col("_c")).alias("below"), high.alias("high"))
 
 
 def _wide(found: DataFrame, key: list[str], names: list[str], value: Column) -> DataFrame:
-    return found.groupBy(*key).agg(*(F.max(F.when(F.col("name") == n, value)).alias(n) for n in names))
+    return found.groupBy(*key).agg(*(F.max(F.when(F.col("_stat") == n, value)).alias(n) for n in names))
 
 
 def linear_quantiles(rows: DataFrame, key: list[str], value: str, points: dict[str, float]) -> DataFrame:
     """A column for each point, interpolated between the neighbours of place (n - 1) f; keys without values are left out."""
     found = located(rows, key, value, {n: (f, F.floor((F.col("n") - 1) * F.lit(f))) for n, f in points.items()})
-    at = F.coalesce(*(F.when(F.col("name") == n, F.lit(f)) for n, f in points.items()))
+    at = F.coalesce(*(F.when(F.col("_stat") == n, F.lit(f)) for n, f in points.items()))
     part = (F.col("n") - 1) * at - F.col("rank")
     return _wide(found, key, list(points), F.col("low") + part * (F.col("high") - F.col("low")))
 

@@ -98,3 +98,56 @@ def missing_sides(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has, and which."""
     left, right = a.select(key).distinct().withColumn("_a", F.lit(True)), b.select(key).distinct().withColumn("_b", F.lit(True))
     return left.join(right, key, "full").where("_a IS NULL OR _b IS NULL").select(key, F.when(F.col("_a").isNull(), "right").otherwise("left").alias("side"))
+
+
+def matching(rows: DataFrame, **values) -> DataFrame:
+    """rows whose columns have the given values."""
+    for name, value in values.items():
+        rows = rows.where(F.col(name) == value)
+    return rows
+
+
+def strict_join(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows joined to `known`; a key that is not known is an error."""
+    both = rows.join(known.withColumn("_known", F.lit(True)), key, "left")
+    checked = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown id "), F.col(key).cast("string")))).otherwise(F.col(key))
+    return both.withColumn(key, checked).drop("_known")
+
+
+def known_ids(ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """One row: the number of ids, whether they are distinct, and whether all are known."""
+    marked = ids.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(known.select(key).distinct().withColumn("_k", F.lit(True)), key, "left")
+    return marked.agg(F.count(F.lit(1)).alias("ids"), F.coalesce(F.max("_n") == 1, F.lit(True)).alias("distinct_ids"), (F.count_if(F.col("_k").isNull()) == 0).alias("known"))
+
+
+def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys only a has, and only b; two zeros mean equal sets."""
+    sides = missing_sides(a, b, key)
+    return sides.agg(F.count_if(F.col("side") == "left").alias("only_left"), F.count_if(F.col("side") == "right").alias("only_right"))
+
+
+def placed(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """rows with their `place` in the order of their key."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+
+
+def risk_ranked(rows: DataFrame, key: str, *tie: Column) -> DataFrame:
+    """rows (motion, margin, clearance, exits, dead_end, reverse) with `rank`: certain motion first, then the wider margin and clearance (none counts as
+    the widest), more exits, no dead end, no reversal; ties keep their order."""
+    motion = F.when(F.col("motion") == "clear_estimate", 0).when(F.col("motion") == "unknown", 1).otherwise(2)
+    order = [motion, F.col("margin").desc(), F.coalesce("clearance", F.lit(10**6)).desc(), F.col("exits").desc(), F.col("dead_end"), F.col("reverse"), *tie]
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+
+
+def first_strategy(rows: DataFrame, key: str, strategy: str, ranks: tuple[str, ...], order: str) -> DataFrame:
+    """(key, order) of each key's first row of the best strategy that it has; strategies that are not ranked come last."""
+    at = F.array_position(F.array(*map(F.lit, ranks)), F.col(strategy))
+    rank = F.when(at > 0, at).otherwise(len(ranks) + 1)
+    return rows.groupBy(key).agg(F.min_by(order, F.struct(rank.alias("r"), F.col(order).alias("o"))).alias(order))
+
+
+def reserved_in_turn(rows: DataFrame, key: str, role: str, roles: tuple[str, ...]) -> DataFrame:
+    """rows whose key no earlier role has: the roles reserve their keys in turn."""
+    rank = F.array_position(F.array(*map(F.lit, roles)), F.col(role))
+    first = rows.groupBy(key).agg(F.min(rank).alias("_first"))
+    return rows.join(first, key).where(rank == F.col("_first")).drop("_first")

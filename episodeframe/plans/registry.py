@@ -9,7 +9,7 @@ from ..operators import aggregates, audit, grids, ordered, orderstats, selection
 from ..sources import sinks
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
 from ..streaming import controller
-from . import flows  # noqa: F401  (registers its queries)
+from . import evaluation, fields, flows  # noqa: F401  (registers its queries)
 from .core import FLAGSHIP, ORACLE_SQL, QUERIES, REWARDS, TIE, query, r6, rewards
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
@@ -144,13 +144,6 @@ def prj4_placeholders(spark, d):
     return both.select("episode_id", F.coalesce("step", F.lit(-1)).alias("decision"), "action", F.col("step").isNotNull().alias("trains"))
 
 
-@query("""SELECT conv_id, arg_min(text, turn) FILTER (role='system') AS system, arg_min(text, turn) FILTER (role='user') AS first_user, lower(trim(arg_max(text, turn) FILTER (role='assistant'))) AS answer FROM conversations GROUP BY 1""")
-def prj10_chat_rows(spark, d):
-    of = lambda role: F.when(F.col("role") == role, F.col("text"))
-    at = lambda role: F.when(F.col("role") == role, F.col("turn"))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by(of("system"), at("system")).alias("system"), F.min_by(of("user"), at("user")).alias("first_user"), F.lower(F.trim(F.max_by(of("assistant"), at("assistant")))).alias("answer"))
-
-
 # order
 
 
@@ -316,12 +309,6 @@ def sel15_top_k(spark, d):
     return selection.first_of(table(spark, d, "part"), ["p_brand"], F.col("p_retailprice").desc(), F.col("p_partkey"), k=3).select("p_brand", "p_partkey", "p_retailprice", "place")
 
 
-@query(f"""WITH {EPISODES}, r AS (SELECT 'update' || seed AS label, count(*) AS games, count(*) FILTER (terminal='cleared') AS wins FROM episodes GROUP BY seed) SELECT label, games, wins FROM r ORDER BY wins / games DESC, substr(label, 7)::INT LIMIT 1""")
-def sel1_sel2_best_checkpoint(spark, d):
-    r = aggregates.pass_rates(episodes(spark, d), "seed").select(F.concat(F.lit("update"), F.col("seed")).alias("label"), "games", "wins", "pass_rate")
-    return selection.best(r, F.col("pass_rate").desc(), selection.natural_key(F.col("label"))).drop("pass_rate")
-
-
 @query("""WITH n AS (SELECT o_orderpriority, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) - 1 AS pos, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders)
   SELECT o_orderpriority, CASE WHEN pos = n // 2 THEN 'typical' ELSE '' END || CASE WHEN pos = n - 1 THEN 'best' ELSE '' END || CASE WHEN pos = 0 THEN 'worst' ELSE '' END AS role, o_orderkey, o_totalprice FROM n WHERE pos = n // 2 OR pos = 0 OR pos = n - 1""")
 def sel4_typical_best_worst(spark, d):
