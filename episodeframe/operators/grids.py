@@ -1,71 +1,119 @@
-"""Grid boards: distances, components and gates, one board a group of bounded size."""
+"""Grid boards as tables of edges: distances, shortest routes, gates and canonical forms."""
 
 from __future__ import annotations
 
 import itertools
 import tempfile
-from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Moves in their tie order (fixed values).
 MOVES = (("U", -1, 0), ("D", 1, 0), ("L", 0, -1), ("R", 0, 1))
+#: Frontiers that are looked through one by one before they are put together again.
+LAYERS = 16
 
 
-def distances(cells: DataFrame) -> DataFrame:
-    """(map_id, r, c, r2, c2, distance, first) between all pairs of open cells (map_id, r, c, open) of a board.
+def edges_of(cells: DataFrame, width: int, portal_row: int | None = None) -> DataFrame:
+    """(map_id, src, action, rank, dst) between open cells (map_id, r, c) of boards of one width; a cell is r * width + c, rank is the move's tie order.
 
-    `first` is the first move of a shortest route, ties by the order U, D, L, R. A board has some
-    hundred cells, so it is a group of its own; boards are spread over the cluster.
+    In the portal row the left and right ends are joined.
     """
+    moves = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(i).alias("rank"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for i, (a, dr, dc) in enumerate(MOVES)))
+    to = cells.select("map_id", "r", "c", F.explode(moves).alias("m")).select("map_id", (F.col("r") * width + F.col("c")).alias("src"), "m.action", "m.rank", (F.col("r") + F.col("m.dr")).alias("r"), (F.col("c") + F.col("m.dc")).alias("c"))
+    if portal_row is not None:
+        to = to.withColumn("c", F.when(F.col("r") == portal_row, F.expr(f"pmod(c, {width})")).otherwise(F.col("c")))
+    return to.join(cells.select("map_id", "r", "c"), ["map_id", "r", "c"]).select("map_id", "src", "action", "rank", (F.col("r") * width + F.col("c")).cast("long").alias("dst"))
 
-    def board(pdf: pd.DataFrame) -> pd.DataFrame:
-        free = {(r, c) for r, c, o in zip(pdf.r, pdf.c, pdf.open, strict=True) if o}
-        out = []
-        for target in sorted(free):
-            far = {target: 0}
-            queue = deque([target])
-            while queue:
-                at = queue.popleft()
-                for _, dr, dc in MOVES:
-                    to = at[0] + dr, at[1] + dc
-                    if to in free and to not in far:
-                        far[to] = far[at] + 1
-                        queue.append(to)
-            for (r, c), d in far.items():
-                first = next((m for m, dr, dc in MOVES if far.get((r + dr, c + dc)) == d - 1), None) if d else None
-                out.append((pdf.map_id.iloc[0], r, c, *target, d, first))
-        return pd.DataFrame(out, columns=["map_id", "r", "c", "r2", "c2", "distance", "first"])
-
-    return cells.groupBy("map_id").applyInPandas(board, "map_id long, r long, c long, r2 long, c2 long, distance long, first string")
-
-
-def frontier_distances(edges: DataFrame, sources: DataFrame, limit: int | None = None) -> DataFrame:
-    """(map_id, node, distance) from the sources over edges (map_id, src, dst), one frontier join a step.
+
+def _checkpoints(spark) -> None:
+    if spark.sparkContext.getCheckpointDir():
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="episodeframe-"))
+
+
+def frontier_distances(edges: DataFrame, sources: DataFrame, limit: int | None = None, by: tuple[str, ...] = ("map_id",)) -> DataFrame:
+    """(by..., node, distance) from the sources over edges (map_id, src, dst), one frontier join a step.
 
     For graphs of any size: each step joins the frontier alone, until it is empty; only a caller's `limit`
-    stops the search after so many steps. Each step is checkpointed in the shared folder, so plans stay short
-    and a lost executor costs one step. Only a local session may do without one named.
+    stops the search after so many steps. With more columns in `by` each of their values searches by
+    itself. A step is checkpointed in the shared folder (only a local session may do without one named), so plans stay short
+    and a lost executor costs one step; every LAYERS steps the layers found so far are put together.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="episodeframe-"))
-    seen = frontier = sources.select("map_id", "node").distinct().withColumn("distance", F.lit(0).cast("long"))
+    _checkpoints(edges.sparkSession)
+    key = [*by, "node"]
+    own = edges.select("map_id", "src", "dst").distinct()
+    frontier = sources.select(*key).distinct().withColumn("distance", F.lit(0).cast("long")).checkpoint()
+    seen, layers = frontier, 1
     for d in itertools.count(1) if limit is None else range(1, limit + 1):
-        reached = frontier.withColumnRenamed("node", "src").join(edges, ["map_id", "src"]).select("map_id", F.col("dst").alias("node")).distinct()
-        frontier = reached.join(seen.select("map_id", "node"), ["map_id", "node"], "left_anti").withColumn("distance", F.lit(d).cast("long"))
-        frontier = frontier.checkpoint()
+        reached = frontier.withColumnRenamed("node", "src").join(own, ["map_id", "src"]).select(*by, F.col("dst").alias("node")).distinct()
+        frontier = reached.join(seen.select(*key), key, "left_anti").withColumn("distance", F.lit(d).cast("long")).checkpoint()
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier).coalesce(8).checkpoint()
+        seen, layers = seen.unionByName(frontier), layers + 1
+        if layers == LAYERS:
+            seen, layers = seen.repartition(*key).checkpoint(), 1
     return seen
 
 
+def all_distances(edges: DataFrame) -> DataFrame:
+    """(map_id, src, node, distance) between all pairs of cells that are joined."""
+    cells = edges.select("map_id", "src").unionByName(edges.select("map_id", F.col("dst").alias("src"))).distinct()
+    return frontier_distances(edges, cells.withColumn("origin", F.col("src")).withColumnRenamed("src", "node"), by=("map_id", "origin")).withColumnRenamed("origin", "src")
+
+
+def first_moves(edges: DataFrame, distances: DataFrame) -> DataFrame:
+    """(map_id, src, node, distance, actions, first): all first moves of shortest routes, in tie order, and the first of them."""
+    step = edges.select("map_id", "src", "action", "rank", F.col("dst").alias("_via"))
+    rest = distances.select("map_id", F.col("src").alias("_via"), "node", F.col("distance").alias("_left"))
+    both = distances.where("distance > 0").join(step, ["map_id", "src"]).join(rest, ["map_id", "_via", "node"]).where(F.col("_left") == F.col("distance") - 1)
+    moves = both.groupBy("map_id", "src", "node", "distance").agg(F.array_sort(F.collect_set(F.struct("rank", "action"))).alias("_m"))
+    return moves.select("map_id", "src", "node", "distance", F.array_join(F.transform("_m", lambda m: m["action"]), "").alias("actions"), F.get("_m", F.lit(0))["action"].alias("first"))
+
+
+def nearest_targets(distances: DataFrame, targets: DataFrame) -> DataFrame:
+    """(map_id, src, target, distance) of the target (map_id, node) nearest to each cell; the least cell on a tie."""
+    hit = distances.join(targets.select("map_id", "node"), ["map_id", "node"])
+    return hit.groupBy("map_id", "src").agg(F.min(F.struct("distance", "node")).alias("m")).select("map_id", "src", F.col("m.node").alias("target"), "m.distance")
+
+
+def route_margins(routes: DataFrame, threats: DataFrame, distances: DataFrame) -> DataFrame:
+    """(route_id, margin): over the cells of a route (route_id, map_id, step from 1, node) the least of the nearest threat's arrival less one's own; null without a threat that arrives."""
+    arrival = distances.join(threats.select("map_id", F.col("node").alias("src")), ["map_id", "src"]).groupBy("map_id", "node").agg(F.min("distance").alias("_eta"))
+    return routes.join(arrival, ["map_id", "node"], "left").groupBy("route_id").agg(F.min(F.col("_eta") - F.col("step")).alias("margin"))
+
+
+def connectivity(cells: DataFrame, reached: DataFrame, wanted: Column) -> DataFrame:
+    """(map_id, wanted, reached, passed): whether all wanted cells (map_id, node, ...) were reached, and there is one at least."""
+    marked = cells.where(wanted).join(reached.select("map_id", "node").withColumn("_in", F.lit(True)), ["map_id", "node"], "left")
+    n, got = F.count(F.lit(1)), F.count_if("_in")
+    return marked.groupBy("map_id").agg(n.alias("wanted"), got.alias("reached"), (n == got).alias("passed"))
+
+
+def route_summaries(moves: DataFrame, edges: DataFrame, cap: int = 4) -> DataFrame:
+    """Of routes (route_id, map_id, step from 0, src, action, dst): length, junctions (three ways or more), turns, portals (jumps over more than one cell), the moves up to the first
+    junction, portal or the cap, and an id from the content."""
+    degree = edges.select("map_id", "src", "dst").distinct().groupBy("map_id", F.col("src").alias("_at")).agg(F.count(F.lit(1)).alias("_ways"))
+    w = Window.partitionBy("route_id").orderBy("step")
+    here = degree.withColumnsRenamed({"_at": "src", "_ways": "_from"})
+    there = degree.withColumnsRenamed({"_at": "dst", "_ways": "_to"})
+    rows = moves.join(here, ["map_id", "src"], "left").join(there, ["map_id", "dst"], "left").withColumns({"_turn": F.col("action") != F.lag("action").over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("route_id"))})
+    stop = F.when(F.col("portal"), "portal_exit").when(F.col("_to") >= 3, "junction")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "src", "action"))), lambda s: F.concat(s["src"].cast("string"), s["action"])), ",")
+    found = rows.groupBy("route_id").agg(
+        F.count(F.lit(1)).alias("moves"), F.count_if(F.col("_from") >= 3).alias("junctions"), F.count_if("_turn").alias("turns"), F.count_if("portal").alias("portals"),
+        F.min(F.when((F.col("step") < cap) & stop.isNotNull(), F.struct("step", stop.alias("why")))).alias("_stop"), F.concat(F.lit("r"), F.substring(F.sha2(text, 256), 1, 16)).alias("content_id"),
+    )
+    return found.select(
+        "route_id", "moves", "junctions", "turns", "portals", F.coalesce(F.col("_stop.step") + 1, F.least("moves", F.lit(cap))).cast("long").alias("segment"),
+        F.coalesce(F.col("_stop.why"), F.when(F.col("moves") > cap, "segment_cap").otherwise("route_end")).alias("boundary"), "content_id",
+    )
+
+
 def canonical_layouts(boards: DataFrame) -> DataFrame:
     """(map_id, canonical): the least of the eight turned and mirrored forms of a board's rows (array of strings)."""
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar, statistics
-from ..operators import aggregates, audit, grids, ordered, orderstats, selection
+from ..operators import aggregates, audit, ordered, orderstats, selection
 from ..sources import sinks
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
 from ..streaming import controller
-from . import evaluation, fields, flows  # noqa: F401  (registers its queries)
+from . import audits, boards, evaluation, fields, flows  # noqa: F401  (registers its queries)
 from .core import FLAGSHIP, ORACLE_SQL, QUERIES, REWARDS, TIE, query, r6, rewards
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
@@ -477,31 +477,6 @@ def jn12_range_bins(spark, d):
     return rows.join(F.broadcast(bins), rows.l_quantity.between(bins.low, bins.high)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-BOARD = """cells AS (SELECT m.m AS map_id, p.p // 7 AS r, p.p % 7 AS c FROM range(0, 3) m(m), range(0, 35) p(p) WHERE (p.p * 7 + m.m * 3) % 5 <> 1)"""
-
-
-def boards(spark):
-    p = spark.range(3).withColumnRenamed("id", "map_id").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(34)).cast("array<bigint>")))
-    return p.select("map_id", F.expr("p div 7").alias("r"), (F.col("p") % 7).alias("c"), ((F.col("p") * 7 + F.col("map_id") * 3) % 5 != 1).alias("open"))
-
-
-@query(f"""WITH RECURSIVE {BOARD}, e AS (SELECT a.map_id, a.r * 7 + a.c AS src, b.r * 7 + b.c AS dst FROM cells a JOIN cells b ON a.map_id = b.map_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
-  s AS (SELECT map_id, min(r * 7 + c) AS node FROM cells GROUP BY 1),
-  w AS (SELECT map_id, node, 0::BIGINT AS distance FROM s UNION SELECT e.map_id, dst, distance + 1 FROM w JOIN e ON w.map_id = e.map_id AND w.node = e.src WHERE distance < 34)
-  SELECT map_id, node, min(distance) AS distance FROM w GROUP BY 1, 2""")
-def gr1_frontier_distances(spark, d):
-    open_ = boards(spark).where("open").drop("open")
-    moves = spark.createDataFrame([(-1, 0), (1, 0), (0, -1), (0, 1)], "dr long, dc long")
-    to = open_.crossJoin(F.broadcast(moves)).select("map_id", (F.col("r") * 7 + F.col("c")).alias("src"), (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c"))
-    edges = to.join(open_, ["map_id", "r", "c"], "left_semi").select("map_id", "src", (F.col("r") * 7 + F.col("c")).alias("dst"))
-    return grids.frontier_distances(edges, open_.groupBy("map_id").agg(F.min(F.col("r") * 7 + F.col("c")).alias("node")))
-
-
-@query()
-def gr2_gr8_board_routes(spark, d):
-    return grids.distances(boards(spark))
-
-
 @query("""WITH o AS (SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '1-URGENT') AS p FROM orders)
   SELECT 'orders' AS name, count(*) AS rows, count(DISTINCT o_orderkey) AS keys, sha256(sum(('0x' || substr(sha256('v' || o_orderkey || chr(31) || coalesce('v' || o_orderstatus, 'n') || chr(31) || coalesce('v' || p, 'n')), 1, 15))::BIGINT)::VARCHAR) AS digest FROM o""")
 def snk6_manifest(spark, d):
