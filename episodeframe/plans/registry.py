@@ -9,7 +9,7 @@ from ..operators import aggregates, audit, ordered, orderstats, selection
 from ..sources import sinks
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
 from ..streaming import controller
-from . import audits, boards, evaluation, fields, flows  # noqa: F401  (registers its queries)
+from . import audits, boards, evaluation, fields, files, flows  # noqa: F401  (registers its queries)
 from .core import FLAGSHIP, ORACLE_SQL, QUERIES, REWARDS, TIE, query, r6, rewards
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

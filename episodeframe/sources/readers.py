@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -39,3 +42,75 @@ def seeds(df: DataFrame, column: str, out: str = "seed") -> DataFrame:
     part = F.explode(F.split(F.regexp_replace(column, "\\s", ""), ",")).alias("_part")
     ends = F.split("_part", "-")
     return df.select("*", part).withColumn(out, F.explode(F.sequence(ends[0].cast("long"), F.coalesce(F.get(ends, F.lit(1)), ends[0]).cast("long")))).drop("_part")
+
+
+def chronological(files: DataFrame) -> DataFrame:
+    """Rows of json_files() with their `_place` by (modification time, file name): files of one instant are ordered by name."""
+    from pyspark.sql import Window
+
+    # one row a file, and only its two short columns are needed for the order
+    return files.withColumn("_place", F.row_number().over(Window.orderBy("_modified", "_file")).cast("long"))
+
+
+def labelled_files(spark: SparkSession, path: str, schema: StructType | str, name: str) -> DataFrame:
+    """Rows of `<path>/<label>/<name>`, the label being the folder's name."""
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(f"{path}/*/{name}")
+    return raw.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("label"), *[c for c in raw.columns])
+
+
+def partial_scan(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
+    """(_file, names...) of whole files by regular expressions alone: nothing is parsed but the groups found. A file without one of them is an error."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), "value")
+    found = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
+    missing = lambda n: F.raise_error(F.concat(F.lit(f"no {n} in "), F.col("_file")))
+    return raw.select("_file", *(F.coalesce(found(p), missing(n)).alias(n) for n, p in patterns.items()))
+
+
+def level_files(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, width, height, tiles) of level texts: `# name value` lines ahead, then rows of whole numbers between the start and end marks.
+
+    Missing sizes, another number of rows, or a row of another length are errors that name the file.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), "value")
+    size = lambda n: F.nullif(F.regexp_extract("value", f"(?m)^\\s*#\\s+{n}\\s+(\\d+)", 1), F.lit("")).cast("int")
+    body = F.regexp_extract("value", "(?s)# startleveldata\\s*\\n(.*?)# endleveldata", 1)
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = raw.select("_file", size("lvlwidth").alias("width"), size("lvlheight").alias("height"), F.transform(lines, lambda x: F.split(x, "\\s+").cast("array<int>")).alias("tiles"))
+    fine = (F.col("width") > 0) & (F.col("height") > 0) & (F.size("tiles") == F.col("height")) & F.forall("tiles", lambda r: F.size(r) == F.col("width"))
+    return rows.withColumn("tiles", F.when(F.coalesce(fine, F.lit(False)), F.col("tiles")).otherwise(F.raise_error(F.concat(F.lit("not a level: "), F.col("_file")))))
+
+
+def level_tiles(levels: DataFrame) -> DataFrame:
+    """(_file, r, c, tile) of level_files()."""
+    rows = levels.select("_file", F.posexplode("tiles").alias("r", "_row"))
+    return rows.select("_file", "r", F.posexplode("_row").alias("c", "tile"))
+
+
+def grid_block(text: Column, symbols: str = "#PGX. ") -> Column:
+    """The rows of symbols under a `Grid:` line, up to the first empty or other line; null if there are none."""
+    lines = F.split(F.regexp_extract(text, "(?s)(?:^|\n)\\s*Grid:\\s*\n(.*)$", 1), "\n")
+    fine = lambda x: (x != "") & (F.length(F.translate(x, symbols, "")) == 0)
+    bad = F.array_position(F.transform(lines, fine), F.lit(False))
+    rows = F.when(bad > 0, F.slice(lines, F.lit(1), (bad - 1).cast("int"))).otherwise(lines)
+    return F.when(F.size(rows) > 0, rows)
+
+
+def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(_file, tensor, dtype, begin, end, contiguous) of files that start with eight bytes of header length and a JSON header; whether each tensor begins where the one before ends, from 0 to the file's end."""
+
+    @F.pandas_udf("string")
+    def header(content: pd.Series) -> pd.Series:
+        def one(raw: bytes) -> str:
+            size = int.from_bytes(raw[:8], "little")
+            found = {k: v for k, v in json.loads(raw[8 : 8 + size]).items() if k != "__metadata__"}
+            return json.dumps({"size": len(raw) - 8 - size, "tensors": [{"name": k, "dtype": v["dtype"], "begin": v["data_offsets"][0], "end": v["data_offsets"][1]} for k, v in found.items()]})
+
+        return content.map(one)
+
+    raw = spark.read.format("binaryFile").load(path)
+    kind = "size long, tensors array<struct<name: string, dtype: string, begin: bigint, end: bigint>>"
+    rows = raw.select(F.element_at(F.split("path", "/"), -1).alias("_file"), F.from_json(header("content"), kind).alias("h"))
+    ordered = F.array_sort(F.transform("h.tensors", lambda t: F.struct(t["begin"].alias("begin"), t["end"].alias("end"), t["name"].alias("name"), t["dtype"].alias("dtype"))))
+    rows = rows.select("_file", F.col("h.size").alias("size"), ordered.alias("t"))
+    whole = F.forall(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i)["begin"] == F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("t", i - 1)["end"])) & (F.element_at("t", -1)["end"] == F.col("size"))
+    return rows.select("_file", whole.alias("contiguous"), F.explode("t").alias("x")).select("_file", F.col("x.name").alias("tensor"), "x.dtype", "x.begin", "x.end", "contiguous")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,3 +39,101 @@ def manifest(df: DataFrame, name: str, key: str) -> DataFrame:
     """One row: name, row count, distinct keys, and the digest of row_digest()."""
     facts = row_digest(df).select(F.lit(name).alias("name"), "rows", "digest")
     return facts.crossJoin(df.agg(F.count_distinct(key).alias("keys"))).select("name", "rows", "keys", "digest")  # one row each
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share; only a local session may do without one named."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        found = "file://" + tempfile.mkdtemp(prefix="episodeframe-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def write_episodes(df: DataFrame, path: str, rules: list, *key: str) -> None:
+    """One folder of JSON an episode, named by its key with unsafe characters replaced. Nothing is written if a row breaks a rule, two keys get one name, or the path exists."""
+    from ..functions.scalar import safe_name
+    from ..operators.audit import violations
+
+    if not violations(df, rules, *key).isEmpty():
+        raise ValueError("a row breaks a rule")
+    named = df.withColumn("_name", safe_name(F.concat_ws("--", *(F.col(k).cast("string") for k in key))))
+    if not named.groupBy("_name").count().where("count > 1").isEmpty():
+        raise ValueError("two episodes have one name")
+    named.repartition("_name").write.mode("errorifexists").partitionBy("_name").json(path)
+
+
+def write_canonical(df: DataFrame, path: str, *order: str) -> DataFrame:
+    """JSON lines with sorted keys, in order over the numbered parts of a folder that must not exist; one row (rows, digest) comes back.
+
+    The digest is the SHA-256 of the digests of equal ranges of lines in their order, so no task reads all of them.
+    """
+    import hashlib
+
+    spark = df.sparkSession
+    line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), line.alias("value")).repartitionByRange(n, *(f"_{i}" for i in range(len(order)))).sortWithinPartitions(*(f"_{i}" for i in range(len(order))))
+    ranged.select("value").write.mode("errorifexists").text(path)
+
+    def digests(batches):
+        import pandas as pd
+
+        held, rows = hashlib.sha256(), 0
+        for b in batches:
+            for v in b["value"]:
+                held.update(v.encode() + b"\n")
+                rows += 1
+        if rows:
+            yield pd.DataFrame({"rows": [rows], "part": [held.hexdigest()]})
+
+    parts = ranged.select("value").mapInPandas(digests, "rows long, part string").withColumn("at", F.monotonically_increasing_id())
+    # one short row a part
+    return parts.agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]), ""), 256).alias("digest"))
+
+
+def append_attempts(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines; what is there stays."""
+    df.write.mode("append").json(path)
+
+
+def reports(steps: DataFrame, key: str, order: str, columns: list[str], title: str) -> DataFrame:
+    """(key, text): a Markdown table of each key's rows in order, under a title."""
+    bars = lambda values: F.concat(F.lit("| "), F.concat_ws(" | ", *values), F.lit(" |"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), bars([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("line")))), lambda x: x["line"])
+    head = F.concat(F.lit(f"# {title} "), F.col(key).cast("string"), F.lit("\n\n| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"))
+    return steps.groupBy(key).agg(lines.alias("_l")).select(key, F.concat(head, F.array_join("_l", "\n")).alias("text"))
+
+
+def publish(df: DataFrame, path: str, update: int, state: dict[str, str]) -> None:
+    """A joint checkpoint: data, then a receipt with its rows, digest and the controller's state, and the pointer last. A completed update is never replaced."""
+    spark = df.sparkSession
+    done = f"{path}/receipts/{update:07d}"
+    if _exists(spark, done):
+        raise ValueError(f"update {update} is completed")
+    df.write.mode("overwrite").parquet(f"{path}/data/{update:07d}")  # what an unfinished attempt left
+    facts = row_digest(spark.read.schema(df.schema).parquet(f"{path}/data/{update:07d}")).first()
+    receipt = spark.createDataFrame([(update, facts.rows, facts.digest, state)], "update long, rows long, digest string, state map<string,string>")
+    receipt.coalesce(1).write.mode("errorifexists").json(done)
+    spark.createDataFrame([(update, facts.digest)], "update long, digest string").coalesce(1).write.mode("append").json(f"{path}/pointer")
+
+
+def restore(spark: SparkSession, path: str, schema, update: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Data and state of an update, the last one by default, after its receipt and digest have been checked."""
+    if update is None:
+        update = spark.read.schema("update long, digest string").json(f"{path}/pointer").agg(F.max("update")).first()[0]
+    told = spark.read.schema("update long, rows long, digest string, state map<string,string>").json(f"{path}/receipts/{update:07d}").first()
+    df = spark.read.schema(schema).parquet(f"{path}/data/{update:07d}")
+    facts = row_digest(df).first()
+    if (facts.rows, facts.digest, told.update) != (told.rows, told.digest, update):
+        raise ValueError(f"update {update} does not fit its receipt")
+    return df, told.state
