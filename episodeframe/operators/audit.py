@@ -34,12 +34,9 @@ def quarantined(rows: DataFrame, rules: list[Rule], *key: str) -> DataFrame:
     return rows.join(violations(rows, rules, *key).select(*key).distinct(), list(key), "left_anti")
 
 
-#: What a header (steps, score) must share with the sums of its episode's steps.
-LEDGER_RULES = [
-    Rule("steps", F.coalesce(F.col("seen") != F.col("steps"), F.lit(True))),
-    Rule("contiguous", F.coalesce(F.col("jumps") > 0, F.lit(True))),
-    Rule("balance", F.coalesce(F.col("balance") != F.col("score"), F.lit(True))),
-]
+def ledger_rules() -> list[Rule]:
+    """What a header (steps, score) must share with the sums of its episode's steps."""
+    return [Rule("steps", F.col("seen") != F.col("steps")), Rule("contiguous", F.col("jumps") > 0), Rule("balance", F.col("balance") != F.col("score"))]
 
 
 def ledger_sums(steps: DataFrame) -> DataFrame:
@@ -51,7 +48,7 @@ def ledger_sums(steps: DataFrame) -> DataFrame:
 
 def ledger_mismatches(headers: DataFrame, steps: DataFrame) -> DataFrame:
     """Episodes whose header disagrees with its steps: number of steps, contiguity, final balance."""
-    return violations(headers.join(ledger_sums(steps), "episode_id", "left"), LEDGER_RULES, "episode_id")
+    return violations(headers.join(ledger_sums(steps), "episode_id", "left"), ledger_rules(), "episode_id")
 
 
 def homogeneous(rows: DataFrame, by: str, contract: str) -> DataFrame:

@@ -401,7 +401,7 @@ def val2_ledger(spark, d):
     sums = audit.ledger_sums(steps(spark, d))
     off = lambda n: (F.col("episode_id") % n == 0).cast("long")
     headers = sums.withColumns({"steps": F.col("seen") + off(5), "score": F.col("balance") + off(7)})
-    return audit.violations(headers, audit.LEDGER_RULES, "episode_id")
+    return audit.violations(headers, audit.ledger_rules(), "episode_id")
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest, ('0x' || substr(sha256(coalesce(text, '')), 1, 8))::BIGINT AS seed FROM documents")

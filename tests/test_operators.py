@@ -39,8 +39,10 @@ def test_mcnemar_and_wilson(spark):
 
 
 def test_natural_labels(spark):
-    df = spark.createDataFrame([("update12",), ("update2",), ("base",)], "label string")
-    assert [r.label for r in df.orderBy(selection.natural_key(F.col("label"))).collect()] == ["base", "update2", "update12"]
+    labels = ["update12", "update2", "base", "update" + "9" * 20, "update1" + "0" * 20, "update007"]
+    df = spark.createDataFrame([(x,) for x in labels], "label string")
+    found = [r.label for r in df.orderBy(selection.natural_key(F.col("label"))).collect()]
+    assert found == ["base", "update2", "update007", "update12", "update" + "9" * 20, "update1" + "0" * 20]
 
 
 def test_scalars(spark):
@@ -55,13 +57,17 @@ def test_scalars(spark):
     import hashlib
 
     assert int(x.s) == int.from_bytes(hashlib.sha256(b"a").digest()[:8], "little")
-    assert (x.line, x.p, x.m, x.f) == ("perf 1", 64, {"api_key": "***", "name": "y"}, {"a/b": 1.0})
+    assert (x.line, x.p, x.m, x.f) == ("perf 1", 64, {"api_key": "[REDACTED]", "name": "y"}, {"a/b": 1.0})
 
 
 def test_boards(spark):
-    cells = spark.createDataFrame([(1, r, c, (r, c) != (0, 1)) for r in range(2) for c in range(3)], "map_id long, r long, c long, open boolean")
-    found = {(r.r, r.c, r.r2, r.c2): (r.distance, r.first) for r in grids.distances(cells).collect()}
-    assert found[0, 0, 0, 2] == (4, "D") and found[0, 0, 0, 0] == (0, None) and len(found) == 25
+    cells = spark.createDataFrame([(1, r, c) for r in range(2) for c in range(3) if (r, c) != (0, 1)], "map_id long, r long, c long")
+    edges = grids.edges_of(cells, 3)
+    far = grids.all_distances(edges)
+    found = {(r.src, r.node): (r.distance, r.actions) for r in grids.first_moves(edges, far).collect()}
+    assert found[0, 2] == (4, "D") and len(found) == 20 and far.count() == 25
+    tunnel = grids.edges_of(cells, 3, portal_row=0)
+    assert (0, "L", 2) in {(r.src, r.action, r.dst) for r in tunnel.collect()}
     boards = spark.createDataFrame([(1, ["ab", "cd"]), (2, ["ca", "db"]), (3, ["ba", "dc"]), (4, ["ab", "dc"])], "map_id long, rows array<string>")
     form = {r.map_id: r.canonical for r in grids.canonical_layouts(boards).collect()}
     assert form[1] == form[2] == form[3] != form[4]
@@ -97,24 +103,37 @@ def test_write_once(spark, tmp_path):
     assert a == b and a.rows == 5
 
 
+def batch(run, update, *tiers):
+    return (run, update, [(*t[:4], list(t[4])) for t in tiers])
+
+
+BATCH = f"run long, update long, tiers {controller.TIER}"
+
+
 def test_stream_folds_like_the_table(spark, tmp_path):
     rng = random.Random(4)
-    rows = [(run, u, rng.randint(5, 20), 0) for run in range(3) for u in range(12)]
-    rows = [(r, u, g, rng.randint(0, g)) for r, u, g, _ in rows]
-    schema = "run long, update long, games long, wins long"
-    want = sorted(map(tuple, controller.fold(spark.createDataFrame(rows, schema)).collect()))
+    rows = []
+    for run in range(3):
+        for u in range(12):
+            games = [rng.randint(5, 20) for _ in range(3)]
+            rows.append(batch(run, u, *((t, g, rng.randint(g // 3, g), g, rng.sample(range(9), 2)) for t, g in enumerate(games))))
+    policy = controller.Policy(max_tier=2)
+    want = sorted(map(tuple, controller.fold(spark.createDataFrame(rows, BATCH), policy).collect()))
+    assert any(w[-1] > w[-2] for w in want)
     source = tmp_path / "in"
     source.mkdir()
     rng.shuffle(rows)  # updates arrive out of order, and one twice
+    names = ("tier", "games", "wins", "planned", "maps")
+    text = lambda r: json.dumps({"run": r[0], "update": r[1], "tiers": [dict(zip(names, t)) for t in r[2]]})
     for i in range(4):
-        (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("run", "update", "games", "wins"), r))) for r in rows[i::4] + rows[:1]))
+        (source / f"{i}.json").write_text("\n".join(map(text, rows[i::4] + rows[:1])))
         time.sleep(0.02)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(source))
-    q = controller.fold_stream(stream).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).json(str(source))
+    q = controller.fold_stream(stream, policy).writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("folded").collect())) == want
     with pytest.raises(Exception, match="follows"):
-        controller.fold(spark.createDataFrame([(1, 1, 5, 5)], schema)).collect()
+        controller.fold(spark.createDataFrame([batch(1, 1, (0, 5, 5, 5, [1]))], BATCH)).collect()
 
 
 def test_journal(spark, tmp_path):
