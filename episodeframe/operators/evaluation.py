@@ -239,3 +239,19 @@ def overfit_gate(base: DataFrame, trained: DataFrame) -> DataFrame:
     d = {c: F.col(c) - F.col(f"_{c}") for c in names}
     ok = (d["clear_rate"] >= 0.1) & (d["pellets"] > 0) & ((d["shaped_reward"] > 0) | (d["wins"] > 0)) & (d["wall_rate"] <= 0.05)
     return both.select("label", d["clear_rate"].alias("clear_delta"), ok.alias("passed"))
+
+
+def screened(rows: DataFrame, size: int) -> DataFrame:
+    """(state, samples, successes, success_rate, low, high, complete) of screening rows (state, i, won): complete where the indices are exactly 0..size-1."""
+    per = rows.groupBy("state").agg(
+        F.count(F.lit(1)).alias("samples"), F.count_if("won").alias("successes"), ((F.count(F.lit(1)) == size) & (F.count_distinct("i") == size) & (F.min("i") == 0) & (F.max("i") == size - 1)).alias("complete")
+    )
+    low, high = wilson(F.col("successes"), F.col("samples"))
+    return per.withColumns({"success_rate": share(F.col("successes"), F.col("samples")), "low": low, "high": high})
+
+
+def before_and_after(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, before, after, change, apart) of keys that both probes (key, success_rate, low, high) have; others are passed over."""
+    b = before.select(key, F.col("success_rate").alias("before"), F.col("high").alias("_high"))
+    a = after.select(key, F.col("success_rate").alias("after"), F.col("low").alias("_low"))
+    return b.join(a, key).select(key, "before", "after", (F.col("after") - F.col("before")).alias("change"), (F.col("_low") > F.col("_high")).alias("apart"))

@@ -50,10 +50,14 @@ def recent(steps: DataFrame, size: int = 8) -> DataFrame:
     return steps.select("episode_id", "step", F.concat_ws("", F.collect_list("action").over(by_step().rowsBetween(1 - size, 0))).alias("recent"))
 
 
-def before_end(rows: DataFrame, key: str, order: list[str], distances: tuple[int, ...] = (4, 8, 16)) -> DataFrame:
-    """Rows at the given distances before the last of their key."""
-    back = F.row_number().over(Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))) - 1
-    return rows.withColumn("distance", back.cast("long")).where(F.col("distance").isin(*distances))
+def before_end(rows: DataFrame, key: str, order: list[str], distances: tuple[int, ...] = (4, 8, 16), died: Column | None = None) -> DataFrame:
+    """Rows at the given distances before the last of their key; with `died`, only of keys whose last row it is true of."""
+    w = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
+    numbered = rows.withColumn("distance", (F.row_number().over(w) - 1).cast("long"))
+    if died is None:
+        return numbered.where(F.col("distance").isin(*distances))
+    ended = numbered.withColumn("_died", F.first(died).over(w))
+    return ended.where(F.col("_died") & F.col("distance").isin(*distances)).drop("_died")
 
 
 def lookbacks(rows: DataFrame, key: str, order: list[str], death: Column, choices: tuple[int, ...] = tuple(range(4, 33))) -> DataFrame:

@@ -151,3 +151,17 @@ def reserved_in_turn(rows: DataFrame, key: str, role: str, roles: tuple[str, ...
     rank = F.array_position(F.array(*map(F.lit, roles)), F.col(role))
     first = rows.groupBy(key).agg(F.min(rank).alias("_first"))
     return rows.join(first, key).where(rank == F.col("_first")).drop("_first")
+
+
+def incomplete_batches(rows: DataFrame, batch: str, group: str, replica: str, groups: int, size: int) -> DataFrame:
+    """(batch, groups, members, repeated, outside) of the batches that don't hold each of `size` replicas of `groups` groups exactly once."""
+    per = rows.groupBy(batch, group).agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(replica).alias("_d"), F.count_if(~F.col(replica).between(0, size - 1)).alias("_o"))
+    found = per.groupBy(batch).agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("members"), (F.sum("_n") - F.sum("_d")).alias("repeated"), F.sum("_o").alias("outside"))
+    return found.where((F.col("groups") != groups) | (F.col("members") != groups * size) | (F.col("repeated") > 0) | (F.col("outside") > 0))
+
+
+def ranked_by_strategy(rows: DataFrame, key: str, strategy: str, limits: dict[str, int], *order: Column) -> DataFrame:
+    """The first rows of each key and strategy, as many as the strategy's limit; strategies without a limit are left out."""
+    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col(strategy)]
+    place = F.row_number().over(Window.partitionBy(key, strategy).orderBy(*order)).cast("long")
+    return rows.where(F.col(strategy).isin(*limits)).withColumn("place", place).where(F.col("place") <= limit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import statistics
 from ..operators import evaluation as ev
+from ..operators import selection
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
 from .core import query, r6
 
@@ -381,3 +382,38 @@ def val12_protocol_homogeneity(spark, d):
     temperature = F.when(F.col("policy") == "1-URGENT", F.lit(0)).otherwise(F.col("seed") % 3)
     rows = played(spark, d).select(F.col("policy").alias("mode"), F.sha2(F.concat(F.lit("T="), temperature.cast("string")), 256).alias("contract"))
     return homogeneous(rows, "mode", "contract")
+
+
+WILSON = """(rate + 1.959963984540054 ** 2 / (2 * n)) / (1 + 1.959963984540054 ** 2 / n) AS mid, 1.959963984540054 * sqrt(rate * (1 - rate) / n + 1.959963984540054 ** 2 / (4 * n * n)) / (1 + 1.959963984540054 ** 2 / n) AS half"""
+
+
+@query(f"""WITH {EPISODES}, s AS (SELECT group_id AS state, count(*) AS n, count(*) FILTER (terminal = 'cleared') AS wins, count(*) FILTER (terminal = 'cleared') / count(*) AS rate, list_sort(list(episode_id % 12)) = range(0, 12) AS complete FROM episodes GROUP BY 1), w AS (SELECT *, {WILSON} FROM s)
+  SELECT state, n AS samples, wins AS successes, complete, round(rate, 6) AS success_rate, round(greatest(0, mid - half), 6)::DOUBLE AS low, round(least(1, mid + half), 6)::DOUBLE AS high FROM w""")
+def ag10_screening(spark, d):
+    rows = episodes(spark, d).select(F.col("group_id").alias("state"), (F.col("episode_id") % 12).alias("i"), (F.col("terminal") == "cleared").alias("won"))
+    return ev.screened(rows, 12).withColumns({c: F.round(c, 6) for c in ("success_rate", "low", "high")})
+
+
+@query(f"""WITH {EPISODES}, s AS (SELECT seed, episode_id % 2 AS side, count(*) AS n, count(*) FILTER (terminal = 'cleared' OR (episode_id % 2 = 1 AND seed % 3 = 0)) / count(*) AS rate FROM episodes WHERE NOT (seed = 5 AND episode_id % 2 = 1) GROUP BY 1, 2), w AS (SELECT *, {WILSON} FROM s)
+  SELECT b.seed, round(b.rate, 6) AS before, round(a.rate, 6) AS after, round(a.rate - b.rate, 6) AS change, greatest(0, a.mid - a.half) > least(1, b.mid + b.half) AS apart FROM w b JOIN w a ON a.seed = b.seed AND a.side = 1 AND b.side = 0""")
+def jn4_before_and_after(spark, d):
+    e = episodes(spark, d).withColumn("side", F.col("episode_id") % 2).where("NOT (seed = 5 AND side = 1)")
+    won = (F.col("terminal") == "cleared") | ((F.col("side") == 1) & (F.col("seed") % 3 == 0))
+    per = e.groupBy("seed", "side").agg(F.count(F.lit(1)).alias("n"), F.count_if(won).alias("wins"))
+    low, high = statistics.wilson(F.col("wins"), F.col("n"))
+    per = per.withColumns({"success_rate": F.col("wins") / F.col("n"), "low": low, "high": high})
+    return ev.before_and_after(per.where("side = 0"), per.where("side = 1"), "seed").select("seed", *r6("before", "after", "change"), "apart")
+
+
+@query(f"""WITH {EPISODES}, r AS (SELECT group_id // 16 AS batch, group_id, episode_id % 12 AS replica FROM episodes WHERE NOT (fault AND group_id // 16 % 2 = 0)), g AS (SELECT batch, group_id, count(*) AS n, count(DISTINCT replica) AS d FROM r GROUP BY 1, 2), b AS (SELECT batch, count(*) AS groups, sum(n)::BIGINT AS members, sum(n - d)::BIGINT AS repeated, 0::BIGINT AS outside FROM g GROUP BY 1) SELECT * FROM b WHERE groups <> 16 OR members <> 192 OR repeated > 0""")
+def val14_batch_coverage(spark, d):
+    rows = episodes(spark, d).withColumns({"batch": F.expr("group_id div 16"), "replica": F.col("episode_id") % 12}).where("NOT (fault AND batch % 2 = 0)")
+    return selection.incomplete_batches(rows, "batch", "group_id", "replica", 16, 12)
+
+
+@query("""WITH c AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'ELIMINATE' WHEN 1 THEN 'COLLECT' WHEN 2 THEN 'AVOID' ELSE 'OTHER' END AS strategy, o_totalprice FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, strategy ORDER BY o_totalprice, o_orderkey) AS place FROM c)
+  SELECT o_custkey, o_orderkey, strategy, place FROM n WHERE place <= CASE strategy WHEN 'COLLECT' THEN 4 WHEN 'AVOID' THEN 4 WHEN 'ELIMINATE' THEN 2 ELSE 0 END""")
+def sel15_ranked_candidates(spark, d):
+    at = F.col("o_orderkey") % 4
+    c = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(at == 0, "ELIMINATE").when(at == 1, "COLLECT").when(at == 2, "AVOID").otherwise("OTHER").alias("strategy"), "o_totalprice")
+    return selection.ranked_by_strategy(c, "o_custkey", "strategy", {"COLLECT": 4, "AVOID": 4, "ELIMINATE": 2}, F.col("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "o_orderkey", "strategy", "place")

@@ -177,9 +177,11 @@ def seq8_recent_actions(spark, d):
     return ordered.recent(steps(spark, d))
 
 
-@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS distance FROM events) SELECT * FROM n WHERE distance IN (4, 8, 16)""")
+@query("""WITH n AS (SELECT user_id, event_id, row_number() OVER w - 1 AS distance, first_value(event_type) OVER w AS last FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) SELECT user_id, event_id, distance FROM n WHERE distance IN (4, 8, 16) AND last IN ('error', 'click', 'view')""")
 def seq9_ring(spark, d):
-    return ordered.before_end(table(spark, d, "events"), "user_id", TIE).select("user_id", "event_id", "distance")
+    """Rings of users whose last event is a death (here: one of three types)."""
+    died = F.col("event_type").isin("error", "click", "view")
+    return ordered.before_end(table(spark, d, "events"), "user_id", TIE, died=died).select("user_id", "event_id", "distance")
 
 
 @query("""WITH n AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
