@@ -210,12 +210,12 @@ def jn13_step_gaps(spark, d):
     return s.select("user_id", F.explode(records.spread_picks(F.col("steps"), 8)).alias("step"))
 
 
-@query("""WITH f AS (SELECT o_orderstatus AS run, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders), b AS (SELECT run, pos // 16 AS batch, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM f GROUP BY 1, 2) SELECT run, batch AS update, n, mean FROM b WHERE n = 16""")
+@query("""WITH f AS (SELECT o_orderstatus AS run, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders), b AS (SELECT run, pos // 16 AS batch, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM f GROUP BY 1, 2) SELECT run, batch AS update, n, total FROM b WHERE n = 16""")
 def jn16_src8_batches_by_position(spark, d):
     """The i-th batch of 16 files belongs to the i-th finished update; a batch that is not full has none."""
     files = table(spark, d, "orders").select(F.col("o_orderstatus").alias("run"), "o_orderdate", "o_orderkey", "o_totalprice")
     numbered = ordered.chunked(files, "run", ["o_orderdate", "o_orderkey"], 16, "batch")
-    per = numbered.groupBy("run", "batch").agg(F.count(N(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    per = numbered.groupBy("run", "batch").agg(F.count(N(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     return per.where("n = 16").withColumnRenamed("batch", "update")
 
 
