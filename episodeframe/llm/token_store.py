@@ -9,28 +9,29 @@ A store is a folder of three Parquet tables:
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions, range_bucket, running_start, small, stage, unstage
-from .kernels import U, list_array, mix
+from .kernels import U, chunks, list_array, mix, strings
 
 END = 0
 #: Ids a chunk has at least and at most; between them a rolling hash over WINDOW ids cuts with chance 1 / MEAN.
 LEAST, MOST, MEAN, WINDOW = 64, 4096, 256, 16
-#: Words whose ids a worker keeps; the table is emptied when full.
-MEMO = 500_000
-#: A blank between two characters that are no white space always opens a new word of a byte-level model.
-BREAK = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of text that are encoded at a time (one longer document is encoded alone).
+TEXT_BYTES = 4 << 20
+#: Pieces, of at most SHORT bytes each, whose ids a worker keeps; the table is emptied when full.
+MEMO, SHORT = 1_000_000, 16
 
 
 def default_tokenizer() -> str:
@@ -39,12 +40,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class WordEncoder:
-    """Ids of texts by the tokenizers library, which gets each distinct word of a worker once.
-
-    The byte-level pre-tokenizer never joins characters across a BREAK, nor across a lone line feed,
-    nor a letter and the punctuation after it, so a text's ids are its parts' ids in a row. Special
-    tokens' strings are ordinary text.
+#: Byte classes: letters, digits and other visible characters of ASCII; blanks; the apostrophe; bytes beyond ASCII; 0: controls.
+LETTER, DIGIT, SIGN, BLANK, QUOTE, WIDE = range(1, 7)
+CLASS = np.zeros(256, np.uint8)
+CLASS[0x21:0x7F] = SIGN
+CLASS[ord("0") : ord("9") + 1] = DIGIT
+CLASS[ord("A") : ord("Z") + 1] = CLASS[ord("a") : ord("z") + 1] = LETTER
+CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = BLANK
+CLASS[ord("'")] = QUOTE
+CLASS[0x80:] = WIDE
+#: Blanks beyond ASCII (fixed values).
+WIDE_BLANKS = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether a piece starts at a byte, where the byte-level pre-tokenizer always cuts: at a document's start, before a
+    blank after anything visible, between letters, digits and signs of ASCII (the apostrophe aside), and behind a lone
+    blank that is no space."""
+    kind = CLASS[data]
+    for blank in WIDE_BLANKS if (kind == WIDE).any() else ():
+        raw = blank.encode()
+        at = np.flatnonzero(data == raw[-1])
+        at = at[at >= len(raw) - 1]
+        for j, byte in enumerate(raw[:-1]):
+            at = at[data[at - len(raw) + 1 + j] == byte]
+        kind[at] = 0
+    out = np.zeros(len(data) + 1, bool)
+    if len(data) > 1:
+        before, here = kind[:-1], kind[1:]
+        plain, ascii_ = (here >= LETTER) & (here <= SIGN), (before >= LETTER) & (before <= SIGN)
+        out[1:-1] = (here == BLANK) & (before != BLANK) & (before > 0) | plain & ascii_ & (here != before)
+        lone = (before == BLANK) & (data[:-1] != 0x20) & plain
+        lone[1:] &= (kind[:-2] != BLANK) & (kind[:-2] > 0)
+        lone[:1] = False
+        out[1:-1] |= lone
+    out[offsets] = True
+    return out[:-1]
+
+
+class PieceEncoder:
+    """Ids of texts by the tokenizers library, which gets each distinct piece of a batch once.
+
+    A text's ids are its pieces' ids in a row if the tokenizer is byte-level without a normaliser;
+    texts that hold an added token's string, and all texts of other tokenizers, are one piece
+    each. Short pieces are told apart by their bytes, held in two words, and remembered across batches.
     """
 
     def __init__(self, path: str):
@@ -52,85 +91,115 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _library(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    @staticmethod
-    def _words(part: str) -> list[str]:
-        """A part cut where the pre-tokenizer always cuts."""
-        lines = part.split("\n")
-        if len(lines) > 1 and not all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
-            return [part]
-        out = []
-        for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
-            core = line.rstrip(".,;:!?")
-            if core and len(core) < len(line) and core[-1].isalpha():
-                out += [core, line[len(core) :]]
-            else:
-                out.append(line)
-        return out
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
-        cut = [self._words(p) for p in parts]
-        new = list({w for c in cut for w in c}.difference(self.words))
-        self.words.update(zip(new, self._library(new), strict=True))
-        return {p: b"".join([self.words[w] for w in c]) for p, c in zip(parts, cut, strict=True)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        if len(self.words) > MEMO:
-            self.words.clear()
-        split = []
-        for t in texts:
-            s = t.split(" ")
-            new = set(s).difference(self.parts)
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in new):
-                s = BREAK.split(t)
-            split.append(s)
-        known = self.parts
-        fresh = self._learn([" " + p for p in {p for s in split for p in s[1:]}.difference(known)])
-        known.update((p[1:], x) for p, x in fresh.items())
-        heads = self._learn([s[0] for s in split])
-        out = [heads[s[0]] + b"".join([known[p] for p in s[1:]]) for s in split]
-        for p in fresh:  # long parts hardly come again
-            if len(p) > 40:
-                del known[p[1:]]
-        return out
+        with open(path, encoding="utf-8") as f:
+            known = json.load(f)
+        first = known.get("pre_tokenizer") or {}
+        self.cuts = not known.get("normalizer") and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+        self.added = [t["content"].encode() for t in known.get("added_tokens", ())]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.slots = np.zeros(0, U), np.zeros(0, np.int64)
+        self.facts = np.zeros((0, 3), U)
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def library_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, number of each piece's)."""
+        found = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        n = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents in a row, each with the end id after it; where each document ends)."""
+        if len(self.keys) > MEMO:
+            self.forget()
+        opens = piece_starts(data, offsets) if self.cuts else np.isin(np.arange(len(data)), offsets)
+        blob = data.tobytes()
+        for token in self.added if self.cuts else ():
+            at = blob.find(token)
+            while at >= 0:
+                doc = int(np.searchsorted(offsets, at, "right"))
+                opens[at + 1 : offsets[doc]] = False
+                opens[offsets[doc - 1] + 1 : at + 1] = False
+                at = blob.find(token, int(offsets[doc]))
+        start = np.flatnonzero(opens)
+        size = np.diff(start, append=len(data))
+        short = size <= SHORT
+        # a piece's first and second eight bytes
+        padded = np.concatenate((data, np.zeros(16, np.uint8)))
+        words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        mask = lambda n: (U(1) << (U(8) * np.clip(n, 0, 7).astype(U))) - U(1) | np.where(n >= 8, ~U(0), U(0))
+        at, n = start[short], size[short]
+        head, tail = words[at] & mask(n), words[np.minimum(at + 8, len(data))] & mask(n - 8)
+        code, key = pd.factorize(mix(head + mix(tail + n.astype(U) * U(0xD6E8FEB86659FD93))))
+        own = np.empty(len(key), np.int64)
+        own[code[::-1]] = np.arange(len(code))[::-1]
+        facts = np.stack((head, tail, n.astype(U)), axis=1)
+        if len(code) and not (facts == facts[own][code]).all():
+            raise ValueError("two pieces have the same 64-bit hash")
+        place = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
+        known = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
+        slot = np.empty(len(key), np.int64)
+        slot[known] = self.slots[place[known]]
+        if known.any() and not (self.facts[slot[known]] == facts[own[known]]).all():
+            raise ValueError("two pieces have the same 64-bit hash")
+        new = np.flatnonzero(~known)
+        if len(new):
+            a, z = at[own[new]], at[own[new]] + n[own[new]]
+            ids, many = self.library_ids([blob[x:y].decode() for x, y in zip(a.tolist(), z.tolist(), strict=True)])
+            slot[new] = len(self.ends) - 1 + np.arange(len(new))
+            self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(many)))
+            self.ids = np.concatenate((self.ids, ids))
+            self.facts = np.concatenate((self.facts, facts[own[new]]))
+            order = np.argsort(key[new])
+            into = np.searchsorted(self.keys, key[new][order])
+            self.keys, self.slots = np.insert(self.keys, into, key[new][order]), np.insert(self.slots, into, slot[new][order])
+        # long pieces, and the end of each document, stand behind the table for this batch only
+        long = [blob[x : x + y] for x, y in zip(start[~short].tolist(), size[~short].tolist(), strict=True)]
+        each = {x: i for i, x in enumerate(dict.fromkeys(long))}
+        more, many = self.library_ids([x.decode() for x in each])
+        ids = np.concatenate((self.ids, more, np.array([end], np.uint32)))
+        ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.append(many, 1))))
+        which = np.empty(len(start), np.int64)
+        which[short] = slot[code]
+        which[~short] = len(self.ends) - 1 + np.array([each[x] for x in long], np.int64)
+        which = np.insert(which, np.searchsorted(start, offsets[1:]), len(ends) - 2)
+        count = ends[which + 1] - ends[which]
+        stop = np.cumsum(count)
+        stream = ids[np.repeat(ends[which] - stop + count, count) + np.arange(stop[-1] if len(stop) else 0)]
+        return stream, stop[which == len(ends) - 2]
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
-def cut_points(ids: np.ndarray) -> np.ndarray:
-    """Chunk ends of an id stream (the last is its length). They depend on nearby ids only, so shared runs share chunks."""
+def cut_points(ids: np.ndarray, stops: np.ndarray | None = None) -> np.ndarray:
+    """Chunk ends of an id stream; its documents end at `stops`. They depend on nearby ids only, so shared runs share chunks."""
     n = len(ids)
-    if n <= LEAST:
-        return np.array([n]) if n else np.zeros(0, np.int64)
     h = mix(ids.astype(U) + U(1))
     span = 1
     while span < WINDOW:  # h[i] becomes the sum of g[i - j] << j over the window
-        h = h + np.concatenate((np.zeros(span, U), h[:-span] << U(span)))
+        h[span:] = h[span:] + (h[:-span] << U(span))
         span *= 2
+    # the window of a cut lies in its document: a chunk has at least LEAST > WINDOW ids
     marks = np.flatnonzero((mix(h) & U(MEAN - 1)) == 0) + 1
-    out, last = [], 0
-    for m in [*marks.tolist(), n]:
-        while m - last > MOST:
-            last += MOST
-            out.append(last)
-        if m - last >= LEAST or m == n and m > last:
-            out.append(m)
-            last = m
-    return np.array(out)
+    stops = np.array([n] if n else [], np.int64) if stops is None else stops
+    out: list[int] = []
+    last, at = 0, 0
+    firsts = np.searchsorted(marks, stops).tolist()
+    marks = marks.tolist()
+    for stop, to in zip(stops.tolist(), firsts, strict=True):
+        for m in [*marks[at:to], stop]:
+            while m - last > MOST:
+                last += MOST
+                out.append(last)
+            if m - last >= LEAST or m == stop and m > last:
+                out.append(m)
+                last = m
+        at = to
+    return np.array(out, np.int64)
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -147,27 +216,29 @@ def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str, text_col: st
     kind = pa.struct([("address", pa.binary()), ("n", pa.int32()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, met = word_encoder(tokenizer), set()
-        tail = array("I", [end]).tobytes()
+        it, met = piece_encoder(tokenizer), set()
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                counts, recipes, chunks = [], [], []
-                for blob in it.encode([t or "" for t in part.column(1).to_pylist()]):
-                    blob += tail
-                    ids, at, names, new = np.frombuffer(blob, "<u4"), 0, [], []
-                    for cut in cut_points(ids).tolist():
-                        name = hashlib.sha256(blob[4 * at : 4 * cut]).digest()
-                        names.append(name)
-                        if name not in met:
-                            new.append((name, cut - at, pack(ids[at:cut])))
-                            if len(met) < 1_000_000:
-                                met.add(name)
-                        at = cut
-                    counts.append(len(ids))
-                    recipes.append(names)
-                    chunks.append([{"address": a, "n": n, "ids": x} for a, n, x in new])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.array(chunks, pa.list_(kind))], names=["doc_id", "n_tokens", "addresses", "chunks"])
+            data, offsets = strings(b.column(1))
+            for i, j in chunks(offsets, TEXT_BYTES):
+                ids, stops = it.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
+                cuts = cut_points(ids, stops)
+                blob, at = ids.astype("<u4").tobytes(), 0
+                names, owner, new = [], np.searchsorted(stops, cuts, "left"), []
+                for place, cut in enumerate(cuts.tolist()):
+                    name = hashlib.sha256(blob[4 * at : 4 * cut]).digest()
+                    names.append(name)
+                    if name not in met:
+                        new.append((place, name, cut - at, pack(ids[at:cut])))
+                        if len(met) < 1_000_000:
+                            met.add(name)
+                    at = cut
+                lists = lambda own, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(j - i + 1)), pa.int32()), values)
+                place, *columns = zip(*new) if new else ([], [], [], [])
+                fresh = pa.StructArray.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, kind, strict=True)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(np.diff(stops, prepend=0), pa.int64()), lists(owner, pa.array(names, pa.binary())), lists(owner[list(place)] if new else owner[:0], fresh)],
+                    names=["doc_id", "n_tokens", "addresses", "chunks"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, addresses array<binary>, chunks array<struct<address: binary, n: int, ids: binary>>")
@@ -293,8 +364,11 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
 
     Every chunk is read, checked against its address and reduced to its length and CRC in place;
-    a document's CRC follows from its chunks', so only short rows are shuffled.
+    a document's CRC follows from its chunks', so only short rows are shuffled. A damaged or missing
+    chunk, a document that its chunks don't fill, and recipes that the manifest does not fit are errors.
     """
+    if not check_manifest(spark, path):
+        raise ValueError(f"the recipes of {path} are not those of its manifest")
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -315,6 +389,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
             first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
             ends = np.cumsum(n)
             total = np.add.reduceat(n, first) if len(n) else n
+            if (total != b.column(3).to_numpy()).any():
+                raise ValueError("a chunk of a document is missing")
             after = np.repeat(ends[first + sizes - 1], sizes) - ends if len(n) else n
             whole = np.bitwise_xor.reduceat(shifted_crc(crc, 4 * after), first) if len(n) else crc
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(whole.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -322,8 +398,9 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.parquet(f"{path}/chunks").select("address", "n", "ids")
     known = stage(chunks.mapInArrow(facts, "address binary, n int, crc long"), "store-facts")
     recipes = spark.read.parquet(f"{path}/recipes")
-    parts = recipes.select("doc_id", "start", F.posexplode("addresses").alias("pos", "address"))
-    listed = parts.join(small(known), "address").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc"))).alias("parts"))
+    parts = recipes.select("doc_id", "start", "n_tokens", F.posexplode("addresses").alias("pos", "address"))
+    fact = F.struct("pos", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"))
+    listed = parts.join(small(known), "address", "left").groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(fact)).alias("parts"), F.first("n_tokens").alias("n_tokens"))
     return listed.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from episodeframe.llm import token_store as ts
@@ -12,7 +13,6 @@ from episodeframe.llm.common import new_path
 
 def wanted(rows):
     library = Tokenizer.from_file(ts.default_tokenizer())
-    library.encode_special_tokens = True
     return [[*library.encode(t or "", add_special_tokens=False).ids, 0] for _, t in rows]
 
 
@@ -38,11 +38,47 @@ def test_reconstruct_and_manifest(spark, tiny):
     assert chunks.count() == chunks.select("address").distinct().count()
 
 
-def test_words_with_odd_blanks():
-    it = ts.WordEncoder(ts.default_tokenizer())
-    texts = ["a  b", " a", "a ", "a\nb", "a \n b", "a\n\nb.", "it's we'll  'tis", "x.\n\ty", "tab\there", "é ü. 12,5% (a) b!?", " a  b", "a　 b", "\n", "don't. 'll", "日本 語。 x", "a.b! c?d", "word.'s it.'d", "\x1c a \x85b"]
-    for t, blob in zip(texts, it.encode(texts)):
-        assert np.frombuffer(blob, "<u4").tolist() == it.library.encode(t, add_special_tokens=False).ids, t
+ODD = ["a  b", " a", "a ", "a\nb", "a \n b", "a\n\nb.", "it's we'll  'tis", "x.\n\ty", "tab\there", "é ü. 12,5% (a) b!?", " a  b", "a　 b", "\n", "don't. 'll", "日本 語。 x", "a.b! c?d", "word.'s it.'d", "\x1c a \x85b", "", "a\x00b \x1f.", "x" * 40 + " y1z", "one <|endoftext|> two", "<|endoftext|>", "a\u2028 b\xa0c é\u2003.d"]
+
+
+def encoded(texts):
+    it = ts.PieceEncoder(ts.default_tokenizer())
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(t) for t in raw])
+    ids, stops = it.encode(np.frombuffer(b"".join(raw), np.uint8), offsets, 0)
+    return it, [x.tolist()[:-1] for x in np.split(ids, stops[:-1])] if texts else []
+
+
+def test_pieces_as_the_library():
+    rng = np.random.default_rng(8)
+    signs = list("ab1. ,'\n\t  \xa0é日\x1c-") + ["'s", "  ", "<|endoftext|>", "word"]
+    texts = ODD + ["".join(rng.choice(signs, rng.integers(1, 24))) for _ in range(3000)]
+    it, found = encoded(texts)
+    for t, ids in zip(texts, found, strict=True):
+        assert ids == it.library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_special_strings_are_the_librarys():
+    """A text that holds an added token's string gets its id, as a plain library call gives it."""
+    assert 50256 in encoded(["one <|endoftext|> two"])[1][0]
+
+
+def test_missing_chunk_and_wrong_manifest(spark, tiny):
+    path = new_path(spark, "test-store")
+    ts.write_store(tiny, path)
+    lost = new_path(spark, "test-store")
+    for name in ("recipes", "manifest"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{lost}/{name}")
+    one = spark.read.parquet(f"{path}/chunks").orderBy("address").first().address
+    spark.read.parquet(f"{path}/chunks").where(F.col("address") != F.lit(one)).write.parquet(f"{lost}/chunks")
+    with pytest.raises(Exception, match="missing"):
+        ts.read_digests(spark, lost).collect()
+    wrong = new_path(spark, "test-store")
+    spark.read.parquet(f"{path}/recipes").where("doc_id > 3").write.parquet(f"{wrong}/recipes")
+    for name in ("chunks", "manifest"):
+        spark.read.parquet(f"{path}/{name}").write.parquet(f"{wrong}/{name}")
+    with pytest.raises(ValueError, match="manifest"):
+        ts.read_digests(spark, wrong)
 
 
 def test_cuts_follow_content():
