@@ -28,7 +28,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group, survivor and digest of every document."""
-    return exact_dedup.exact_copies(documents(spark, sf_dir), digest=True)
+    return exact_dedup.exact_copies(documents(spark, sf_dir))
 
 
 def op5_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
