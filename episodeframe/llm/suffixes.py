@@ -30,8 +30,10 @@ SHARD_BITS = 21
 PIECE = 1 << 20
 #: Bits of a run's number of windows in its span: a run may fill a piece, so PIECE < 1 << SPAN_BITS.
 SPAN_BITS = 24
-#: A key with more runs than this is merged in groups first.
+#: The windows of a key with more runs than this are dealt one by one.
 HOT = 4096
+#: Windows that are dealt at a time, one by one.
+EACH_WINDOWS = 1 << 14
 #: Bytes of runs that are merged at a time, of whole keys.
 MERGE_BYTES = 4 << 20
 
@@ -275,24 +277,56 @@ def absorbed(text: np.ndarray, a: tuple, b: tuple, width: int) -> tuple[tuple, n
     same = text[x + width - 1] == text[y + width - 1]
     windows = np.lib.stride_tricks.sliding_window_view(text, width)
     same[~chain] = (windows[x[~chain]] == windows[y[~chain]]).all(axis=1)
-    if not same.all():
-        raise ValueError("two passages have the same 64-bit hash")
     new = ~hit
+    if not same.all():  # two passages have the same hash: both stay
+        same = (windows[x] == windows[y]).all(axis=1)
+        new[np.flatnonzero(hit)[here][~same]] = True
+        x, y = x[same], y[same]
     into = np.searchsorted(a[0], b[0][new])
     return (np.insert(a[0], into, b[0][new]), np.insert(a[1], into, b[1][new])), x, y
 
 
-def merged(firsts: DataFrame, width: int, by: list[str], keep: bool) -> DataFrame:
-    """Windows (key null) that an earlier document's run of the same key has; keep=True also returns the runs without them."""
+def windows_of(rows: DataFrame, width: int) -> DataFrame:
+    """Every window of runs as a run of its own, keyed by its own hash: equal windows still meet, and a key that many different windows share is dealt apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = strings(b.column(NAMES.index("text")))
+            shard, doc, tie, start = (b.column(NAMES.index(c)) for c in ("shard", "doc", "tie", "start"))
+
+            def parted(parts: list[tuple[int, int, int]]) -> pa.RecordBatch:
+                own, first, n = (np.array(c) for c in zip(*parts))
+                row = np.repeat(own, n)
+                inner = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(row))
+                at = offsets[row] + inner
+                low, high = int(at.min()), int(at.max()) + width
+                key = span_hash(prefix_hash(data[low:high]), at - low, at - low + width).view(np.int64)
+                of = pa.array(row)
+                return found_rows(key, shard.take(of), doc.take(of), tie.take(of), start.take(of).to_numpy() + inner, sliced(data, at, np.full(len(at), width)), None)
+
+            parts, held = [], 0
+            for r, n in enumerate((np.diff(offsets) - width + 1).tolist()):
+                for first in range(0, n, EACH_WINDOWS):
+                    parts.append((r, first, min(EACH_WINDOWS, n - first)))
+                    held += parts[-1][2]
+                    if held >= EACH_WINDOWS:
+                        yield parted(parts)
+                        parts, held = [], 0
+            if parts:
+                yield parted(parts)
+
+    return rows.select(*NAMES).mapInArrow(run, FOUND)
+
+
+def merged(firsts: DataFrame, width: int) -> DataFrame:
+    """Windows (key null) that an earlier document's run of the same key has."""
     spark = firsts.sparkSession
-    dealt = firsts.repartition(partitions(spark), *by).sortWithinPartitions(*by, F.col("doc").asc_nulls_first(), "tie", "start")
+    dealt = firsts.repartition(partitions(spark), "key").sortWithinPartitions("key", F.col("doc").asc_nulls_first(), "tie", "start")
 
     def chunk(t: pa.Table) -> Iterator[pa.RecordBatch]:
         data, offsets = strings(t.column("text").cast(pa.large_binary()).combine_chunks())
         change = np.ones(len(t), bool)
-        change[1:] = False
-        for c in by:
-            change[1:] |= np.diff(t.column(c).to_numpy()) != 0
+        change[1:] = np.diff(t.column("key").to_numpy()) != 0
         n = np.diff(offsets) - width + 1
         row = np.repeat(np.arange(len(t)), n)
         opens = np.zeros(len(row), bool)
@@ -321,31 +355,26 @@ def merged(firsts: DataFrame, width: int, by: list[str], keep: bool) -> DataFram
                 same = (document[r] == document[q]) & (begin[r] + x - offsets[r] == begin[q] + y - offsets[q])
                 lost[x[~same]] = True
             lists = [m[0] for m in made] + lists[len(made) * 2 :]
-        cols = {c: t.column(c).combine_chunks() for c in ("key", "shard", "doc", "tie")}
         start = begin[row] + window - offsets[row]
-
-        def rows(flags: np.ndarray, text: bool) -> pa.RecordBatch:
-            at, m = stretches(flags, opens)
-            key, shard, doc, tie = (cols[c].take(pa.array(row[at])) for c in cols)
-            return found_rows(key if text else None, shard, doc, tie, start[at], sliced(data, window[at], m + width - 1) if text else None, None if text else m)
-
-        yield rows(lost[window], False)
-        if keep:
-            yield rows(~lost[window], True)
+        at, m = stretches(lost[window], opens)
+        shard, doc, tie = (t.column(c).combine_chunks().take(pa.array(row[at])) for c in ("shard", "doc", "tie"))
+        yield found_rows(None, shard, doc, tie, start[at], None, m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        size, last = 0, None
         for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(NAMES.index("key")).to_numpy()
+            # whole keys only: this batch's last key may go on
+            cut = int(np.searchsorted(keys, keys[-1]))
+            if size + b.nbytes >= MERGE_BYTES and (cut or held and last != keys[-1]):
+                yield from chunk(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held, size, b = [], 0, pa.Table.from_batches([b.slice(cut)]).combine_chunks().to_batches()[0]
             held.append(b)
-            if sum(x.nbytes for x in held) >= MERGE_BYTES:
-                t = pa.Table.from_batches(held)
-                last = [t.column(c)[-1].as_py() for c in by]
-                cut = len(t)
-                while cut and [t.column(c)[cut - 1].as_py() for c in by] == last:
-                    cut -= 1
-                if cut:
-                    yield from chunk(t.slice(0, cut))
-                    held = t.slice(cut).combine_chunks().to_batches()
+            size += b.nbytes
+            last = keys[-1]
         if held:
             yield from chunk(pa.Table.from_batches(held))
 
@@ -372,19 +401,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     suspects = rows.join(spans, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie"))).select("doc", "tie", "text", "starts", "numbers")
     local = stage(sharded(suspects, width), "suffix-shards")
     firsts = local.where("key IS NOT NULL").drop("number")
-    # keys with more runs than a task should get: first merged in groups of shards, as many as the root of their number
-    hot = stage(common.where(F.col("n") > HOT).select("key", F.ceil(F.sqrt("n")).cast("long").alias("groups")), "suffix-hot")
-    gone = local.where("key IS NULL")
+    # keys with more runs than a task should get are dealt by their windows
+    hot = stage(common.where(F.col("n") > HOT).select("key"), "suffix-hot")
     if hot.isEmpty():
         rest = firsts
     else:
-        marked = firsts.join(small(hot), "key", "left")
-        once = marked.where("groups IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("shard"), F.col("groups"))).drop("groups")
-        once = stage(merged(once, width, ["key", "salt"], keep=True), "suffix-merged")
-        gone = gone.unionByName(once.where("key IS NULL"))
-        rest = marked.where("groups IS NULL").drop("groups").unionByName(once.where("key IS NOT NULL").drop("number"))
-    last = merged(rest, width, ["key"], keep=False)
-    return gone.unionByName(last.where("key IS NULL")).select("doc", "tie", "start", "number")
+        marked = firsts.join(small(hot).withColumn("hot", F.lit(True)), "key", "left")
+        rest = marked.where("hot IS NULL").drop("hot").unionByName(windows_of(marked.where("hot").withColumn("number", F.lit(None).cast("long")), width).drop("number"))
+    return local.where("key IS NULL").unionByName(merged(rest.withColumn("number", F.lit(None).cast("long")).select(*NAMES), width)).select("doc", "tie", "start", "number")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, keep_text: bool = False) -> DataFrame:

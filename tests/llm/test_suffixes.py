@@ -76,6 +76,16 @@ def test_runs_that_fill_a_piece(spark):
     assert sorted(map(tuple, sx.drop_repeats(docs).collect())) == brute(rows)
 
 
+def test_equal_hashes_of_other_windows_both_stay():
+    """Windows with one hash but other bytes are no repeats."""
+    text = np.frombuffer(b"a" * 100 + b"b" * 100 + b"a" * 100, np.uint8)
+    one = lambda *at: (np.full(len(at), 7, np.uint64), np.array(at))
+    (hashes, places), x, y = sx.absorbed(text, one(0), one(100), 100)
+    assert sorted(places.tolist()) == [0, 100] and not len(x)
+    (hashes, places), x, y = sx.absorbed(text, one(0), one(200), 100)
+    assert places.tolist() == [0] and (x.tolist(), y.tolist()) == ([200], [0])
+
+
 def test_null_ids_and_ties(spark):
     long = "x1y2z3 " * 40
     docs = spark.createDataFrame([(None, long), (1, long), (1, long), (2, None), (2, "other " + long)], "doc_id long, text string")
