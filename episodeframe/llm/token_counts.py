@@ -15,8 +15,10 @@ from .sentencepieces import SPACE, default_model, fields
 
 #: A character that no piece covers costs the worst score and this much more (the libraries' constant).
 UNKNOWN_PENALTY = 10.0
-#: Words whose results a worker keeps; the table is emptied when full.
-MEMO = 1_000_000
+#: Bytes of words whose results a worker keeps, about (100 a word beside its characters); the table is emptied when full.
+MEMO_BYTES = 100 << 20
+#: Longer words hardly come again and are not kept.
+LONGEST = 64
 
 
 def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
@@ -31,7 +33,9 @@ def vocabulary(path: str | None = None) -> list[tuple[str, float]]:
 class Counter:
     """Best segmentation's score and piece count, by the tokenizers library's unigram rules.
 
-    Every vocabulary match comes from one Aho-Corasick pass. At each end the candidates are tried by
+    As in that library, every entry of the vocabulary is a string that a text may hold, control and
+    byte pieces included: `</s>` or `<0x41>` written out in a text matches the entry of that name
+    (the sentencepiece library would not match those). Every vocabulary match comes from one Aho-Corasick pass. At each end the candidates are tried by
     ascending start and only a strictly better score replaces one, so ties go to the longest last
     piece. A character without a one-character piece may stand alone as unknown; a run of unknowns
     counts as one piece, or as its bytes if the vocabulary has all byte pieces.
@@ -45,9 +49,8 @@ class Counter:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
-        worst = 0.0
+        worst = min((s for _, s in pieces), default=0.0)
         for piece, score in pieces:
-            worst = min(worst, score)
             if piece and not self.automaton.exists(piece):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
@@ -58,13 +61,14 @@ class Counter:
         cuts = re.compile(f"[^{SPACE}]{SPACE}")
         self.by_word = all(float(s).is_integer() and not cuts.search(p) for p, s in pieces)
         self.memo: dict[str, tuple[int, float]] = {}
+        self.held = 0
 
     def solve(self, text: str) -> tuple[int, float]:
         """(pieces, score) of a normalised text."""
         if not self.singles.issuperset(text):
             return self.solve_unknown(text)
         n = len(text)
-        top, back = [-inf] * (n + 1), [0] * (n + 1)
+        top, count = [-inf] * (n + 1), [0] * (n + 1)
         top[0] = 0.0
         # matches come by ascending end, and longest first at each end
         for last, (length, s) in self.automaton.iter(text):
@@ -73,12 +77,8 @@ class Counter:
             s += top[start]
             if s > top[end]:
                 top[end] = s
-                back[end] = start
-        count, at = 0, n
-        while at:
-            at = back[at]
-            count += 1
-        return count, top[n]
+                count[end] = count[start] + 1
+        return count[n], top[n]
 
     def solve_unknown(self, text: str) -> tuple[int, float]:
         """solve() where some character has no piece of its own."""
@@ -116,16 +116,24 @@ class Counter:
             parts = [p for p in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
             parts = [p[1:] for p in parts]
         memo = self.memo
-        if len(memo) > MEMO:
+        if self.held > MEMO_BYTES:
             memo.clear()
+            self.held = 0
+        long = []
         for p in set(parts):
             if p not in memo:
                 memo[p] = self.solve(SPACE + p)
+                if len(p) > LONGEST:
+                    long.append(p)
+                else:
+                    self.held += 100 + len(p)
         pieces, score = 0, 0.0
         for p in parts:
             c, s = memo[p]
             pieces += c
             score += s
+        for p in long:
+            del memo[p]
         return pieces, score
 
 
