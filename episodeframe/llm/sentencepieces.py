@@ -153,13 +153,18 @@ class Encoder:
         return bytes(out), np.array([*where, min(end + 1, len(raw)) if self.squeeze else len(raw)], np.int64)
 
     def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, end) in bytes of the original text for every id; control ids get an empty span at the end."""
+        """(begin, end) in bytes of the original text for every id; control ids get an empty span at the end.
+
+        The pieces must tile the normalised bytes: if the library's normalisation differs from the one aligned here, it is an error.
+        """
         _, align = self.normalise(text)
         lengths = self.length[ids] if len(ids) else np.zeros(0, np.int64)
         if (lengths < 0).any():  # unknown pieces: their own text tells the length
             shown = self.library.encode(text, out_type=str)
             lengths = np.array([len(p.encode()) for p in shown] + [0] * (len(ids) - len(shown)), np.int64)
-        ends = np.minimum(np.cumsum(lengths), len(align) - 1)
+        ends = np.cumsum(lengths)
+        if len(ids) and ends[-1] != len(align) - 1:
+            raise ValueError(f"pieces of {ends[-1]} bytes for a normalised text of {len(align) - 1}")
         return align[ends - lengths] if len(ids) else ends, align[ends]
 
     def encode(self, texts: list[str]) -> list[list[int]]:

@@ -54,6 +54,62 @@ def byte_spans(text, shown):
     return fixed
 
 
+@pytest.fixture(scope="module")
+def mapped(tmp_path_factory):
+    """The public model with the library's own compiled character map and blank rules put in: nothing is trained."""
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=True)
+    spec = next(v for n, v in sp.fields(normaliser.serialized_model_proto()) if n == 3)
+
+    def message(number, blob):
+        size, out = len(blob), bytes([number << 3 | 2])
+        while size > 127:
+            out, size = out + bytes([size & 127 | 128]), size >> 7
+        return out + bytes([size]) + blob
+
+    raw = open(sp.default_model(), "rb").read()
+    kept = b"".join(message(n, v) for n, v in sp.fields(raw) if n in (1, 2))
+    path = str(tmp_path_factory.mktemp("model") / "mapped.model")
+    open(path, "wb").write(kept + message(3, spec))
+    return path, sp.Encoder(path)
+
+
+MAPPED = ["", " ", "ｈｅｌｌｏ ﬁne", "Ⅳ é ① ㎏", "  two  blanks ", "a\tb\nc", "ｶﾞｷﾞ ｱ", "e\u0301 \u1e9b\u0323 x", "\u200b zero \ufeff", "naïve café 😀 ½", "①②③ …", "\u3000wide\u3000", "ﷺ", "a" * 50 + "ﬀ" * 20]
+
+
+def test_character_map_as_the_library(mapped):
+    """Normalisation by longest prefix through the compiled map: bytes, ids and byte spans are the library's."""
+    path, it = mapped
+    assert it.map and it.squeeze
+    normaliser = sentencepiece.SentencePieceNormalizer(model_file=path)
+    for text in MAPPED:
+        made, align = it.normalise(text)
+        assert made.decode() == normaliser.Normalize(text), text
+        shown = it.library.encode(text, return_type="proto")
+        ids = it.encode([text])[0]
+        begins, ends = it.spans(text, ids)
+        assert ids[:-1] == [p.id for p in shown.pieces], text
+        # bytes of a replaced character have no source bytes of their own: as in the library, the last has them all
+        told = [(p.begin, p.end) for p in shown.pieces]
+        for k, span in enumerate(zip(begins.tolist()[:-1], ends.tolist()[:-1], strict=True)):
+            assert span in (told[k], byte_spans(text, shown)[k]), (text, k)
+
+
+def test_mapped_documents(spark, mapped, odd):
+    path, it = mapped
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(MAPPED)] + [(99, None)], "doc_id long, text string")
+    for r in sp.digests(docs, model=path).collect():
+        ids = it.library.encode(([*MAPPED, *[None] * 100][r.doc_id]) or "", add_eos=True)
+        assert r.n_tokens == len(ids)
+        assert r.decoded_sha256 == hashlib.sha256(it.library.decode(ids).encode()).hexdigest()
+    assert sp.digests(odd, model=path).count() == odd.count()
+
+
+def test_pieces_that_do_not_tile_are_an_error():
+    it = sp.Encoder(sp.default_model())
+    with pytest.raises(ValueError, match="pieces"):
+        it.spans("some text", it.encode(["another text"])[0])
+
+
 def test_decode(odd, library):
     coded = sp.encode_documents(odd, out="t_")
     back = sp.decode_documents(coded, "t_ids", "again")
