@@ -84,6 +84,28 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - s[:, None], -60, 60)))
 
 
+def ordered_cuts(z: np.ndarray) -> np.ndarray:
+    """Ascending cuts: the first one, and exp() of the steps after it."""
+    return np.concatenate(([z[0]], z[0] + np.cumsum(np.exp(z[1:]))))
+
+
+def loss_and_gradient(w: np.ndarray, z: np.ndarray, row: np.ndarray, col: np.ndarray, grades: np.ndarray, decay: float) -> tuple[float, np.ndarray]:
+    """Mean negative log-likelihood with the ridge penalty, and its gradient by weights, then by z; feature col[i] is present in row[i]."""
+    n, top = len(grades), len(z)
+    s = np.bincount(row, w[col], minlength=n)
+    edge = np.concatenate(([-np.inf], ordered_cuts(z), [np.inf]))
+    hi, lo = (1 / (1 + np.exp(np.clip(s - edge[grades + d], -60, 60))) for d in (1, 0))
+    p = np.maximum(hi - lo, 1e-9)
+    dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
+    g = np.zeros(len(w) + top)
+    g[: len(w)] = np.bincount(col, (dhi - dlo)[row], minlength=len(w)) / n + decay * w
+    gc = np.array([-dhi[grades == j].sum() + dlo[grades == j + 1].sum() for j in range(top)]) / n
+    tail = gc[::-1].cumsum()[::-1]
+    g[len(w)] = tail[0]
+    g[len(w) + 1 :] = tail[1:] * np.exp(z[1:])
+    return float(-np.log(p).mean() + decay / 2 * (w * w).sum()), g
+
+
 def fit(xs: list[np.ndarray], grades: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 2e-4) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty by Adam over all rows at once.
 
@@ -107,30 +129,19 @@ def fit(xs: list[np.ndarray], grades: np.ndarray, steps: int = 300, rate: float
     index = np.full(SPACE, -1)
     index[names] = np.arange(len(names))
     col, row = index[flat[keep[flat]]], row[keep[flat]]
-    n, w = len(xs), np.zeros(len(names))
+    w = np.zeros(len(names))
     share = np.clip(np.array([(grades <= j).mean() for j in range(top)]), 1e-3, 1 - 1e-3)
     level = np.log(share / (1 - share))
     z = np.concatenate(([level[0]], np.log(np.maximum(np.diff(level), 1e-2))))
     m1, m2 = np.zeros(len(w) + top), np.zeros(len(w) + top)
     for t in range(1, steps + 1):
-        cuts = np.concatenate(([z[0]], z[0] + np.cumsum(np.exp(z[1:]))))
-        s = np.bincount(row, w[col], minlength=n)
-        edge = np.concatenate(([-np.inf], cuts, [np.inf]))
-        hi, lo = (1 / (1 + np.exp(np.clip(s - edge[grades + d], -60, 60))) for d in (1, 0))
-        p = np.maximum(hi - lo, 1e-9)
-        dhi, dlo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g = np.zeros(len(w) + top)
-        g[: len(w)] = np.bincount(col, (dhi - dlo)[row], minlength=len(w)) / n + decay * w
-        gc = np.array([-dhi[grades == j].sum() + dlo[grades == j + 1].sum() for j in range(top)]) / n
-        tail = gc[::-1].cumsum()[::-1]
-        g[len(w)] = tail[0]
-        g[len(w) + 1 :] = tail[1:] * np.exp(z[1:])
+        _, g = loss_and_gradient(w, z, row, col, grades, decay)
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
         w -= step[: len(w)]
         z -= step[len(w) :]
     weights[names] = w
-    return OrdinalModel(weights, np.concatenate(([z[0]], z[0] + np.cumsum(np.exp(z[1:])))))
+    return OrdinalModel(weights, ordered_cuts(z))
 
 
 def featured(docs: DataFrame, text_col: str = "text", keep: str = "doc_id long") -> DataFrame:
@@ -150,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most fit_rows labelled documents, chosen by the hash of their ids.
 
     The grade is quality + 1 - toxic, 0 to 2: 2 for good and harmless, 0 for poor and toxic.
-    Labels with a null in any column, and labels without a document, are passed over.
+    Labels with a null in any column, and labels without a document, are passed over; of several labels of
+    one id the least grade counts. Null texts count as empty. Rows that repeat an id are all fitted on; which
+    labels are drawn follows from the hashes of distinct ids, so there are no ties. An empty table gives a model that grades everything 0.
     """
     graded = labels.dropna(subset=["doc_id", "quality", "toxic"]).groupBy("doc_id").agg(F.min(F.col("quality") + 1 - F.col("toxic")).cast("int").alias("_grade"))
     chosen = stage(graded.orderBy(F.xxhash64("doc_id")).limit(fit_rows).withColumnRenamed("doc_id", "_labelled"), "quality-labels")
@@ -199,7 +212,11 @@ def graded(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, model: OrdinalModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """docs whose probability of the highest grade is at least `least`; columns unchanged, rows never shuffled."""
+    """docs whose probability of the highest grade is at least `least`; columns unchanged, rows never shuffled.
+
+    Null text counts as empty and is graded like any text; rows that repeat a text stay or go together, a
+    probability equal to `least` stays; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

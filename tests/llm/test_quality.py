@@ -37,3 +37,68 @@ def test_odd_tables(spark, odd, nothing):
     assert quality.graded(nothing, model).count() == quality.keep_good(nothing, model).count() == 0
     unfit = quality.train(nothing, labels)
     assert quality.graded(odd, unfit).count() == odd.count()
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    n, m = 40, 6
+    grades, row, col = rng.integers(0, 3, n), np.repeat(np.arange(n), 3), rng.integers(0, m, 3 * n)
+    w, z = rng.normal(size=m), np.array([-0.5, 0.3])
+    loss = lambda v: quality.loss_and_gradient(v[:m], v[m:], row, col, grades, 0.01)[0]
+    at = np.concatenate((w, z))
+    told = quality.loss_and_gradient(w, z, row, col, grades, 0.01)[1]
+    step = 1e-6 * np.eye(m + 2)
+    assert np.allclose(told, [(loss(at + e) - loss(at - e)) / 2e-6 for e in step], atol=1e-6)
+    # ... and the likelihood is that of the cumulative-link model
+    cuts, s = np.array([-0.5, -0.5 + np.exp(0.3)]), np.bincount(row, w[col], minlength=n)
+    below = 1 / (1 + np.exp(s[:, None] - cuts))
+    p = np.diff(np.concatenate((np.zeros((n, 1)), below, np.ones((n, 1))), axis=1), axis=1)[np.arange(n), grades]
+    assert loss(at) == -np.log(p).mean() + 0.005 * (w * w).sum() or abs(loss(at) + np.log(p).mean() - 0.005 * (w * w).sum()) < 1e-9
+
+
+def plain_features(text):
+    """The same features word by word, hashed by the kernels one string at a time."""
+    import re
+
+    from episodeframe.llm import kernels as k
+
+    def hashed(part):
+        raw = np.frombuffer(part.lower().encode() if part.isascii() else "".join(c.lower() if c.isascii() else c for c in part).encode(), np.uint8)
+        return int(k.span_hash(k.prefix_hash(raw), np.array([0]), np.array([len(raw)]))[0])
+
+    words = re.findall(r"[^\x20\x09-\x0d]+", text)
+    inner = lambda b: bytes([b]).isalnum() or b >= 128
+    own, starts, odd, before = set(), set(), [[], [], [], []], None
+    for w in words:
+        raw = w.encode()
+        at = [i for i, b in enumerate(raw) if inner(b)]
+        a, b = (at[0], at[-1] + 1) if at else (len(raw), len(raw))
+        core = raw[a:b]
+        h = int(k.span_hash(k.prefix_hash(k.LOWER[np.frombuffer(core, np.uint8)]), np.array([0]), np.array([len(core)]))[0])
+        own.add(h)
+        for n in quality.STEMS:
+            if len(core) > n:
+                stem = k.LOWER[np.frombuffer(core[:n], np.uint8)]
+                starts.add((n, int(k.span_hash(k.prefix_hash(stem), np.array([0]), np.array([n]))[0]) ^ n))
+        letters = sum(chr(c).isalpha() if c < 128 else True for c in raw)
+        upper = sum(65 <= c < 91 for c in raw)
+        for kind, flag in zip(odd, (letters >= 2 and upper == letters, len(raw) - b + a >= 2, letters == 0, h == before), strict=True):
+            kind.append(flag)
+        before = h
+    shares = [sum(f) / len(f) if f else 0.0 for f in odd] + [1 - len(own) / len(words) if words else 0.0]
+    bands = [int(np.searchsorted(quality.SHARES, x)) for x in shares]
+    size = min(len(words).bit_length(), 8)
+    codes = [b * 5 + i + 1000 for i, b in enumerate(bands)] + [bands[4] * 10 + size + 2000, size + 3000]
+    found = own | {h for _, h in starts} | set(map(int, k.mix(np.array(codes, np.uint64))))
+    return sorted({f & (quality.SPACE - 1) for f in found})
+
+
+def test_features_against_a_plain_loop(tiny):
+    from episodeframe.llm import kernels as k
+
+    texts = [r.text or "" for r in tiny.limit(40).collect()] + ["", "ONE two, TWO!! (three) three three ... 12 ab1", "naïve ÉTÉ  x"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(t) for t in raw])
+    found = quality.features(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for t, f in zip(texts, found, strict=True):
+        assert f.tolist() == plain_features(t), t[:60]
