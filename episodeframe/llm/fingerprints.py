@@ -55,7 +55,8 @@ def from_hex(text: str) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", keep: int = KEEP) -> DataFrame:
-    """docs with a fingerprint column: hex of the smallest phrase hashes. Null text counts as empty (fingerprint '')."""
+    """docs with a fingerprint column: hex of the smallest phrase hashes. Null text counts as empty (fingerprint ''); a column of docs with that name is replaced."""
+    docs = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -53,3 +53,23 @@ def test_equal_texts_agree_and_columns_stay(odd):
 def test_empty(nothing):
     assert fp.neighbours(nothing).count() == 0
     assert fp.fingerprints(nothing).count() == 0
+
+
+def test_likeness_estimates_the_true_jaccard():
+    """Against the phrase sets themselves, for texts that share more or less: within three standard errors of 128 hashes."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(4000)}" for _ in range(3000)]
+    for share in (0.0, 0.1, 0.3, 0.6, 0.9):
+        other = [w if i < share * len(base) else f"v{rng.randrange(4000)}" for i, w in enumerate(base)]
+        one, two = (" ".join(t) for t in (base, other))
+        a, b = set(phrases(one)), set(phrases(two))
+        true = len(a & b) / len(a | b)
+        assert abs(fp.likeness(fp.fingerprint(one), fp.fingerprint(two)) - true) < 3 * (true * (1 - true) / fp.KEEP) ** 0.5 + 0.01
+    assert fp.fingerprint("abab").tolist() == sorted(fp.fingerprint("abab").tolist()) and len(fp.fingerprint("abab")) == len(set(phrases("abab")))
+
+
+def test_own_fingerprint_column_is_replaced(odd):
+    again = fp.fingerprints(fp.fingerprints(odd))
+    assert again.columns == [*odd.columns, "fingerprint"] and again.count() == odd.count()

@@ -51,6 +51,40 @@ def test_better_than_base_on_held_out(spark):
     assert found[1] > found[0]
 
 
+def test_weights_are_those_of_plain_em(tiny, monkeypatch):
+    """Learned weights against EM over every training token by itself, with estimates rounded as the module rounds them."""
+    docs = tiny.limit(60)
+    rows = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    uni, bi = Counter(), Counter()
+    for r in rows:
+        w = words(r.text)
+        uni.update(w)
+        bi.update(zip([None, *w], w))
+    n, v = uni.total(), len(uni)
+    cells = Counter()
+    step = lambda x: round(-lm.GRAIN * math.log2(x)) if x > 0 else None
+    for r in rows:
+        w = words(r.text)
+        for a, b in zip([None, *w], w):
+            c = uni[a] - 1
+            cells[c.bit_length(), step((bi[a, b] - 1) / c if c else 0), step((uni[b] - 1) / (n - 1))] += 1
+    back = lambda q: 2.0 ** (-q / lm.GRAIN) if q is not None else 0.0
+    weights = {k[0]: [0.4, 0.4, 0.2] for k in cells} | {0: [0.0, 0.5, 0.5]}
+    for _ in range(lm.ROUNDS):
+        sums = {k: [0.0] * 3 for k in weights}
+        for (k, two, one), m in cells.items():
+            part = [x * y for x, y in zip(weights[k], (back(two), back(one), 1 / (v + 1)))]
+            for i in range(3):
+                sums[k][i] += m * part[i] / sum(part)
+        weights |= {k: [x / sum(s) for x in s] for k, s in sums.items() if sum(s)}
+    seen = {}
+    learnt = lm.learn
+    monkeypatch.setattr(lm, "learn", lambda *a: seen.setdefault("w", learnt(*a)))
+    lm.lm_scores(docs).count()
+    for k in {c[0] for c in cells}:
+        assert np.allclose(seen["w"][k], weights[k], atol=1e-6), k
+
+
 def test_packing():
     rng = np.random.default_rng(1)
     for x in (np.zeros(0), np.zeros(5), rng.integers(0, 1 << 62, 1000), np.array([2**63])):

@@ -33,8 +33,7 @@ def brute(rows, k, percent):
     return sorted((doc, len(s), least[find(i)]) for i, ((doc, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
-@pytest.mark.parametrize("block", [4, 2048])
+@pytest.mark.parametrize("k,percent,block", [(3, 90, 2048), (5, 80, 4)])
 @pytest.mark.parametrize("table", ["odd", "tiny"])
 def test_components(table, k, percent, block, request):
     docs = request.getfixturevalue(table)
@@ -70,6 +69,52 @@ def test_signatures_share_within_distance():
                 assert len(np.intersect1d(partenum.signatures(a, percent), partenum.signatures(b, percent)))
 
 
+def test_layouts_use_both_levels():
+    """Subsets of more than one second-level partition where it pays; n1, k2 and spare keep the promise of agreement."""
+    seen = set()
+    for percent in (80, 90):
+        for size in (1, 2, 5, 10, 20, 50, 100, 300, 1000, 5000):
+            k = int(partenum.distance(percent, 2 * size))
+            n1, n2, spare, subsets = partenum.layout(k, size)
+            k2 = n2 - len(subsets[0])
+            assert n1 - k // (k2 + 1) == 1 + spare and len(subsets) == len(set(subsets))
+            seen.add((n2, len(subsets[0])))
+    assert any(chosen >= 2 for _, chosen in seen) and any(n2 == 1 for n2, _ in seen)
+
+
+def test_plausible_never_fails_a_link():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((rng.permutation(a)[: max(1, len(a) - rng.integers(0, n // 6 + 1))], rng.integers(0, 1 << 63, rng.integers(0, n // 10 + 1)).astype(np.uint64))))
+        both = len(np.intersect1d(a, b))
+        for percent in (80, 90):
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                near = partenum.plausible(np.array([len(a), len(b)]), [partenum.sketch(a, percent), partenum.sketch(b, percent)], percent)
+                assert near(0, np.array([1]))[0]
+        assert partenum.shared_counts([a, b])[0, 1] == both
+
+
+def test_hot_signatures_and_blocks(spark, monkeypatch):
+    """Small bounds everywhere: signatures go out at once as hot ones, parts are many, buckets are compared block by block."""
+    monkeypatch.setattr(partenum, "HOT_IN_BATCH", 2)
+    monkeypatch.setattr(partenum, "SEND_KEYS", 200)
+    monkeypatch.setattr(partenum, "PART_KEYS", 500)
+    monkeypatch.setattr(partenum, "FIRST_BUCKETS", 1)
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 300, 60)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for at in rng.integers(0, len(text), rng.integers(0, 5)):
+            text[at] = f"new{rng.integers(0, 30)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = partenum.similarity_components(docs, 5, 80, block=8)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()) == brute(rows, 5, 80)
+
+
 def test_drop_similar(odd):
     kept = partenum.drop_similar(odd)
     assert kept.columns == odd.columns
