@@ -9,7 +9,7 @@ from math import ceil, comb, exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, small, stage, unstage
@@ -17,13 +17,17 @@ from .components import components
 from .kernels import U, chunks, expand, expand_sorted, mix, shingle_sets, squeeze, squeeze_sorted, strings
 
 #: Members of a bucket that one task compares at a time; larger buckets are compared block by block.
-BLOCK = 4096
+BLOCK = 1024
 #: Shingles that a block has at most, on average: a block's sets lie in one task's memory.
-BLOCK_ELEMENTS = 4 << 20
+BLOCK_ELEMENTS = 1 << 20
+#: Buckets of a set that round one looks at, the same for similar sets as far as they share them.
+FIRST_BUCKETS = 4
+#: Bytes of text whose sets are made at a time (one longer document alone).
+TEXT_BYTES = 1 << 19
 #: Signatures that a part of the signature space gets, about.
-PART_KEYS = 1 << 21
+PART_KEYS = 1 << 19
 #: Signatures that a task gathers before it sends them.
-SEND_KEYS = 1 << 20
+SEND_KEYS = 1 << 19
 #: A signature that so many sets of one sending share goes out with all of them and one witness to its part.
 HOT_IN_BATCH = 8
 #: What a set's membership in a bucket of strangers costs, in signatures sent.
@@ -130,20 +134,23 @@ def signatures(values: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(values: np.ndarray, percent: int) -> bytes:
-    """A byte for each of at least twice as many hash ranges as differences allowed: differing bytes never outnumber differing elements."""
+    """A bit for each of at least four times as many hash ranges as differences allowed: differing bits never outnumber differing
+    elements, and sets with little in common differ in about half of them. Packed; a power of two of ranges."""
     n = len(values)
-    parts = 16
-    while parts < 2 * distance(percent, 2 * n) + 2 and parts < 4096:
+    parts = 64
+    while parts < 4 * distance(percent, 2 * n) + 4 and parts < 1 << 16:
         parts *= 2
     sums = np.zeros(n + 1, U)
     np.cumsum(mix(values ^ U(0x5A5A5A5A)), out=sums[1:])
-    at = cuts(values, parts)
-    return mix(sums[at[1:]] - sums[at[:-1]]).astype(np.uint8).tobytes()
+    # the ranges are powers of two, so a value's range is its top bits
+    at = np.searchsorted(values >> U(64 - parts.bit_length() + 1), np.arange(parts + 1, dtype=U))
+    return np.packbits((mix(sums[at[1:]] - sums[at[:-1]]) & U(1)).astype(bool)).tobytes()
 
 
-def fold(a: np.ndarray, size: int) -> np.ndarray:
-    """Sketches (rows) brought to fewer, wider ranges: neighbours' bytes are added up, so equal ranges stay equal."""
-    return a.reshape(len(a), size, -1).sum(axis=2, dtype=np.uint8) if a.shape[1] != size else a
+def unpacked(packed: bytes, ranges: int) -> np.ndarray:
+    """The bits of a sketch brought to fewer, wider ranges: neighbours are added without carry, so equal ranges stay equal."""
+    bits = np.unpackbits(np.frombuffer(packed, np.uint8))
+    return np.bitwise_xor.reduce(bits.reshape(ranges, -1), axis=1) if len(bits) != ranges else bits
 
 
 def node_of(values: np.ndarray) -> int:
@@ -157,7 +164,7 @@ def described(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = strings(b.column(1))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, TEXT_BYTES):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 n = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -175,7 +182,7 @@ def sets_of(texts: DataFrame, k: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = strings(b.column(0))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, TEXT_BYTES):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, percent) for s in sets], pa.binary()), pa.array([squeeze_sorted(s >> ELEMENT_SHIFT) for s in sets], pa.binary())],
@@ -231,7 +238,7 @@ def members_of(texts: DataFrame, k: int, percent: int, total: int) -> DataFrame:
 
         for b in batches:
             data, offsets = strings(b.column(0))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, TEXT_BYTES):
                 for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k):
                     if len(s):
                         sigs.append(signatures(s, percent))
@@ -255,15 +262,20 @@ def members_of(texts: DataFrame, k: int, percent: int, total: int) -> DataFrame:
                 sig, node = sig[fresh], node[fresh]
                 first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
                 many = np.diff(first, append=len(sig))
+                shared = np.repeat(many > 1, many)
+                sig, node, many = sig[shared], node[shared], many[many > 1]
+                if not len(sig):
+                    return
+                first = np.cumsum(many) - many
                 # of buckets with the same sets one is enough, unless sets have gone past this part
                 key = mix(node.view(U))
-                facts = np.stack([np.add.reduceat(key, first), np.add.reduceat(mix(key ^ U(0x3C3C3C3C)), first), many.astype(U)], axis=1)
-                facts[np.isin(sig[first], np.concatenate([expand_sorted(b[3]) for b in blobs])), 2] |= U(1 << 40)
-                hot = facts[:, 2] >> U(40) > 0
-                facts[hot, 0] = sig[first][hot]
-                one = np.zeros(len(first), bool)
-                one[np.unique(facts, axis=0, return_index=True)[1]] = True
-                keep = np.repeat(one & (many > 1), many)
+                one, two = np.add.reduceat(key, first), np.add.reduceat(mix(key ^ U(0x3C3C3C3C)), first)
+                hot = np.isin(sig[first], np.concatenate([expand_sorted(b[3]) for b in blobs]))
+                one[hot], two[hot] = sig[first][hot], U(1)
+                order = np.lexsort((many, two, one))
+                again = np.zeros(len(first), bool)
+                again[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]]) & (many[order[1:]] == many[order[:-1]])
+                keep = np.repeat(~again, many)
                 sig, node = sig[keep], node[keep]
             for x in range(0, len(sig), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(sig[x : x + (1 << 16)].view(np.int64)), pa.array(node[x : x + (1 << 16)])], names=["sig", "node"])
@@ -360,9 +372,9 @@ def forest(comp: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> l
 
 
 def plausible(n: np.ndarray, sketches: list[bytes], percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
-    """near(x, others): the sizes allow a link and no more sketch bytes differ than elements may. No link fails this."""
-    width = min(map(len, sketches))
-    marks = np.concatenate([fold(np.frombuffer(s, np.uint8)[None], width) for s in sketches])
+    """near(x, others): the sizes allow a link and no more sketch bits differ than elements may. No link fails this."""
+    width = 8 * min(map(len, sketches))
+    marks = np.stack([unpacked(s, width) for s in sketches])
 
     def near(x: int, rest: np.ndarray) -> np.ndarray:
         fits = 100 * np.minimum(n[rest], n[x]) >= percent * np.maximum(n[rest], n[x])
@@ -381,50 +393,75 @@ def spanning(members: DataFrame, percent: int, block: int) -> DataFrame:
     return by_block(blocked(members, False, block), ["n", "sketch"], work, "a long, b long").distinct()
 
 
+def bucket_lists(members: DataFrame) -> DataFrame:
+    """(node, buckets): the ascending 32-bit hashes of the buckets (sig) that each node is in, packed; as many as a set has signatures at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.asarray(x.values, np.int32).tobytes() for x in b.column(1)], pa.binary())], names=["node", "buckets"])
+
+    lists = members.groupBy("node").agg(F.array_sort(F.collect_set(bucket_hash(F.col("sig")))).alias("l"))
+    return lists.mapInArrow(run, "node long, buckets binary")
+
+
+def bucket_hash(sig) -> "F.Column":
+    return F.hash(sig)
+
+
 def doubtful(members: DataFrame, percent: int, block: int) -> DataFrame:
-    """(sig, _i, _j, _side, node): of the members (sig, node, n, sketch, comp) of each block those with a plausible partner in another comp."""
+    """(sig, _i, _j, _side, node, comp): of the members (sig, node, n, sketch, comp, buckets) of each block those with a plausible partner in another comp.
+
+    A pair counts in one bucket alone, that of the least hash among those that both are in; where hashes meet it may count twice.
+    """
 
     def work(key: tuple, held: list) -> pa.RecordBatch | None:
-        node, n, marks, comp, side = held
+        node, n, marks, comp, side, own, buckets = held
         comp = np.array(comp, np.int64)
         if (comp == comp[0]).all():
             return None
         near, open_ = plausible(np.array(n, np.int64), marks, percent), np.zeros(len(node), bool)
+        lists = [np.frombuffer(b, np.int32) for b in buckets]
+        before = None
         every = np.arange(len(node))
         for x in range(len(node) - 1):
             rest = every[x + 1 :]
             rest = rest[comp[rest] != comp[x]]
             hit = rest[near(x, rest)] if len(rest) else rest
             if len(hit):
-                open_[x] = True
+                if before is None:
+                    before = shared_counts([v[v < own[0]] for v in lists]) > 0
+                hit = hit[~before[x, hit]]
+                open_[x] |= len(hit) > 0
                 open_[hit] = True
         at = np.flatnonzero(open_)
         if not len(at):
             return None
-        lists = [[key[0]] * len(at), [key[1]] * len(at), [key[2]] * len(at), [side[x] for x in at], [node[x] for x in at], comp[at]]
+        columns = [[key[0]] * len(at), [key[1]] * len(at), [key[2]] * len(at), [side[x] for x in at], [node[x] for x in at], comp[at]]
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(lists, types, strict=True)], names=["sig", "_i", "_j", "_side", "node", "comp"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["sig", "_i", "_j", "_side", "node", "comp"])
 
-    return by_block(blocked(members, True, block), ["n", "sketch", "comp", "_side"], work, "sig long, _i int, _j int, _side int, node long, comp long")
+    dealt = blocked(members, True, block).withColumn("_own", bucket_hash(F.col("sig")))
+    return by_block(dealt, ["n", "sketch", "comp", "_side", "_own", "buckets"], work, "sig long, _i int, _j int, _side int, node long, comp long")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of membership matrices over ranges of the elements that more than one set has."""
+    """Sizes of all intersections, by products of membership matrices over ranges of the elements that more than one set has (as floats, exact below 2 ** 24)."""
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     values, place, many = np.unique(flat, return_inverse=True, return_counts=True)
     keep = many[place] > 1
     place, owner = (np.cumsum(many > 1) - 1)[place[keep]], owner[keep]
+    del flat, values, keep
     order = np.argsort(place, kind="stable")
     place, owner = place[order], owner[order]
     out = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(1, (1 << 24) // len(sets))
+    width = max(1, (1 << 22) // len(sets))
     for low in range(0, int(place[-1]) + 1 if len(place) else 0, width):
         a, z = np.searchsorted(place, (low, low + width))
         mark = np.zeros((len(sets), min(width, int(place[z - 1]) + 1 - low)), np.float32)
         mark[owner[a:z], place[a:z] - low] = 1
         out += mark @ mark.T
-    return np.rint(out).astype(np.int64)
+    return out
 
 
 def exact_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -469,7 +506,7 @@ def similarity_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col
 
     Equal sets are one node (the 64-bit hash of the set), and only one document of each sends
     signatures. Nodes that share a PartEnum signature are a bucket; buckets with the same members
-    are kept once. Round one verifies a spanning set of each bucket's plausible pairs. Round two
+    are kept once. Round one verifies a spanning set of the plausible pairs in a few buckets of each set. Round two
     takes the buckets that still hold several components to their members' whole sets and joins
     what is linked there by exact counts: a link is left unlooked at only inside a component that is
     already connected, and no step gives more pairs than a block has members.
@@ -502,15 +539,18 @@ def rooted(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     unstage(nodes, keys, found, buckets, used, ids)
 
     light = sets.select("node", "n", "sketch")
-    pairs = stage(spanning(members.join(light, "node"), percent, block), "join-pairs")
+    # similar sets share most buckets, so the least few of each, by hash, are mostly the same ones
+    least = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("sig"), "sig"))
+    few = members.withColumn("_k", least).where(F.col("_k") <= FIRST_BUCKETS).drop("_k")
+    pairs = stage(spanning(few.join(light, "node"), percent, block), "join-pairs")
     links = stage(verified(pairs, sets, percent), "join-links")
     comps = stage(components(links), "join-comps")
     second = members.join(small(comps), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = stage(second.groupBy("sig").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("sig"), "join-open")
-    open_ = second.join(small(mixed), "sig", "left_semi").join(light, "node")
-    doubts = stage(doubtful(open_, percent, block), "join-doubts")
+    open_ = stage(second.join(small(mixed), "sig", "left_semi"), "join-still")
+    doubts = stage(doubtful(open_.join(light.join(bucket_lists(open_), "node"), "node"), percent, block), "join-doubts")
     more = stage(exact_links(doubts.join(sets.select("node", "elements"), "node"), percent), "join-more")
-    unstage(members, pairs, comps, mixed)
+    unstage(members, pairs, comps, mixed, open_)
     comps = stage(components(links.union(more)), "join-comps")
     unstage(sets, links, doubts, more)
     with_root = table.select("doc_id", "tie", "n_shingles", "node").join(small(comps), "node", "left").withColumn("_root", F.coalesce("root", "node"))
