@@ -140,11 +140,12 @@ def sketch(values: np.ndarray, percent: int) -> bytes:
     parts = 64
     while parts < 4 * distance(percent, 2 * n) + 4 and parts < 1 << 16:
         parts *= 2
-    sums = np.zeros(n + 1, U)
-    np.cumsum(mix(values ^ U(0x5A5A5A5A)), out=sums[1:])
+    # a range's bit is the parity of its elements' bits, so two ranges' bits add up to that of both together
+    sums = np.zeros(n + 1, np.int64)
+    np.cumsum((mix(values ^ U(0x5A5A5A5A)) & U(1)).astype(np.int64), out=sums[1:])
     # the ranges are powers of two, so a value's range is its top bits
     at = np.searchsorted(values >> U(64 - parts.bit_length() + 1), np.arange(parts + 1, dtype=U))
-    return np.packbits((mix(sums[at[1:]] - sums[at[:-1]]) & U(1)).astype(bool)).tobytes()
+    return np.packbits(((sums[at[1:]] - sums[at[:-1]]) & 1).astype(bool)).tobytes()
 
 
 def unpacked(packed: bytes, ranges: int) -> np.ndarray:
@@ -535,7 +536,10 @@ def rooted(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     members = stage(each.join(small(buckets), "sig", "left_semi"), "join-members")
     used = stage(members.select("node").distinct(), "join-used")
     ids = stage(nodes.join(small(used), "node", "left_semi").select("_id", "_tie"), "join-ids")
-    sets = stage(sets_of(text_of(ids), k, percent).dropDuplicates(["node"]), "join-sets")
+    made = sets_of(text_of(ids), k, percent)
+    # a node has one (id, tie), so it comes twice only where rows repeat both; then, and only then, sets are shuffled to drop the repeats
+    repeated = table.count() > table.select("doc_id", "tie").distinct().count()
+    sets = stage(made.dropDuplicates(["node"]) if repeated else made, "join-sets")
     unstage(nodes, keys, found, buckets, used, ids)
 
     light = sets.select("node", "n", "sketch")
