@@ -14,6 +14,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes that no term has: ASCII but for letters and digits.
+NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 CHUNK = 1 << 20
 
 
@@ -72,9 +74,9 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]
         a = b
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first): byte spans of the words [^\\x20\\x09-\\x0D]+, and for document i its words first[i]..first[i+1]."""
-    solid = ~SPACES[data]
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first): byte spans of the words (bytes outside `blank`: [^\\x20\\x09-\\x0D]+), and for document i its words first[i]..first[i+1]."""
+    solid = ~blank[data]
     opens, shuts = solid.copy(), np.ones(len(data), bool)
     opens[1:] &= ~solid[:-1]
     shuts[:-1] = ~solid[1:]
@@ -86,6 +88,12 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, offsets)
 
 
+def term_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first, hash) of the terms [0-9A-Za-z\\x80-]+ of a chunk; the hash is of the term with A-Z lower-cased."""
+    start, end, first = words(data, offsets, NO_TERM)
+    return start, end, first, span_hash(prefix_hash(LOWER[data]), start, end)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word with A-Z lower-cased, first) over a chunk."""
     start, end, first = words(data, offsets)

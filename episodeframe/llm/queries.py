@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, interpolation, mixing, partenum, quality, sentencepieces, suffixes, token_counts, token_store
+from . import decontamination, exact_dedup, fingerprints, interpolation, mixing, partenum, quality, sentencepieces, suffixes, token_counts, token_store, whitening
 from .common import documents
 
 
@@ -61,13 +62,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.similarity_components(documents(spark, sf_dir), k=3, percent=90).drop("node")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the leading components of the fit list, with unit variance."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document the benchmark's windows hit, and whose windows they are."""
+    found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items", "spans")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprints, op3_quality_classifier, op4_exact_dedup, op5_deleted_interpolation, op6_token_store, op7_sentencepiece, op8_suffix_dedup, op9_token_counts, op10_jaccard_join, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprints, op3_quality_classifier, op4_exact_dedup, op5_deleted_interpolation, op6_token_store, op7_sentencepiece, op8_suffix_dedup, op9_token_counts, op10_jaccard_join, op11_embedding_whitening, op13_benchmark_decontamination, pipeline)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
@@ -75,4 +87,16 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_benchmark_decontamination": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+             bi AS (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+             windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS g FROM bi),
+             di AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+             hits AS (SELECT doc_id, i, di.size, item_id FROM di JOIN windows ON di.size = windows.size AND array_to_string(w[i:i + di.size - 1], ' ') = g),
+             places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS p FROM hits) GROUP BY doc_id),
+             names AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN places USING (doc_id) LEFT JOIN names USING (doc_id)
+    """,
 }
