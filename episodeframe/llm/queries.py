@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, fingerprints, interpolation, mixing, partenum, quality, sentencepieces, suffixes, token_counts, token_store, whitening
+from . import decontamination, exact_dedup, fingerprints, interpolation, mixing, partenum, quality, sentencepieces, suffixes, token_counts, token_store, wand, whitening
 from .common import documents
 
 
@@ -67,6 +67,11 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return wand.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of every document the benchmark's windows hit, and whose windows they are."""
     found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -79,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprints, op3_quality_classifier, op4_exact_dedup, op5_deleted_interpolation, op6_token_store, op7_sentencepiece, op8_suffix_dedup, op9_token_counts, op10_jaccard_join, op11_embedding_whitening, op13_benchmark_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprints, op3_quality_classifier, op4_exact_dedup, op5_deleted_interpolation, op6_token_store, op7_sentencepiece, op8_suffix_dedup, op9_token_counts, op10_jaccard_join, op11_embedding_whitening, op12_ranked_search, op13_benchmark_decontamination, pipeline)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": """
@@ -87,6 +92,19 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op12_ranked_search": r"""
+        WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+             q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+             sizes AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+             totals AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+             tfs AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY doc_id, term),
+             weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY term),
+             scored AS (
+                 SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // l))))) AS BIGINT) AS score
+                 FROM q JOIN tfs USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0 QUALIFY rank <= 10
+    """,
     "op13_benchmark_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
              b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
