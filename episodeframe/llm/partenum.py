@@ -395,33 +395,29 @@ def spanning(members: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def bucket_lists(members: DataFrame) -> DataFrame:
-    """(node, buckets): the ascending 32-bit hashes of the buckets (sig) that each node is in, packed; as many as a set has signatures at most."""
+    """(node, buckets): the ascending signatures of the buckets that each node is in, packed; as many as a set has signatures at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.asarray(x.values, np.int32).tobytes() for x in b.column(1)], pa.binary())], names=["node", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.asarray(x.values).tobytes() for x in b.column(1)], pa.binary())], names=["node", "buckets"])
 
-    lists = members.groupBy("node").agg(F.array_sort(F.collect_set(bucket_hash(F.col("sig")))).alias("l"))
+    lists = members.groupBy("node").agg(F.array_sort(F.collect_set("sig")).alias("l"))
     return lists.mapInArrow(run, "node long, buckets binary")
 
 
-def bucket_hash(sig) -> "F.Column":
-    return F.hash(sig)
-
-
 def doubtful(members: DataFrame, percent: int, block: int) -> DataFrame:
     """(sig, _i, _j, _side, node, comp): of the members (sig, node, n, sketch, comp, buckets) of each block those with a plausible partner in another comp.
 
-    A pair counts in one bucket alone, that of the least hash among those that both are in; where hashes meet it may count twice.
+    A pair counts in one bucket alone, that of the least signature among those that both are in.
     """
 
     def work(key: tuple, held: list) -> pa.RecordBatch | None:
-        node, n, marks, comp, side, own, buckets = held
+        node, n, marks, comp, side, buckets = held
         comp = np.array(comp, np.int64)
         if (comp == comp[0]).all():
             return None
         near, open_ = plausible(np.array(n, np.int64), marks, percent), np.zeros(len(node), bool)
-        lists = [np.frombuffer(b, np.int32) for b in buckets]
+        lists = [np.frombuffer(b, np.int64) for b in buckets]
         before = None
         every = np.arange(len(node))
         for x in range(len(node) - 1):
@@ -430,7 +426,7 @@ def doubtful(members: DataFrame, percent: int, block: int) -> DataFrame:
             hit = rest[near(x, rest)] if len(rest) else rest
             if len(hit):
                 if before is None:
-                    before = shared_counts([v[v < own[0]] for v in lists]) > 0
+                    before = shared_counts([v[v < key[0]] for v in lists]) > 0
                 hit = hit[~before[x, hit]]
                 open_[x] |= len(hit) > 0
                 open_[hit] = True
@@ -441,8 +437,7 @@ def doubtful(members: DataFrame, percent: int, block: int) -> DataFrame:
         types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["sig", "_i", "_j", "_side", "node", "comp"])
 
-    dealt = blocked(members, True, block).withColumn("_own", bucket_hash(F.col("sig")))
-    return by_block(dealt, ["n", "sketch", "comp", "_side", "_own", "buckets"], work, "sig long, _i int, _j int, _side int, node long, comp long")
+    return by_block(blocked(members, True, block), ["n", "sketch", "comp", "_side", "buckets"], work, "sig long, _i int, _j int, _side int, node long, comp long")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
