@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit
-from ..sources import readers, sinks
+from ..sources import growing, readers, sinks
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
-from ..streaming import journal
 from .core import query
 
 L = F.lit
@@ -19,7 +18,7 @@ L = F.lit
 def put(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, by the file system of the path."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     out.write(bytearray(text.encode()))
     out.close()
 
@@ -153,18 +152,28 @@ def src14_tensor_headers(spark, d):
     return found.select(F.col("_file").alias("file"), "tensor", F.col("begin").cast("int").alias("begin"), F.col("end").cast("int").alias("end"), "contiguous")
 
 
-@query("SELECT n_regionkey AS file, n_nationkey AS source_step, n_regionkey = 2 AS done FROM nation WHERE n_nationkey < 23 AND NOT (n_regionkey = 2 AND n_nationkey > 12)")
+@query("""WITH parts AS (SELECT p_partkey % 5 AS file, p_partkey, p_size, (p_partkey % 5 = 2) AS ends FROM part)
+  SELECT file, p_partkey AS source_step, p_size AS size, ends AS done FROM parts WHERE NOT ends OR p_partkey <= (SELECT max(p_partkey) // 2 FROM part)""")
 def src15_st11_complete_lines(spark, d):
-    """A journal read as a stream: lines that are not complete wait, and nothing counts after the end line."""
+    """Five journals followed while they grow: each trigger takes the lines completed since the one before, a half line waits, and an end line closes its file."""
+    p = table(spark, d, "part").select("p_partkey", "p_size")
+    last = p.agg(F.max("p_partkey")).first()[0]
     path, keep = sinks.shared_path(spark, "src15"), sinks.shared_path(spark, "src15-kept")
-    for region in range(5):
-        own = [n.n_nationkey for n in nations(spark, d) if n.n_regionkey == region and n.n_nationkey < 23]
-        text = "".join(f'{{"source_step": {k}}}\n' + ("END\n" if region == 2 and k == max(x for x in own if x <= 12) else "") for k in own)
-        put(spark, f"{path}/{region}.jsonl", text + '{"source_step": 99')
-    stream = journal.complete_lines(spark, path)
-    stream.writeStream.format("parquet").option("path", keep).option("checkpointLocation", f"{keep}-state").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(keep)
-    return rows.select(F.regexp_extract("_file", "^(\\d+)", 1).cast("int").alias("file"), F.get_json_object("line", "$.source_step").cast("int").alias("source_step"), "done")
+    # the end of the growth so far falls into a line, and half of a line is all that a later one adds to some files
+    line = F.concat(L('{"source_step": '), "p_partkey", L(', "size": '), "p_size", L("}"))
+    for upto, broken in ((last // 3, True), (last // 2, False), (last // 2, True), (last, False)):
+        own = p.where(F.col("p_partkey") <= upto).groupBy((F.col("p_partkey") % 5).alias("file")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))).alias("rows"))
+        for r in own.toLocalIterator():  # five files; the reader under test is what is distributed
+            lines = [x.l + "\n" for x in r.rows if r.file != 2 or x.p_partkey <= last // 2]
+            closed = "END\n" + "".join(x.l + "\n" for x in r.rows if x.p_partkey > last // 2) if r.file == 2 and upto == last else ""
+            put(spark, f"{path}/{r.file}.jsonl", "".join(lines) + closed + ('{"source_step": ' if broken and not closed else ""))
+        rows = growing.complete_lines(spark, path)
+        rows.writeStream.format("parquet").option("path", keep).option("checkpointLocation", f"{keep}-state").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("file string, offset long, line string, closed boolean").parquet(keep)
+    value = F.from_json("line", "source_step int, size int")
+    over = found.where("closed").select("file", L(True).alias("_over"))  # a row a file
+    rows = found.where("NOT closed").join(F.broadcast(over), "file", "left")
+    return rows.select(F.regexp_extract("file", "^(\\d+)", 1).cast("int").alias("file"), value.alias("v"), F.coalesce("_over", L(False)).alias("done")).select("file", "v.source_step", "v.size", "done")
 
 
 @query("SELECT p_partkey, unnest([p_size, 100, 101, 102]) AS seed FROM part")

@@ -5,30 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.growing import complete_lines
+
 SCHEMA = "source_step long, metrics map<string,double>, time double"
 
 
-def read_journal(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """(source_step, key, value, time) of the finite, namespaced metrics of a folder of JSON lines; broken lines are passed over."""
-    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger).text(path)
-    rows = lines.select(F.from_json("value", SCHEMA).alias("r")).select("r.*").where(F.col("source_step").isNotNull())
+def read_journal(spark: SparkSession, path: str, stream: bool = True, end: str = "END") -> DataFrame:
+    """(source_step, key, value, time) of the finite, namespaced metrics of a folder of JSON lines that grow; lines that are no event are passed over."""
+    lines = complete_lines(spark, path, stream, end).where("NOT closed")
+    rows = lines.select(F.from_json("line", SCHEMA).alias("r")).select("r.*").where(F.col("source_step").isNotNull())
     flat = rows.select("source_step", F.explode("metrics").alias("key", "value"), "time")
     return flat.where(F.col("key").contains("/") & F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
 
 
-def complete_lines(spark: SparkSession, path: str, stream: bool = True, end: str = "END") -> DataFrame:
-    """(_file, at, line, done) of the complete lines of append-only files: what follows the last line feed may still grow and is left out.
-
-    done marks files whose end line has been written; lines after it, and the end line itself, are no data.
-    """
-    reader = spark.readStream.schema("value string") if stream else spark.read.schema("value string")
-    raw = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), F.split("value", "\n").alias("l"))
-    whole = raw.select("_file", F.slice("l", F.lit(1), F.size("l") - 1).alias("l"))
-    stop = F.array_position("l", F.lit(end))
-    kept = whole.select("_file", (stop > 0).alias("done"), F.when(stop > 0, F.slice("l", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("l")).alias("l"))
-    return kept.select("_file", "done", F.posexplode("l").alias("at", "line"))
-
-
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events and value sums by time window and type; `ts` without a zone is read as UTC."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

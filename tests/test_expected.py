@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from episodeframe.functions import records, scalar, statistics
 from episodeframe.operators import banks, contracts, evaluation, ordered, orderstats
-from episodeframe.streaming import controller, journal
+from episodeframe.streaming import controller
 
 BATCH = f"run long, update long, tiers {controller.TIER}"
 
@@ -212,10 +212,3 @@ def test_gates(spark):
     assert [(r.progress, r.accepted) for r in evaluation.progress_gate(rows).collect()] == [(True, True), (False, False), (True, True), (True, False)]
     kept = evaluation.retained(spark.createDataFrame([(1, 6, 12, False), (2, 1, 2, False), (3, 0, 0, True), (4, 1, 3, False)], "update long, wins long, episodes long, pending boolean"))
     assert {(r.update, r.latest, r.best, r.pending) for r in kept.collect()} == {(1, False, True, False), (3, False, False, True), (4, True, False, False)}
-
-
-def test_complete_lines(spark, tmp_path):
-    (tmp_path / "a").write_text("one\ntwo\nhal")
-    (tmp_path / "b").write_text("one\nEND\nafter\n")
-    found = sorted((r._file, r.at, r.line, r.done) for r in journal.complete_lines(spark, str(tmp_path), stream=False).collect())
-    assert found == [("a", 0, "one", False), ("a", 1, "two", False), ("b", 0, "one", True)]

@@ -139,7 +139,7 @@ def test_stream_folds_like_the_table(spark, tmp_path):
 def test_journal(spark, tmp_path):
     lines = ['{"source_step": 1, "metrics": {"a/b": 1.5, "plain": 2}, "time": 1}', "broken", '{"source_step": 2, "metrics": {"a/b": 2.5}, "time": 2}']
     (tmp_path / "j").mkdir()
-    (tmp_path / "j" / "1.jsonl").write_text("\n".join(lines))
+    (tmp_path / "j" / "1.jsonl").write_text("\n".join(lines) + "\n")
     q = journal.read_journal(spark, str(tmp_path / "j")).writeStream.format("memory").queryName("journal").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.source_step, r.key, r.value) for r in spark.table("journal").collect()) == [(1, "a/b", 1.5), (2, "a/b", 2.5)]
