@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .selection import latest_union, round_robin
+from .scans import numbered
+from .selection import first_of, latest_union, round_robin
 
 
 def refreshed(old: DataFrame, new: DataFrame, update: int, *, max_age: int = 20, cap: int = 64) -> DataFrame:
@@ -19,17 +20,12 @@ def refreshed(old: DataFrame, new: DataFrame, update: int, *, max_age: int = 20,
 def evicted(bank: DataFrame, *, per_bucket: int = 4, per_seed: int = 16) -> DataFrame:
     """(state_id, reason) of the entries (state_id, bucket, seed, usage, last_probe) beyond the capacity of their bucket, or of what is
     left then, of their seed. The most used go first, then those probed longest ago, then by id."""
-    order = [F.col("usage").desc(), F.col("last_probe"), F.col("state_id")]
-
-    def beyond(rows: DataFrame, key: str, capacity: int) -> DataFrame:
-        w = Window.partitionBy(key)
-        ranked = rows.withColumns({"_place": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w)})
-        return ranked.withColumn("_out", F.col("_place") <= F.col("_n") - capacity).drop("_place", "_n")
-
-    first = beyond(bank, "bucket", per_bucket)
-    left = beyond(first.where("NOT _out").drop("_out"), "seed", per_seed)
-    out = first.where("_out").select("state_id", F.lit("bucket").alias("reason"))
-    return out.unionByName(left.where("_out").select("state_id", F.lit("seed").alias("reason")))
+    order = [F.col("usage"), F.col("last_probe").desc_nulls_last(), F.col("state_id").desc()]
+    # what stays is short: each task keeps a key's capacity before anything is shuffled, however full a key is
+    first = first_of(bank, ["bucket"], *order, k=per_bucket).drop("place")
+    left = first_of(first, ["seed"], *order, k=per_seed)
+    out = bank.join(first.select("state_id"), "state_id", "left_anti").select("state_id", F.lit("bucket").alias("reason"))
+    return out.unionByName(first.join(left.select("state_id"), "state_id", "left_anti").select("state_id", F.lit("seed").alias("reason")))
 
 
 def accepted(probes: DataFrame, *, first: int = 8, more: int = 16, low: int = 3, high: int = 21) -> DataFrame:
@@ -114,10 +110,9 @@ def weighted_draws(rows: DataFrame, id_: str, weight: str, draws: DataFrame, see
 
 def rotating_queue(draws: DataFrame, pool: DataFrame, key: str, id_: str, seed: str) -> DataFrame:
     """(draw, id): the n-th draw of a key takes the n-th id of its pool, in an order that is shuffled anew (by hash) each time the pool is used up."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("draw")) - 1
     size = pool.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
-    turns = draws.withColumn("_nth", nth).join(size, key).withColumns({"_turn": F.expr("_nth div _size"), "_at": F.expr("_nth % _size")})
+    turns = numbered(draws, [key], ["draw"], "_nth").join(size, key).withColumns({"_turn": F.expr("_nth div _size"), "_at": F.expr("_nth % _size")})
     wanted = turns.select(key, "_turn").distinct().join(pool.select(key, F.col(id_).alias("_id")), key)
     order = F.sha2(F.concat_ws("|", F.lit(seed), F.col("_turn").cast("string"), F.col("_id").cast("string")), 256)
-    dealt = wanted.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_turn").orderBy(order, "_id")) - 1)
+    dealt = numbered(wanted.withColumn("_h", order), [key, "_turn"], ["_h", "_id"])
     return turns.join(dealt, [key, "_turn", "_at"]).select("draw", F.col("_id").alias(id_))

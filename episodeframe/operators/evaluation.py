@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.statistics import wilson
 from .aggregates import ACTIONS, share
 from .orderstats import linear_quantiles, nearest_ranks
+from .scans import runs
 from .selection import natural_key
 
 
@@ -59,18 +60,12 @@ def in_batches(rows: DataFrame, stream: str, order: list[str], split: str, sizes
     A change of split inside a batch breaks it (an error in a strict reader). As long as no batch is broken,
     batches are runs of one split cut by its size, so no sequential scan is needed.
     """
-    w = Window.partitionBy(stream).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    changed = F.coalesce((F.col(split) != F.lag(split).over(w)).cast("int"), F.lit(1))
-    marked = rows.withColumn("_change", changed).withColumn("_run", F.sum("_change").over(upto))
     size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])[F.col(split)]
-    inner = Window.partitionBy(stream, "_run")
-    at = F.row_number().over(inner.orderBy(*order)) - 1
-    placed = marked.withColumns({"_size": size, "_at": at, "_n": F.count(F.lit(1)).over(inner), "_last": F.max("_run").over(Window.partitionBy(stream))})
+    placed = runs(rows, [stream], order, split).withColumn("_size", size)
     part = F.expr("_at div _size")
     # a run that does not fill its last batch is followed by another split inside that batch
-    broken = (F.col("_run") < F.col("_last")) & ((part + 1) * F.col("_size") > F.col("_n"))
-    return placed.withColumns({"batch": part, "broken": broken}).withColumnRenamed("_run", "run").drop("_change", "_size", "_at", "_n", "_last")
+    broken = (F.col("run") < F.col("_last")) & ((part + 1) * F.col("_size") > F.col("_n"))
+    return placed.withColumns({"batch": part, "broken": broken}).drop("_size", "_at", "_n", "_last")
 
 
 def batch_summary(batches: DataFrame, *by: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import numbered
+
 
 def by_step(key: str = "episode_id", *order: str | Column):
     return Window.partitionBy(key).orderBy(*(order or ("step",)))
@@ -96,15 +98,12 @@ def stride_and_tail(steps: DataFrame, stride: int, tail: int) -> DataFrame:
 
 def rotated(rows: DataFrame, key: str, order: str, update: int, take: int) -> DataFrame:
     """`take` rows of each key from place update * take on, around the end."""
-    w = Window.partitionBy(key)
-    at, n = F.row_number().over(w.orderBy(order)) - 1, F.count(F.lit(1)).over(w)
-    return rows.withColumns({"_at": at, "_n": n}).withColumn("turn", F.expr(f"pmod(_at - {update * take}, _n)").cast("long")).where(F.col("turn") < take).drop("_at", "_n")
+    return numbered(rows, [key], [order], count="_of").withColumn("turn", F.expr(f"pmod(_at - {update * take}, _of)").cast("long")).where(F.col("turn") < take).drop("_at", "_of")
 
 
 def chunked(rows: DataFrame, key: str, order: list[str], size: int, out: str) -> DataFrame:
     """rows with the number of their chunk of `size` rows in the order of their key."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return rows.withColumn("_at", at).withColumn(out, F.expr(f"_at div {size}")).drop("_at")
+    return numbered(rows, [key], order).withColumn(out, F.expr(f"_at div {size}")).drop("_at")
 
 
 def broken_options(steps: DataFrame, identity: list[str]) -> DataFrame:
@@ -151,13 +150,11 @@ def switches(steps: DataFrame, objective: list[str]) -> DataFrame:
 
 def zipped(a: DataFrame, b: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows of two ordered streams in turn, with their `place`; what one stream has beyond the other's end is left out."""
-    number = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    sides = [df.withColumns({"_n": number, "_side": F.lit(i)}) for i, df in enumerate((a, b))]
-    both = [x.join(y.select(key, "_n"), [key, "_n"], "left_semi") for x, y in (sides, sides[::-1])]
-    return both[0].unionByName(both[1]).withColumn("place", (2 * (F.col("_n") - 1) + F.col("_side")).cast("long")).drop("_n", "_side")
+    sides = [numbered(df, [key], order).withColumn("_side", F.lit(i)) for i, df in enumerate((a, b))]
+    both = [x.join(y.select(key, "_at"), [key, "_at"], "left_semi") for x, y in (sides, sides[::-1])]
+    return both[0].unionByName(both[1]).withColumn("place", 2 * F.col("_at") + F.col("_side")).drop("_at", "_side")
 
 
 def every_third(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """rows with `split`: the third, sixth, ... of each key are for validation."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    return rows.withColumn("split", F.when(at % 3 == 2, "validation").otherwise("train"))
+    return numbered(rows, [key], order).withColumn("split", F.when(F.col("_at") % 3 == 2, "validation").otherwise("train")).drop("_at")

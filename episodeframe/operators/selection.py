@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .orderstats import middle_row
+from .scans import numbered
 
 
 def first_of(rows: DataFrame, key: list[str], *order: Column, k: int = 1) -> DataFrame:
     """The first k rows of each key."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("place", n.cast("long")).where(F.col("place") <= k)
+    return rows.withColumn("place", n).where(F.col("place") <= k).withColumn("place", F.col("place").cast("long"))
 
 
 def best(rows: DataFrame, *order: Column) -> DataFrame:
@@ -44,9 +45,11 @@ def typical_best_worst(rows: DataFrame, key: str, value: str, tie: str) -> DataF
 
 def round_robin(rows: DataFrame, tier: str, bin_: str, order: list[Column], cap: int) -> DataFrame:
     """Up to cap rows of a tier, one of each bin in turn."""
+    # row numbers are bounded as they are, so that each task keeps cap rows of a key before anything is shuffled
     inner = F.row_number().over(Window.partitionBy(tier, bin_).orderBy(*order))
     outer = F.row_number().over(Window.partitionBy(tier).orderBy("round", bin_))
-    return rows.withColumn("round", inner.cast("long")).where(F.col("round") <= cap).withColumn("place", outer.cast("long")).where(F.col("place") <= cap)
+    kept = rows.withColumn("round", inner).where(F.col("round") <= cap).withColumn("place", outer).where(F.col("place") <= cap)
+    return kept.withColumns({c: F.col(c).cast("long") for c in ("round", "place")})
 
 
 def diverse_top(rows: DataFrame, group: str, kind: list[str], order: list[Column], k: int) -> DataFrame:
@@ -64,8 +67,7 @@ def hash_subset(rows: DataFrame, group: str, id_: str, salt: str, k: int) -> Dat
 
 def shards(rows: DataFrame, group: str, order: list[str], world: int, eligible: Column) -> DataFrame:
     """Rank of every eligible row; the place is counted before the ineligible ones go."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("rank", (at % world).cast("long")).where(eligible)
+    return numbered(rows, [group], order).withColumn("rank", F.col("_at") % world).where(eligible).drop("_at")
 
 
 def leaking(rows: DataFrame, key: str, split: str) -> DataFrame:
@@ -128,7 +130,7 @@ def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def placed(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """rows with their `place` in the order of their key."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
+    return numbered(rows, [key], list(order), "place").withColumn("place", F.col("place") + 1)
 
 
 def risk_ranked(rows: DataFrame, key: str, *tie: Column) -> DataFrame:
