@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resampling import resampled, resampled_means
+
 #: The 97.5 % quantile of the normal distribution (fixed value).
 Z = 1.959963984540054
 
@@ -186,79 +188,42 @@ def clear_improvement(base: DataFrame, final: DataFrame, key: str, least: float
     return both.select("baseline", "final", "difference", "low", "high", ((F.col("difference") >= least) & (F.col("low") > 0)).alias("clear_improvement"), "regressed")
 
 
-def cluster_interval(base: DataFrame, final: DataFrame, key: str, rounds: int = 10_000, seed: int = 20261002) -> DataFrame:
-    """(low, high) of the difference of pooled rates when keys are drawn with replacement, and outcomes within each drawn key.
-
-    How often a round draws a key is Poisson distributed (the usual stand-in for drawing exactly as many
-    keys again), so every key is drawn for by itself and no list of keys is held anywhere.
-    """
-    counts = paired_counts(base, final, key).select(key, "base_n", "base_wins", "final_n", "final_wins")
+def cluster_rounds(base: DataFrame, final: DataFrame, key: str, rounds: int = 10_000, seed: int = 20261002) -> DataFrame:
+    """(round, drawn, base, final): each round draws as many keys as there are, with replacement, and outcomes within each drawn key; the two pooled rates."""
+    counts = paired_counts(base, final, key)
+    units = counts.select(F.col(key).cast("string").alias("unit"), F.lit(1).cast("long").alias("copies"), "base_n", "base_wins", "final_n", "final_wins")
+    found = resampled(units, rounds, seed, ("base_n", "final_n"), {"_base": ("base_n", "base_wins"), "_final": ("final_n", "final_wins")})
+    return found.select("round", "drawn", (F.col("_base") / F.col("base_n")).alias("base"), (F.col("_final") / F.col("final_n")).alias("final"))
 
-    def run(batches):
-        totals = np.zeros((rounds, 4), np.int64)
-        for b in batches:
-            for name, bn, bw, fn, fw in b.itertuples(index=False):
-                rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
-                times = rng.poisson(1.0, rounds)
-                for j, (n, wins) in enumerate(((bn, bw), (fn, fw))):
-                    totals[:, 2 * j] += times * int(n)
-                    totals[:, 2 * j + 1] += rng.binomial(times * int(n), wins / n)
-        if totals.any():
-            yield pd.DataFrame({"round": np.arange(rounds), **{c: totals[:, j] for j, c in enumerate(("bn", "bw", "fn", "fw"))}})
 
-    sums = counts.mapInPandas(run, "round long, bn long, bw long, fn long, fw long").groupBy("round").agg(*(F.sum(c).alias(c) for c in ("bn", "bw", "fn", "fw")))
-    drawn = sums.where("bn > 0 AND fn > 0").withColumn("_d", F.col("fw") / F.col("fn") - F.col("bw") / F.col("bn"))
-    return _interval(drawn, "_d")
+def cluster_interval(base: DataFrame, final: DataFrame, key: str, rounds: int = 10_000, seed: int = 20261002) -> DataFrame:
+    """(low, high) of the difference of pooled rates over cluster_rounds()."""
+    return _interval(cluster_rounds(base, final, key, rounds, seed).withColumn("_d", F.col("final") - F.col("base")), "_d")
 
 
 def mean_interval(rows: DataFrame, value: str, rounds: int = 10_000, seed: int = 1, *, less: str | None = None) -> DataFrame:
-    """(n, mean, low, high) of a mean by bootstrap; with `less`, of the mean difference value - less of paired rows.
-
-    A value that c rows have is drawn a Poisson(c) number of times a round, so equal values cost one row
-    and a round's mean is a ratio of two sums that every task adds up for itself; a value's draws
-    follow from the value, not from where its rows lie.
-    """
+    """(n, mean, low, high) of a mean by bootstrap, each round of exactly n draws; with `less`, of the mean difference value - less of paired rows."""
     v = F.col(value) - F.col(less) if less else F.col(value)
-    kept = rows.select(v.cast("double").alias("v")).where("v IS NOT NULL")
+    whole = rows.select(v.cast("double").alias("v")).agg(F.count("v").alias("n"), F.avg("v").alias("mean"))
+    return whole.crossJoin(_interval(resampled_means(rows, value, rounds, seed, less), "mean"))  # one row each
 
-    def run(batches):
-        sums, seen = np.zeros((rounds, 2)), False
-        for b in batches:
-            for x, c in b.itertuples(index=False):
-                times = np.random.default_rng([seed, zlib.crc32(float(x).hex().encode())]).poisson(c, rounds)
-                sums[:, 0] += times * x
-                sums[:, 1] += times
-                seen = True
-        if seen:
-            yield pd.DataFrame({"round": np.arange(rounds), "s": sums[:, 0], "c": sums[:, 1]})
 
-    values = kept.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    drawn = values.mapInPandas(run, "round long, s double, c double").groupBy("round").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("c > 0")
-    whole = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    return whole.crossJoin(_interval(drawn.withColumn("_m", F.col("s") / F.col("c")), "_m"))
+def delta_rounds(before: DataFrame, after: DataFrame, value: str, rounds: int = 10_000, seed: int = 1) -> DataFrame:
+    """(round, drawn_before, drawn_after, delta): both sides are resampled by themselves, each to its own size."""
+    one = resampled_means(before, value, rounds, 2 * seed).withColumnsRenamed({"drawn": "drawn_before", "mean": "_before"})
+    two = resampled_means(after, value, rounds, 2 * seed + 1).withColumnsRenamed({"drawn": "drawn_after", "mean": "_after"})
+    return one.join(two, "round").select("round", "drawn_before", "drawn_after", (F.col("_after") - F.col("_before")).alias("delta"))
 
 
 def delta_interval(before: DataFrame, after: DataFrame, value: str, rounds: int = 10_000, seed: int = 1) -> DataFrame:
-    """(delta, low, high) of the difference of two means of independent rows, each side resampled as in mean_interval()."""
-    sides = [before.select(F.lit(0).alias("side"), F.col(value).cast("double").alias("v")), after.select(F.lit(1).alias("side"), F.col(value).cast("double").alias("v"))]
-    kept = sides[0].unionByName(sides[1]).where("v IS NOT NULL")
+    """(delta, low, high) of the difference of two means of independent rows: of the rounds' differences in order, those at places
+    int(0.025 rounds) and int(0.975 rounds) - 1."""
+    found = delta_rounds(before, after, value, rounds, seed).agg(F.array_sort(F.collect_list("delta")).alias("_d"))  # `rounds` numbers
+    at = lambda i: F.get("_d", F.lit(i))
+    means = before.agg(F.avg(value).alias("_b")).crossJoin(after.agg(F.avg(value).alias("_a")))  # one row each
+    ends = found.select(at(int(0.025 * rounds)).alias("low"), at(int(0.975 * rounds) - 1).alias("high"))
+    return means.select((F.col("_a") - F.col("_b")).alias("delta")).crossJoin(ends)
 
-    def run(batches):
-        sums, seen = np.zeros((rounds, 4)), False
-        for b in batches:
-            for side, x, c in b.itertuples(index=False):
-                times = np.random.default_rng([seed, int(side), zlib.crc32(float(x).hex().encode())]).poisson(c, rounds)
-                sums[:, 2 * int(side)] += times * x
-                sums[:, 2 * int(side) + 1] += times
-                seen = True
-        if seen:
-            yield pd.DataFrame({"round": np.arange(rounds), **{n: sums[:, j] for j, n in enumerate(("s0", "c0", "s1", "c1"))}})
-
-    values = kept.groupBy("side", "v").agg(F.count(F.lit(1)).alias("c"))
-    drawn = values.mapInPandas(run, "round long, s0 double, c0 double, s1 double, c1 double").groupBy("round").agg(*(F.sum(c).alias(c) for c in ("s0", "c0", "s1", "c1")))
-    drawn = drawn.where("c0 > 0 AND c1 > 0").withColumn("_d", F.col("s1") / F.col("c1") - F.col("s0") / F.col("c0"))
-    means = kept.agg((F.avg(F.when(F.col("side") == 1, F.col("v"))) - F.avg(F.when(F.col("side") == 0, F.col("v")))).alias("delta"))
-    return means.crossJoin(_interval(drawn, "_d"))  # one row each
 
 
 def wilson_unclamped(wins: Column, n: Column) -> tuple[Column, Column]:

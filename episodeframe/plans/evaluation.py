@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import statistics
+from ..functions import resampling, statistics
 from ..operators import evaluation as ev
 from ..operators import selection
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
@@ -213,12 +213,20 @@ def nm3_clear_improvement(spark, d):
     return found.select(*r6("baseline", "final", "difference"), "clear_improvement", "regressed")
 
 
-@query(f"""WITH {HALVES}, t AS (SELECT sum(fw) / sum(fn) - sum(bw) / sum(bn) AS diff FROM c) SELECT round(diff, 6) AS difference, true AS inside, true AS ordered FROM t""")
+@query(f"""WITH {HALVES}, t AS (SELECT sum(fw) / sum(fn) - sum(bw) / sum(bn) AS diff, count(*) AS keys FROM c) SELECT round, keys AS drawn, round(diff, 6) AS difference, true AS inside FROM t, range(10000) r(round)""")
 def nm4_seed_cluster_interval(spark, d):
+    """Every round draws as many keys as there are; its rates lie in [0, 1], and the interval of the rounds' differences holds the whole difference."""
     base, final = halves(spark, d)
     counts = statistics.paired_counts(base, final, "seed").agg((F.sum("final_wins") / F.sum("final_n") - F.sum("base_wins") / F.sum("base_n")).alias("difference"))
     both = counts.crossJoin(statistics.cluster_interval(base, final, "seed"))  # one row each
-    return both.select(*r6("difference"), F.col("difference").between(F.col("low"), F.col("high")).alias("inside"), (F.col("low") < F.col("high")).alias("ordered"))
+    rounds = statistics.cluster_rounds(base, final, "seed").where("base BETWEEN 0 AND 1 AND final BETWEEN 0 AND 1")
+    return rounds.select("round", "drawn").crossJoin(F.broadcast(both)).select("round", "drawn", *r6("difference"), F.col("difference").between(F.col("low"), F.col("high")).alias("inside"))
+
+
+@query(f"""WITH {PLAYED}, m AS (SELECT count(*) FILTER (episode_id % 2 = 0) AS b, count(*) FILTER (episode_id % 2 = 1) AS a FROM played) SELECT round, b AS drawn_before, a AS drawn_after FROM m, range(10000) r(round)""")
+def nm5_resampled_rounds(spark, d):
+    """Each round draws exactly as many rows of either side as it has."""
+    return statistics.delta_rounds(*halves(spark, d), "clear_rate").where("delta BETWEEN -1 AND 1").drop("delta")
 
 
 @query(f"""WITH {PLAYED}, m AS (SELECT avg(clear_rate) FILTER (episode_id % 2 = 0) AS b, avg(clear_rate) FILTER (episode_id % 2 = 1) AS a, var_samp(clear_rate) FILTER (episode_id % 2 = 0) / count(*) FILTER (episode_id % 2 = 0) + var_samp(clear_rate) FILTER (episode_id % 2 = 1) / count(*) FILTER (episode_id % 2 = 1) AS v FROM played) SELECT round(a - b, 6) AS delta, true AS inside, true AS as_wide FROM m""")
@@ -252,10 +260,12 @@ def jn5_paired_modes(spark, d):
     )
 
 
-@query(f"WITH {MODES} SELECT count(*) AS n, round(avg(e::INT - p::INT), 6) AS mean, true AS inside FROM paired")
+@query(f"WITH {MODES}, m AS (SELECT count(*) AS n, round(avg(e::INT - p::INT), 6) AS mean FROM paired) SELECT round, n AS drawn, mean, true AS inside FROM m, range(20000) r(round)")
 def nm6_paired_interval(spark, d):
     m = modes(spark, d).select(F.col("e").cast("int").alias("e"), F.col("p").cast("int").alias("p"))
-    return statistics.mean_interval(m, "e", 20_000, 20261015, less="p").select("n", *r6("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"))
+    found = statistics.mean_interval(m, "e", 20_000, 20261015, less="p")
+    rounds = resampling.resampled_means(m, "e", 20_000, 20261015, "p").where("mean BETWEEN -1 AND 1")
+    return rounds.select("round", "drawn").crossJoin(F.broadcast(found)).select("round", "drawn", *r6("mean"), F.col("mean").between(F.col("low"), F.col("high")).alias("inside"))
 
 
 @query(f"""WITH {EPISODES}, a AS (SELECT policy, count(*) FILTER (terminal = 'cleared') AS wins, count(*) AS n FROM episodes GROUP BY 1), w AS (SELECT *, wins / n AS p, 1.959963984540054 AS z FROM a)
