@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scans import numbered
+from .scans import filled, numbered, running
 from .selection import first_of, latest_union, round_robin
 
 
@@ -85,27 +85,22 @@ def outcome_weight(wins: Column, n: Column) -> Column:
     return F.when(wins.isNull(), F.lit(1.0)).when((wins > 0) & (wins < n), F.lit(2.0)).otherwise(F.lit(0.1))
 
 
-def weighted_draws(rows: DataFrame, id_: str, weight: str, draws: DataFrame, seed: str) -> DataFrame:
-    """(draw, id) for each of `draws` (draw): rows drawn with replacement by weight.
+def weighted_draws(rows: DataFrame, id_: str, weight: str, draws: DataFrame, seed: str, scale: int = 1000) -> DataFrame:
+    """(draw, id) for each of `draws` (draw): rows drawn with replacement by weight, which counts in whole units of 1 / scale.
 
-    Cumulative weights make each row an interval of [0, 1); a draw is a point from a hash, found by a
-    range join over 1,024 cells of the interval, so neither side is compared as a whole. The running sum is made of
-    sums of hash ranges of ids, not of one ordered window over all rows.
+    In the order of ids each row is an interval of the whole numbers below the total; a draw is a number from a hash of
+    the seed and the draw, 60 bits modulo the total. Both lie in one order, dealt to ranges, where a draw takes the last interval that starts at or before it: one sort and no pair that isn't a result.
+    Rows without weight are never drawn; without any weight there are no draws.
     """
-    kept = rows.where(F.col(weight) > 0).select(F.col(id_).alias("id"), F.col(weight).cast("double").alias("_w"))
-    ranged = kept.withColumn("_range", F.pmod(F.xxhash64("id"), F.lit(256)).cast("int"))
-    sums = ranged.groupBy("_range").agg(F.sum("_w").alias("_s"))  # 256 rows at most
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_b"), F.sum("_s").over(Window.partitionBy()).alias("_total"))
-    inside = Window.partitionBy("_range").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.join(F.broadcast(sums), "_range").withColumn("_low", F.col("_b") + F.coalesce(F.sum("_w").over(inside), F.lit(0.0)))
-    spans = placed.select("id", (F.col("_low") / F.col("_total")).alias("_from"), ((F.col("_low") + F.col("_w")) / F.col("_total")).alias("_to"))
-    cell = lambda c: F.least(F.floor(c * 1024), F.lit(1023)).cast("int")
-    spans = spans.withColumn("_cell", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to")))))
-    point = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    points = draws.select("draw", point.alias("_point")).withColumn("_cell", cell(F.col("_point")))
-    hit = points.join(spans, "_cell").where((F.col("_from") <= F.col("_point")) & (F.col("_point") < F.col("_to")))
-    return hit.select("draw", "id")
+    units = F.round(F.col(weight) * scale).cast("long")
+    kept = running(rows.select(F.col(id_).alias("id"), units.alias("_u")).where("_u > 0"), [], ["id", "_u"], "_u", "_at", "_total")
+    digest = F.sha2(F.concat_ws("|", F.lit(seed), F.col("draw").cast("string")), 256)
+    total = kept.agg(F.max("_total").alias("_total")).where("_total IS NOT NULL")
+    points = draws.select("draw", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("_h")).crossJoin(F.broadcast(total))  # one row
+    both = kept.select("_at", F.lit(0).alias("_kind"), F.struct("id").alias("_row"), F.lit(None).cast(draws.schema["draw"].dataType).alias("draw")).unionByName(
+        points.select((F.col("_h") % F.col("_total")).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(f"struct<id: {kept.schema['id'].dataType.simpleString()}>").alias("_row"), "draw")
+    )
+    return filled(both, [], ["_at", "_kind", "draw"], "_row", "_hit").where("_kind = 1").select("draw", "_hit.id")
 
 
 def rotating_queue(draws: DataFrame, pool: DataFrame, key: str, id_: str, seed: str) -> DataFrame:

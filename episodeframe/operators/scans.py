@@ -46,7 +46,7 @@ class Ranged:
         """rows with the facts of their range and key."""
         names = {k: f"_key{i}" for i, k in enumerate(("_scan_range", *self.key))}
         rows = self.rows if rows is None else rows
-        same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(F.col(n)) for k, n in names.items()))
+        same = reduce(lambda a, b: a & b, (rows[k].eqNullSafe(F.col(n)) for k, n in names.items()))  # a key may be empty: then the ranges alone
         return rows.join(facts.withColumnsRenamed(names), same).drop(*names.values())
 
 
@@ -80,3 +80,23 @@ def runs(rows: DataFrame, key: list[str], order: list[str | Column], value: str,
     sizes = placed.groupBy(*key, "run").agg((F.max("_at") + 1).alias("_n")).withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(key)}).withColumnRenamed("run", "_run")
     same = reduce(lambda a, b: a & b, (placed[k].eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(key)), placed["run"] == F.col("_run"))
     return placed.join(sizes, same).drop("_run", *(f"_key{i}" for i in range(len(key))))
+
+
+def filled(rows: DataFrame, key: list[str], order: list[str | Column], value: str, out: str, ranges: int | None = None) -> DataFrame:
+    """rows with `out`: the last `value` that is not null at or before each row of its key; null before the first."""
+    ranged = Ranged(rows, key, order, ranges)
+    facts = ranged.ranges(_v=F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_scan_id"))))
+    facts = facts.withColumn("_before", F.last("_v", ignorenulls=True).over(ranged.before())).drop("_v")
+    inside = F.last(value, ignorenulls=True).over(ranged.within().rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.joined(facts).withColumn(out, F.coalesce(inside, "_before")).drop("_scan_id", "_scan_range", "_first", "_before")
+
+
+def running(rows: DataFrame, key: list[str], order: list[str | Column], value: str, out: str, total: str | None = None, ranges: int | None = None) -> DataFrame:
+    """rows with `out`: the sum of `value` over the rows before each of its key (0 at the first), and with `total` the key's sum."""
+    ranged = Ranged(rows, key, order, ranges)
+    facts = ranged.ranges(_s=F.sum(value))
+    facts = facts.withColumn("_before", F.coalesce(F.sum("_s").over(ranged.before()), F.lit(0)))
+    if total:
+        facts = facts.withColumn(total, F.sum("_s").over(Window.partitionBy(*key)))
+    inside = F.sum(value).over(ranged.within().rowsBetween(Window.unboundedPreceding, -1))
+    return ranged.joined(facts.drop("_s")).withColumn(out, F.col("_before") + F.coalesce(inside, F.lit(0))).drop("_scan_id", "_scan_range", "_first", "_before")

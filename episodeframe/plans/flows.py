@@ -116,18 +116,12 @@ def st8_first_pass(spark, d):
     return banks.first_pass(slots(spark, d)).groupBy("slot").agg(F.count(F.lit(1)).alias("episodes"), F.count_if(F.col("reward") >= 1).alias("wins"))
 
 
-@query("""WITH w AS (SELECT p_partkey AS id, (p_size % 5)::DOUBLE AS w, ('0x' || 'ff')::BIGINT AS x FROM part WHERE p_size % 5 > 0), t AS (SELECT sum(w) AS total, count(*) AS ids FROM w)
-  SELECT true AS all_drawn, true AS in_pool, true AS near_weights, (SELECT count(*) FROM orders) AS draws""")
+@query("""WITH w AS (SELECT p_partkey AS id, (p_size % 5 * 1000 + CASE WHEN p_size % 7 = 0 THEN 250 ELSE 0 END)::BIGINT AS u FROM part), s AS (SELECT id, (sum(u) OVER (ORDER BY id) - u)::BIGINT AS low FROM w WHERE u > 0), t AS (SELECT sum(u)::BIGINT AS total FROM w),
+  p AS (SELECT o_orderkey AS draw, (('0x' || substr(sha256('nm24|' || o_orderkey), 1, 15))::BIGINT % total)::BIGINT AS point FROM orders, t) SELECT draw, id FROM p ASOF JOIN s ON point >= low""")
 def nm24_weighted_draws(spark, d):
-    """Every draw hits one row of positive weight, and the drawn weight classes keep to their shares."""
-    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 5).cast("double").alias("w"))
-    draws = table(spark, d, "orders").select(F.col("o_orderkey").alias("draw"))
-    got = banks.weighted_draws(rows, "p_partkey", "w", draws, "nm24").join(rows.withColumnRenamed("p_partkey", "id"), "id", "left")
-    share = rows.where("w > 0").agg((F.sum(F.when(F.col("w") == 4, 4.0).otherwise(0.0)) / F.sum("w")).alias("want"))
-    seen = got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("draw").alias("k"), F.min("w").alias("least"), F.avg((F.col("w") == 4).cast("int")).alias("have"))
-    total = draws.agg(F.count(F.lit(1)).alias("draws"))
-    one = seen.crossJoin(share).crossJoin(total)  # one row each
-    return one.select(((F.col("n") == F.col("draws")) & (F.col("k") == F.col("draws"))).alias("all_drawn"), (F.col("least") > 0).alias("in_pool"), (F.abs(F.col("have") - F.col("want")) < 5 / F.sqrt("draws")).alias("near_weights"), "draws")
+    size = F.col("p_size")
+    rows = table(spark, d, "part").select("p_partkey", (size % 5 + F.when(size % 7 == 0, 0.25).otherwise(0.0)).alias("w"))
+    return banks.weighted_draws(rows, "p_partkey", "w", table(spark, d, "orders").select(F.col("o_orderkey").alias("draw")), "nm24")
 
 
 @query("""WITH d AS (SELECT o_orderkey AS draw, o_custkey % 40 AS key, row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) - 1 AS nth FROM orders), p AS (SELECT p_partkey % 40 AS key, p_partkey AS id, count(*) OVER (PARTITION BY p_partkey % 40) AS size FROM part),

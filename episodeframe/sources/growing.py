@@ -10,16 +10,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from .storage import opened
+
 BLOCK = 1 << 20
 #: Bytes of a file's new lines that one task reads, about.
 PART_BYTES = 64 << 20
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or URI, and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 @dataclass
 class Span(InputPartition):
     """Lines of a file that start in [start, stop); `first`: start is a line's start. `over`: where the end line ends, if there is one."""

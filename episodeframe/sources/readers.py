@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .storage import opened
+
 
 def json_files(spark: SparkSession, path: str, schema: StructType | str, pattern: str = "*.json") -> DataFrame:
     """One row a JSON file, with `_file` and `_modified`; the schema is given, never inferred."""
@@ -95,22 +97,40 @@ def grid_block(text: Column, symbols: str = "#PGX. ") -> Column:
     return F.when(F.size(rows) > 0, rows)
 
 
+#: Bytes that a tensor file's header has at most.
+MAX_HEADER = 100 << 20
+
+
+def _header(path: str, length: int) -> str:
+    """The header of a tensor file, as JSON with the bytes of its data: eight bytes and the header are read, whatever the file's length."""
+    system, name = opened(path)
+    with system.open_input_file(name) as f:
+        size = int.from_bytes(f.read(8), "little")
+        if size > min(MAX_HEADER, length - 8):
+            raise ValueError(f"{path}: a header of {size} bytes")
+        found = json.loads(f.read(size))
+    tensors = [{"name": k, "dtype": v["dtype"], "begin": v["data_offsets"][0], "end": v["data_offsets"][1]} for k, v in found.items() if k != "__metadata__"]
+    return json.dumps({"size": length - 8 - size, "tensors": tensors})
+
+
 def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(_file, tensor, dtype, begin, end, contiguous) of files that start with eight bytes of header length and a JSON header; whether each tensor begins where the one before ends, from 0 to the file's end."""
+    """(_file, tensor, dtype, begin, end, contiguous) of files that start with eight bytes of header length and a JSON header; whether each tensor begins where the one before ends, from 0 to the file's end.
 
-    @F.pandas_udf("string")
-    def header(content: pd.Series) -> pd.Series:
-        def one(raw: bytes) -> str:
-            size = int.from_bytes(raw[:8], "little")
-            found = {k: v for k, v in json.loads(raw[8 : 8 + size]).items() if k != "__metadata__"}
-            return json.dumps({"size": len(raw) - 8 - size, "tensors": [{"name": k, "dtype": v["dtype"], "begin": v["data_offsets"][0], "end": v["data_offsets"][1]} for k, v in found.items()]})
+    Files are listed by Spark, without their content; a task reads each one's header by itself.
+    """
 
-        return content.map(one)
+    def run(batches):
+        for b in batches:
+            paths, lengths = b.column(0).to_pylist(), b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_header, paths, lengths), pa.string())], names=["path", "header"])
 
-    raw = spark.read.format("binaryFile").load(path)
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    raw = listed.mapInArrow(run, "path string, header string")
     kind = "size long, tensors array<struct<name: string, dtype: string, begin: bigint, end: bigint>>"
-    rows = raw.select(F.element_at(F.split("path", "/"), -1).alias("_file"), F.from_json(header("content"), kind).alias("h"))
+    rows = raw.select(F.element_at(F.split("path", "/"), -1).alias("_file"), F.from_json("header", kind).alias("h"))
     ordered = F.array_sort(F.transform("h.tensors", lambda t: F.struct(t["begin"].alias("begin"), t["end"].alias("end"), t["name"].alias("name"), t["dtype"].alias("dtype"))))
     rows = rows.select("_file", F.col("h.size").alias("size"), ordered.alias("t"))
-    whole = F.forall(F.sequence(F.lit(0), F.size("t") - 1), lambda i: F.get("t", i)["begin"] == F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("t", i - 1)["end"])) & (F.element_at("t", -1)["end"] == F.col("size"))
-    return rows.select("_file", whole.alias("contiguous"), F.explode("t").alias("x")).select("_file", F.col("x.name").alias("tensor"), "x.dtype", "x.begin", "x.end", "contiguous")
+    # a file's end is the last tensor's; one without tensors has no data
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("t", lambda t: t["end"]))
+    begins = F.concat(F.transform("t", lambda t: t["begin"]), F.array("size"))
+    return rows.select("_file", (ends == begins).alias("contiguous"), F.explode("t").alias("x")).select("_file", F.col("x.name").alias("tensor"), "x.dtype", "x.begin", "x.end", "contiguous")

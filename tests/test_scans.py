@@ -76,3 +76,30 @@ def test_empty_tables(spark):
     rows = table(spark, 5, ["a"]).where("false")
     assert scans.numbered(rows, ["k"], ["x"]).collect() == [] == scans.runs(rows, ["k"], ["x"], "v").collect()
     assert evaluation.in_batches(rows, "k", ["x"], "v", {"a": 2, "b": 3}).collect() == []
+
+
+@pytest.mark.parametrize("keys", [["one"], ["a", None, "c"], [str(i) for i in range(200)]])
+def test_filled_and_running(spark, keys):
+    rows = table(spark, 600, keys).withColumn("m", F.when(F.col("id") % 17 == 0, F.col("id")))
+    w = Window.partitionBy("k").orderBy("x", "id")
+    want = rows.withColumns({"last": F.last("m", ignorenulls=True).over(w), "sum": F.coalesce(F.sum("id").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("id").over(Window.partitionBy("k"))})
+    for ranges in (1, 8):
+        assert plain(scans.filled(rows, ["k"], ["x", "id"], "m", "last", ranges), "id", "last") == plain(want, "id", "last")
+        assert plain(scans.running(rows, ["k"], ["x", "id"], "id", "sum", "all", ranges), "id", "sum", "all") == plain(want, "id", "sum", "all")
+
+
+def test_draws_by_weight(spark):
+    """Draws are the rows that plain cumulative weights give for the same points."""
+    import hashlib
+    from bisect import bisect_right
+    from itertools import accumulate
+
+    rng = random.Random(3)
+    weights = [rng.choice([0.0, 0.1, 1.0, 2.0, 500.0]) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(weights)), "i long, w double").repartition(7)
+    kept = [(i, round(w * 1000)) for i, w in enumerate(weights) if w]
+    ends = list(accumulate(u for _, u in kept))
+    point = lambda k: int(hashlib.sha256(f"s|{k}".encode()).hexdigest()[:15], 16) % ends[-1]
+    got = {r.draw: r.id for r in banks.weighted_draws(rows, "i", "w", spark.range(500).withColumnRenamed("id", "draw"), "s").collect()}
+    assert got == {k: kept[bisect_right(ends, point(k))][0] for k in range(500)}
+    assert banks.weighted_draws(rows.where("w = 0"), "i", "w", spark.range(5).withColumnRenamed("id", "draw"), "s").collect() == []
