@@ -35,6 +35,15 @@ def wilson(wins: Column, n: Column, clamp: bool = True) -> tuple[Column, Column]
     return tuple(F.when(n > 0, x).otherwise(F.lit(0.0)) for x in (low, high))
 
 
+def wilson_bounds(wins: int, n: int) -> tuple[float, float]:
+    """wilson() of two numbers."""
+    if not n:
+        return 0.0, 0.0
+    p, z2 = wins / n, Z * Z
+    middle, spread = (p + z2 / (2 * n)) / (1 + z2 / n), Z * math.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
+    return max(middle - spread, 0.0), min(middle + spread, 1.0)
+
+
 def centered(rewards: DataFrame) -> DataFrame:
     """Reward less its group's mean; a constant group gets exact zeros."""
     w = Window.partitionBy("group_id")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import banks
+from ..sources import sinks
 from ..sources.bindings import EPISODES, episodes, table
-from ..streaming import controller
+from ..streaming import controller, stages
 from .core import query
 
 COURSE = f"""{EPISODES}, course AS (SELECT seed % 4 AS run, group_id // 64 AS update, group_id, group_id % 3 AS tier, terminal = 'cleared' AS won, seed AS map, fault, group_id % 5 <> 0 AS normal FROM episodes)"""
@@ -137,3 +138,58 @@ def nm25_rotating_queues(spark, d):
 def jn14_nm24_outcome_weights(spark, d):
     wins = F.when(F.col("l_returnflag") != "N", F.col("l_suppkey") % 13)
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", banks.outcome_weight(wins, F.lit(12)).alias("weight"))
+
+
+# the stage machine
+
+
+STAGES = """WITH RECURSIVE k AS (SELECT c_custkey AS run FROM customer),
+  f AS (SELECT run, v AS version, s, (run * 7 + v * 5 + s * 11) % 25 AS wins FROM k, range(13) v(v), range(4) s(s)),
+  ch AS (SELECT run, version, min(s) FILTER (wins BETWEEN 8 AND 16 AND (version > 0 OR s > 0)) AS s FROM f GROUP BY 1, 2),
+  p AS (SELECT run, s, ((run + s) % 5) / 24 AS b, (8 + (run * 3 + s) % 17) / 24 AS a, 1.959963984540054 AS z FROM k, range(4) s(s)),
+  g AS (SELECT run, s, run % 7 > 0 AND run % 5 > 0 AND a > b AND greatest((a + z*z/48) / (1 + z*z/24) - z * sqrt(a * (1 - a) / 24 + z*z/2304) / (1 + z*z/24), 0) > (b + z*z/48) / (1 + z*z/24) + z * sqrt(b * (1 - b) / 24 + z*z/2304) / (1 + z*z/24) AS learned FROM p),
+  r AS (SELECT run, 0 AS version, CASE WHEN run % 9 >= 8 OR s IS NULL THEN 'stopped' ELSE 'pilot' END AS stage,
+      CASE WHEN run % 9 >= 8 THEN 'initial_cold_start_assumption_not_supported' WHEN s IS NULL THEN 'no_initial_learnable_restart_state' ELSE 'pilot_selected' END AS event, CASE WHEN run % 9 < 8 THEN s END AS s FROM ch WHERE version = 0
+    UNION ALL
+    SELECT r.run, r.version + 1,
+      CASE WHEN r.version + 1 < 4 THEN 'pilot' WHEN r.version + 1 = 4 AND NOT g.learned THEN 'stopped' WHEN r.version + 1 >= 12 THEN 'completed' WHEN r.version % 2 = 0 OR ch.s IS NOT NULL THEN 'staged' ELSE 'stopped' END,
+      CASE WHEN r.version + 1 < 4 THEN 'train' WHEN r.version + 1 = 4 AND NOT g.learned THEN 'pilot_inconclusive' WHEN r.version + 1 >= 12 THEN 'bounded_run_completed' WHEN r.version % 2 = 0 THEN 'train'
+        WHEN ch.s IS NOT NULL THEN 'adaptive_selected' WHEN (r.run + r.version + 1) % 25 >= 17 THEN 'true_start_above_frontier' ELSE 'no_current_learnable_frontier' END,
+      CASE WHEN r.version + 1 >= 4 AND r.version + 1 < 12 AND r.version % 2 = 1 AND (r.version + 1 > 4 OR g.learned) THEN coalesce(ch.s, r.s) ELSE r.s END
+    FROM r JOIN ch ON ch.run = r.run AND ch.version = r.version + 1 JOIN g ON g.run = r.run AND g.s = r.s WHERE r.stage IN ('pilot', 'staged'))
+  SELECT run, version::BIGINT AS version, stage, event, CASE WHEN s IS NULL THEN '' ELSE 's' || s END AS current, coalesce(s * 5, 0)::BIGINT AS env_step FROM r"""
+PLAN = stages.Plan(pilot_updates=4, adaptive_updates=8, probe_every=2)
+
+
+def probes(spark, d):
+    """A run for every customer: thirteen updates with summaries of a true start, four candidates and independent probes of these."""
+    run, v, s = F.col("c_custkey"), F.col("version"), F.col("s")
+    rows = table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("version"))
+    each = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    one = lambda kind, name, wins: F.struct(F.lit(kind).alias("kind"), name.alias("state_id"), (s * 5).cast("long").alias("env_step"), F.lit(24).cast("long").alias("samples"), wins.cast("long").alias("successes"), (wins / 24).alias("mean_reward"), (wins * 2.0).cast("double").alias("mean_pellets"), F.when(run % 7 == 0, 0.0).otherwise(0.25).alias("variance"))
+    name = F.concat(F.lit("s"), s.cast("string"))
+    told = F.array(
+        one("frontier", name, (run * 7 + v * 5 + s * 11) % 25),
+        F.when(v.isin(0, 4), one("pilot", name, F.when(v == 0, (run + s) % 5).otherwise(8 + (run * 3 + s) % 17))),
+        F.when(s == 0, one("start", F.lit("t0"), F.when(v == 0, run % 9).otherwise((run + v) % 25))),
+    )
+    per = each.select(run.alias("run"), v.cast("long").alias("version"), F.explode(F.filter(told, lambda x: x.isNotNull())).alias("t"))
+    facts = per.groupBy("run", "version").agg(F.collect_list("t").alias("summaries"))
+    return facts.select("run", "version", F.lit(2).cast("long").alias("adv_count"), F.when(F.col("run") % 5 == 0, 0.0).otherwise(0.1).alias("adv_variance"), "summaries")
+
+
+@query(STAGES)
+def st14_stage_machine(spark, d):
+    return stages.fold(probes(spark, d), PLAN)
+
+
+@query(STAGES)
+def st14_stage_machine_stream(spark, d):
+    """The same machine over a stream, whose updates come in three files, each with a third of a run's updates, the last ones first."""
+    path, keep = sinks.shared_path(spark, "st14"), sinks.shared_path(spark, "st14-kept")
+    source = probes(spark, d)
+    for third in (2, 0, 1):
+        source.where(F.col("version") % 3 == third).coalesce(1).write.mode("append").parquet(path)
+    updates = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stages.fold_stream(updates, PLAN).writeStream.format("parquet").option("path", keep).option("checkpointLocation", f"{keep}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stages.OUT).parquet(keep)
