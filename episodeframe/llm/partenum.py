@@ -405,6 +405,27 @@ def bucket_lists(members: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "node long, buckets binary")
 
 
+def unsettled(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(sig, node): of the members (sig, node, n, sketch, comp) of each bucket those with a plausible partner in another comp."""
+
+    def work(key: tuple, held: list) -> pa.RecordBatch | None:
+        node, n, marks, comp = held
+        comp = np.array(comp, np.int64)
+        if (comp == comp[0]).all():
+            return None
+        near, open_, every = plausible(np.array(n, np.int64), marks, percent), np.zeros(len(node), bool), np.arange(len(node))
+        for x in range(len(node) - 1):
+            rest = every[x + 1 :]
+            rest = rest[comp[rest] != comp[x]]
+            hit = rest[near(x, rest)] if len(rest) else rest
+            open_[x] |= len(hit) > 0
+            open_[hit] = True
+        at = np.flatnonzero(open_)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.int64()), pa.array([node[x] for x in at], pa.int64())], names=["sig", "node"]) if len(at) else None
+
+    return by_block(blocked(members, True, block), ["n", "sketch", "comp"], work, "sig long, node long").distinct()
+
+
 def doubtful(members: DataFrame, percent: int, block: int) -> DataFrame:
     """(sig, _i, _j, _side, node, comp): of the members (sig, node, n, sketch, comp, buckets) of each block those with a plausible partner in another comp.
 
@@ -529,13 +550,14 @@ def rooted(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     facts = each.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("c"), *(F.sum(F.pmod(F.xxhash64("node", F.lit(x)), F.lit(1 << 32))).alias(f"h{x}") for x in (1, 2)))
     buckets = stage(facts.groupBy("lo", "hi", "c", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig"), "join-buckets")
     members = stage(each.join(small(buckets), "sig", "left_semi"), "join-members")
+    unstage(found, buckets)
     used = stage(members.select("node").distinct(), "join-used")
     ids = stage(nodes.join(small(used), "node", "left_semi").select("_id", "_tie"), "join-ids")
     made = sets_of(text_of(ids), k, percent)
     # a node has one (id, tie), so it comes twice only where rows repeat both; then, and only then, sets are shuffled to drop the repeats
     repeated = table.count() > table.select("doc_id", "tie").distinct().count()
     sets = stage(made.dropDuplicates(["node"]) if repeated else made, "join-sets")
-    unstage(nodes, keys, found, buckets, used, ids)
+    unstage(nodes, keys, used, ids)
 
     light = sets.select("node", "n", "sketch")
     # similar sets share most buckets, so the least few of each, by hash, are mostly the same ones
@@ -547,9 +569,12 @@ def rooted(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     second = members.join(small(comps), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = stage(second.groupBy("sig").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("sig"), "join-open")
     open_ = stage(second.join(small(mixed), "sig", "left_semi"), "join-still")
-    doubts = stage(doubtful(open_.join(light.join(bucket_lists(open_), "node"), "node"), percent, block), "join-doubts")
+    # only members with a plausible partner elsewhere carry the list of their buckets along
+    loose = stage(unsettled(open_.join(light, "node"), percent, block), "join-loose")
+    left = open_.join(small(loose), ["sig", "node"], "left_semi")
+    doubts = stage(doubtful(left.join(light.join(bucket_lists(loose), "node"), "node"), percent, block), "join-doubts")
     more = stage(exact_links(doubts.join(sets.select("node", "elements"), "node"), percent), "join-more")
-    unstage(members, pairs, comps, mixed, open_)
+    unstage(members, pairs, comps, mixed, open_, loose)
     comps = stage(components(links.union(more)), "join-comps")
     unstage(sets, links, doubts, more)
     with_root = table.select("doc_id", "tie", "n_shingles", "node").join(small(comps), "node", "left").withColumn("_root", F.coalesce("root", "node"))
