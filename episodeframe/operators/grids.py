@@ -129,3 +129,85 @@ def canonical_layouts(boards: DataFrame) -> DataFrame:
         return rows.map(lambda x: min(forms(list(x))))
 
     return boards.select("map_id", least("rows").alias("canonical"))
+
+
+def components_without(edges: DataFrame, cells: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """(map_id, removed, node, component) of boards (cells map_id, node) after taking out one cell, for each of `removed` (map_id, removed; all cells, by default).
+
+    component is its least cell. Each step passes the least label on to the neighbours and takes a label's own label, so
+    long ways need about as many steps as their length has digits; boards and removals search side by side.
+    """
+    _checkpoints(edges.sparkSession)
+    own = edges.select("map_id", F.col("src").alias("node"), "dst").where("node <> dst").distinct()
+    gone = cells.select("map_id", F.col("node").alias("removed")).distinct() if removed is None else removed
+    now = gone.join(cells.select("map_id", "node").distinct(), "map_id").where("removed <> node").withColumn("component", F.col("node")).checkpoint()
+    while True:
+        passed = now.join(own, ["map_id", "node"]).where("dst <> removed").select("map_id", "removed", F.col("dst").alias("node"), "component")
+        least = now.unionByName(passed).groupBy("map_id", "removed", "node").agg(F.min("component").alias("_least"))
+        higher = now.select("map_id", "removed", F.col("node").alias("_least"), F.col("component").alias("_up"))
+        after = least.join(higher, ["map_id", "removed", "_least"]).select("map_id", "removed", "node", F.least("_least", "_up").alias("component")).checkpoint()
+        if after.exceptAll(now).isEmpty():
+            return after
+        now = after
+
+
+def choke_points(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """(map_id, node, parts, parts_without, choke) of every cell: how many components its board has with and without it; a choke point leaves more."""
+    every = cells.select("map_id", "node").distinct()
+    none = every.select("map_id", F.lit(-1).cast("long").alias("removed")).distinct()
+    count = lambda rows: rows.groupBy("map_id", "removed").agg(F.count_distinct("component").alias("_n"))
+    found = count(components_without(edges, every, none.unionByName(every.select("map_id", F.col("node").alias("removed")))))
+    whole = found.where("removed = -1").select("map_id", F.col("_n").alias("parts"))
+    without = found.select("map_id", F.col("removed").alias("node"), F.col("_n").alias("parts_without"))
+    rows = every.join(whole, "map_id").join(without, ["map_id", "node"], "left").fillna(0, ["parts_without"])
+    return rows.withColumn("choke", F.col("parts_without") > F.col("parts"))
+
+
+def least_routes(edges: DataFrame, sources: DataFrame, by: tuple[str, ...], avoid: str | None = None, limit: int | None = None) -> DataFrame:
+    """(by..., node, route, path): of the shortest routes from sources (by..., node, route, path) the first in tie order; route is the ranks of its moves, path its cells.
+
+    A cell's route is the least of its neighbours' routes and a move: one frontier join a step, as frontier_distances(). Cells equal to the column
+    `avoid` are never entered, and with `limit` the search stops after so many steps.
+    """
+    _checkpoints(edges.sparkSession)
+    key, own = [*by, "node"], edges.select("map_id", F.col("src").alias("node"), "rank", "dst")
+    frontier = sources.select(*key, "route", "path").checkpoint()
+    seen = frontier
+    for _ in itertools.count() if limit is None else range(limit):
+        to = frontier.join(own, ["map_id", "node"]).where(F.col("dst") != F.col(avoid) if avoid else F.lit(True))
+        step = F.struct(F.concat("route", F.col("rank").cast("string")).alias("route"), F.concat("path", F.array("dst")).alias("path"))
+        reached = to.groupBy(*by, F.col("dst").alias("node")).agg(F.min_by(step, step["route"]).alias("_r")).select(*key, "_r.*")
+        frontier = reached.join(seen.select(*key), key, "left_anti").checkpoint()
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def alternative_routes(edges: DataFrame, pairs: DataFrame, slack: int = 8, top: int = 12, reach: int = 4) -> DataFrame:
+    """(map_id, start, target, route, place): up to `top` routes for pairs (map_id, start, target) of different cells, shortest first, then by their letters.
+
+    For every first move the shortest continuation that doesn't come back to the start; and ways by a junction (three moves or more) within
+    `reach` moves, from there the shortest, if no cell comes twice. Routes longer than the direct one by more than `slack` are left out.
+    """
+    starts = pairs.select("map_id", "start").distinct()
+    at = starts.select("map_id", "start", F.col("start").alias("node"), F.lit("").alias("route"), F.array("start").alias("path"))
+    first = at.drop("route").join(edges.select("map_id", F.col("src").alias("node"), "rank", "dst"), ["map_id", "node"])
+    first = first.where("dst <> start").select("map_id", "start", F.col("rank").alias("first"), F.col("dst").alias("node"), F.col("rank").cast("string").alias("route"), F.concat("path", F.array("dst")).alias("path"))
+    ways = least_routes(edges, first, ("map_id", "start", "first"), avoid="start")
+    wanted = pairs.where("start <> target").select("map_id", "start", "target").distinct()
+    by_move = ways.withColumnRenamed("node", "target").join(wanted, ["map_id", "start", "target"]).select("map_id", "start", "target", "route")
+    direct = by_move.groupBy("map_id", "start", "target").agg(F.min(F.length("route")).alias("_direct"))
+    # ways by a junction: what is longer than allowed goes before the cells of two parts are put together
+    junctions = edges.groupBy("map_id", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("_ways")).where("_ways >= 3").select("map_id", "node")
+    near = least_routes(edges, at, ("map_id", "start"), limit=reach).where("route <> ''").join(junctions, ["map_id", "node"])
+    places = near.select("map_id", F.col("node").alias("via")).distinct()
+    rest = least_routes(edges, places.select("map_id", "via", F.col("via").alias("node"), F.lit("").alias("route"), F.array("via").alias("path")), ("map_id", "via"))
+    rest = rest.where("route <> ''").select("map_id", F.col("via").alias("node"), F.col("node").alias("target"), F.col("route").alias("_rest"), F.col("path").alias("_cells"))
+    over = near.join(rest, ["map_id", "node"]).join(direct, ["map_id", "start", "target"]).where(F.length("route") + F.length("_rest") <= F.col("_direct") + slack)
+    cells = F.concat("path", F.slice("_cells", 2, F.size("_cells")))
+    by_junction = over.where(F.size(F.array_distinct(cells)) == F.size(cells)).select("map_id", "start", "target", F.concat("route", "_rest").alias("route"))
+    every = by_move.unionByName(by_junction).distinct().join(direct, ["map_id", "start", "target"]).where(F.length("route") <= F.col("_direct") + slack)
+    named = every.withColumn("route", F.translate("route", "0123", "".join(m[0] for m in MOVES)))
+    place = F.row_number().over(Window.partitionBy("map_id", "start", "target").orderBy(F.length("route"), "route"))
+    return named.withColumn("place", place).where(F.col("place") <= top).drop("_direct")

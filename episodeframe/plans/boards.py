@@ -90,3 +90,41 @@ def gr12_route_summaries(spark, d):
     jump = F.abs(F.floor(F.col("dst") / 7) - row) + F.abs(F.col("dst") % 7 - F.col("src") % 7) > 1
     moves = one.select(F.concat_ws("-", "map_id", row.cast("string")).alias("route_id"), "map_id", "src", "action", "dst", step.alias("step"), jump.alias("portal"))
     return grids.route_summaries(moves, e)
+
+
+@query(f"""WITH RECURSIVE {CELLS}, n AS (SELECT map_id, r * 7 + c AS node FROM cells), g AS (SELECT map_id, node AS removed FROM n UNION ALL SELECT DISTINCT map_id, -1 FROM n),
+  w AS (SELECT g.map_id, removed, node AS src, node FROM g JOIN n USING (map_id) WHERE removed <> node UNION SELECT w.map_id, removed, w.src, e.dst FROM w JOIN edges e ON e.map_id = w.map_id AND e.src = w.node WHERE e.dst <> removed),
+  l AS (SELECT map_id, removed, src, min(node) AS component FROM w GROUP BY 1, 2, 3), k AS (SELECT map_id, removed, count(DISTINCT component) AS parts FROM l GROUP BY 1, 2)
+  SELECT n.map_id, n.node, a.parts, coalesce(b.parts, 0) AS parts_without, coalesce(b.parts, 0) > a.parts AS choke FROM n JOIN k a ON a.map_id = n.map_id AND a.removed = -1 LEFT JOIN k b ON b.map_id = n.map_id AND b.removed = n.node""")
+def gr3_gr4_choke_points(spark, d):
+    return grids.choke_points(edges(spark, d), cells(spark, d).select("map_id", (F.col("r") * 7 + F.col("c")).alias("node")))
+
+
+@query(f"""WITH RECURSIVE {CELLS}, n AS (SELECT map_id, r * 7 + c AS node FROM cells), w AS (SELECT map_id, gone AS removed, node AS src, node FROM (SELECT map_id, min(node) AS gone FROM n GROUP BY 1) JOIN n USING (map_id) WHERE node <> gone
+    UNION SELECT w.map_id, removed, w.src, e.dst FROM w JOIN edges e ON e.map_id = w.map_id AND e.src = w.node WHERE e.dst <> removed) SELECT map_id, removed, src AS node, min(node) AS component FROM w GROUP BY 1, 2, 3""")
+def gr3_components_without(spark, d):
+    own = cells(spark, d).select("map_id", (F.col("r") * 7 + F.col("c")).alias("node"))
+    return grids.components_without(edges(spark, d), own, own.groupBy("map_id").agg(F.min("node").alias("removed")))
+
+
+@query(f"""WITH {PAIRS}, o AS (SELECT map_id, min(r * 7 + c) AS start FROM cells GROUP BY 1),
+  v AS (SELECT c.map_id, c.r * 7 + c.c AS src, c.r * 7 + c.c AS node, 0::BIGINT AS distance FROM cells c JOIN o USING (map_id) WHERE c.r * 7 + c.c <> start UNION SELECT v.map_id, v.src, e.dst, distance + 1 FROM v JOIN o USING (map_id) JOIN edges e ON e.map_id = v.map_id AND e.src = v.node WHERE e.dst <> start AND distance < 34),
+  away AS (SELECT map_id, src, node AS target, min(distance) AS distance FROM v GROUP BY 1, 2, 3),
+  -- by first move: from the next cell along the least moves that come nearer, without the start
+  a AS (SELECT o.map_id, start, e.dst AS here, t.target, e.action AS route FROM o JOIN edges e ON e.map_id = o.map_id AND e.src = start JOIN away t ON t.map_id = o.map_id AND t.src = e.dst WHERE e.dst <> start
+    UNION ALL SELECT a.map_id, a.start, m.dst, a.target, a.route || m.action FROM a, LATERAL (SELECT arg_min(e.dst, e.rank) AS dst, arg_min(e.action, e.rank) AS action FROM edges e JOIN away x ON x.map_id = e.map_id AND x.src = a.here AND x.target = a.target JOIN away y ON y.map_id = e.map_id AND y.src = e.dst AND y.target = a.target
+      WHERE e.map_id = a.map_id AND e.src = a.here AND y.distance = x.distance - 1) m WHERE a.here <> a.target AND m.dst IS NOT NULL),
+  -- least shortest routes from the start and from cells within four moves
+  s AS (SELECT p.map_id, p.node AS origin FROM pairs p JOIN o ON o.map_id = p.map_id AND p.src = start WHERE distance <= 4),
+  b AS (SELECT s.map_id, origin, origin AS here, p.node AS target, '' AS route, [origin] AS path FROM s JOIN pairs p ON p.map_id = s.map_id AND p.src = origin
+    UNION ALL SELECT b.map_id, b.origin, m.dst, b.target, b.route || m.action, list_append(b.path, m.dst) FROM b, LATERAL (SELECT arg_min(e.dst, e.rank) AS dst, arg_min(e.action, e.rank) AS action FROM edges e JOIN pairs x ON x.map_id = e.map_id AND x.src = b.here AND x.node = b.target JOIN pairs y ON y.map_id = e.map_id AND y.src = e.dst AND y.node = b.target
+      WHERE e.map_id = b.map_id AND e.src = b.here AND y.distance = x.distance - 1) m WHERE b.here <> b.target AND m.dst IS NOT NULL),
+  done AS (SELECT * FROM b WHERE here = target), deg AS (SELECT map_id, src FROM edges GROUP BY 1, 2 HAVING count(*) >= 3),
+  j AS (SELECT o.map_id, start, y.target, x.route || y.route AS route, list_concat(x.path, y.path[2:]) AS path FROM o JOIN done x ON x.map_id = o.map_id AND x.origin = start AND length(x.route) BETWEEN 1 AND 4 JOIN deg ON deg.map_id = o.map_id AND deg.src = x.target JOIN done y ON y.map_id = o.map_id AND y.origin = x.target AND y.route <> ''),
+  every AS (SELECT map_id, start, target, route FROM a WHERE here = target UNION SELECT map_id, start, target, route FROM j WHERE len(list_distinct(path)) = len(path)),
+  kept AS (SELECT e.*, row_number() OVER (PARTITION BY e.map_id, start, target ORDER BY length(route), route) AS place FROM every e JOIN pairs p ON p.map_id = e.map_id AND p.src = start AND p.node = target WHERE length(route) <= distance + 8)
+  SELECT map_id, start, target, route, place::INT AS place FROM kept WHERE place <= 12""")
+def gr11_alternative_routes(spark, d):
+    """From each board's first cell to every other."""
+    own = cells(spark, d).select("map_id", (F.col("r") * 7 + F.col("c")).alias("target"))
+    return grids.alternative_routes(edges(spark, d), own.join(own.groupBy("map_id").agg(F.min("target").alias("start")), "map_id"))
