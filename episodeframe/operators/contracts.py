@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,28 +186,59 @@ def fallback_candidates(rows: DataFrame, key: str) -> DataFrame:
     return violations(rows, rules, key)
 
 
-#: Coefficients of the shaped reward; a term is its coefficient times how often its event happened.
-WEIGHTS = {"normal_pellet": 1.0, "power_pellet": 2.0, "ghost": 3.0, "fruit": 4.0}
-COMPLETION, DEATH, STEP, WALL = 50.0, 20.0, 0.05, 0.5
-
-
-def shaped_reward(*, base: Column, counts: dict[str, Column], completed: Column, death: Column, wall: Column, before: Column, after: Column, ratio: Column, ratio_before: Column | None = None,
-                  use_base: bool = False, step_scale: float = 0.1, alpha: float = 0.25, threshold: float = 0.5, skip_on_eat: bool = True, scale_by_cleared: bool = True) -> dict[str, Column]:
-    """The terms of the shaped reward and their sum: events, completion and death, a step's price that grows with what is cleared, walls, and progress to the nearest
-    pellet once little is left (both distances known, and none eaten in this step)."""
-    eaten = counts["normal_pellet"] > 0
-    active = F.coalesce((ratio <= threshold) & before.isNotNull() & after.isNotNull(), F.lit(False)) & F.lit(alpha > 0)
-    if skip_on_eat:
-        active = active & ~eaten
-    weight = F.when(active, F.lit(alpha) * (1.0 - ratio) if scale_by_cleared else F.lit(alpha)).otherwise(F.lit(0.0))
-    terms = {f"{n}_reward": counts[n] * F.lit(w) for n, w in WEIGHTS.items()}
-    terms["completion_reward"] = F.when(completed, COMPLETION).otherwise(0.0)
-    terms["death_penalty"] = F.when(death, DEATH).otherwise(0.0)
-    terms["step_penalty"] = STEP + step_scale * (1.0 - (ratio if ratio_before is None else ratio_before))
-    terms["wall_penalty"] = F.when(wall, WALL).otherwise(0.0)
+@dataclass(frozen=True)
+class RewardRecipe:
+    """Coefficients of the shaped reward: gains a event (`counted`), for completion, prices of a step (more with what is cleared), a wall and a
+    death, and of progress to the nearest pellet once no more than `threshold` of the pellets is left. By default a step costs 1, a wall 1, and the game's score counts."""
+
+    normal_pellet: float = 0.0
+    power_pellet: float = 0.0
+    ghost: float = 0.0
+    fruit: float = 0.0
+    completion: float = 0.0
+    death: float = 0.0
+    step: float = 1.0
+    step_cleared: float = 0.0
+    wall: float = 1.0
+    use_base: bool = True
+    alpha: float = 0.0
+    threshold: float = 1.0
+    by_cleared: bool = False
+    skip_on_eat: bool = False
+
+    counted = ("normal_pellet", "power_pellet", "ghost", "fruit")
+
+    def __post_init__(self):
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if f.type == "bool" and not isinstance(value, bool) or f.type == "float" and (isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value)):
+                raise ValueError(f"{f.name} is {value!r}")
+
+    @classmethod
+    def of(cls, settings: dict) -> RewardRecipe:
+        """The recipe of a mapping of names; names it doesn't have keep their defaults, unknown ones are an error."""
+        if unknown := set(settings) - {f.name for f in fields(cls)}:
+            raise ValueError(f"unknown coefficients: {', '.join(sorted(unknown))}")
+        return cls(**settings)
+
+
+def shaped_reward(recipe: RewardRecipe, *, base: Column, counts: dict[str, Column], completed: Column, death: Column, wall: Column, before: Column, after: Column, ratio: Column, ratio_before: Column | None = None) -> dict[str, Column]:
+    """The terms of the shaped reward and their sum: events by how often they happened, completion and death, a step's price, walls, and progress to the nearest
+    pellet (if both distances are known and the recipe doesn't pass over steps that eat one)."""
+    ratio = F.when(ratio.between(0, 1), ratio).otherwise(F.raise_error(F.lit("the share of pellets left is not in [0, 1]")).cast("double"))
+    active = F.coalesce((ratio <= recipe.threshold) & before.isNotNull() & after.isNotNull(), F.lit(False)) & F.lit(recipe.alpha > 0)
+    if recipe.skip_on_eat:
+        active = active & (counts["normal_pellet"] == 0)
+    weight = F.when(active, F.lit(float(recipe.alpha)) * (1.0 - ratio) if recipe.by_cleared else F.lit(float(recipe.alpha))).otherwise(F.lit(0.0))
+    price = lambda happened, amount: F.when(happened, float(amount)).otherwise(0.0)
+    terms = {f"{n}_reward": counts[n] * F.lit(float(getattr(recipe, n))) for n in recipe.counted}
+    terms["completion_reward"] = price(completed, recipe.completion)
+    terms["death_penalty"] = price(death, recipe.death)
+    terms["step_penalty"] = float(recipe.step) + float(recipe.step_cleared) * (1.0 - (ratio if ratio_before is None else ratio_before))
+    terms["wall_penalty"] = price(wall, recipe.wall)
     terms["progress_weight"] = weight
     terms["progress_reward"] = F.when(active, weight * (before - after)).otherwise(F.lit(0.0))
-    gains = sum((v for k, v in terms.items() if k.endswith("_reward")), base if use_base else F.lit(0.0))
+    gains = sum((v for k, v in terms.items() if k.endswith("_reward")), base if recipe.use_base else F.lit(0.0))
     terms["shaped"] = gains - terms["step_penalty"] - terms["wall_penalty"] - terms["death_penalty"]
     return terms
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import audit
 from ..operators import contracts as ct
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
 from .core import query
+from .files import put
 
 L = F.lit
 
@@ -172,15 +173,19 @@ def val6_prompt_hashes(spark, d):
 LEDGER = """r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_partkey AS k, l_partkey % 6 AS kind FROM lineitem)"""
 
 
-def reward_rows(spark, d) -> DataFrame:
+#: A recipe that pays for every event, prices deaths, and shapes the way to the last pellets.
+RECIPE = ct.RewardRecipe(normal_pellet=1, power_pellet=2, ghost=3, fruit=4, completion=50, death=20, step=0.05, step_cleared=0.1, wall=0.5, use_base=False, alpha=0.25, threshold=0.5, by_cleared=True, skip_on_eat=True)
+
+
+def reward_rows(spark, d, recipe: ct.RewardRecipe = RECIPE) -> DataFrame:
     """Rewards of one event each as they should be, and what is recorded of them."""
     k, kind = F.col("k"), F.col("kind")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_partkey").alias("k"), (F.col("l_partkey") % 6).alias("kind"))
     names = ("normal_pellet_eaten", "power_pellet_eaten", "ghost_eaten", "fruit_eaten", "death", "level_cleared")
     delta = F.element_at(F.array(*map(L, (10, 100, 200, 2500, 0, 0))), (kind + 1).cast("int")).cast("long")
     event = F.struct(F.element_at(F.array(*map(L, names)), (kind + 1).cast("int")).alias("type"), delta.alias("delta"))
-    counts = {n: (kind == i).cast("int") for i, n in enumerate(ct.WEIGHTS)}
-    terms = ct.shaped_reward(base=delta, counts=counts, completed=kind == 5, death=kind == 4, wall=F.col("l_suppkey") % 3 == 0, before=F.when(k % 4 > 0, k % 10), after=k % 7, ratio=(k % 11) / 10)
+    counts = {n: (kind == i).cast("int") for i, n in enumerate(recipe.counted)}
+    terms = ct.shaped_reward(recipe, base=delta, counts=counts, completed=kind == 5, death=kind == 4, wall=F.col("l_suppkey") % 3 == 0, before=F.when(k % 4 > 0, k % 10), after=k % 7, ratio=(k % 11) / 10)
     return rows.withColumns({"events": F.array(event), "base": delta, "before": F.when(k % 4 > 0, k % 10), "after": k % 7, "ratio": (k % 11) / 10} | terms)
 
 
@@ -195,6 +200,21 @@ def nm12_shaped_rewards(spark, d):
     return r.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *(F.round(c, 6).alias(c) for c in ("progress_weight", "progress_reward", "shaped")))
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_partkey AS k, l_partkey % 6 AS kind, (l_partkey % 11) / 10 AS ratio, l_suppkey % 3 = 0 AS wall FROM lineitem),
+  a AS (SELECT *, CASE kind WHEN 0 THEN 10 WHEN 1 THEN 100 WHEN 2 THEN 200 WHEN 3 THEN 2500 ELSE 0 END AS base, CASE WHEN ratio <= 0.8 AND k % 4 > 0 THEN 0.5::DOUBLE * (k % 10 - k % 7) ELSE 0 END AS progress FROM r)
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'curriculum.yaml' AS recipe, (CASE kind WHEN 2 THEN 5 WHEN 5 THEN 30 WHEN 4 THEN -100 ELSE 0 END + base - 0.25::DOUBLE - 2 * wall::INT + progress)::DOUBLE AS shaped FROM a
+  UNION ALL SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'plain.yaml', (base - 1 - wall::INT)::DOUBLE FROM a""")
+def src11_nm12_recipes(spark, d):
+    """The rewards of two recipes that are read from YAML files; one has every default."""
+    path = sinks.shared_path(spark, "src11")
+    put(spark, f"{path}/plain.yaml", "reward: {}\nseeds: [0, 1]\n")
+    put(spark, f"{path}/curriculum.yaml", "reward:\n  ghost: 5.0\n  death: 100\n  completion: 30\n  step: 0.25\n  wall: 2\n  alpha: 0.5\n  threshold: 0.8\nseeds: [2]\n")
+    settings = readers.yaml_settings(spark, path)
+    recipes = {name: ct.RewardRecipe.of(own) for name, own in readers.nested(settings, "reward").items()}  # two files
+    parts = [reward_rows(spark, d, recipe).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", L(name).alias("recipe"), F.round("shaped", 6).alias("shaped")) for name, recipe in sorted(recipes.items())]
+    return parts[0].unionByName(parts[1])
+
+
 @query(broken_sql(SHAPED, "l_orderkey, l_partkey, l_suppkey, l_linenumber", {
     "event_count": "k % 101 = 0", "event_score": "k % 97 = 0", "power_pellet_flag": "k % 89 = 0 AND kind <> 1", "death_flag": "k % 83 = 0 AND kind <> 4", "contribution": "k % 79 = 0", "progress": "k % 73 = 0 AND active", "penalties": "k % 71 = 0", "ratio": "k % 67 = 0",
     "shaped": "(k % 89 = 0)::INT + (k % 83 = 0)::INT * -1 + (k % 79 = 0)::INT * 3 + (k % 73 = 0 AND active)::INT * 7 + (k % 71 = 0)::INT * 15 + (k % 61 = 0)::INT * 31 <> 0"}, "t"))

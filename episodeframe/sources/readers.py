@@ -134,3 +134,47 @@ def tensor_headers(spark: SparkSession, path: str) -> DataFrame:
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("t", lambda t: t["end"]))
     begins = F.concat(F.transform("t", lambda t: t["begin"]), F.array("size"))
     return rows.select("_file", (ends == begins).alias("contiguous"), F.explode("t").alias("x")).select("_file", F.col("x.name").alias("tensor"), "x.dtype", "x.begin", "x.end", "contiguous")
+
+
+def yaml_settings(spark: SparkSession, path: str, pattern: str = "*.yaml") -> DataFrame:
+    """(_file, key, value) of YAML files: a row for each leaf, its keys joined by points, places in lists as numbers, its value as JSON.
+
+    An empty mapping or list is a leaf. A document that is no mapping, a key with a point in it and a file that is no YAML are errors that name the file.
+    """
+
+    def leaves(at: str, value, file: str):
+        pairs = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+        if not pairs:
+            yield at, json.dumps(value, sort_keys=True, default=str)
+        for key, inner in pairs:
+            if "." in str(key):
+                raise ValueError(f"{file}: a point in key {key}")
+            yield from leaves(f"{at}.{key}" if at else str(key), inner, file)
+
+    def run(batches):
+        import yaml  # not among what every installation has
+
+        for b in batches:
+            rows = []
+            for file, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                try:
+                    found = yaml.safe_load(text)
+                except yaml.YAMLError as e:
+                    raise ValueError(f"{file} is no YAML: {e}") from e
+                if not isinstance(found, dict):
+                    raise ValueError(f"{file} is no mapping")
+                rows += [{"_file": file, "key": k, "value": v} for k, v in leaves("", found, file) if k]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.string()) for c in ("_file", "key", "value")]))
+
+    texts = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), "value")
+    return texts.mapInArrow(run, "_file string, key string, value string")
+
+
+def nested(settings: DataFrame, section: str) -> dict[str, dict]:
+    """For each file of yaml_settings() the mapping under a section, names to values; a driver's view of a few files' settings."""
+    out: dict[str, dict] = {}
+    for r in settings.where((F.col("key") == section) | F.col("key").startswith(f"{section}.")).collect():
+        own = out.setdefault(r["_file"], {})
+        if r["key"] != section:
+            own[r["key"][len(section) + 1 :]] = json.loads(r["value"])
+    return out
