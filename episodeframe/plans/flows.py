@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..operators import banks
@@ -140,6 +141,34 @@ def jn14_nm24_outcome_weights(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_partkey", banks.outcome_weight(wins, F.lit(12)).alias("weight"))
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def st9_snk7_exactly_once(spark, d):
+    """Attempts appended by a stream that fails between a batch's rows and its ledger entry, goes on, and has a finished batch replayed: each row is there once."""
+    path = sinks.shared_path(spark, "st9")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    for part in range(3):
+        o.where(F.col("o_orderkey") % 3 == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+
+    def fail(batch_id: int) -> None:
+        if batch_id == 1:
+            raise RuntimeError("stopped between rows and entry")
+
+    def run(ledger: sinks.Ledger):
+        stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        q = stream.writeStream.foreachBatch(ledger).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+        except StreamingQueryException:
+            if ledger.before_entry is None:
+                raise
+
+    run(sinks.Ledger(f"{path}/out", fail))
+    ledger = sinks.Ledger(f"{path}/out")
+    run(ledger)
+    ledger(o, 0)
+    return ledger.committed(spark, o.schema).drop("batch")
+
+
 # the stage machine
 
 

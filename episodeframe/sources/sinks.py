@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
@@ -123,3 +125,40 @@ def restore(spark: SparkSession, path: str, schema, update: int | None = None) -
     if (facts.rows, facts.digest, told.update) != (told.rows, told.digest, update):
         raise ValueError(f"update {update} does not fit its receipt")
     return df, told.state
+
+
+class Ledger:
+    """A sink of a stream's batches (for foreachBatch) that a replay adds nothing to: a batch's rows, in a folder of its own, then its ledger entry.
+
+    A batch whose entry is there is passed over. One without an entry is unfinished, whatever lies in its folder: it is written anew, and
+    committed() never shows it. Entries are created, never replaced, so of two writers of one batch the later fails.
+    """
+
+    def __init__(self, path: str, before_entry=None):
+        self.path, self.before_entry = path.rstrip("/"), before_entry
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        entry = f"{self.path}/ledger/{batch_id:012d}.json"
+        if _exists(spark, entry):
+            return
+        batch.write.mode("overwrite").parquet(f"{self.path}/data/batch={batch_id}")
+        if self.before_entry:
+            self.before_entry(batch_id)
+        target = spark._jvm.org.apache.hadoop.fs.Path(entry)
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)
+        out.write(bytearray(json.dumps({"batch": batch_id}).encode()))
+        out.close()
+
+    def batches(self, spark: SparkSession) -> DataFrame:
+        """(batch) of the ledger's entries."""
+        if not _exists(spark, f"{self.path}/ledger"):
+            return spark.createDataFrame([], "batch long")
+        return spark.read.schema("batch long").json(f"{self.path}/ledger")
+
+    def committed(self, spark: SparkSession, schema) -> DataFrame:
+        """The rows of finished batches, with their `batch`."""
+        kind = StructType(spark.createDataFrame([], schema).schema.fields).add("batch", "long")
+        if not _exists(spark, f"{self.path}/data"):
+            return spark.createDataFrame([], kind)
+        return spark.read.schema(kind).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data").join(self.batches(spark), "batch", "left_semi")
