@@ -571,7 +571,7 @@ def rooted(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     open_ = stage(second.join(small(mixed), "sig", "left_semi"), "join-still")
     # only members with a plausible partner elsewhere carry the list of their buckets along
     loose = stage(unsettled(open_.join(light, "node"), percent, block), "join-loose")
-    left = open_.join(small(loose), ["sig", "node"], "left_semi")
+    left = open_.join(loose, ["sig", "node"], "left_semi")  # as many rows as open_ may have: never broadcast
     doubts = stage(doubtful(left.join(light.join(bucket_lists(loose), "node"), "node"), percent, block), "join-doubts")
     more = stage(exact_links(doubts.join(sets.select("node", "elements"), "node"), percent), "join-more")
     unstage(members, pairs, comps, mixed, open_, loose)
