@@ -197,6 +197,13 @@ def clear_improvement(base: DataFrame, final: DataFrame, key: str, least: float
     return both.select("baseline", "final", "difference", "low", "high", ((F.col("difference") >= least) & (F.col("low") > 0)).alias("clear_improvement"), "regressed")
 
 
+def key_differences(base: DataFrame, final: DataFrame, key: str) -> DataFrame:
+    """(key, base, final, difference, regressed): each key's two rates; a key regressed if its rate fell."""
+    rate = lambda side: F.col(f"{side}_wins") / F.col(f"{side}_n")
+    rows = paired_counts(base, final, key).select(key, rate("base").alias("base"), rate("final").alias("final"))
+    return rows.withColumns({"difference": F.col("final") - F.col("base"), "regressed": F.col("final") < F.col("base")})
+
+
 def cluster_rounds(base: DataFrame, final: DataFrame, key: str, rounds: int = 10_000, seed: int = 20261002) -> DataFrame:
     """(round, drawn, base, final): each round draws as many keys as there are, with replacement, and outcomes within each drawn key; the two pooled rates."""
     counts = paired_counts(base, final, key)

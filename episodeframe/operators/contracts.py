@@ -312,10 +312,10 @@ def decision_rules(cap: float = 2.0) -> list[Rule]:
     ]
 
 
-def update_gate(batch: DataFrame, groups: int, size: int) -> DataFrame:
-    """One row: rows, groups, groups of the wrong size or with one reward, versions, and whether all is as it must be."""
-    per = batch.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), (F.min("reward") < F.max("reward")).alias("spread"), F.min("version").alias("v"), F.max("version").alias("w"))
-    found = per.agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") != size).alias("odd"), F.count_if(~F.col("spread")).alias("flat"), (F.min("v") == F.max("w")).alias("one_version"))
+def update_gate(batch: DataFrame, groups: int, size: int, *by: str) -> DataFrame:
+    """One row, or one for each update (`by`): rows, groups, groups of the wrong size or with one reward, versions, and whether all is as it must be."""
+    per = batch.groupBy(*by, "group_id").agg(F.count(F.lit(1)).alias("n"), (F.min("reward") < F.max("reward")).alias("spread"), F.min("version").alias("v"), F.max("version").alias("w"))
+    found = per.groupBy(*by).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.count_if(F.col("n") != size).alias("odd"), F.count_if(~F.col("spread")).alias("flat"), (F.min("v") == F.max("w")).alias("one_version"))
     return found.withColumn("passed", (F.col("groups") == groups) & (F.col("odd") == 0) & (F.col("flat") == 0) & F.col("one_version"))
 
 

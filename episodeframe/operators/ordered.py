@@ -158,3 +158,9 @@ def zipped(a: DataFrame, b: DataFrame, key: str, order: list[str]) -> DataFrame:
 def every_third(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """rows with `split`: the third, sixth, ... of each key are for validation."""
     return numbered(rows, [key], order).withColumn("split", F.when(F.col("_at") % 3 == 2, "validation").otherwise("train")).drop("_at")
+
+
+def batches_of_updates(files: DataFrame, updates: DataFrame, key: str, files_by: list[str], updates_by: list[str], size: int, *facts: Column) -> DataFrame:
+    """(key, batch, n, facts..., the update's columns): the i-th full batch of `size` files of a key belongs to its i-th update, by place alone."""
+    per = chunked(files, key, files_by, size, "batch").groupBy(key, "batch").agg(F.count(F.lit(1)).alias("n"), *facts)
+    return per.where(F.col("n") == size).join(numbered(updates, [key], updates_by, "batch"), [key, "batch"])

@@ -52,3 +52,15 @@ def boundary_cases(spark: SparkSession, moves: tuple[str, ...] = ("U", "D", "L",
     numbered = orders.withColumn("_i", F.row_number().over(Window.orderBy("id")) - 1)  # n! rows, a constant
     history = numbered.select(F.format_string("history-order-%02d", "_i").alias("case"), F.array_join(F.transform("d", lambda i: F.get(listed, i)), "").alias("value"))
     return opened.unionByName(history)
+
+
+def boundary_coverage(rows: DataFrame, key: str, order: str, action: str, moves: tuple[str, ...] = ("U", "D", "L", "R")) -> DataFrame:
+    """(case, value, n) of boundary_cases(): how many keys of rows have that set of moves, or made all moves first in that order."""
+    first = rows.groupBy(key, action).agg(F.min(order).alias("_first"))
+    tried = F.transform(F.array_sort(F.collect_list(F.struct("_first", action))), lambda x: x[action])
+    per = first.groupBy(key).agg(tried.alias("_t"))
+    mask = F.array_join(F.filter(F.array(*map(F.lit, moves)), lambda m: F.array_contains("_t", m)), "")
+    met = per.select(F.explode(F.array(F.struct(F.lit("open").alias("kind"), mask.alias("value")), F.struct(F.when(F.size("_t") == len(moves), "history").alias("kind"), F.array_join("_t", "").alias("value")))).alias("m"))
+    counts = met.where("m.kind IS NOT NULL").groupBy("m.kind", "m.value").agg(F.count(F.lit(1)).alias("n"))
+    cases = boundary_cases(rows.sparkSession, moves).withColumn("kind", F.split_part("case", F.lit("-"), F.lit(1)))
+    return cases.join(counts, ["kind", "value"], "left").select("case", "value", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

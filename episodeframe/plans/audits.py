@@ -318,10 +318,12 @@ def val19_decision_evidence(spark, d):
     return audit.violations(rows, ct.decision_rules(), "k")
 
 
-@query(f"""WITH {EPISODES}, b AS (SELECT group_id // 16 AS update, group_id, n_steps FROM episodes), g AS (SELECT update, group_id, count(*) AS n, min(n_steps) < max(n_steps) AS spread FROM b GROUP BY 1, 2) SELECT sum(n)::BIGINT AS rows, count(*) AS groups, count(*) FILTER (n <> 12) AS odd, count(*) FILTER (NOT spread) AS flat, true AS one_version, count(*) = 16 AND count(*) FILTER (n <> 12) = 0 AND count(*) FILTER (NOT spread) = 0 AS passed FROM g WHERE update = 1""")
+@query(f"""WITH {EPISODES}, b AS (SELECT group_id // 16 AS update, group_id, n_steps, 'v' || (group_id // 48 + (group_id % 500 = 3)::INT) AS version FROM episodes), g AS (SELECT update, group_id, count(*) AS n, min(n_steps) < max(n_steps) AS spread, min(version) AS v, max(version) AS w FROM b GROUP BY 1, 2)
+  SELECT update, sum(n)::BIGINT AS rows, count(*) AS groups, count(*) FILTER (n <> 12) AS odd, count(*) FILTER (NOT spread) AS flat, min(v) = max(w) AS one_version, count(*) = 16 AND count(*) FILTER (n <> 12) = 0 AND count(*) FILTER (NOT spread) = 0 AND min(v) = max(w) AS passed FROM g GROUP BY 1""")
 def val20_update_gate(spark, d):
-    e = episodes(spark, d).where(F.expr("group_id div 16 = 1"))
-    return ct.update_gate(e.select("group_id", F.col("n_steps").alias("reward"), L("v1").alias("version")), 16, 12)
+    e, g = episodes(spark, d), F.col("group_id")
+    version = F.concat(L("v"), (F.expr("group_id div 48") + (g % 500 == 3).cast("int")).cast("string"))
+    return ct.update_gate(e.select(F.expr("group_id div 16").alias("update"), "group_id", F.col("n_steps").alias("reward"), version.alias("version")), 16, 12, "update")
 
 
 @query(broken_sql("h AS (SELECT s_suppkey AS k FROM supplier)", "k", {"total": "k % 7 = 0", "train_ids": "k % 11 = 0", "test_ids": "k % 13 = 0", "train_validation": "k % 3 = 0", "validation_test": "k % 5 = 0"}, "h"))

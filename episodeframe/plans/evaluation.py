@@ -213,6 +213,12 @@ def nm3_clear_improvement(spark, d):
     return found.select(*r6("baseline", "final", "difference"), "clear_improvement", "regressed")
 
 
+@query(f"""WITH {HALVES} SELECT seed, round(bw / bn, 6) AS base, round(fw / fn, 6) AS final, round(fw / fn - bw / bn, 6) AS difference, fw / fn < bw / bn AS regressed FROM c""")
+def nm3_seed_differences(spark, d):
+    """Which seeds got better or worse, by name."""
+    return statistics.key_differences(*halves(spark, d), "seed").select("seed", *r6("base", "final", "difference"), "regressed")
+
+
 @query(f"""WITH {HALVES}, t AS (SELECT sum(fw) / sum(fn) - sum(bw) / sum(bn) AS diff, count(*) AS keys FROM c) SELECT round, keys AS drawn, round(diff, 6) AS difference, true AS inside FROM t, range(10000) r(round)""")
 def nm4_seed_cluster_interval(spark, d):
     """Every round draws as many keys as there are; its rates lie in [0, 1], and the interval of the rounds' differences holds the whole difference."""

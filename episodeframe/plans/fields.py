@@ -108,12 +108,17 @@ def prj12_val6_prompt_hashes(spark, d):
 
 
 @query("""WITH m AS (SELECT 'open-mask-' || lpad(k::VARCHAR, 2, '0') AS case, array_to_string(list_filter(['U', 'D', 'L', 'R'], lambda x: (k >> (CASE x WHEN 'U' THEN 0 WHEN 'D' THEN 1 WHEN 'L' THEN 2 ELSE 3 END)) & 1 = 1), '') AS value FROM range(1, 16) r(k)),
-  a AS (SELECT unnest(['U', 'D', 'L', 'R']) AS x, unnest([0, 1, 2, 3]) AS i), p AS (SELECT row_number() OVER (ORDER BY a.i, b.i, c.i, e.i) - 1 AS n, a.x || b.x || c.x || e.x AS value FROM a, a b, a c, a e WHERE len(list_distinct([a.x, b.x, c.x, e.x])) = 4)
-  SELECT * FROM m UNION ALL SELECT 'history-order-' || lpad(n::VARCHAR, 2, '0'), value FROM p""")
+  a AS (SELECT unnest(['U', 'D', 'L', 'R']) AS x, unnest([0, 1, 2, 3]) AS i), p AS (SELECT row_number() OVER (ORDER BY a.i, b.i, c.i, e.i) - 1 AS n, a.x || b.x || c.x || e.x AS value FROM a, a b, a c, a e WHERE len(list_distinct([a.x, b.x, c.x, e.x])) = 4),
+  k AS (SELECT * FROM m UNION ALL SELECT 'history-order-' || lpad(n::VARCHAR, 2, '0'), value FROM p),
+  seen AS (SELECT string_agg(action, '' ORDER BY first, action) AS value, count(*) AS moves FROM (SELECT l_orderkey, substr('UDLR', (l_partkey % 4 + 1)::INT, 1) AS action, min(l_linenumber) AS first FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey),
+  masks AS (SELECT array_to_string(list_filter(['U', 'D', 'L', 'R'], lambda x: contains(value, x)), '') AS value, count(*) AS n FROM seen GROUP BY 1), orders_ AS (SELECT value, count(*) AS n FROM seen WHERE moves = 4 GROUP BY 1)
+  SELECT k.case, k.value, coalesce(CASE WHEN k.case LIKE 'open%' THEN masks.n ELSE orders_.n END, 0) AS n FROM k LEFT JOIN masks ON masks.value = k.value LEFT JOIN orders_ ON orders_.value = k.value""")
 def prj13_boundary_cases(spark, d):
-    from ..operators.records import boundary_cases
+    """How often the recorded orders' moves meet each case: the set of moves that one has, and the order in which it first made all four."""
+    from ..operators.records import boundary_coverage
 
-    return boundary_cases(spark)
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.substring(N("UDLR"), (F.col("l_partkey") % 4 + 1).cast("int"), N(1)).alias("action"), "l_linenumber")
+    return boundary_coverage(lines, "l_orderkey", "l_linenumber", "action")
 
 
 # filters
@@ -188,9 +193,13 @@ def jn1_labelled_rows(spark, d):
     return selection.strict_join(table(spark, d, "labels").select("doc_id", "quality"), rows, "doc_id")
 
 
-@query("SELECT count(DISTINCT doc_id) AS ids, true AS distinct_ids, true AS known FROM labels")
+@query("""SELECT 'labels' AS source, count(DISTINCT doc_id) AS ids, count(*) = count(DISTINCT doc_id) AS distinct_ids, count(*) = count(*) FILTER (doc_id IN (SELECT doc_id FROM documents)) AS known FROM labels
+  UNION ALL SELECT 'orders', count(DISTINCT o_custkey), count(*) = count(DISTINCT o_custkey), count(*) = count(*) FILTER (o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 50 > 0)) FROM orders""")
 def jn7_known_ids(spark, d):
-    return selection.known_ids(table(spark, d, "labels").dropDuplicates(["doc_id"]), table(spark, d, "documents"), "doc_id")
+    """The labels' ids against the documents', and the customers that orders repeat against those that are left of them."""
+    left = table(spark, d, "customer").where("c_custkey % 50 > 0").select(F.col("c_custkey").alias("id"))
+    found = [selection.known_ids(table(spark, d, "labels"), table(spark, d, "documents"), "doc_id"), selection.known_ids(table(spark, d, "orders").select(F.col("o_custkey").alias("id")), left, "id")]
+    return found[0].select(N("labels").alias("source"), "*").unionByName(found[1].select(N("orders").alias("source"), "*"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT DISTINCT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS only_left, 0::BIGINT AS only_right")
@@ -210,13 +219,15 @@ def jn13_step_gaps(spark, d):
     return s.select("user_id", F.explode(records.spread_picks(F.col("steps"), 8)).alias("step"))
 
 
-@query("""WITH f AS (SELECT o_orderstatus AS run, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders), b AS (SELECT run, pos // 16 AS batch, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM f GROUP BY 1, 2) SELECT run, batch AS update, n, total FROM b WHERE n = 16""")
+@query("""WITH f AS (SELECT o_orderstatus AS run, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders), b AS (SELECT run, pos // 16 AS batch, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM f GROUP BY 1, 2),
+  u AS (SELECT ['F', 'O', 'P'][(c_custkey % 3 + 1)::INT] AS run, c_custkey * 10 AS update, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) - 1 AS batch FROM customer WHERE c_custkey % 5 > 0) SELECT run, update, n, total FROM b JOIN u USING (run, batch) WHERE n = 16""")
 def jn16_src8_batches_by_position(spark, d):
-    """The i-th batch of 16 files belongs to the i-th finished update; a batch that is not full has none."""
+    """The i-th batch of 16 files of a run belongs to its i-th finished update; a batch that is not full, and one without an update, have none."""
     files = table(spark, d, "orders").select(F.col("o_orderstatus").alias("run"), "o_orderdate", "o_orderkey", "o_totalprice")
-    numbered = ordered.chunked(files, "run", ["o_orderdate", "o_orderkey"], 16, "batch")
-    per = numbered.groupBy("run", "batch").agg(F.count(N(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-    return per.where("n = 16").withColumnRenamed("batch", "update")
+    key = F.col("c_custkey")
+    updates = table(spark, d, "customer").where("c_custkey % 5 > 0").select(F.element_at(F.array(N("F"), N("O"), N("P")), (key % 3 + 1).cast("int")).alias("run"), (key * 10).alias("update"))
+    found = ordered.batches_of_updates(files, updates, "run", ["o_orderdate", "o_orderkey"], ["update"], 16, F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return found.select("run", "update", "n", "total")
 
 
 # order

@@ -29,6 +29,8 @@ class Policy:
     least_maps: int = 1
     max_tier: int = 6
     stretch: bool = False
+    #: Games of another tier than the current one are an error instead of being passed over.
+    strict: bool = False
 
 
 @dataclass
@@ -43,6 +45,8 @@ class State:
 
         (games, maps, ready, passed, tier before, tier after). A promotion starts window and streak anew.
         """
+        if policy.strict and (others := sorted(int(t[0]) for t in tiers if t[0] != self.tier)):
+            raise ValueError(f"update {update} has games of tiers {others}, the current one is {self.tier}")
         own = next((t for t in tiers if t[0] == self.tier), (self.tier, 0, 0, 0, ()))
         recent = [*self.recent, [int(own[1]), int(own[2]), sorted(int(m) for m in own[4])]]
         size, least = policy.window, policy.least_games

@@ -143,3 +143,11 @@ def test_journal(spark, tmp_path):
     q = journal.read_journal(spark, str(tmp_path / "j")).writeStream.format("memory").queryName("journal").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.source_step, r.key, r.value) for r in spark.table("journal").collect()) == [(1, "a/b", 1.5), (2, "a/b", 2.5)]
+
+
+def test_strict_windows_refuse_other_tiers():
+    policy = controller.Policy(window=1, least_games=1, strict=True)
+    state = controller.State()
+    assert state.step(policy, 0, [(0, 5, 5, 5, [1])])[0] == 5
+    with pytest.raises(ValueError, match=r"games of tiers \[1\], the current one is 0"):
+        state.step(policy, 1, [(0, 5, 5, 5, [1]), (1, 2, 2, 2, [1])])

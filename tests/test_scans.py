@@ -103,3 +103,10 @@ def test_draws_by_weight(spark):
     got = {r.draw: r.id for r in banks.weighted_draws(rows, "i", "w", spark.range(500).withColumnRenamed("id", "draw"), "s").collect()}
     assert got == {k: kept[bisect_right(ends, point(k))][0] for k in range(500)}
     assert banks.weighted_draws(rows.where("w = 0"), "i", "w", spark.range(5).withColumnRenamed("id", "draw"), "s").collect() == []
+
+
+def test_batches_belong_to_updates_by_place(spark):
+    files = spark.range(50).select(F.lit("r").alias("run"), F.col("id").alias("at"))
+    updates = spark.createDataFrame([("r", 30), ("r", 10), ("r", 20), ("other", 1)], "run string, update int")
+    got = ordered.batches_of_updates(files, updates, "run", ["at"], ["update"], 16, F.min("at").alias("low"))
+    assert sorted((r.update, r.n, r.low) for r in got.collect()) == [(10, 16, 0), (20, 16, 16), (30, 16, 32)]
