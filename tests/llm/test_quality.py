@@ -102,3 +102,73 @@ def test_features_against_a_plain_loop(tiny):
     found = quality.features(np.frombuffer(b"".join(raw), np.uint8), offsets)
     for t, f in zip(texts, found, strict=True):
         assert f.tolist() == plain_features(t), t[:60]
+
+
+def plain_model(rows, steps=300, rate=0.05, decay=2e-4):
+    """(weights by feature, cuts) of graded feature sets by loops over documents: the likelihood's gradient and Adam, nothing shared with the operator."""
+    from math import exp, log, sqrt
+
+    n = len(rows)
+    count = {}
+    for xs, g in rows:
+        for f in xs:
+            count.setdefault(f, [0, 0, 0])[g] += 1
+    size = [sum(g == j for _, g in rows) for j in range(3)]
+
+    def chi(c):
+        total = sum(c)
+        out = 0.0
+        for j in range(3):
+            for have, all_ in ((c[j], total), (size[j] - c[j], n - total)):
+                want = all_ * size[j] / n
+                out += (have - want) ** 2 / want if want else 0.0
+        return out
+
+    names = sorted(f for f, c in count.items() if sum(c) >= quality.LEAST_DOCUMENTS and chi(c) >= quality.LEAST_CHI)
+    own = [([names.index(f) for f in xs if f in set(names)], g) for xs, g in rows]
+    share = [min(max(sum(size[: j + 1]) / n, 1e-3), 1 - 1e-3) for j in range(2)]
+    level = [log(s / (1 - s)) for s in share]
+    v = [0.0] * len(names) + [level[0], log(max(level[1] - level[0], 1e-2))]
+    one, two = [0.0] * len(v), [0.0] * len(v)
+    sigmoid = lambda x: 1 / (1 + exp(-x)) if x > -700 else 0.0
+    for t in range(1, steps + 1):
+        cuts = [v[-2], v[-2] + exp(v[-1])]
+        grad = [decay * w for w in v[:-2]] + [0.0, 0.0]
+        for xs, g in own:
+            s = sum(v[i] for i in xs)
+            high = sigmoid(cuts[g] - s) if g < 2 else 1.0
+            low = sigmoid(cuts[g - 1] - s) if g else 0.0
+            p = max(high - low, 1e-9)
+            dh, dl = high * (1 - high) / p, low * (1 - low) / p
+            for i in xs:
+                grad[i] += (dh - dl) / n
+            for cut, d in ((g, -dh), (g - 1, dl)):
+                if 0 <= cut < 2:
+                    grad[-2] += d / n
+                    if cut == 1:
+                        grad[-1] += d / n * exp(v[-1])
+        for i, x in enumerate(grad):
+            one[i] = 0.9 * one[i] + 0.1 * x
+            two[i] = 0.999 * two[i] + 0.001 * x * x
+            v[i] -= rate * (one[i] / (1 - 0.9**t)) / (sqrt(two[i] / (1 - 0.999**t)) + 1e-8)
+    return dict(zip(names, v)), [v[-2], v[-2] + exp(v[-1])]
+
+
+def test_query_against_plain_loops(spark):
+    """The query's own result on a whole table: features, fit and grades by loops."""
+    from math import exp
+
+    from episodeframe.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    grade = {r.doc_id: r.quality + 1 - r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in docs}
+    sets = {i: plain_features(t) for i, t in docs.items()}
+    weights, cuts = plain_model([(sets[i], grade[i]) for i in sorted(grade)])
+    got = queries.op3_quality_classifier(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs) and len(weights) > 10
+    for r in got:
+        s = sum(weights.get(f, 0.0) for f in sets[r.doc_id])
+        above, top = (1 / (1 + exp(c - s)) for c in cuts)
+        assert abs(r.p_above_0 - above) < 1e-4 and abs(r.p_top - top) < 1e-4 and abs(r.expected_grade - above - top) < 2e-4
+        assert r.kept == (r.p_top >= 0.5)
