@@ -361,3 +361,11 @@ def post_processed(samples: DataFrame, size: int = 12) -> DataFrame:
     ok = (col("_n") == size) & (col("_states") == 1) & (col("_first").eqNullSafe(col("_last")))
     g = g.select("group_id", F.when(ok, col("_mean")).otherwise(F.raise_error(F.concat(F.lit("incomplete group or mixed versions: "), col("group_id").cast("string")))).alias("_mean"), "_flat")
     return e.select("group_id", "episode_id", "reward").join(g, "group_id").select("group_id", "episode_id", F.when(col("_flat"), F.lit(0.0)).otherwise(col("reward") - col("_mean")).alias("advantage"))
+
+
+def episode_row_rules(contract: str, splits: tuple[str, ...]) -> list[Rule]:
+    """Rows of an episode table: a name, a known split, the contract asked for, a seed that is not negative, a whole commit, and whether the tree was dirty."""
+    return [
+        fails("id", col("name") != ""), fails("split", col("split").isin(*splits)), fails("contract", col("contract") == contract), fails("seed", col("seed") >= 0),
+        fails("commit", hexadecimal(col("commit"), 40)), fails("dirty", col("dirty").isNotNull()),
+    ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit
+from ..operators import audit, reports
 from ..operators import contracts as ct
 from ..sources import readers, sinks
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
@@ -167,7 +167,7 @@ def val6_prompt_hashes(spark, d):
     """Steps whose recorded prompt hash is not that of the prompt rendered again."""
     prompt = F.format_string("at %s last %s", F.col("position").cast("string"), "action")
     told = F.sha2(F.when((F.col("episode_id") % 10 == 3) & (F.col("position") == 2), F.concat(prompt, L("!"))).otherwise(prompt), 256)
-    return steps(spark, d).where(told != F.sha2(prompt, 256)).select("episode_id", "step")
+    return reports.stale_hashes(steps(spark, d), told, prompt).select("episode_id", "step")
 
 
 LEDGER = """r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_partkey AS k, l_partkey % 6 AS kind FROM lineitem)"""
@@ -235,8 +235,7 @@ def val9_episode_rows(spark, d):
     k = F.col("k")
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("seed"))
     rows = rows.withColumns({"name": F.when(hit("k", 97), "").otherwise(F.concat(L("e-"), k)), "split": F.when(hit("k", 89), "dev").otherwise("train"), "contract": F.when(hit("k", 83), "v2").otherwise("v3"), "seed": F.when(hit("k", 79), -1).otherwise(F.col("seed")), "commit": F.when(hit("k", 73), "0").otherwise(F.substring(F.sha2(k.cast("string"), 256), 1, 40)), "dirty": F.when(~hit("k", 71), L(False))})
-    rules = [ct.fails("id", F.col("name") != ""), ct.fails("split", F.col("split").isin("train", "validation")), ct.fails("contract", F.col("contract") == "v3"), ct.fails("seed", F.col("seed") >= 0), ct.fails("commit", ct.hexadecimal(F.col("commit"), 40)), ct.fails("dirty", F.col("dirty").isNotNull())]
-    return audit.violations(rows, rules, "id")
+    return audit.violations(rows, ct.episode_row_rules("v3", ("train", "validation")), "id")
 
 
 @query(f"""WITH {STEPS}, c AS (SELECT *, sum(delta) OVER (PARTITION BY episode_id ORDER BY step) AS after FROM steps) SELECT episode_id, step FROM c WHERE step > 1 AND position = 3""")

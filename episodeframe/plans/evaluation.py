@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import resampling, statistics
 from ..operators import evaluation as ev
-from ..operators import selection
+from ..operators import reports, selection
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
 from .core import query, r6
 
@@ -172,7 +172,7 @@ def sel6_retained_checkpoints(spark, d):
 
 @query(f"WITH {SUMMARIES} SELECT label, episodes, wins, round(clear_rate, 6) AS clear_rate, round(shaped_reward, 6) AS shaped_reward FROM sums")
 def prj1_compact_summaries(spark, d):
-    return summaries(spark, d).select("label", "episodes", "wins", *r6("clear_rate", "shaped_reward"))
+    return reports.compact(summaries(spark, d), "label", "episodes", "wins", rounded=("clear_rate", "shaped_reward"))
 
 
 @query(f"""WITH {SUMMARIES}, b AS (SELECT * FROM sums WHERE label = 'base'), p AS (SELECT s.label, b.clear_rate + 0.05::DOUBLE AS before, s.clear_rate + s.wins / s.episodes / 2 AS after, s.parse_failures, s.violations % 2 AS violations FROM sums s, b WHERE s.label <> 'base'),
@@ -258,12 +258,7 @@ def modes(spark, d) -> DataFrame:
 
 @query(f"""WITH {MODES} SELECT count(*) AS pairs, count(*) FILTER (NOT incomplete) AS complete_pairs, count(*) FILTER (e AND NOT p) AS e_only, count(*) FILTER (p AND NOT e) AS p_only, round(avg(e::INT - p::INT), 6) AS win_difference, round(avg(gap) FILTER (NOT incomplete), 6) AS mean_gap FROM paired""")
 def jn5_paired_modes(spark, d):
-    m = modes(spark, d)
-    whole = ~(F.col("fault_p") | F.col("fault_e"))
-    return m.agg(
-        F.count(F.lit(1)).alias("pairs"), F.count_if(whole).alias("complete_pairs"), F.count_if(F.col("e") & ~F.col("p")).alias("e_only"), F.count_if(F.col("p") & ~F.col("e")).alias("p_only"),
-        F.round(F.avg(F.col("e").cast("int") - F.col("p").cast("int")), 6).alias("win_difference"), F.round(F.avg(F.when(whole, F.col("steps_e") - F.col("steps_p"))), 6).alias("mean_gap"),
-    )
+    return reports.compact(reports.paired_outcomes(modes(spark, d)), "pairs", "complete_pairs", "e_only", "p_only", rounded=("win_difference", "mean_gap"))
 
 
 @query(f"WITH {MODES}, m AS (SELECT count(*) AS n, round(avg(e::INT - p::INT), 6) AS mean FROM paired) SELECT round, n AS drawn, mean, true AS inside FROM m, range(20000) r(round)")
@@ -342,35 +337,30 @@ def ag28_largest_scenario(spark, d):
 @query(f"""WITH {PLAYED}, r AS (SELECT CASE WHEN seed % 10 < 7 THEN 'train' WHEN seed % 10 < 9 THEN 'validation' ELSE 'test' END AS split, terminal FROM played) SELECT split, terminal, count(*) AS n FROM r GROUP BY 1, 2""")
 def ag18_dataset_counters(spark, d):
     at = F.col("seed") % 10
-    return played(spark, d).groupBy(F.when(at < 7, "train").when(at < 9, "validation").otherwise("test").alias("split"), "terminal").agg(F.count(F.lit(1)).alias("n"))
+    return reports.split_counters(played(spark, d), F.when(at < 7, "train").when(at < 9, "validation").otherwise("test"), "terminal")
 
 
 @query("SELECT count(*) AS draws, count(DISTINCT l_partkey) AS distinct_items, count(DISTINCT l_suppkey) AS distinct_frames, max(c)::BIGINT AS max_repeat, round(count(*) FILTER (l_quantity > 25) / count(*), 6) AS large_fraction FROM lineitem JOIN (SELECT l_partkey, count(*) AS c FROM lineitem GROUP BY 1) USING (l_partkey)")
 def ag19_plan_statistics(spark, d):
-    rows = table(spark, d, "lineitem")
-    per = rows.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("l_quantity") > 25).alias("large"))
-    whole = per.agg(F.sum("c").alias("draws"), F.count(F.lit(1)).alias("distinct_items"), F.max("c").alias("max_repeat"), F.round(F.sum("large") / F.sum("c"), 6).alias("large_fraction"))
-    return whole.crossJoin(rows.agg(F.count_distinct("l_suppkey").alias("distinct_frames"))).select("draws", "distinct_items", "distinct_frames", "max_repeat", "large_fraction")  # one row each
+    found = reports.plan_statistics(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", F.col("l_quantity") > 25)
+    return reports.compact(found, "draws", "distinct_items", "distinct_frames", "max_repeat", rounded=("large_fraction",))
 
 
 @query("""SELECT count(*) AS layouts, count(DISTINCT sha256(p_brand || p_type)) AS distinct_layouts, count(DISTINCT sha256(translate(p_brand, '0123456789', '##########'))) AS distinct_topologies, min(p_size) AS least_steps, max(p_size) AS most_steps FROM part""")
 def ag20_suite_summary(spark, d):
-    return table(spark, d, "part").agg(
-        F.count(F.lit(1)).alias("layouts"), F.count_distinct(F.sha2(F.concat("p_brand", "p_type"), 256)).alias("distinct_layouts"),
-        F.count_distinct(F.sha2(F.translate("p_brand", "0123456789", "##########"), 256)).alias("distinct_topologies"), F.min("p_size").alias("least_steps"), F.max("p_size").alias("most_steps"),
-    )
+    return reports.suite_summary(table(spark, d, "part"), F.concat("p_brand", "p_type"), F.translate("p_brand", "0123456789", "##########"), "p_size")
 
 
 @query(f"WITH {PLAYED} SELECT policy, count(*)::DOUBLE AS episodes, round(avg(won::INT), 6) AS win_rate, round(avg(score), 6) AS mean_score, round(avg(n_steps), 6) AS mean_steps FROM played GROUP BY 1")
 def ag21_agent_evaluation(spark, d):
-    return played(spark, d).groupBy("policy").agg(F.count(F.lit(1)).cast("double").alias("episodes"), *(F.round(F.avg(c), 6).alias(n) for n, c in (("win_rate", F.col("won").cast("int")), ("mean_score", F.col("score")), ("mean_steps", F.col("n_steps")))))
+    return reports.compact(reports.agent_evaluation(played(spark, d), "policy"), "policy", "episodes", rounded=("win_rate", "mean_score", "mean_steps"))
 
 
 @query(f"WITH {PLAYED} SELECT s.seed, count(episode_id) AS examples, count(*) FILTER (won) AS wins, min(reward) AS reward_min, max(reward) AS reward_max, round(avg(reward), 6) AS reward_mean FROM range(0, 31) s(seed) LEFT JOIN played ON played.seed = s.seed GROUP BY 1")
 def ag24_route_summary(spark, d):
     """Seeds without examples have no extremes, and no mean."""
-    seeds = spark.range(31).withColumnRenamed("id", "seed")
-    return seeds.join(played(spark, d), "seed", "left").groupBy("seed").agg(F.count("episode_id").alias("examples"), F.count_if("won").alias("wins"), F.min("reward").alias("reward_min"), F.max("reward").alias("reward_max"), F.round(F.avg("reward"), 6).alias("reward_mean"))
+    found = reports.route_summary(spark.range(31).withColumnRenamed("id", "seed"), played(spark, d))
+    return found.withColumn("reward_mean", F.round("reward_mean", 6))
 
 
 @query("""WITH r AS (SELECT user_id AS seed, CASE WHEN event_type <> 'error' THEN value END AS latency, event_id % 50 AS tokens FROM events) SELECT seed, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, sum(tokens)::BIGINT AS input_tokens, count(latency) AS calls FROM r GROUP BY 1""")

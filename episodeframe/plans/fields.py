@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import records, scalar
-from ..operators import ordered, selection
+from ..operators import ordered, reports, selection
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
 from .core import query
 
@@ -26,13 +26,13 @@ def prj2_renamed(spark, d):
 @query("""SELECT o_orderkey AS id, o_custkey AS seed, o_orderstatus AS mode FROM orders""")
 def prj3_dropped_field(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("seed"), F.col("o_orderstatus").alias("mode"), F.col("o_totalprice").alias("engine_state")).alias("frame"))
-    return o.withColumn("frame", F.col("frame").dropFields("engine_state")).select("id", "frame.*")
+    return reports.without_fields(o, "frame", "engine_state").select("id", "frame.*")
 
 
 @query(f"WITH {STEPS} SELECT episode_id, step, unnest(['option_candidate_audit', 'deterministic_baseline']) AS audit_role, unnest([false, true]) AS independent, action FROM steps")
 def prj5_candidate_roles(spark, d):
-    roles = F.array(F.struct(N("option_candidate_audit").alias("audit_role"), N(False).alias("independent")), F.struct(N("deterministic_baseline").alias("audit_role"), N(True).alias("independent")))
-    return steps(spark, d).select("episode_id", "step", F.explode(roles).alias("r"), "action").select("episode_id", "step", "r.*", "action")
+    rows = steps(spark, d).select("episode_id", "step", "action")
+    return reports.in_roles(rows, {"option_candidate_audit": False, "deterministic_baseline": True})
 
 
 @query("""SELECT o_orderkey AS id, unnest(['actor.path', 'actor.lr.peak', 'seed']) AS key, unnest([o_orderstatus, (o_custkey % 7)::VARCHAR, o_custkey::VARCHAR]) AS value FROM orders""")
@@ -153,8 +153,7 @@ def flt6_verified_wins(spark, d):
 @query("SELECT p_partkey FROM part WHERE p_size % 2 = 0 AND p_partkey % 5 > 0 AND 60 - p_partkey % 61 BETWEEN 0 AND 20 AND p_size % 13 > 0 AND p_size % 13 < 12")
 def flt8_active_states(spark, d):
     p = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 2 == 0).alias("qualified"), (F.col("p_partkey") % 5 > 0).alias("eligible"), (F.col("p_partkey") % 61).alias("measured"), (F.col("p_size") % 13).alias("wins"))
-    tier = scalar.tier_label(F.col("wins"), N(12))
-    return p.where(F.col("qualified") & F.col("eligible") & (60 - F.col("measured")).between(0, 20) & (tier == "mixed")).select("p_partkey")
+    return reports.active_states(p, 60, 12).select("p_partkey")
 
 
 @query("""SELECT event_id, unnest(['perf/value', 'train/ok']) AS key, unnest([value, 1.5]) AS metric FROM events WHERE value IS NOT NULL AND event_id % 3 > 0 UNION ALL SELECT event_id, 'train/ok', 1.5 FROM events WHERE value IS NULL OR event_id % 3 = 0""")
@@ -316,7 +315,7 @@ def sel19_priority_choice(spark, d):
 
 @query("SELECT episode_id, step FROM (SELECT l_orderkey AS episode_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS step FROM lineitem) WHERE step <= 3")
 def sel20_limited_steps(spark, d):
-    return steps(spark, d).where("step <= 3").select("episode_id", "step")
+    return reports.limited(steps(spark, d), "step", 3).select("episode_id", "step")
 
 
 @query("""WITH n AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('11|' || p_partkey), p_partkey) - 1 AS i FROM part) SELECT p_brand, p_partkey, i // 8 AS batch FROM n""")

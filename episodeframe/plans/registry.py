@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar, statistics
-from ..operators import aggregates, audit, ordered, orderstats, selection
+from ..operators import aggregates, audit, ordered, orderstats, reports, selection
 from ..sources import sinks
 from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
 from ..streaming import controller
@@ -140,8 +140,7 @@ def nm26_padding(spark, d):
 
 @query(f"""WITH {EPISODES}, {STEPS} SELECT e.episode_id, coalesce(s.step, -1) AS decision, s.action, s.step IS NOT NULL AS trains FROM episodes e LEFT JOIN steps s USING (episode_id)""")
 def prj4_placeholders(spark, d):
-    both = episodes(spark, d).select("episode_id").join(steps(spark, d).select("episode_id", "step", "action"), "episode_id", "left")
-    return both.select("episode_id", F.coalesce("step", F.lit(-1)).alias("decision"), "action", F.col("step").isNotNull().alias("trains"))
+    return reports.decisions_or_placeholder(episodes(spark, d), steps(spark, d).select("episode_id", "step", "action"), "episode_id").select("episode_id", "decision", "action", "trains")
 
 
 # order
@@ -462,8 +461,7 @@ def fn12_parsed_actions(spark, d):
 
 @query("SELECT c.c_custkey, s.s AS seed FROM customer c, range(0, 4) s(s)")
 def jn10_seed_plan(spark, d):
-    plan = table(spark, d, "customer").select("c_custkey")
-    return plan.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("seed"))
+    return reports.seed_plan(table(spark, d, "customer").select("c_custkey"), range(4))
 
 
 @query("SELECT o_orderkey, coalesce(w.n, 1) AS weight FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) w ON o_orderkey = l_orderkey")
@@ -474,9 +472,8 @@ def jn14_default_weight(spark, d):
 
 @query("""WITH b AS (SELECT l_orderkey, l_partkey, CASE WHEN l_quantity BETWEEN 1 AND 8 THEN 'short' WHEN l_quantity BETWEEN 9 AND 16 THEN 'middle' WHEN l_quantity BETWEEN 17 AND 32 THEN 'long' END AS bin FROM lineitem) SELECT bin, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY 1""")
 def jn12_range_bins(spark, d):
-    bins = spark.createDataFrame([(1, 8, "short"), (9, 16, "middle"), (17, 32, "long")], "low int, high int, bin string")
-    rows = table(spark, d, "lineitem").select("l_quantity")
-    return rows.join(F.broadcast(bins), rows.l_quantity.between(bins.low, bins.high)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    rows = reports.in_bins(table(spark, d, "lineitem").select("l_quantity"), "l_quantity", [(1, 8, "short"), (9, 16, "middle"), (17, 32, "long")])
+    return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderstatus, nullif(o_orderpriority, '1-URGENT') AS p FROM orders)
