@@ -394,12 +394,23 @@ def spanning(members: DataFrame, percent: int, block: int) -> DataFrame:
     return by_block(blocked(members, False, block), ["n", "sketch"], work, "a long, b long").distinct()
 
 
+def packed_signatures(values: np.ndarray) -> bytes:
+    """Signatures without their two upper bytes, which are none."""
+    return np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked_signatures(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<i8").ravel()
+
+
 def bucket_lists(members: DataFrame) -> DataFrame:
     """(node, buckets): the ascending signatures of the buckets that each node is in, packed; as many as a set has signatures at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.asarray(x.values).tobytes() for x in b.column(1)], pa.binary())], names=["node", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([packed_signatures(np.asarray(x.values)) for x in b.column(1)], pa.binary())], names=["node", "buckets"])
 
     lists = members.groupBy("node").agg(F.array_sort(F.collect_set("sig")).alias("l"))
     return lists.mapInArrow(run, "node long, buckets binary")
@@ -438,7 +449,7 @@ def doubtful(members: DataFrame, percent: int, block: int) -> DataFrame:
         if (comp == comp[0]).all():
             return None
         near, open_ = plausible(np.array(n, np.int64), marks, percent), np.zeros(len(node), bool)
-        lists = [np.frombuffer(b, np.int64) for b in buckets]
+        lists = [unpacked_signatures(b) for b in buckets]
         before = None
         every = np.arange(len(node))
         for x in range(len(node) - 1):
@@ -569,12 +580,13 @@ def rooted(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     second = members.join(small(comps), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = stage(second.groupBy("sig").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("sig"), "join-open")
     open_ = stage(second.join(small(mixed), "sig", "left_semi"), "join-still")
+    unstage(members, pairs, comps, mixed)
     # only members with a plausible partner elsewhere carry the list of their buckets along
     loose = stage(unsettled(open_.join(light, "node"), percent, block), "join-loose")
     left = open_.join(loose, ["sig", "node"], "left_semi")  # as many rows as open_ may have: never broadcast
     doubts = stage(doubtful(left.join(light.join(bucket_lists(loose), "node"), "node"), percent, block), "join-doubts")
     more = stage(exact_links(doubts.join(sets.select("node", "elements"), "node"), percent), "join-more")
-    unstage(members, pairs, comps, mixed, open_, loose)
+    unstage(open_, loose)
     comps = stage(components(links.union(more)), "join-comps")
     unstage(sets, links, doubts, more)
     with_root = table.select("doc_id", "tie", "n_shingles", "node").join(small(comps), "node", "left").withColumn("_root", F.coalesce("root", "node"))

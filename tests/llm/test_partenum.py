@@ -139,8 +139,14 @@ def test_pairs_are_left_to_shared_buckets_only(spark):
     rng = np.random.default_rng(8)
     base = np.sort(rng.integers(0, 1 << 63, 2000).astype(np.uint64))
     near, far = np.sort(np.append(base[1:], np.uint64(7))), np.sort(rng.integers(0, 1 << 63, 2000).astype(np.uint64))
-    a, b, c = 212737767034226, 268917531005858, 301327798639125
+    a, b, c = 212737767034226, 268917531005858, 275327798639125
     rows = [(a, 1, base), (a, 3, far), (b, 2, near), (b, 3, far), (c, 1, base), (c, 2, near), (c, 3, far)]
     members = spark.createDataFrame([(s, n, len(v), bytearray(partenum.sketch(v, 90)), n) for s, n, v in rows], "sig long, node long, n long, sketch binary, comp long")
     found = partenum.doubtful(members.join(partenum.bucket_lists(members), "node"), 90, 1024).collect()
     assert {(r["sig"], r["node"]) for r in found} == {(c, 1), (c, 2)}
+
+
+def test_packed_signatures_come_back():
+    values = np.array([0, 1, 255, 1 << 40, (1 << 48) - 1], np.int64)
+    assert partenum.unpacked_signatures(partenum.packed_signatures(values)).tolist() == values.tolist() and len(partenum.packed_signatures(values)) == 30
+    assert len(partenum.unpacked_signatures(b"")) == 0
