@@ -208,19 +208,18 @@ PLAN = stages.Plan(pilot_updates=4, adaptive_updates=8, probe_every=2)
 
 def probes(spark, d):
     """A run for every customer: thirteen updates with summaries of a true start, four candidates and independent probes of these."""
-    run, v, s = F.col("c_custkey"), F.col("version"), F.col("s")
-    rows = table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("version"))
-    each = rows.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    one = lambda kind, name, wins: F.struct(F.lit(kind).alias("kind"), name.alias("state_id"), (s * 5).cast("long").alias("env_step"), F.lit(24).cast("long").alias("samples"), wins.cast("long").alias("successes"), (wins / 24).alias("mean_reward"), (wins * 2.0).cast("double").alias("mean_pellets"), F.when(run % 7 == 0, 0.0).otherwise(0.25).alias("variance"))
-    name = F.concat(F.lit("s"), s.cast("string"))
+    run, v = F.col("c_custkey"), F.col("version")
+    keys = table(spark, d, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")  # a small file is much work
+    rows = keys.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("version"))
+    one = lambda s, kind, name, wins: F.struct(F.lit(kind).alias("kind"), name.alias("state_id"), (s * 5).cast("long").alias("env_step"), F.lit(24).cast("long").alias("samples"), wins.cast("long").alias("successes"), (wins / 24).alias("mean_reward"), (wins * 2.0).cast("double").alias("mean_pellets"), F.when(run % 7 == 0, 0.0).otherwise(0.25).alias("variance"))
+    each = [(F.lit(i), F.lit(f"s{i}")) for i in range(4)]
     told = F.array(
-        one("frontier", name, (run * 7 + v * 5 + s * 11) % 25),
-        F.when(v.isin(0, 4), one("pilot", name, F.when(v == 0, (run + s) % 5).otherwise(8 + (run * 3 + s) % 17))),
-        F.when(s == 0, one("start", F.lit("t0"), F.when(v == 0, run % 9).otherwise((run + v) % 25))),
+        one(F.lit(0), "start", F.lit("t0"), F.when(v == 0, run % 9).otherwise((run + v) % 25)),
+        *(one(s, "frontier", name, (run * 7 + v * 5 + s * 11) % 25) for s, name in each),
+        *(F.when(v.isin(0, 4), one(s, "pilot", name, F.when(v == 0, (run + s) % 5).otherwise(8 + (run * 3 + s) % 17))) for s, name in each),
     )
-    per = each.select(run.alias("run"), v.cast("long").alias("version"), F.explode(F.filter(told, lambda x: x.isNotNull())).alias("t"))
-    facts = per.groupBy("run", "version").agg(F.collect_list("t").alias("summaries"))
-    return facts.select("run", "version", F.lit(2).cast("long").alias("adv_count"), F.when(F.col("run") % 5 == 0, 0.0).otherwise(0.1).alias("adv_variance"), "summaries")
+    summaries = F.filter(told, lambda x: x.isNotNull()).alias("summaries")
+    return rows.select(run.alias("run"), v.cast("long").alias("version"), F.lit(2).cast("long").alias("adv_count"), F.when(run % 5 == 0, 0.0).otherwise(0.1).alias("adv_variance"), summaries)
 
 
 @query(STAGES)
@@ -230,11 +229,11 @@ def st14_stage_machine(spark, d):
 
 @query(STAGES)
 def st14_stage_machine_stream(spark, d):
-    """The same machine over a stream, whose updates come in three files, each with a third of a run's updates, the last ones first."""
+    """The same machine over a stream, whose updates come in three parts, each with a third of a run's updates, the last ones first; it is restarted for each."""
     path, keep = sinks.shared_path(spark, "st14"), sinks.shared_path(spark, "st14-kept")
     source = probes(spark, d)
     for third in (2, 0, 1):
-        source.where(F.col("version") % 3 == third).coalesce(1).write.mode("append").parquet(path)
-    updates = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    stages.fold_stream(updates, PLAN).writeStream.format("parquet").option("path", keep).option("checkpointLocation", f"{keep}-state").trigger(availableNow=True).start().awaitTermination()
+        source.where(F.col("version") % 3 == third).write.mode("append").parquet(path)
+        updates = spark.readStream.schema(source.schema).parquet(path)
+        stages.fold_stream(updates, PLAN).writeStream.format("parquet").option("path", keep).option("checkpointLocation", f"{keep}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stages.OUT).parquet(keep)
