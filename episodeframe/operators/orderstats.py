@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import shared_path
+
 #: Relative accuracy of the sketch that brackets a rank; keys of up to so many rows are not bracketed.
 ACCURACY = 10_000
 
@@ -15,7 +17,8 @@ def located(rows: DataFrame, key: list[str], value: str, ranks: dict[str, tuple[
 
     `ranks` gives, by name (`_stat`), about where in [0, 1] a rank lies and the exact rank as a column over `n`. A quantile
     sketch of bounded size brackets each rank; a second pass counts what lies below the bracket and
-    sums up the values inside it, about 8 / ACCURACY of the rows, so ties of any number cost one row.
+    sums up the values inside it, about 8 / ACCURACY of the rows, so ties of any number cost one row. The first pass runs
+    at once, its brackets are kept in the shared folder.
     """
     kept = rows.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("_v"))
     names = list(ranks)
@@ -25,6 +28,10 @@ def located(rows: DataFrame, key: list[str], value: str, ranks: dict[str, tuple[
     each = F.array(*(F.struct(F.lit(name).alias("_stat"), ranks[name][1].cast("long").alias("rank"), F.when(~few, F.col("_b")[i]).alias("from"), F.when(~few, F.col("_b")[i + len(names)]).alias("to")) for i, name in enumerate(names)))
     brackets = stats.select(*key, "n", F.explode(each).alias("r")).select(*key, "n", "r.*")
     if key:
+        # read back, so that Spark knows their size: brackets of few keys are broadcast, and no key's rows are dealt to one task for the join
+        path = shared_path(rows.sparkSession, "brackets")
+        brackets.write.parquet(path)
+        brackets = rows.sparkSession.read.schema(brackets.schema).parquet(path)
         marked = kept.join(brackets, key)
     else:
         marked = kept.crossJoin(F.broadcast(brackets))  # one row a name
