@@ -162,11 +162,11 @@ def src15_st11_complete_lines(spark, d):
     # the end of the growth so far falls into a line, and half of a line is all that a later one adds to some files
     line = F.concat(L('{"source_step": '), "p_partkey", L(', "size": '), "p_size", L("}"))
     for upto, broken in ((last // 3, True), (last // 2, False), (last // 2, True), (last, False)):
-        own = p.where(F.col("p_partkey") <= upto).groupBy((F.col("p_partkey") % 5).alias("file")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))).alias("rows"))
-        for r in own.toLocalIterator():  # five files; the reader under test is what is distributed
-            lines = [x.l + "\n" for x in r.rows if r.file != 2 or x.p_partkey <= last // 2]
-            closed = "END\n" + "".join(x.l + "\n" for x in r.rows if x.p_partkey > last // 2) if r.file == 2 and upto == last else ""
-            put(spark, f"{path}/{r.file}.jsonl", "".join(lines) + closed + ('{"source_step": ' if broken and not closed else ""))
+        own = p.where(F.col("p_partkey") <= upto).select((F.col("p_partkey") % 5).alias("file"), "p_partkey", line.alias("line"))
+        if upto == last:  # an end line in the middle of a file
+            own = own.unionByName(spark.range(1).select(L(2).cast("long").alias("file"), L(last // 2).cast("long").alias("p_partkey"), L("END").alias("line")))
+        named = own.select(F.concat(F.col("file").cast("string"), L(".jsonl")).alias("name"), "p_partkey", "line")
+        growing.rewrite(named, path, [F.col("p_partkey"), F.col("line") == "END"], '{"source_step": ' if broken else "")
         rows = growing.complete_lines(spark, path)
         rows.writeStream.format("parquet").option("path", keep).option("checkpointLocation", f"{keep}-state").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema("file string, offset long, line string, closed boolean").parquet(keep)

@@ -6,8 +6,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .storage import opened
@@ -131,6 +132,32 @@ class GrowingLines(DataSource):
         return BatchReader(self.options)
 
 
+def rewrite(lines: DataFrame, path: str, order: list[Column], rest: str = "") -> None:
+    """Files of a folder from lines (name, line), each written by one task line by line, in order, and `rest` after the last; a file that is there is replaced."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(path)
+        name, out = None, None
+        for batch in batches:
+            for own, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != name:
+                    if out:
+                        out.write(rest.encode())
+                        out.close()
+                    name, out = own, system.open_output_stream(f"{root}/{own}", buffer_size=BLOCK)
+                out.write(f"{line}\n".encode())
+        if out:
+            out.write(rest.encode())
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], ["done"])
+
+    system, root = opened(path)
+    system.create_dir(root)
+    keys = [c.alias(f"_{i}") for i, c in enumerate(order)]
+    dealt = lines.select("name", "line", *keys).repartition("name").sortWithinPartitions("name", *(f"_{i}" for i in range(len(keys))))
+    dealt.select("name", "line").mapInArrow(write, "done string").write.format("noop").mode("overwrite").save()
+
+
 def complete_lines(spark: SparkSession, path: str, stream: bool = True, end: str = "END", pattern: str = "*") -> DataFrame:
     """(file, offset, line, closed) of the complete lines of append-only files in a folder, by the byte at which each starts.
 
