@@ -173,15 +173,14 @@ def st9_snk7_exactly_once(spark, d):
 @query("""WITH e AS (SELECT DISTINCT p_partkey % 3 AS tier, p_partkey AS id, 4 + p_size % 29 AS lookback, unnest([p_partkey % 6, p_size % 6]) AS update FROM part),
   l AS (SELECT u AS update, tier, id, lookback, max(e.update) AS admitted FROM e, range(6) r(u) WHERE e.update <= u GROUP BY 1, 2, 3, 4) SELECT tier, update, id, lookback, admitted FROM l WHERE admitted >= update - 2""")
 def st6_bank_stream(spark, d):
-    """Banks after each of six updates of a stream; entries live for two more updates, and come in anew with a second admission."""
+    """Banks after each of six updates of a stream that is restarted after every two; entries live for two more updates, and come in anew with a second admission."""
     path, keep = sinks.shared_path(spark, "st6"), sinks.shared_path(spark, "st6-kept")
     key, size = F.col("p_partkey"), F.col("p_size").cast("long")
     rows = table(spark, d, "part").select((key % 3).alias("tier"), F.explode(F.array(key % 6, size % 6)).alias("update"), key.alias("id"), (4 + size % 29).alias("lookback")).distinct()
     for low in (0, 2, 4):
-        rows.where(F.col("update").between(low, low + 1)).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    found = bank_streams.refreshed_stream(stream, max_age=2, cap=10**9)
-    found.writeStream.format("parquet").option("path", keep).option("checkpointLocation", f"{keep}-state").trigger(availableNow=True).start().awaitTermination()
+        rows.where(F.col("update").between(low, low + 1)).write.mode("append").parquet(path)
+        found = bank_streams.refreshed_stream(spark.readStream.schema(rows.schema).parquet(path), max_age=2, cap=None)
+        found.writeStream.format("parquet").option("path", keep).option("checkpointLocation", f"{keep}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("tier long, update long, id long, lookback long, admitted long").parquet(keep)
 
 

@@ -11,10 +11,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .stages import keyed_state
 
+#: Keys that a tier without a cap is dealt to; fixed for the life of a checkpoint.
+SLOTS = 256
+
 
 class Bank(StatefulProcessor):
     """Entries by id in a map state, and the last update in a value state; apply() says what an update does to them."""
@@ -76,6 +80,38 @@ class Aged(Bank):
         return [(name, lookback, admitted, place) for place, (name, (lookback, admitted)) in enumerate(kept.items(), 1)]
 
 
+class Alive(StatefulProcessor):
+    """Aged without a cap: no entry depends on another, so a key is a slot of a tier's entries, and hears of all the tier's updates. One value holds a slot."""
+
+    def __init__(self, max_age: int):
+        self.max_age = max_age
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.slot = handle.getValueState("slot", "last long, entries array<struct<id: bigint, lookback: bigint, admitted: bigint>>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, entries = self.slot.get() if self.slot.exists() else (-1, [])
+        entries = {name: (lookback, admitted) for name, lookback, admitted in entries}
+        updates: dict[int, dict[int, int]] = defaultdict(dict)
+        for pdf in rows:
+            for update, entry, name, lookback in zip(*(pdf[c].tolist() for c in ("update", "entry", "id", "lookback")), strict=True):
+                if update > last:
+                    own = updates[update]
+                    if entry:
+                        own[name] = lookback
+        out = []
+        for update in sorted(updates):
+            entries |= {name: (lookback, update) for name, lookback in updates[update].items()}
+            entries = {name: value for name, value in entries.items() if value[1] >= update - self.max_age}
+            out += [(key[0], update, name, *value) for name, value in entries.items()]
+            last = update
+        self.slot.update((last, [(name, *value) for name, value in entries.items()]))
+        yield pd.DataFrame(out, columns=["tier", "update", "id", "lookback", "admitted"])
+
+    def close(self) -> None:
+        pass
+
+
 class Evicting(Bank):
     """Entries (bucket, seed, usage, last_probe) are added or replaced; those beyond their bucket's capacity go, then those beyond their seed's."""
 
@@ -128,10 +164,18 @@ class Probed(StatefulProcessor):
         pass
 
 
-def refreshed_stream(new: DataFrame, max_age: int = 20, cap: int = 64) -> DataFrame:
-    """(tier, update, id, lookback, admitted, place): each tier's bank after every update of a stream of entries (tier, update, id, lookback) that touches it."""
+def refreshed_stream(new: DataFrame, max_age: int = 20, cap: int | None = 64) -> DataFrame:
+    """(tier, update, id, lookback, admitted, place): each tier's bank after every update of a stream of entries (tier, update, id, lookback) that touches it.
+
+    A tier with a cap is one key, whose state the cap bounds. Without one (None) there is no place in turn, and a tier of any size is dealt to SLOTS keys.
+    """
     keyed_state(new.sparkSession)
-    return new.groupBy("tier").transformWithStateInPandas(Aged(max_age, cap), "tier long, update long, id long, lookback long, admitted long, place long", "Append", "None")
+    if cap is not None:
+        return new.groupBy("tier").transformWithStateInPandas(Aged(max_age, cap), "tier long, update long, id long, lookback long, admitted long, place long", "Append", "None")
+    zero = F.lit(0).cast("long")
+    own = new.select("tier", F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("_slot"), "update", F.lit(True).alias("entry"), "id", "lookback")
+    told = new.select("tier", "update").dropDuplicates().select("tier", F.explode(F.sequence(zero, F.lit(SLOTS - 1).cast("long"))).alias("_slot"), "update", F.lit(False).alias("entry"), zero.alias("id"), zero.alias("lookback"))
+    return own.unionByName(told).groupBy("tier", "_slot").transformWithStateInPandas(Alive(max_age), "tier long, update long, id long, lookback long, admitted long", "Append", "None")
 
 
 def evicted_stream(new: DataFrame, per_bucket: int = 4, per_seed: int = 16) -> DataFrame:
