@@ -82,9 +82,14 @@ class Batch:
         return (self.words, count(self.tokens, len(self.words)), 64), (self.bigrams, count(self.pairs, len(self.bigrams)), BIGRAM_BITS)
 
 
-def unpacked(b: pa.RecordBatch) -> Iterator[tuple[int, Batch]]:
-    for row in b.to_pylist():
-        yield row["batch"], Batch(*(row[c] for c in ("ids", "train", "lengths", "words", "tokens")))
+def one_by_one(b: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of an Arrow batch; only the one at hand is held as Python objects beside it."""
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
+def unpacked(row: dict) -> Batch:
+    return Batch(*(row[c] for c in ("ids", "train", "lengths", "words", "tokens")))
 
 
 def totals(table: DataFrame, parts: tuple[int, int]) -> DataFrame:
@@ -92,9 +97,9 @@ def totals(table: DataFrame, parts: tuple[int, int]) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, it in unpacked(b):
-                part, blobs = [], []
-                for kind, (keys, counts, bits) in enumerate(it.keys()):
+            for row in one_by_one(b):
+                number, part, blobs = row["batch"], [], []
+                for kind, (keys, counts, bits) in enumerate(unpacked(row).keys()):
                     own = ((keys >> U(bits - 32)) * U(parts[kind]) >> U(32)).astype(np.int64)
                     cuts = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1, [len(own)]))
                     for x, y in zip(cuts[:-1], cuts[1:], strict=True):
@@ -148,7 +153,7 @@ def joined(table: DataFrame, back: DataFrame, parts: tuple[int, int]) -> DataFra
 
         for b in batches:
             schema = b.schema
-            for r in b.to_pylist():
+            for r in one_by_one(b):
                 if r["part"] < 0:
                     if row:
                         yield whole()
@@ -164,9 +169,10 @@ def joined(table: DataFrame, back: DataFrame, parts: tuple[int, int]) -> DataFra
 
 def counted(b: pa.RecordBatch) -> Iterator[tuple[Batch, np.ndarray, np.ndarray, np.ndarray]]:
     """Each batch with the training counts, as floats, of every token's word, of the word before it, and of the two together."""
-    for row, (_, it) in zip(b.column(b.schema.get_field_index("keys")).to_pylist(), unpacked(b), strict=True):
-        n = int.from_bytes(row[:4], "little")
-        words, bigrams = expand(row[4 : 4 + n]).astype(float), expand(row[4 + n :]).astype(float)
+    for row in one_by_one(b):
+        it, keys = unpacked(row), row["keys"]
+        n = int.from_bytes(keys[:4], "little")
+        words, bigrams = expand(keys[4 : 4 + n]).astype(float), expand(keys[4 + n :]).astype(float)
         yield it, words[it.tokens], words[it.before], bigrams[it.pairs]
 
 

@@ -95,9 +95,13 @@ def term_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word with A-Z lower-cased, first) over a chunk."""
+    """(hash of each word with A-Z lower-cased, first). Words are hashed CHUNK bytes at a time: the arrays of a pass, and the powers kept for the next, are eight times the bytes."""
     start, end, first = words(data, offsets)
-    return span_hash(prefix_hash(LOWER[data]), start, end), first
+    out = np.empty(len(start), U)
+    for a, z in chunks(np.append(start, end[-1:])):
+        low = start[a]
+        out[a:z] = span_hash(prefix_hash(LOWER[data[low : end[z - 1]]]), start[a:z] - low, end[a:z] - low)
+    return out, first
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
