@@ -17,6 +17,8 @@ LOWER[65:91] += 32
 #: Bytes that no term has: ASCII but for letters and digits.
 NO_TERM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 CHUNK = 1 << 20
+#: Bytes hashed at a time.
+HASHED = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,6 +56,25 @@ def span_hash(cs: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((cs[end] - cs[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span_hash() of spans with ascending starts, a stretch of the data at a time: arrays of eight bytes a byte, and the powers kept, stay small."""
+    out = np.empty(len(start), U)
+    for a, z in chunks(np.append(start, end[-1:]), HASHED):
+        low = start[a]
+        out[a:z] = span_hash(prefix_hash(data[low : end[z - 1]]), start[a:z] - low, end[a:z] - low)
+    return out
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """span_hash() of every `gram` consecutive bytes."""
+    n = max(0, len(data) - gram + 1)
+    out = np.empty(n, U)
+    for x in range(0, n, HASHED):
+        at = np.arange(min(HASHED, n - x))
+        out[x : x + len(at)] = span_hash(prefix_hash(data[x : x + len(at) + gram - 1]), at, at + gram)
+    return out
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty. offsets[0] is 0."""
     column = column.cast(pa.large_binary())
@@ -95,13 +116,9 @@ def term_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word with A-Z lower-cased, first). Words are hashed CHUNK bytes at a time: the arrays of a pass, and the powers kept for the next, are eight times the bytes."""
+    """(hash of each word with A-Z lower-cased, first)."""
     start, end, first = words(data, offsets)
-    out = np.empty(len(start), U)
-    for a, z in chunks(np.append(start, end[-1:])):
-        low = start[a]
-        out[a:z] = span_hash(prefix_hash(LOWER[data[low : end[z - 1]]]), start[a:z] - low, end[a:z] - low)
-    return out, first
+    return span_hashes(LOWER[data], start, end), first
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, small, stage, unstage
-from .kernels import U, list_array, mix, prefix_hash, span_hash, strings
+from .kernels import HASHED, U, chunks, gram_hashes, list_array, mix, prefix_hash, span_hash, span_hashes, strings
 
 WIDTH = 100
 #: Bytes of the strings whose least hash keys a window.
@@ -52,8 +52,7 @@ def runs(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.nda
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U)
-    at = np.arange(len(data) - gram + 1)
-    h = span_hash(prefix_hash(data), at, at + gram)
+    h = gram_hashes(data, gram)
     over = width - gram + 1
     key = sliding(h, over, np.minimum)
     start = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
@@ -73,33 +72,51 @@ def suffix_array(text: np.ndarray, depth: int = WIDTH) -> np.ndarray:
     """
     n = len(text)
     bits, mask = U(SHARD_BITS), U((1 << SHARD_BITS) - 1)
-    wide = np.zeros(n + 5, U)
-    wide[:n] = text.astype(U) + U(1)
-    head = wide[:n]
-    for j in range(1, 4):  # four 9-bit symbols, then the position
-        head = (head << U(9)) | wide[j : n + j]
-    order = np.sort((head << bits) | np.arange(n, dtype=U))
-    value, sa = order >> bits, (order & mask).astype(np.int64)
-    fresh = np.concatenate(([True], value[1:] != value[:-1])) if n else np.zeros(0, bool)
-    group = np.maximum.accumulate(np.where(fresh, np.arange(n), 0)) + 1
-    rank = np.zeros(n + depth + 1, np.int64)  # 0: beyond the end
-    rank[sa] = group
+    order = np.zeros(n, U)
+    for j in range(4):  # four 9-bit symbols, then the position
+        order <<= U(9)
+        order[: max(0, n - j)] += text[j:]
+        order[: max(0, n - j)] += U(1)
+    order <<= bits
+    order |= np.arange(n, dtype=np.uint32)
+    order.sort()
+    sa = (order & mask).astype(np.uint32)
+    order >>= bits
+    fresh = np.concatenate(([True], order[1:] != order[:-1])) if n else np.zeros(0, bool)
+    del order
+    rank = np.zeros(n + depth + 1, np.uint32)  # 0: beyond the end
+    rank[sa] = leaders(fresh) + np.uint32(1)
     known = 4
     while known < depth and n:
         alone = fresh & np.append(fresh[1:], True)
-        left = np.flatnonzero(~alone)  # places in sa that are not settled
+        left = np.flatnonzero(~alone).astype(np.uint32)  # places in sa that are not settled
         if not len(left):
             break
         step = min(known, depth - known)
         at = sa[left]
-        order = np.sort((rank[at].astype(U) << (bits + bits)) | (rank[at + step].astype(U) << bits) | at.astype(U))
-        sa[left] = (order & mask).astype(np.int64)
-        value = order >> bits
-        new = np.concatenate(([True], value[1:] != value[:-1]))
+        order = rank[at].astype(U)
+        order <<= bits
+        order |= rank[at + np.uint32(step)]
+        order <<= bits
+        order |= at
+        del at
+        order.sort()
+        at = (order & mask).astype(np.uint32)
+        sa[left] = at
+        order >>= bits
+        new = np.concatenate(([True], order[1:] != order[:-1]))
+        del order
         fresh[left] = new
-        rank[sa[left]] = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))] + 1
+        rank[at] = left[leaders(new)] + np.uint32(1)
         known += step
-    return sa
+    return sa.view(np.int32)
+
+
+def leaders(fresh: np.ndarray) -> np.ndarray:
+    """For each place the last place up to it that is fresh."""
+    at = np.arange(len(fresh), dtype=np.uint32)
+    at[~fresh] = 0
+    return np.maximum.accumulate(at, out=at)
 
 
 def matching(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,18 +146,25 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
     """
     n = len(sa)
     if n < 2:
-        return np.zeros(n, np.int64)
-    before = np.full(n, -1)
+        return np.zeros(n, np.int32)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    place = np.arange(n)
+
+    def measured(at: np.ndarray, into: np.ndarray) -> None:
+        for x in range(0, len(at), HASHED):
+            own = at[x : x + HASHED]
+            into[own] = matching(text, own, before[own])
+
     heads = np.concatenate(([True], before[1:] != before[:-1] + 1)) & (before >= 0)
-    length = np.zeros(n, np.int64)
-    found = np.flatnonzero(heads)
-    length[found] = matching(text, found, before[found])
-    last = np.maximum.accumulate(np.where(heads | (before < 0), place, 0))
-    plcp = np.where(before >= 0, length[last] - (place - last), 0)
-    odd = np.flatnonzero((plcp < 0) | (before >= 0) & (plcp == 0) & ~heads)  # a chain that went on past its prefix
-    plcp[odd] = matching(text, odd, before[odd])
+    length = np.zeros(n, np.int32)
+    measured(np.flatnonzero(heads), length)
+    last = leaders(heads | (before < 0)).view(np.int32)
+    plcp = length[last]
+    del length
+    plcp -= np.arange(n, dtype=np.int32)
+    plcp += last
+    plcp[before < 0] = 0
+    measured(np.flatnonzero((plcp < 0) | (before >= 0) & (plcp == 0) & ~heads), plcp)  # a chain that went on past its prefix
     return plcp[sa]
 
 
@@ -156,7 +180,9 @@ def stretches(flags: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def sliced(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
     """A binary column of slices of data."""
     offsets = np.concatenate(([0], np.cumsum(length)))
-    flat = data[np.repeat(start - offsets[:-1], length) + np.arange(offsets[-1])]
+    flat = np.empty(offsets[-1], np.uint8)
+    for a, z in chunks(offsets, HASHED):
+        flat[offsets[a] : offsets[z]] = data[np.repeat(start[a:z] - offsets[a:z], length[a:z]) + np.arange(offsets[a], offsets[z])]
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
 
 
@@ -215,32 +241,35 @@ def sharded(suspects: DataFrame, width: int) -> DataFrame:
 
     def shard(number: int, parts: list[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         parts.sort(key=lambda p: (p[0] is not None, *p[:3]))
-        size = np.array([len(p[3]) for p in parts])
-        text, base = np.concatenate([p[3] for p in parts]), np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(parts)), size)
-        inner = np.arange(len(text)) - base[owner]
-        valid = inner + width <= size[owner]
+        size = np.array([len(p[3]) for p in parts], np.int32)  # a shard has few bytes, so 32 bits hold its places
+        text, base = np.concatenate([p[3] for p in parts]), np.cumsum(size, dtype=np.int32) - size
+        owner = np.repeat(np.arange(len(parts), dtype=np.int32), size)
+        inner = np.arange(len(text), dtype=np.int32) - base[owner]
         sa = suffix_array(text, width)
-        apart = common_prefixes(text, sa) < width
-        sa, apart = sa[valid[sa]], np.cumsum(apart)[valid[sa]]
+        apart = np.cumsum(common_prefixes(text, sa) < width, dtype=np.int32)
+        valid = (inner + width <= size[owner])[sa]
+        sa, apart = sa[valid], apart[valid]
         # equal windows lie together, by position; rows that repeat a document count as the same place
         lead = np.concatenate(([True], apart[1:] != apart[:-1]))
-        first = sa[np.maximum.accumulate(np.where(lead, np.arange(len(sa)), 0))]
-        ids = np.cumsum([0] + [a[:2] != b[:2] for a, b in zip(parts[1:], parts[:-1], strict=True)])
+        del apart, valid
+        first = sa[leaders(lead)]
+        ids = np.cumsum([0] + [a[:2] != b[:2] for a, b in zip(parts[1:], parts[:-1], strict=True)], dtype=np.int32)
         place = np.array([p[2] for p in parts])[owner] + inner
         later = (ids[owner[sa]] != ids[owner[first]]) | (place[sa] != place[first])
         gone, kept = np.zeros(len(text), bool), np.zeros(len(text), bool)
         gone[sa[later]] = True
         kept[sa[lead]] = True
+        del sa, first, lead, later
         doc, tie = (pa.array([p[k] for p in parts], pa.int64()) for k in (0, 1))
         cuts = inner == 0
+        del inner
         at, n = stretches(gone, cuts)
         yield found_rows(None, np.full(len(at), number), doc.take(pa.array(owner[at])), tie.take(pa.array(owner[at])), place[at], None, n)
-        grams = np.arange(len(text) - GRAM + 1)
-        key = sliding(span_hash(prefix_hash(text), grams, grams + GRAM), width - GRAM + 1, np.minimum)
+        key = sliding(gram_hashes(text, GRAM), width - GRAM + 1, np.minimum)
         cuts[1 : len(key)] |= key[1:] != key[:-1]
         at, n = stretches(kept, cuts)
-        yield found_rows(key[at].view(np.int64), np.full(len(at), number), doc.take(pa.array(owner[at])), tie.take(pa.array(owner[at])), place[at], sliced(text, at, n + width - 1), None)
+        key = key[at].view(np.int64)
+        yield found_rows(key, np.full(len(at), number), doc.take(pa.array(owner[at])), tie.take(pa.array(owner[at])), place[at], sliced(text, at, n + width - 1), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -333,7 +362,7 @@ def merged(firsts: DataFrame, width: int) -> DataFrame:
         opens[np.cumsum(n) - n] = True
         window = offsets[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
         # groups of one key hold equal windows too; the lists below hold all groups, so a group is part of the hash
-        hashes = span_hash(prefix_hash(data), window, window + width) ^ mix(np.cumsum(change).astype(U))[row]
+        hashes = span_hashes(data, window, window + width) ^ mix(np.cumsum(change).astype(U))[row]
         # one list for each place in a group: a tournament in which the earlier list takes in the later
         place = np.arange(len(t)) - np.maximum.accumulate(np.where(change, np.arange(len(t)), 0))
         turn = np.argsort(place[row], kind="stable")
