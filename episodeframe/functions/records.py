@@ -111,9 +111,9 @@ def literal_metrics(text: Column) -> Column:
     entry = lambda k, v: F.struct(F.substring(k, F.lit(2), F.length(k) - 2).alias("key"), F.when(v.rlike(f"^{number}$"), v.try_cast("double")).alias("value"))
     every = F.zip_with(found(1), found(2), entry)
     named = F.filter(every, lambda e: F.contains(e["key"], F.lit("/")) & e["value"].isNotNull())
-    keys = F.transform(named, lambda e: e["key"])
-    last = F.filter(named, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
-    return F.when(text.rlike(whole), F.map_from_entries(last))
+    # a lambda's variable is made once: the expression itself, inside the filter, would search the text again for each entry
+    last = lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda x: x["key"] == e["key"]))
+    return F.when(text.rlike(whole), F.map_from_entries(F.get(F.transform(F.array(named), last), F.lit(0))))
 
 
 

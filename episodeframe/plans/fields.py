@@ -384,7 +384,8 @@ def fn11_ag23_log_literals(spark, d):
     line = F.concat(N("\x1b[1mstep "), F.expr("event_id div 8").cast("string"), N(": {'train/loss': "), loss, N(", 'plain': 3, 'perf/n': "), (i % 13).cast("string"), N(", 'perf/up': True, 'perf/text': 'x'} [repeated 2x across cluster]"))
     clean = scalar.clean_line(line)
     rows = table(spark, d, "events").select("event_id", F.regexp_extract(clean, "step (\\d+):", 1).cast("long").alias("step"), records.literal_metrics(F.regexp_extract(clean, "(\\{.*\\})\\s*$", 1)).alias("m"))
-    flat = rows.select("event_id", "step", F.explode("m").alias("key", "value"))
+    # an outer explode: for a plain one Spark infers a filter, in which the map would be made a second time
+    flat = rows.select("event_id", "step", F.explode_outer("m").alias("key", "value")).where("key IS NOT NULL")
     return flat.groupBy("step", "key").agg(F.max_by("value", "event_id").alias("value"))
 
 
