@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 #: Row bound that goes with BROADCAST_BYTES; both must hold.
 BROADCAST_ROWS = 2_000_000
+#: Spark's setting to remove a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,9 +32,17 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage is cut and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    """Write df as a Parquet table in the shared folder and read it back: lineage is cut and survives lost executors.
+
+    Nothing reads the shuffle files of the write again, so they go as soon as it has ended, not when the driver collects its garbage.
+    """
+    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

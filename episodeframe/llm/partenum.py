@@ -36,6 +36,8 @@ STRANGER_COST = 50.0
 COMMON_SHARE = 0.3
 #: Bits of a signature: two that meet only by chance cost a comparison, no more.
 SIG_SHIFT = U(16)
+#: Bytes of a signature.
+SIG_BYTES = 6
 #: Shingles are compared by the top 56 bits of their hashes.
 ELEMENT_SHIFT = U(8)
 
@@ -396,12 +398,12 @@ def spanning(members: DataFrame, percent: int, block: int) -> DataFrame:
 
 def packed_signatures(values: np.ndarray) -> bytes:
     """Signatures without their two upper bytes, which are none."""
-    return np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)[:, :SIG_BYTES].tobytes()
 
 
 def unpacked_signatures(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(blob) // SIG_BYTES, 8), np.uint8)
+    out[:, :SIG_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, SIG_BYTES)
     return out.view("<i8").ravel()
 
 
@@ -416,6 +418,12 @@ def bucket_lists(members: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "node long, buckets binary")
 
 
+def lists_below(members: DataFrame) -> DataFrame:
+    """members (sig, node, ...) with `buckets`: of the packed ascending signatures of a node's buckets those below the row's own."""
+    before = F.row_number().over(Window.partitionBy("node").orderBy("sig")) - 1  # as many rows as a set has signatures at most
+    return members.withColumn("_at", before).join(bucket_lists(members), "node").withColumn("buckets", F.expr(f"substring(buckets, 1, {SIG_BYTES} * _at)")).drop("_at")
+
+
 def unsettled(members: DataFrame, percent: int, block: int) -> DataFrame:
     """(sig, node): of the members (sig, node, n, sketch, comp) of each bucket those with a plausible partner in another comp."""
 
@@ -440,7 +448,7 @@ def unsettled(members: DataFrame, percent: int, block: int) -> DataFrame:
 def doubtful(members: DataFrame, percent: int, block: int) -> DataFrame:
     """(sig, _i, _j, _side, node, comp): of the members (sig, node, n, sketch, comp, buckets) of each block those with a plausible partner in another comp.
 
-    A pair counts in one bucket alone, that of the least signature among those that both are in.
+    A pair counts in one bucket alone, that of the least signature among those that both are in; of `buckets` those below `sig` are enough.
     """
 
     def work(key: tuple, held: list) -> pa.RecordBatch | None:
@@ -508,8 +516,8 @@ def exact_links(rows: DataFrame, percent: int) -> DataFrame:
     return by_block(rows, ["comp", "elements"], work, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets (node, elements) have Jaccard >= percent / 100, by exact intersection."""
+def verified(pairs: DataFrame, firsts: DataFrame, seconds: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets (node, elements; a's in firsts, b's in seconds) have Jaccard >= percent / 100, by exact intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -520,8 +528,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("_x")), "a")
-    two = one.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("_y")), "b")
+    one = pairs.join(firsts.select(F.col("node").alias("a"), F.col("elements").alias("_x")), "a")
+    two = one.join(seconds.select(F.col("node").alias("b"), F.col("elements").alias("_y")), "b")
     return two.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long")
 
 
@@ -575,17 +583,19 @@ def rooted(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     least = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("sig"), "sig"))
     few = members.withColumn("_k", least).where(F.col("_k") <= FIRST_BUCKETS).drop("_k")
     pairs = stage(spanning(few.join(light, "node"), percent, block), "join-pairs")
-    links = stage(verified(pairs, sets, percent), "join-links")
+    # of the sets only those that a pair names are moved
+    named = stage(pairs.select(F.col("b").alias("node")).distinct(), "join-named")
+    links = stage(verified(small(pairs), sets, sets.join(small(named), "node", "left_semi"), percent), "join-links")
     comps = stage(components(links), "join-comps")
     second = members.join(small(comps), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = stage(second.groupBy("sig").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).where("_l <> _h").select("sig"), "join-open")
     open_ = stage(second.join(small(mixed), "sig", "left_semi"), "join-still")
-    unstage(members, pairs, comps, mixed)
+    unstage(members, pairs, named, comps, mixed)
     # only members with a plausible partner elsewhere carry the list of their buckets along
     loose = stage(unsettled(open_.join(light, "node"), percent, block), "join-loose")
     left = open_.join(loose, ["sig", "node"], "left_semi")  # as many rows as open_ may have: never broadcast
-    doubts = stage(doubtful(left.join(light.join(bucket_lists(loose), "node"), "node"), percent, block), "join-doubts")
-    more = stage(exact_links(doubts.join(sets.select("node", "elements"), "node"), percent), "join-more")
+    doubts = stage(doubtful(lists_below(left).join(light, "node"), percent, block), "join-doubts")
+    more = stage(exact_links(small(doubts).join(sets.select("node", "elements"), "node"), percent), "join-more")
     unstage(open_, loose)
     comps = stage(components(links.union(more)), "join-comps")
     unstage(sets, links, doubts, more)
