@@ -275,13 +275,22 @@ def state_continuity(rows: DataFrame, key: str, order: str, after: str, before:
     return own.where(~F.col("_first") & ~F.col("_was").eqNullSafe(F.col(before))).select(key, order)
 
 
-def route_binding(steps: DataFrame, executed: DataFrame, key: str) -> DataFrame:
-    """(key, place, rule): the i-th executed event belongs to the i-th step; action and cell agree, cursor 0 is where the model was called, and neither side has more."""
-    number = lambda df: df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("at")))
-    one = number(steps).select(key, "place", F.col("action").alias("_a"), F.col("cell").alias("_c"), F.col("called").alias("_m"))
-    two = number(executed).select(key, "place", F.col("action").alias("_b"), F.col("cell").alias("_d"), F.col("cursor").alias("_k"))
-    rules = [fails("both", col("_a").isNotNull() & col("_b").isNotNull()), fails("action", col("_a") == col("_b")), fails("cell", col("_c") == col("_d")), fails("called", col("_m") == (col("_k") == 0))]
-    return violations(one.join(two, [key, "place"], "full"), rules, key, "place")
+def route_binding(steps: DataFrame, executed: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """(key, place, rule): the i-th executed event belongs to the i-th step; action and cell agree, cursor 0 is where the model was called, and neither side has more.
+
+    Both sides are one table dealt by key, once, to `parts` partitions; a task sorts it by side to number it and by place to pair it.
+    """
+    one = steps.select(key, F.lit(0).alias("_side"), "at", F.struct("action", "cell", "called").alias("_step"))
+    two = executed.select(key, F.lit(1).alias("_side"), "at", F.struct("action", "cell", "cursor").alias("_event"))
+    both = one.unionByName(two, allowMissingColumns=True)
+    both = both.repartition(parts, key) if parts else both.repartition(key)
+    placed = both.withColumn("place", F.row_number().over(Window.partitionBy(key, "_side").orderBy("at")))
+    # a null key is no episode: its rows are paired with none
+    pair = Window.partitionBy(key, "place", F.when(F.col(key).isNull(), F.col("_side"))).orderBy("_side")
+    bound = placed.withColumns({"_first": F.row_number().over(pair) == 1, "_event": F.coalesce("_event", F.lead("_event").over(pair))}).where("_first")
+    s, e = (lambda x: col(f"_step.{x}")), (lambda x: col(f"_event.{x}"))
+    rules = [fails("both", col("_step").isNotNull() & col("_event").isNotNull()), fails("action", s("action") == e("action")), fails("cell", s("cell") == e("cell")), fails("called", s("called") == (e("cursor") == 0))]
+    return violations(bound, rules, key, "place")
 
 
 def attempt_rules(horizon: int, bonus: float) -> list[Rule]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, reports
 from ..operators import contracts as ct
 from ..sources import readers, sinks
-from ..sources.bindings import EPISODES, STEPS, episodes, steps, table
+from ..sources.bindings import EPISODES, STEPS, TASK_ROWS, episodes, steps, table
 from .core import query
 from .files import put
 
@@ -292,7 +294,8 @@ def val17_route_binding(spark, d):
     last = F.col("at") == F.max("at").over(Window.partitionBy("episode_id"))
     executed = own.select("episode_id", (F.col("at") * 10).alias("at"), F.when(k % 11 == 0, "S").otherwise(F.col("action")).alias("action"), (F.col("cell") + (k % 13 == 0).cast("int")).alias("cell"), ((F.col("at") + 2) % 3 + F.when(k % 17 == 0, F.when(F.col("called"), 1).otherwise(-((F.col("at") + 2) % 3))).otherwise(0)).alias("cursor"))
     executed = executed.withColumn("last", last).where(~((k % 19 == 0) & F.col("last"))).drop("last")
-    return ct.route_binding(own, executed, "episode_id").select("episode_id", F.col("place").cast("long").alias("place"), "rule")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(2 * table(spark, d, "lineitem").count() / TASK_ROWS))
+    return ct.route_binding(own, executed, "episode_id", parts).select("episode_id", F.col("place").cast("long").alias("place"), "rule")
 
 
 @query(broken_sql(EPISODES + ", h AS (SELECT *, episode_id AS k FROM episodes)", "episode_id", {"start": "k % 11 = 0", "steps": "k % 13 = 0", "fault": "fault AND k % 5 = 0", "outcome": "NOT fault AND k % 17 = 0", "reward": "NOT fault AND k % 19 = 0"}, "h"))

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task sorts, about: a table of more is dealt to more partitions, so a task's memory does not grow with it.
+TASK_ROWS = 1 << 18
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, count: int, key: str) -> DataFrame:
+    """rows (about `count`) by key, where the session's partitions would have more than TASK_ROWS each; otherwise as they are."""
+    parts = ceil(count / TASK_ROWS)
+    return rows.repartition(parts, key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as episodes: groups of twelve keys, 28 seeds, terminal reason by status."""
     o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
@@ -29,8 +40,9 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as steps of their order, numbered by the full tie-break."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").select(
+    q, items = F.col("l_quantity"), table(spark, sf_dir, "lineitem")
+    items = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    return dealt(items, items.count(), "l_orderkey").select(
         F.col("l_orderkey").alias("episode_id"),
         F.row_number().over(w).cast("long").alias("step"),
         F.substring(F.lit("UDLR"), (F.col("l_partkey") % 4 + 1).cast("int"), F.lit(1)).alias("action"),
