@@ -31,18 +31,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: lineage is cut and survives lost executors.
-
-    Nothing reads the shuffle files of the write again, so they go as soon as it has ended, not when the driver collects its garbage.
-    """
-    path, conf = new_path(df.sparkSession, name), df.sparkSession.conf
+def write(df: DataFrame, path: str) -> None:
+    """Write df as a Parquet table. Nothing reads the shuffle files of the write again, so they go as soon as it has ended, not when the driver collects its garbage."""
+    conf = df.sparkSession.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: lineage is cut and survives lost executors."""
+    path = new_path(df.sparkSession, name)
+    write(df, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -90,18 +93,20 @@ def range_bucket(df: DataFrame, column: str, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.coalesce(bucket, F.lit(0)).cast("int"))
 
 
-def running_start(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+def running_start(df: DataFrame, order: list[str], value: str, out: str, ranges: int = 0) -> DataFrame:
     """Add `out`: the sum of `value` over all rows before, over a table with a `bucket` column of consecutive ranges.
 
     Each bucket is summed apart, a one-row-per-bucket table gives the offsets, and a
-    window inside each bucket adds the rest: no task sees more than a bucket.
+    window inside each bucket adds the rest: no task sees more than a bucket. With
+    `ranges`, the buckets are dealt to so many partitions in their order.
     """
     sums = df.groupBy("bucket").agg(F.sum(value).alias("_s"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("bucket", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
     inside = Window.partitionBy("bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = df.repartitionByRange(ranges, "bucket") if ranges else df
     return (
-        df.join(F.broadcast(sums), "bucket")
+        dealt.join(F.broadcast(sums), "bucket")
         .withColumn(out, (F.col("_b") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("long"))
         .drop("_b")
     )

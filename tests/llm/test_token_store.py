@@ -1,11 +1,12 @@
 """The store's ids equal the tokenizers library's, its files reconstruct them, and damage is seen."""
 
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from episodeframe.llm import token_store as ts
 from episodeframe.llm.common import new_path
@@ -63,6 +64,39 @@ def test_special_strings_are_the_librarys():
     assert 50256 in encoded(["one <|endoftext|> two"])[1][0]
 
 
+def test_plain_pieces_skip_the_pre_tokenizer():
+    """Pieces of one class need no cutting, and others without blanks are one text, not one each."""
+    texts = ["Some wörds, 12 of Straße×9!", "Œuvre ÿ÷ĀƀɎ", "x<|> 7"]
+    want = [Tokenizer.from_file(ts.default_tokenizer()).encode(t, add_special_tokens=False).ids for t in texts]
+    it = ts.PieceEncoder(ts.default_tokenizer())
+    asked, library = [], it.library
+    it.library = type("Counted", (), {"encode_batch_fast": staticmethod(lambda x, **more: asked.extend(x) or library.encode_batch_fast(x, **more))})
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0] + [len(t) for t in raw])
+    ids, stops = it.encode(np.frombuffer(b"".join(raw), np.uint8), offsets, 0)
+    assert [x.tolist()[:-1] for x in np.split(ids, stops[:-1])] == want
+    assert len(asked) == 1 and "ö" not in asked[0] and "Straße×" in asked[0]
+
+
+def test_letters_and_alphabet_are_the_librarys():
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    for c in map(chr, range(0x240)):
+        raw = np.frombuffer(c.encode(), np.uint8)
+        if ord(c) >= 0xC0:
+            assert (ts.byte_kinds(raw) == ts.LETTER).all() == unicodedata.category(c).startswith("L"), c
+        if c != "\n":
+            assert level.pre_tokenize_str(c)[0][0] == "".join(map(chr, ts.ALPHABET[raw]))
+
+
+def test_wide_ids(spark, tiny):
+    """Chunks with an id beyond 16 bits stand beside others."""
+    path = new_path(spark, "test-store")
+    ts.write_store(tiny, path, end=70000)
+    rows = sorted((r.doc_id, r.text) for r in tiny.collect())
+    want = [(doc, zlib.crc32(np.array([*ids[:-1], 70000], "<u4").tobytes())) for (doc, _), ids in zip(rows, wanted(rows), strict=True)]
+    assert sorted((r.doc_id, r.ids_crc32) for r in ts.read_digests(spark, path).collect()) == want
+
+
 def test_missing_chunk_and_wrong_manifest(spark, tiny):
     path = new_path(spark, "test-store")
     ts.write_store(tiny, path)
