@@ -360,7 +360,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end: i
     rows = range_bucket(work.select("doc_id", "n_tokens", "addresses"), "doc_id", 2 * partitions(spark))
     placed = running_start(rows, [F.col("doc_id").asc_nulls_first(), "addresses"], "n_tokens", "start", partitions(spark)).select("bucket", "doc_id", "start", "n_tokens", "addresses")
     write(placed.sortWithinPartitions("bucket", "start"), f"{path}/recipes")
-    whole = spark.read.parquet(f"{path}/recipes").select("bucket", "doc_id", "n_tokens", "addresses", "start").repartitionByRange(partitions(spark), "bucket").sortWithinPartitions("bucket", "start").drop("start")
+    whole = spark.read.parquet(f"{path}/recipes").select("bucket", "doc_id", "n_tokens", "addresses", "start").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "start").drop("start")
     roots = stage(whole.mapInArrow(_roots, "bucket int, documents long, tokens long, root string"), "store-roots")
     total = roots.agg(F.lit(-1).alias("bucket"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.lit(merkle(roots)).alias("root"))
     roots.union(total).write.parquet(f"{path}/manifest")
@@ -369,7 +369,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end: i
 
 def check_manifest(spark: SparkSession, path: str) -> bool:
     """Whether the store's root follows from its recipes."""
-    whole = spark.read.parquet(f"{path}/recipes").repartitionByRange(partitions(spark), "bucket").sortWithinPartitions("bucket", "start")
+    whole = spark.read.parquet(f"{path}/recipes").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "start")
     roots = whole.select("bucket", "doc_id", "n_tokens", "addresses").mapInArrow(_roots, "bucket int, documents long, tokens long, root string")
     told = spark.read.parquet(f"{path}/manifest").where("bucket = -1").first()
     return told.root == merkle(roots)
